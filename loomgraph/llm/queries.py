@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode_documents
+from .classifier import score_documents, train_on
+from .embedding_dedup import embedding_groups
+from .packing import pack_documents
 from .quality_rules import repetition_coverage
 from .secret_scan import find_secrets
 from .sharding import interleave_shards
@@ -44,10 +47,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_docs(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_coverage(_docs(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_docs(spark, sf_dir))
 
@@ -56,4 +67,27 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_substring_dedup, op4_byte_bpe, op6_quality_rules, op8_simhash, op9_token_counts)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on rows whose crc32(doc_id as text) mod 5 is not 0; the others are held out."""
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = train_on(docs, labels.where(fold != 0))
+    held_out = F.coalesce(fold == 0, F.lit(False))
+    return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_secret_scan,
+        op3_substring_dedup,
+        op4_byte_bpe,
+        op5_embedding_dedup,
+        op6_quality_rules,
+        op7_packing,
+        op8_simhash,
+        op9_token_counts,
+        op10_quality_classifier,
+    )
+}
