@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_documents
 from .classifier import score_documents, train_on
 from .embedding_dedup import embedding_groups
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack_documents
-from .quality_rules import repetition_coverage
+from .quality_rules import RepetitionRules, repetition_coverage
 from .secret_scan import find_secrets
 from .sharding import interleave_shards
 from .simhash import simhash_groups
@@ -52,7 +53,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_coverage(_docs(spark, sf_dir))
+    rules = RepetitionRules()
+    out = repetition_coverage(_docs(spark, sf_dir), rules=rules)
+    cover = [F.col("dup_ngram_chars")[i].alias(f"dup_{n}gram_chars") for i, (n, _) in enumerate(rules.max_ngram_chars_pct)]
+    return out.select(*[c for c in out.columns if c != "dup_ngram_chars"], *cover)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,3 +95,4 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
+
