@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Bounds of search patterns.
 MAX_WILDCARDS, MIN_LITERALS = 4, 2
@@ -20,7 +21,7 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else s.lower() if s.isascii() else fold(s))
 
@@ -64,7 +65,7 @@ def code_tokens(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def code_tokens_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else code_tokens(s))
 

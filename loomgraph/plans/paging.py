@@ -48,7 +48,7 @@ def _sign(body: bytes, key: bytes) -> bytes:
 
 def issue_cursor(binding: dict, last, key: bytes, ttl: int = 900, now: float | None = None) -> str:
     """A cursor bound to what ``binding`` names (snapshot, tool, query, page size)."""
-    body = json.dumps({"b": binding, "l": last, "e": int((now or time.time()) + ttl)}, sort_keys=True).encode()
+    body = json.dumps({"b": binding, "l": last, "e": int((time.time() if now is None else now) + ttl)}, sort_keys=True).encode()
     return base64.urlsafe_b64encode(_sign(body, key) + body).decode()
 
 
@@ -64,6 +64,6 @@ def open_cursor(cursor: str, binding: dict, key: bytes, now: float | None = None
     found = json.loads(body)
     if found["b"] != binding:
         raise CursorRejected("other_query")
-    if found["e"] < (now or time.time()):
+    if found["e"] < (time.time() if now is None else now):
         raise CursorRejected("expired")
     return found["l"]
