@@ -78,3 +78,10 @@ def snapshot(members: DataFrame, generations: DataFrame) -> DataFrame:
         .otherwise("unknown_generation")
     )
     return j.select("repository", F.coalesce("generation", "active").alias("generation"), status.alias("status"))
+
+
+def stitched(relations: DataFrame, links: DataFrame) -> DataFrame:
+    """Relations of all repositories with their links as calls_foreign edges, for traces that cross repositories."""
+    own = relations.select("subject", "predicate", "object", "confidence")
+    over = links.select(F.col("consumer").alias("subject"), F.lit("calls_foreign").alias("predicate"), F.col("provider").alias("object"), "confidence")
+    return own.unionByName(over)

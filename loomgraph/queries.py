@@ -635,6 +635,22 @@ def link_unresolved(t):
     return workspace.unresolved_consumers(_declarations(t))
 
 
+@register(
+    "WITH e AS (SELECT 'nation:' || n_nationkey AS a, 'region:' || n_regionkey AS b, 'contains' AS p, 1000 AS c FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'contains', 1000 FROM supplier), "
+    "f AS (SELECT 'customer:' || c_custkey AS a, 'supplier:' || s_suppkey AS b, 500 + s_suppkey % 500 AS c FROM customer JOIN supplier ON s_suppkey % 10 = c_custkey % 10 AND s_nationkey <> c_nationkey WHERE c_custkey < 30) "
+    "SELECT f.a || '>' || f.b || '>' || x.b || '>' || y.b AS path, 3 AS hops, CAST(f.c AS INT) AS confidence, false AS cyclic FROM f JOIN e x ON x.a = f.b JOIN e y ON y.a = x.b WHERE f.a = 'customer:7'"
+)
+def cross_repository_trace(t):
+    nation = t.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("subject"), F.concat(F.lit("region:"), "n_regionkey").alias("object"))
+    supplier = t.supplier.select(F.concat(F.lit("supplier:"), "s_suppkey").alias("subject"), F.concat(F.lit("nation:"), "s_nationkey").alias("object"))
+    up = nation.union(supplier).select("subject", F.lit("refers_to").alias("predicate"), "object", F.lit(1000).alias("confidence"))
+    meets = (F.col("s_suppkey") % 10 == F.col("c_custkey") % 10) & (F.col("s_nationkey") != F.col("c_nationkey"))
+    links = t.customer.where("c_custkey < 30").join(t.supplier, meets).select(F.concat(F.lit("customer:"), "c_custkey").alias("consumer"), F.concat(F.lit("supplier:"), "s_suppkey").alias("provider"), (F.lit(500) + F.col("s_suppkey") % 500).cast("int").alias("confidence"))
+    edges = workspace.stitched(up, links).withColumn("id", F.concat("subject", F.lit(">"), "object"))
+    found = analytics.flow_trace(Graph(entities(t, "customer"), edges), "customer:7", ["service_call", "references"], max_depth=4, max_paths=1000)
+    return found.where("hops = 3")
+
+
 @register(
     "WITH RECURSIVE r AS (SELECT DISTINCT 'supplier:' || l_suppkey AS a, 'part:' || l_partkey AS b FROM lineitem), k AS (SELECT a, b FROM r QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 5 UNION ALL SELECT b, a FROM r QUALIFY row_number() OVER (PARTITION BY b ORDER BY a) <= 5), W AS (SELECT 'supplier:1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM W JOIN k ON a = node WHERE depth < 3) SELECT node AS endpoint, min(depth) AS depth FROM W GROUP BY node"
 )

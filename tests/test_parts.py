@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import PatternRejected, code_tokens, code_tokens_udf, fold, fold_udf, route_key, safe_pattern
 from loomgraph.operators import evidence, incremental, resolve, retrieval, workspace
-from loomgraph.plans import batch, completeness, paging
-from loomgraph.sources import files, snapshots, syntax, traces
+from loomgraph.plans import batch, budget, completeness, paging
+from loomgraph.sources import files, history, scip, snapshots, syntax, traces
 from loomgraph.streaming import refresh
 
 
@@ -233,3 +233,40 @@ def test_stream_windows(spark, tmp_path):
     stream.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     batch_rows = rows(refresh.windowed_counts(spark.read.parquet(path), "ts", "k", "1 hour", "10 minutes"))
     assert rows(spark.table("w")) == batch_rows and len(batch_rows) == 2
+
+
+def test_scip_round_trip(spark, tmp_path):
+    documents = [
+        {"path": "a.py", "language": "python", "occurrences": [{"symbol": "s a", "roles": 1, "range": [0, 4, 9]}, {"symbol": "s b", "roles": 8, "range": [300, 1, 2, 3]}],
+         "symbols": [{"symbol": "s a", "name": "a", "kind": 17, "enclosing": "", "relationships": [{"symbol": "s b", "kind": "implementation"}]}]},
+        {"path": "b.py", "language": "python", "occurrences": [], "symbols": [{"symbol": "s b", "name": "", "kind": 0, "enclosing": "s a", "relationships": []}]},
+    ]
+    df = spark.createDataFrame([tuple(d.values()) for d in documents], scip.SCHEMA)
+    index = tmp_path / "index.scip"
+    index.write_bytes(scip.export_index(df, str(tmp_path / "parts")))
+    back = scip.read_scip(spark, str(index))
+    assert sorted((r.asDict(True) for r in back.collect()), key=lambda d: d["path"]) == documents
+    entities, occurrences, relations = scip.to_facts(back)
+    assert rows(entities.select("id", "name", "container_id")) == {("s a", "a", None), ("s b", "", "s a")}
+    assert rows(occurrences.select("role", "symbol", "line")) == {("definition", "s a", 0), ("read", "s b", 300)}
+    assert rows(relations) == {("s a", "implements", "s b", 1000)}
+    with pytest.raises(scip.ScipRejected):
+        list(scip.fields(b"\x0a\x05ab"))
+
+
+def test_history(spark, tmp_path):
+    log = tmp_path / "log"
+    log.write_text("\x1eh1\x1f0\x1fann\n\nA\ta.py\nM\tb.py\n\x1eh2\x1f60\x1fbob\n\nR090\ta.py\tc.py\n\x1eh3\x1f61\x1fbob\n")
+    found = history.read_log(spark, str(log))
+    assert rows(found.select("commit", "status", "path", "old_path", "similarity")) == {("h1", "added", "a.py", None, None), ("h1", "modified", "b.py", None, None), ("h2", "renamed", "c.py", "a.py", 900)}
+    assert ("file:c.py", "lineage_renamed_from", "file:a.py", 900) in rows(history.lineage(found))
+
+
+def test_budgets(spark):
+    assert budget.guard(spark.range(5), "results", budget.Budget(results=5)).count() == 5
+    with pytest.raises(budget.BudgetExceeded):
+        budget.guard(spark.range(6), "results", budget.Budget(results=5))
+    a = budget.VectorBinding("r", "g", "m", "h", "c")
+    a.check(a)
+    with pytest.raises(ValueError, match="generation"):
+        a.check(budget.VectorBinding("r", "g2", "m", "h", "c"))
