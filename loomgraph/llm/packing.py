@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections import defaultdict
 
@@ -19,6 +20,14 @@ RANK_BLOCK = 1024
 HASH_BUCKETS = 256
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(vocabulary: str):
+    """The vocabulary and its cache of encoded pieces, kept as long as the Python worker."""
+    words = WordVocabulary(vocabulary)
+    encode = words.piece_encoder()
+    return words, BoundedCache(lambda p: np.array(encode(p), "<u4").tobytes()).__getitem__
+
+
 def cut_pieces(
     df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool
 ) -> DataFrame:
@@ -26,9 +35,7 @@ def cut_pieces(
     id_type = df.schema[id_col].dataType.simpleString()
 
     def make():
-        words = WordVocabulary(vocabulary)
-        encode = words.piece_encoder()
-        get = BoundedCache(lambda p: np.array(encode(p), "<u4").tobytes()).__getitem__
+        words, get = _encoder(vocabulary)
         end, special = np.array([end_id], "<u4").tobytes(), {s: np.array([i], "<u4").tobytes() for s, i in words.special.items()}
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
