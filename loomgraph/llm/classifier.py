@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +35,9 @@ class Features:
 
     def __init__(self, settings: Settings):
         self.s = settings
-        self.words = BoundedCache(self._word)
+        self.words = BoundedCache(self.word, 50_000)
 
-    def _word(self, word: bytes) -> tuple[int, np.ndarray]:
+    def word(self, word: bytes) -> tuple[int, np.ndarray]:
         lo, hi = self.s.grams
         text = f"<{word.decode()}>"
         grams = [text[i : i + n] for n in range(lo, hi + 1) for i in range(len(text) - n + 1)]
@@ -75,7 +76,11 @@ def fit(texts: list[bytes | None], labels: np.ndarray, settings: Settings = Sett
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(s.buckets, np.float32), prior)
     features = Features(s)
-    docs = [np.unique(features.of(t), return_counts=True) for t in texts]
+    docs = []
+    for text in texts:
+        at, n = np.unique(features.of(text), return_counts=True)
+        docs.append((at.astype(np.int32), n.astype(np.float32)))
+    del features
     table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim))
     layer, bias = np.zeros((2, s.dim)), np.array([0.0, prior])
     layer += rng.normal(0, 0.1, layer.shape)
@@ -120,6 +125,24 @@ def train_on(
     return fit(texts[: settings.sample], got["__qc_label"].to_numpy()[: settings.sample], settings)
 
 
+_scorers: dict = {}
+
+
+def _scorer(key: str, sent, settings: Settings):
+    """Model, features, weights and the cache of word sums, kept until the worker gets another model."""
+    if key not in _scorers:
+        model, features = sent.value, Features(settings)
+        weights = model.weights.astype(np.float64)
+
+        def word(w: bytes):
+            own, at = features.word(w)
+            return own, float(weights[at].sum()), len(at)
+
+        _scorers.clear()
+        _scorers[key] = model, features, weights, BoundedCache(word).__getitem__
+    return _scorers[key]
+
+
 def score_documents(
     docs: DataFrame, model: Model, settings: Settings = Settings(), threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -134,16 +157,10 @@ def score_documents(
     id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def make():
-        model = sent.value
-        features = Features(settings)
-        weights = model.weights.astype(np.float64)
+    key = uuid.uuid4().hex
 
-        def word(w: bytes):
-            own, at = features._word(w)
-            return own, float(weights[at].sum()), len(at)
-
-        get = BoundedCache(word).__getitem__
+    def make():
+        model, features, weights, get = _scorer(key, sent, settings)
 
         def score(raw: bytes | None) -> float:
             found = list(map(get, (raw or b"").lower().split()))
