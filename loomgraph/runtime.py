@@ -21,4 +21,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back; cuts the lineage of loops."""
     path = f"{shared_dir(df.sparkSession)}/loomgraph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loomgraph_path = path
+    return out
