@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import BoundedCache, map_batches, raw_texts
+from .common import BoundedCache, held, map_batches, raw_texts
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _S = " \\t\\n\\r\\x0b\\x0c"
@@ -111,7 +111,7 @@ def encode_documents(
 ) -> DataFrame:
     """One row per document: n_tokens, and ids (array<long>) with decoded (string), or with ``digests`` their SHA-256.
 
-    Each match of ``pattern`` is encoded separately, without special tokens. No shuffle; a task
+    Each match of ``pattern`` is encoded separately, without special tokens. No shuffle; a worker
     keeps a bounded cache of the pieces it has seen.
 
     Null text: as empty, no tokens. Repeated rows: a row each. Null ids stay null. Empty table: no
@@ -121,7 +121,7 @@ def encode_documents(
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>, decoded string"
 
     def make():
-        codec = TreeCodec(load_ranks(vocabulary), pattern)
+        codec = held(("byte_bpe", vocabulary, pattern), lambda: TreeCodec(load_ranks(vocabulary), pattern))
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, first, second = [], [], []

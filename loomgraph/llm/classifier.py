@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, map_batches, raw_texts
+from .common import BoundedCache, held, map_batches, raw_texts
 from .wordhash import mix
 
 
@@ -125,22 +125,15 @@ def train_on(
     return fit(texts[: settings.sample], got["__qc_label"].to_numpy()[: settings.sample], settings)
 
 
-_scorers: dict = {}
+def _scorer(model: Model, settings: Settings):
+    """Model, features, weights and the cache of word sums."""
+    features, weights = Features(settings), model.weights.astype(np.float64)
 
+    def word(w: bytes):
+        own, at = features.word(w)
+        return own, float(weights[at].sum()), len(at)
 
-def _scorer(key: str, sent, settings: Settings):
-    """Model, features, weights and the cache of word sums, kept until the worker gets another model."""
-    if key not in _scorers:
-        model, features = sent.value, Features(settings)
-        weights = model.weights.astype(np.float64)
-
-        def word(w: bytes):
-            own, at = features.word(w)
-            return own, float(weights[at].sum()), len(at)
-
-        _scorers.clear()
-        _scorers[key] = model, features, weights, BoundedCache(word).__getitem__
-    return _scorers[key]
+    return model, features, weights, BoundedCache(word).__getitem__
 
 
 def score_documents(
@@ -160,7 +153,7 @@ def score_documents(
     key = uuid.uuid4().hex
 
     def make():
-        model, features, weights, get = _scorer(key, sent, settings)
+        model, features, weights, get = held(("classifier", key), lambda: _scorer(sent.value, settings))
 
         def score(raw: bytes | None) -> float:
             found = list(map(get, (raw or b"").lower().split()))

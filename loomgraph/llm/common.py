@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 Kernel = Callable[[pa.RecordBatch], pa.RecordBatch]
 
 
@@ -27,8 +27,22 @@ class BoundedCache(dict):
         return value
 
 
+#: Batches sent to Python workers hold no more than this, or one row; a worker holds a few copies of one.
+BATCH_BYTES = 8 << 20
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """``make()``, kept as long as the Python worker or until another operator keeps its own."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def map_batches(df: DataFrame, make_kernel: Callable[[], Kernel], schema: str) -> DataFrame:
-    """``mapInArrow`` with one kernel per task, so that its caches live as long as the task."""
+    """``mapInArrow`` with one kernel per task, over batches bounded by bytes, not by rows alone."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make_kernel()
@@ -49,25 +63,6 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back; cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomgraph_path = path
-    return out
-
-
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialize`` whose readers have all run."""
     path = getattr(df, "_loomgraph_path", None)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import functools
 import zlib
 from collections import defaultdict
 
@@ -13,16 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_words import WordVocabulary
-from .common import BoundedCache, distributed_rank, map_batches, materialize, raw_texts
+from .common import BoundedCache, distributed_rank, held, map_batches, materialize, raw_texts
 
 #: Ranks of one length are joined with their placements in blocks of so many.
 RANK_BLOCK = 1024
 HASH_BUCKETS = 256
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(vocabulary: str):
-    """The vocabulary and its cache of encoded pieces, kept as long as the Python worker."""
+    """The vocabulary and its cache of encoded pieces."""
     words = WordVocabulary(vocabulary)
     encode = words.piece_encoder()
     return words, BoundedCache(lambda p: np.array(encode(p), "<u4").tobytes()).__getitem__
@@ -35,7 +33,7 @@ def cut_pieces(
     id_type = df.schema[id_col].dataType.simpleString()
 
     def make():
-        words, get = _encoder(vocabulary)
+        words, get = held(("packing", vocabulary), lambda: _encoder(vocabulary))
         end, special = np.array([end_id], "<u4").tobytes(), {s: np.array([i], "<u4").tobytes() for s, i in words.special.items()}
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -6,7 +6,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_words import WordVocabulary
-from .common import BoundedCache, map_batches, raw_texts
+from .common import BoundedCache, held, map_batches, raw_texts
+
+
+def _counter(vocabulary: str):
+    """The vocabulary and its cache of counts."""
+    words = WordVocabulary(vocabulary)
+    return words, BoundedCache(words.count).__getitem__
 
 
 def count_tokens(
@@ -15,7 +21,7 @@ def count_tokens(
     """One row per document: n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
     A text is cut into pieces by the vocabulary's rules; each piece's count comes from the merge
-    loop of ``WordVocabulary.count``, kept in a bounded cache per task. Special strings inside a
+    loop of ``WordVocabulary.count``, kept in a bounded cache per worker. Special strings inside a
     text count one token each, as the library's default has it. No identifiers are made, no shuffle.
 
     Null text: as empty, 0 bytes and 0 tokens. Repeated rows: a row each. Null ids stay null. Empty
@@ -24,8 +30,7 @@ def count_tokens(
     id_type = df.schema[id_col].dataType.simpleString()
 
     def make():
-        words = WordVocabulary(vocabulary)
-        get = BoundedCache(words.count).__getitem__
+        words, get = held(("token_counts", vocabulary), lambda: _counter(vocabulary))
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, counts = [], []
