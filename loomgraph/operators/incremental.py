@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import mapping
+from ..runtime import materialize
 from .graph import reach
 
 # What a changed value means, by the kind of its key.
@@ -41,7 +42,8 @@ def invalidation(changes: DataFrame, input_edges: DataFrame, fact_edges: DataFra
     A changed key without declared dependents, or more work than ``max_work``, falls back to every
     node, with that as its cause.
     """
-    undeclared = changes.select("key").join(input_edges.select("key"), "key", "left_anti")
+    changes = materialize(changes.select("key"), "changes")  # read by each test below
+    undeclared = changes.join(input_edges.select("key"), "key", "left_anti")
     nodes = input_edges.select("node").union(fact_edges.select("subject")).union(fact_edges.select("object")).distinct()
     if not undeclared.isEmpty():
         return nodes.select("node", F.lit("missing_dependency_declaration").alias("cause"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .graph import reach
 
 # Which way each workflow follows consumer-to-provider links.
@@ -64,6 +65,7 @@ def workflow(links: DataFrame, kind: str, seeds: DataFrame, max_depth: int = 3,
     edges = cut("subject", "object") if way != "inbound" else cut("object", "subject")
     if way == "both":
         edges = edges.union(cut("object", "subject"))
+    edges = materialize(edges, "workflow-edges")  # ranked once, walked every round
     return reach(edges, seeds, "outbound", max_depth).select(F.col("node").alias("endpoint"), "depth")
 
 

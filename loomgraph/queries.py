@@ -12,6 +12,7 @@ from .model import Graph
 from .operators import analytics, evidence, incremental, resolve, retrieval, workspace
 from .operators.graph import communities, container_of, strong_components
 from .plans import algebra, batch, completeness, paging
+from .runtime import materialize
 from .sources import files, traces
 from .sources.tables import Tables, entities, entity_parts, graph, relation_parts, relations, with_sql
 from .streaming.refresh import windowed_counts
@@ -34,6 +35,11 @@ def _ids(t: Tables, *ids: str) -> DataFrame:
     return t.spark.createDataFrame([(i,) for i in ids], "id string")
 
 
+def _stored(g: Graph) -> Graph:
+    """The graph with its relations written once, as a snapshot holds them: loops read them every round."""
+    return Graph(g.entities, materialize(g.relations, "relations"))
+
+
 ALL_E = "e_region e_nation e_supplier e_customer e_part e_orders e_documents"
 
 
@@ -73,7 +79,7 @@ def join_inner(t):
 def _traverse(t, seed, relation, direction, depth, parts, rels):
     q = {"op": "traverse", "seed": seed, "relation": relation, "direction": direction, "max_depth": depth}
     algebra.validate(q)
-    return algebra.compile_node(Graph(entities(t, *parts), relations(t, *rels)), q)
+    return algebra.compile_node(_stored(Graph(entities(t, *parts), relations(t, *rels))), q)
 
 
 def _walk_sql(ctes: str, seed: str, relation: str, step: str, depth: int) -> str:
@@ -275,6 +281,10 @@ def vector_join(t):
 # Graph analyses
 
 
+def _trade_routes(t) -> Graph:
+    return _stored(graph(t, ("nation",), ("calls_route",)))
+
+
 @register(
     with_sql(
         "e_customer e_part r_contains r_declares r_tests",
@@ -309,7 +319,7 @@ _PATHS = (
 
 @register(with_sql("r_calls_route", _PATHS + "SELECT array_to_string(path, '>') AS path, hops, confidence, cyclic FROM P WHERE hops > 0", recursive=True))
 def flow_trace(t):
-    return analytics.flow_trace(graph(t, ("nation",), ("calls_route",)), "nation:0", ["calls_route"], max_depth=3)
+    return analytics.flow_trace(_trade_routes(t), "nation:0", ["calls_route"], max_depth=3)
 
 
 @register(
@@ -321,7 +331,7 @@ def flow_trace(t):
     )
 )
 def flow_frontier(t):
-    return analytics.flow_frontier(graph(t, ("nation",), ("calls_route",)), "nation:0", ["calls_route"], max_depth=4)
+    return analytics.flow_frontier(_trade_routes(t), "nation:0", ["calls_route"], max_depth=4)
 
 
 _SCC = (
@@ -340,12 +350,12 @@ _SCC = (
     )
 )
 def cycles_scc(t):
-    return analytics.cycles(graph(t, ("nation",), ("calls_route",)), ["calls_route"])
+    return analytics.cycles(_trade_routes(t), ["calls_route"])
 
 
 @register(with_sql("r_calls_route", _SCC + "SELECT component, subject, object, confidence AS cost, CAST(row_number() OVER (PARTITION BY component ORDER BY confidence, subject, object) AS INT) AS rank FROM N QUALIFY rank <= 3", recursive=True))
 def break_candidates(t):
-    return analytics.break_candidates(graph(t, ("nation",), ("calls_route",)), ["calls_route"])
+    return analytics.break_candidates(_trade_routes(t), ["calls_route"])
 
 
 @register(
@@ -358,7 +368,7 @@ def break_candidates(t):
     )
 )
 def representative_cycles(t):
-    return analytics.representative_cycles(graph(t, ("nation",), ("calls_route",)), ["calls_route"])
+    return analytics.representative_cycles(_trade_routes(t), ["calls_route"])
 
 
 @register("SELECT 'order:' || o_orderkey AS id, 'nation:' || c_nationkey AS container FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'region:' || r_regionkey, NULL FROM region")
@@ -402,13 +412,13 @@ def overview_connections(t):
     )
 )
 def overview_hotspots(t):
-    g = graph(t, ("nation",), ("calls_route",))
+    g = _trade_routes(t)
     return analytics.hotspots(g.of("calls_route").select(F.col("subject").alias("source"), F.col("object").alias("target")))
 
 
 @register()
 def overview_communities(t):
-    return communities(relations(t, "calls_route"))
+    return communities(_trade_routes(t).relations)
 
 
 @register(
@@ -423,7 +433,7 @@ def overview_communities(t):
 def dead_code(t):
     g = graph(t, ("part",), ("declares", "calls"))
     # Declared orders are entered with their customer: containment counts as a call here.
-    g = Graph(g.entities, g.relations.withColumn("predicate", F.lit("calls")))
+    g = _stored(Graph(g.entities, g.relations.withColumn("predicate", F.lit("calls"))))
     entries = t.customer.where("c_mktsegment = 'BUILDING' AND c_custkey % 50 = 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"))
     return analytics.dead_code(g, entries, ("function",), ["calls"], max_depth=3)
 
@@ -436,7 +446,7 @@ _IMPACT = (
 
 def _impact_graph(t) -> Graph:
     g = graph(t, ("orders", "customer"), ("calls", "declares"))
-    return Graph(g.entities, g.relations.withColumn("predicate", F.lit("calls")))
+    return _stored(Graph(g.entities, g.relations.withColumn("predicate", F.lit("calls"))))
 
 
 @register(with_sql("e_orders e_customer r_calls r_declares", _IMPACT + "SELECT symbol, distance, confidence, coalesce(visibility = 'public', false) AS is_public FROM X LEFT JOIN E ON E.id = symbol", recursive=True))
@@ -464,7 +474,7 @@ def risk_summary(t):
     )
 )
 def tests_select(t):
-    g = graph(t, ("part",), ("tests", "calls"))
+    g = _stored(graph(t, ("part",), ("tests", "calls")))
     return analytics.select_tests(g, _ids(t, *[f"part:{k}" for k in range(10)]), max_hops=1, budget=30)
 
 
@@ -525,7 +535,7 @@ def relations_compare(t):
     )
 )
 def plan_change(t):
-    return analytics.plan_change(graph(t, ("orders",), ("calls", "tests")), _ids(t, "part:3"), ["calls"])
+    return analytics.plan_change(_stored(graph(t, ("orders",), ("calls", "tests"))), _ids(t, "part:3"), ["calls"])
 
 
 @register(_CONN.join(("WITH c AS (", ") SELECT CAST(s.o AS INT) AS source, CAST(d.o AS INT) AS target, family, weight, confidence FROM c JOIN (SELECT 'nation:' || n_nationkey AS id, row_number() OVER (ORDER BY 'nation:' || n_nationkey) - 1 AS o FROM nation) s ON s.id = source JOIN (SELECT 'nation:' || n_nationkey AS id, row_number() OVER (ORDER BY 'nation:' || n_nationkey) - 1 AS o FROM nation) d ON d.id = target WHERE s.o < 12 AND d.o < 12 ORDER BY 1, 2, 3 LIMIT 100")))
@@ -655,7 +665,7 @@ def cross_repository_trace(t):
     "WITH RECURSIVE r AS (SELECT DISTINCT 'supplier:' || l_suppkey AS a, 'part:' || l_partkey AS b FROM lineitem), k AS (SELECT a, b FROM r QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 5 UNION ALL SELECT b, a FROM r QUALIFY row_number() OVER (PARTITION BY b ORDER BY a) <= 5), W AS (SELECT 'supplier:1' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM W JOIN k ON a = node WHERE depth < 3) SELECT node AS endpoint, min(depth) AS depth FROM W GROUP BY node"
 )
 def workflow_traverse(t):
-    links = relations(t, "depends_on").select(F.col("subject").alias("consumer"), F.col("object").alias("provider"))
+    links = materialize(relations(t, "depends_on"), "links").select(F.col("subject").alias("consumer"), F.col("object").alias("provider"))
     return workspace.workflow(links, "context", _ids(t, "supplier:1"), 3, 5)
 
 
