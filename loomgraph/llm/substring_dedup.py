@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ddl, map_batches, materialize, raw_texts, release
-from .wordhash import mix, window_hashes, word_hasher
+from .wordhash import mix, window_hashes, word_hash_pairs
 
 GRAM = 8
 
@@ -123,7 +123,7 @@ def _postings(texts: DataFrame, window: int) -> DataFrame:
     """
 
     def make():
-        first, second, seen = word_hasher(1), word_hasher(2), {}
+        seen: dict = {}
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             ks, js = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -135,7 +135,7 @@ def _postings(texts: DataFrame, window: int) -> DataFrame:
                 if len(words) < window:
                     continue
                 seen[key] = times + 1
-                start, size, fp, d, e = _blocks(first(words), second(words), window)
+                start, size, fp, d, e = _blocks(*word_hash_pairs(words), window)
                 row = (np.full(len(fp), ks[i]), np.full(len(fp), js[i]), fp.view(np.int64), d.view(np.int64))
                 for o, v in zip(out, (*row, e.astype(np.uint32).view(np.int32), start * PACK + size)):
                     o.append(v)
@@ -156,7 +156,7 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     at = [texts.columns.index(c) for c in ("__sd_k", "__sd_j", "__sd_t", "__sd_todo")]
 
     def make():
-        first, second, seen = word_hasher(1), word_hasher(2), set()
+        seen: set = set()
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             ks, js = batch.column(at[0]).to_numpy(), batch.column(at[1]).to_numpy()
@@ -167,7 +167,7 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
                     continue
                 seen.add((int(ks[i]), int(js[i])))
                 words = raw.split()
-                w1, w2 = window_hashes(first(words), window), window_hashes(second(words), window)
+                w1, w2 = (window_hashes(h, window) for h in word_hash_pairs(words))
                 packed = todo[i].values.to_numpy()
                 own, packed = packed & 1, packed >> 1
                 start, size = packed // PACK, packed % PACK

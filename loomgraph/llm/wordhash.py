@@ -12,6 +12,17 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S1, _S2 = np.uint64(29), np.uint64(32)
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
+
+
+def word_hash_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word, the halves of one of 128 bits."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def word_hasher(seed: int = 0):
     """A function from words (bytes) to an array of their 64-bit hashes."""
     cache = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w, seed))
