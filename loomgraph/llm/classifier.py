@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, held, map_batches, raw_texts
-from .wordhash import mix
+from .common import map_batches, raw_texts
+from .wordhash import mix, window_hashes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -30,30 +28,26 @@ class Settings:
     seed: int = 42
 
 
-class Features:
-    """Hashed features of a text: its words, their character n-grams, its word pairs."""
+def features(raw: bytes | None, settings: Settings) -> np.ndarray:
+    """Every hashed feature of a text, repeats included: its words, their character n-grams, its word pairs.
 
-    def __init__(self, settings: Settings):
-        self.s = settings
-        self.words = BoundedCache(self.word, 50_000)
-
-    def word(self, word: bytes) -> tuple[int, np.ndarray]:
-        lo, hi = self.s.grams
-        text = f"<{word.decode()}>"
-        grams = [text[i : i + n] for n in range(lo, hi + 1) for i in range(len(text) - n + 1)]
-        hashes = [xxhash.xxh3_64_intdigest(g, 1) for g in grams]
-        own = xxhash.xxh3_64_intdigest(word, 0)
-        return own, (np.array([own, *hashes], np.uint64) % np.uint64(self.s.buckets)).astype(np.int64)
-
-    def pairs(self, hashes: np.ndarray) -> np.ndarray:
-        return (mix(hashes[:-1], hashes[1:]) % np.uint64(self.s.buckets)).astype(np.int64)
-
-    def of(self, raw: bytes | None) -> np.ndarray:
-        """Every feature of a text, repeats included."""
-        found = [self.words[w] for w in (raw or b"").lower().split()]
-        if not found:
-            return np.zeros(0, np.int64)
-        return np.concatenate([*(f for _, f in found), self.pairs(np.array([h for h, _ in found], np.uint64))])
+    A word stands between < and >; n-grams are hashed at all places of the whole text at once, and
+    those that cross a word's end are left out.
+    """
+    words = (raw or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    own = word_hashes(words)
+    parts = [own, mix(own[:-1], own[1:])]
+    text = (b"<" + b"><".join(words) + b">").decode()
+    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = map(len, words) if text.isascii() else (len(w.decode()) for w in words)
+    sizes = np.fromiter(lengths, np.int64, len(words)) + 2
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))  # characters up to the word's end
+    for n in range(settings.grams[0], settings.grams[1] + 1):
+        grams = window_hashes(chars, n)
+        parts.append(grams[left[: len(grams)] >= n])
+    return (np.concatenate(parts) % np.uint64(settings.buckets)).astype(np.int64)
 
 
 @dataclass
@@ -75,12 +69,10 @@ def fit(texts: list[bytes | None], labels: np.ndarray, settings: Settings = Sett
     prior = float(np.log(share / (1 - share)))
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(s.buckets, np.float32), prior)
-    features = Features(s)
     docs = []
     for text in texts:
-        at, n = np.unique(features.of(text), return_counts=True)
+        at, n = np.unique(features(text, s), return_counts=True)
         docs.append((at.astype(np.int32), n.astype(np.float32)))
-    del features
     table = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim))
     layer, bias = np.zeros((2, s.dim)), np.array([0.0, prior])
     layer += rng.normal(0, 0.1, layer.shape)
@@ -125,17 +117,6 @@ def train_on(
     return fit(texts[: settings.sample], got["__qc_label"].to_numpy()[: settings.sample], settings)
 
 
-def _scorer(model: Model, settings: Settings):
-    """Model, features, weights and the cache of word sums."""
-    features, weights = Features(settings), model.weights.astype(np.float64)
-
-    def word(w: bytes):
-        own, at = features.word(w)
-        return own, float(weights[at].sum()), len(at)
-
-    return model, features, weights, BoundedCache(word).__getitem__
-
-
 def score_documents(
     docs: DataFrame, model: Model, settings: Settings = Settings(), threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -150,20 +131,14 @@ def score_documents(
     id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    key = uuid.uuid4().hex
 
     def make():
-        model, features, weights, get = held(("classifier", key), lambda: _scorer(sent.value, settings))
+        model = sent.value
+        weights = model.weights.astype(np.float64)
 
         def score(raw: bytes | None) -> float:
-            found = list(map(get, (raw or b"").lower().split()))
-            if not found:
-                logit = model.bias
-            else:
-                own, sums, sizes = zip(*found)
-                pairs = features.pairs(np.array(own, np.uint64))
-                total = sum(sums) + float(weights[pairs].sum())
-                logit = model.bias + total / (sum(sizes) + len(pairs))
+            at = features(raw, settings)
+            logit = model.bias + (float(weights[at].mean()) if len(at) else 0.0)
             return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
