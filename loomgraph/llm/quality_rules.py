@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ddl, map_batches, raw_texts
-from .wordhash import covered, repeated, window_hashes, word_hasher
+from .wordhash import covered, repeated, window_hashes, word_hashes
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = b"#*$%&|<>"
@@ -34,7 +34,6 @@ SCHEMA_TAIL = (
 
 
 def _measure(rules: RepetitionRules):
-    hashes = word_hasher()
     symbols = np.zeros(256, bool)
     symbols[list(SYMBOLS)] = True
 
@@ -57,7 +56,7 @@ def _measure(rules: RepetitionRules):
                     seen.add(line)
         sizes = np.fromiter(map(len, words) if raw.isascii() else map(chars, words), np.int64, n)
         total = int(sizes.sum())
-        h = hashes(words)
+        h = word_hashes(words)
 
         def coverage(size: int) -> np.ndarray:
             if n < size:

@@ -5,8 +5,6 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import BoundedCache
-
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S1, _S2 = np.uint64(29), np.uint64(32)
@@ -23,13 +21,6 @@ def word_hash_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def word_hasher(seed: int = 0):
-    """A function from words (bytes) to an array of their 64-bit hashes."""
-    cache = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w, seed))
-    get = cache.__getitem__
-    return lambda words: np.fromiter(map(get, words), np.uint64, len(words))
-
-
 def mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A 64-bit hash of ordered pairs of 64-bit hashes."""
     x = left * _A
