@@ -14,6 +14,7 @@ from .operators.graph import communities, container_of, strong_components
 from .plans import algebra, batch, completeness, paging
 from .runtime import materialize
 from .sources import files, traces
+from .sources.reads import relation_range
 from .sources.tables import Tables, entities, entity_parts, graph, relation_parts, relations, with_sql
 from .streaming.refresh import windowed_counts
 
@@ -172,8 +173,8 @@ def params_bound(t):
 
 @register(with_sql("r_depends_on", "SELECT id, subject, predicate, object, confidence FROM R WHERE object = 'supplier:3' AND predicate IN ('depends_on', 'calls') AND id > 'depends_on|part:1' ORDER BY id LIMIT 51"))
 def relation_range_read(t):
-    r = relations(t, "depends_on").where("object = 'supplier:3' AND predicate IN ('depends_on', 'calls') AND id > 'depends_on|part:1'")
-    return r.orderBy("id").limit(51).select("id", "subject", "predicate", "object", "confidence")
+    r = relation_range(relations(t, "depends_on"), "supplier:3", "incoming", ["depends_on", "calls"], "depends_on|part:1", 50)
+    return r.select("id", "subject", "predicate", "object", "confidence")
 
 
 @register(with_sql("e_customer", "SELECT id, name, (SELECT count(*) FROM E) AS total, (SELECT count(*) > 40 FROM E WHERE id > 'customer:5') AS truncated FROM E WHERE id > 'customer:5' ORDER BY id LIMIT 40"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import PatternRejected, code_tokens, code_tokens_udf, fold, fold_udf, route_key, safe_pattern
 from loomgraph.operators import evidence, incremental, resolve, retrieval, workspace
 from loomgraph.plans import batch, budget, completeness, paging
-from loomgraph.sources import files, history, scip, snapshots, syntax, traces
+from loomgraph.sources import files, history, indexing, reads, scip, snapshots, syntax, traces
 from loomgraph.streaming import refresh
 
 
@@ -270,3 +270,26 @@ def test_budgets(spark):
     a.check(a)
     with pytest.raises(ValueError, match="generation"):
         a.check(budget.VectorBinding("r", "g2", "m", "h", "c"))
+
+
+def test_index_repository(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "lib.py").write_text("import os\ndef main():\n    helper(1)\n\ndef helper(x):\n    return x\n")
+    (src / "app.py").write_text("import lib\ndef run():\n    unknown(2)\n")
+    (src / "note.txt").write_text("x")
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    indexing.index_repository(spark, str(src), store, "g1")
+    assert rows(indexing.status(store)) == {("g1", 3, 2, 1, "bounded")}
+    names = {r["name"] for r in store.read("entities").where("kind = 'function'").collect()}
+    assert names == {"main", "helper", "run"}
+    calls = store.read("relations").where("predicate = 'dispatch_candidate'")
+    assert [(r["subject"].endswith("lib.py"), "#helper@5" in r["object"]) for r in calls.collect()] == [(True, True)]
+    one = store.read("files").select("id").first()[0]
+    assert reads.point(store.read("files"), one).count() == 1
+    every = store.read("relations")
+    anchor = calls.first()["subject"]
+    assert reads.relation_range(every, anchor, "outgoing", ["contains"], limit=1).count() == 2
+    assert reads.coverage_range(store.read("coverage"), "language", "python").count() == 1
+    with pytest.raises(ValueError):
+        reads.relation_range(every, anchor, "outgoing", [], limit=1)
