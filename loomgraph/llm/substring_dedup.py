@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ddl, map_batches, materialize, raw_texts, release
-from .wordhash import mix, window_hashes, word_hash_pairs
+from .wordhash import beyond_second, mix, window_hashes, word_hash_pairs
 
 GRAM = 8
 
@@ -117,9 +117,11 @@ PACK = 64
 
 
 def _postings(texts: DataFrame, window: int) -> DataFrame:
-    """Every block of each text: text key (k, j), anchor fp, digest (d, e), packed place.
+    """Every block of each text: text key (k, j), anchor fp, digest (d, e), packed place, and whether it is sure.
 
-    Of equal texts in one task two speak for all, since counts are only compared with 2.
+    Counts are only compared with 2, so of equal texts in one task two speak for all; and of equal
+    blocks in one batch two are counted, while the others are sure to be repeated and skip every
+    join: a passage that a third of all documents share sends two rows a batch to its key.
     """
 
     def make():
@@ -141,17 +143,19 @@ def _postings(texts: DataFrame, window: int) -> DataFrame:
                     o.append(v)
             types = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int64)
             cols = [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, types)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "j", "fp", "d", "e", "at"])
+            cols.append(beyond_second(cols[2], cols[3]))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "j", "fp", "d", "e", "at", "sure"])
 
         return kernel
 
-    return map_batches(texts.select("__sd_k", "__sd_j", "__sd_t"), make, "k long, j int, fp long, d long, e int, at long")
+    return map_batches(texts.select("__sd_k", "__sd_j", "__sd_t"), make, "k long, j int, fp long, d long, e int, at long, sure boolean")
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """(k, j, own, s, w1, w2): each window of the blocks in ``__sd_todo``, hashed in full.
+    """(k, j, own, s, w1, w2, sure): each window of the blocks in ``__sd_todo``, hashed in full.
 
-    ``own``: the verdict is wanted; otherwise the block only stands for those equal to it.
+    ``own``: the verdict is wanted; otherwise the block only stands for those equal to it. ``sure``:
+    as with blocks, two equal windows of this batch are counted already.
     """
     at = [texts.columns.index(c) for c in ("__sd_k", "__sd_j", "__sd_t", "__sd_todo")]
 
@@ -177,11 +181,12 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
                     o.append(v)
             types = (np.int64, np.int32, bool, np.int64, np.int64, np.int64)
             cols = [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, types)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "j", "own", "s", "w1", "w2"])
+            cols.append(beyond_second(cols[4], cols[5]))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "j", "own", "s", "w1", "w2", "sure"])
 
         return kernel
 
-    return map_batches(texts, make, "k long, j int, own boolean, s long, w1 long, w2 long")
+    return map_batches(texts, make, "k long, j int, own boolean, s long, w1 long, w2 long, sure boolean")
 
 
 def _with_verdicts(df: DataFrame, text_col: str, window: int, batches: int) -> DataFrame:
@@ -199,11 +204,12 @@ def _with_verdicts(df: DataFrame, text_col: str, window: int, batches: int) -> D
     postings = materialize(_postings(keyed, window), "substring-postings")
     index = FingerprintIndex(spark, fan_in=batches)
     for b in range(batches):
-        index.add(postings.where(F.pmod("j", F.lit(batches)) == b).select("fp"))
+        index.add(postings.where((F.pmod("j", F.lit(batches)) == b) & ~F.col("sure")).select("fp"))
     index.compact()
     found = materialize(spark.table(index.runs[0]).where("n > 1").select("fp"), "substring-repeats")
     index.drop()
-    blocks = materialize(postings.join(found, "fp"), "substring-blocks")
+    blocks = materialize(postings.where("NOT sure").drop("sure").join(found, "fp"), "substring-blocks")
+    sure = materialize(postings.where("sure").select("k", "j", "at"), "substring-sure")
     release(postings)
 
     groups = blocks.groupBy("fp", "d", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "j", "at")).alias("rep"))
@@ -215,9 +221,10 @@ def _with_verdicts(df: DataFrame, text_col: str, window: int, batches: int) -> D
 
     on = (F.col("__sd_k") == F.col("k")) & (F.col("__sd_j") == F.col("j"))
     each = _windows(keyed.join(todo.hint("shuffle_hash"), on).drop("k", "j"), window)
-    twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    single = each.where("own").join(twice, ["w1", "w2"]).select("k", "j", F.expr(f"s * {PACK} + 1").alias("at"))
-    cuts = whole.union(single).groupBy("k", "j").agg(F.collect_set("at").alias("__sd_cut"))
+    twice = each.where("NOT sure").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    place = F.expr(f"s * {PACK} + 1").alias("at")
+    single = each.where("own AND NOT sure").join(twice, ["w1", "w2"]).select("k", "j", place)
+    cuts = whole.union(sure).union(single).union(each.where("own AND sure").select("k", "j", place)).groupBy("k", "j").agg(F.collect_set("at").alias("__sd_cut"))
     return keyed.join(cuts.hint("shuffle_hash"), on, "left").drop("k", "j")
 
 

@@ -69,3 +69,15 @@ def covered(mask: np.ndarray, size: int, n: int) -> np.ndarray:
     np.add.at(edge, at, 1)
     np.add.at(edge, at + size, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def beyond_second(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A mask of the entries whose pair (a, b) occurs at two earlier places already."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    place = np.arange(len(order))
+    mask = np.zeros(len(order), bool)
+    mask[order] = place - np.maximum.accumulate(np.where(first, place, 0)) >= 2
+    return mask
