@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ _PLAIN = re.compile(rf"[^\t-\r\x20-\x7e{_LETTERS}‐-‧€¡«°»¿]")
 _QUICK = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_S}0-9{_LETTERS}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 )
-LEAF_BYTES = 16
+LEAF_BYTES = 32
+_NONE = 1 << 60
 #: Identifiers that one leaf of the decoding tree holds.
 DECODE_LEAF = 4096
 
@@ -38,26 +40,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TreeCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self._full = regex.compile(pattern)
         self._stable = BoundedCache(lambda pair: self._merge(pair[0] + pair[1]) == [pair[0], pair[1]])
-        self._piece = BoundedCache(lambda p: np.array(self.encode_piece(p.encode()), "<u4").tobytes())
+        self._piece = BoundedCache(lambda p: packed(self.encode_piece(p.encode())))
 
     def _merge(self, data: bytes) -> list[bytes]:
         """Plain merging of a short span: the adjacent pair of lowest rank, leftmost of equals, until none is left."""
+        get = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = self.ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        pairs = [get(data[i : i + 2], _NONE) for i in range(len(data) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == _NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], _NONE)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], _NONE)
         return parts
 
     def _join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:

@@ -14,16 +14,20 @@ Kernel = Callable[[pa.RecordBatch], pa.RecordBatch]
 
 
 class BoundedCache(dict):
-    """A dict that computes missing entries and empties itself at ``limit`` entries."""
+    """A dict that computes missing entries; of two generations, together ``limit`` entries, the older one goes as a whole."""
 
-    def __init__(self, make: Callable, limit: int = 300_000):
+    def __init__(self, make: Callable, limit: int = 600_000):
         super().__init__()
-        self._make, self._limit = make, limit
+        self._make, self._half, self._old = make, limit // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self._limit:
+        value = self._old.pop(key, None)
+        if value is None:
+            value = self._make(key)
+        if len(self) >= self._half:
+            self._old = dict(self)
             self.clear()
-        value = self[key] = self._make(key)
+        self[key] = value
         return value
 
 
