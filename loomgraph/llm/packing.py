@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_words import WordVocabulary
+from .byte_bpe import packed
 from .common import BoundedCache, distributed_rank, held, map_batches, materialize, raw_texts
 
 #: Ranks of one length are joined with their placements in blocks of so many.
@@ -23,7 +24,7 @@ def _encoder(vocabulary: str):
     """The vocabulary and its cache of encoded pieces."""
     words = WordVocabulary(vocabulary)
     encode = words.piece_encoder()
-    return words, BoundedCache(lambda p: np.array(encode(p), "<u4").tobytes()).__getitem__
+    return words, BoundedCache(lambda p: packed(encode(p))).__getitem__
 
 
 def cut_pieces(
@@ -34,7 +35,7 @@ def cut_pieces(
 
     def make():
         words, get = held(("packing", vocabulary), lambda: _encoder(vocabulary))
-        end, special = np.array([end_id], "<u4").tobytes(), {s: np.array([i], "<u4").tobytes() for s, i in words.special.items()}
+        end, special = packed([end_id]), {s: packed([i]) for s, i in words.special.items()}
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
             src, piece, start, length, crc, ids = [], [], [], [], [], []
