@@ -73,9 +73,9 @@ def simple_paths(
         closed = grown.where("arrived AND NOT cyclic") if target else grown
         done.append(closed.select("path", "hops", "confidence", "cyclic"))
         more = grown.where("NOT cyclic AND NOT arrived").select("path", "confidence")
-        open_ = materialize(more.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= max_paths).drop("r"), f"open-{hop}")
-        if open_.isEmpty():
+        if more.isEmpty():
             break
+        open_ = more.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= max_paths).drop("r")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.text import ascii_tokens, route_key
 from .model import Graph
 from .operators import analytics, evidence, incremental, resolve, retrieval, workspace
-from .operators.graph import communities, container_of, strong_components
+from .operators.graph import communities, container_of
 from .plans import algebra, batch, completeness, paging
 from .runtime import materialize
 from .sources import files, traces

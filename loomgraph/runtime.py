@@ -17,10 +17,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back; cuts the lineage of loops."""
-    path = f"{shared_dir(df.sparkSession)}/loomgraph/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loomgraph_path = path
     return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written with ``materialize``, once its results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -293,3 +293,12 @@ def test_index_repository(spark, tmp_path):
     assert reads.coverage_range(store.read("coverage"), "language", "python").count() == 1
     with pytest.raises(ValueError):
         reads.relation_range(every, anchor, "outgoing", [], limit=1)
+
+
+def test_written_tables_can_be_cleared(spark):
+    from loomgraph import runtime
+
+    df = runtime.materialize(spark.range(3), "x")
+    assert df.count() == 3
+    runtime.clear(spark)
+    assert runtime.materialize(spark.range(2), "x").count() == 2
