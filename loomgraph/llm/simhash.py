@@ -62,7 +62,9 @@ def links(distinct: DataFrame) -> DataFrame:
     indexed once more: by all values within one bit of the other segment, or by its own one-bit
     deletions. All that meet there link, at most 33 to a value, and an edge to the least is enough.
     """
-    seg = distinct.select(
+    # A fingerprint becomes 66 signatures: spread them before they are made, not as their files happen to lie.
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    seg = spread.select(
         "fp",
         F.explode(
             F.array(
