@@ -37,17 +37,17 @@ def import_trace(records: DataFrame, entities: DataFrame) -> DataFrame:
     return overlay.drop("conflict")
 
 
-def co_changes(changes: DataFrame, min_together: int = 2, max_files: int = 50) -> DataFrame:
-    """(a, b, together, confidence) of files changed in the same commits, commits of over ``max_files`` files telling nothing.
+def co_changes(changes: DataFrame, min_together: int = 2) -> DataFrame:
+    """(a, b, together, confidence) of files changed in the same commits, every commit counted whatever its size.
 
-    ``changes``: commit, path. Confidence: together over the rarer file's commits, in thousandths.
+    ``changes``: commit, path. Confidence: together over the rarer file's commits, in thousandths. A file
+    of fewer than ``min_together`` commits is in no pair and is left out before commits are paired.
     """
     rows = changes.select("commit", "path").distinct()
-    small = rows.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, max_files)).select("commit")
-    rows_small = rows.join(small, "commit")
-    pairs = rows_small.withColumnRenamed("path", "a").join(rows_small.withColumnRenamed("path", "b"), "commit").where("a < b")
+    each = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_together)
+    often = rows.join(each.select("path"), "path")
+    pairs = often.withColumnRenamed("path", "a").join(often.withColumnRenamed("path", "b"), "commit").where("a < b")
     both = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= min_together)
-    each = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     out = both.join(each.select(F.col("path").alias("a"), F.col("n").alias("na")), "a").join(each.select(F.col("path").alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", "together", F.expr("together * 1000 div least(na, nb)").alias("confidence"))
 
