@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,20 +15,31 @@ from ..runtime import materialize
 Kernel = Callable[[pa.RecordBatch], pa.RecordBatch]
 
 
+#: What one cache of a Python worker may hold, keys and values with their overhead.
+CACHE_BYTES = 96 << 20
+_ENTRY_BYTES = 120
+
+
 class BoundedCache(dict):
-    """A dict that computes missing entries; of two generations, together ``limit`` entries, the older one goes as a whole."""
+    """A dict that computes missing entries; of two generations, together ``limit`` bytes, the older one goes as a whole."""
 
-    def __init__(self, make: Callable, limit: int = 600_000):
+    def __init__(self, make: Callable, limit: int = CACHE_BYTES):
         super().__init__()
-        self._make, self._half, self._old = make, limit // 2, {}
+        self._make, self._half, self._old, self._used = make, limit // 2, {}, 0
 
     def __missing__(self, key):
         value = self._old.pop(key, None)
         if value is None:
             value = self._make(key)
-        if len(self) >= self._half:
-            self._old = dict(self)
+        size = _ENTRY_BYTES + getsizeof(key) + getsizeof(value)
+        if type(value) is list:
+            size += sum(map(getsizeof, value))
+        if size > self._half:  # one entry alone would push out all others
+            return value
+        if self._used + size > self._half:
+            self._old, self._used = dict(self), 0
             self.clear()
+        self._used += size
         self[key] = value
         return value
 
@@ -45,8 +58,14 @@ def held(key: tuple, make: Callable):
 
 
 def map_batches(df: DataFrame, make_kernel: Callable[[], Kernel], schema: str) -> DataFrame:
-    """``mapInArrow`` with one kernel per task, over batches bounded by bytes, not by rows alone."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``mapInArrow`` with one kernel per task, over batches bounded by bytes, not by rows alone.
+
+    The bound is read when the plan runs, so it has to stay in the session; a smaller one is left as it is.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(name))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make_kernel()

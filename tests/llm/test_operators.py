@@ -136,6 +136,53 @@ def test_byte_bpe_random_pieces():
             assert codec.decode(ids).decode() == text
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_byte_bpe_tree_on_tables(spark):
+    """On the driver's texts the tree joins, and its ids are the library's."""
+    import tiktoken
+
+    from loomgraph.llm.byte_bpe import TreeCodec
+
+    ranks = load_ranks(BYTE)
+    codec = TreeCodec(ranks, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        ids = codec.encode(r["text"] or "")
+        assert ids == library.encode_ordinary(r["text"] or "") and codec.decode(ids).decode() == (r["text"] or "")
+    assert codec.joins > 10_000 and codec.regrown > 1000
+
+
+def test_long_matches_take_little_time():
+    import time
+
+    from loomgraph.llm.byte_bpe import TreeCodec
+
+    codec = TreeCodec(load_ranks(BYTE), public_tokenizers.PATTERN)
+    began = time.time()
+    for text in ("a" * 200_000, "ab" * 100_000):
+        assert codec.decode(codec.encode(text)).decode() == text
+    assert time.time() - began < 20
+
+
+def test_cache_is_bounded_by_bytes():
+    from loomgraph.llm.common import BoundedCache
+
+    made = []
+    cache = BoundedCache(lambda k: made.append(k) or k[:1], 100_000)
+    for i in range(2000):
+        assert cache[f"{i:0500}"] == "0"
+    assert len(cache) + len(cache._old) < 200 and cache["x" * 200_000] == "x" and len(made) == 2001
+
+
+def test_two_grams_count(spark):
+    from loomgraph.llm.quality_rules import RepetitionRules
+
+    df = spark.createDataFrame([(1, " ".join("ab"[i % 2] + "x" * (i // 2 % 7) for i in range(0, 80))), (2, "a b c d a b e f a b")], "doc_id long, text string")
+    rules = RepetitionRules(min_words=1, max_ngram_chars_pct=((2, 50),))
+    got = {r["doc_id"]: (r["dup_ngram_chars"], r["n_repeat_words"]) for r in repetition_coverage(df, rules=rules).collect()}
+    assert got[2] == ([6], 0)
+
+
 def test_rules(docs, rows, empty):
     got = counted(repetition_coverage(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == collections.Counter((r[0], *brute.rules(r[1])[:6]) for r in rows)
