@@ -17,14 +17,18 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Largest shares, in percent of a document's word characters, that a kept document may reach."""
+    """Largest shares, in percent of a document's word characters, that a kept document may reach.
+
+    Base counts words inside repeated 3-grams, up to half of a text; the limits on longer n-grams are
+    far lower, so they reject texts that base lets pass.
+    """
 
     min_words: int = 50
     max_repeat_words_pct: int = 50
     #: n-gram length in words -> largest percentage of characters inside n-grams found twice or more
-    max_ngram_chars_pct: tuple[tuple[int, int], ...] = ((5, 45), (8, 40), (10, 35))
+    max_ngram_chars_pct: tuple[tuple[int, int], ...] = ((5, 15), (8, 12), (10, 10))
     #: largest percentage of characters inside lines equal to an earlier line
-    max_dup_line_chars_pct: int = 30
+    max_dup_line_chars_pct: int = 20
 
 
 SCHEMA_TAIL = (
@@ -65,7 +69,8 @@ def _measure(rules: RepetitionRules):
 
         three = coverage(3)
         repeat_words = int(three.sum())
-        dup_chars = [int(sizes[coverage(size)].sum()) if repeat_words else 0 for size, _ in rules.max_ngram_chars_pct]
+        # Without a repeated 3-gram no longer one repeats either.
+        dup_chars = [int(sizes[coverage(size)].sum()) if repeat_words or size < 3 else 0 for size, _ in rules.max_ngram_chars_pct]
         base_failed = n < rules.min_words or 100 * repeat_words > rules.max_repeat_words_pct * n
         kept = (
             not base_failed
@@ -86,8 +91,9 @@ def repetition_coverage(
     n-grams that occur twice or more in the same text; their characters, each counted once, are the
     coverage. No shuffle: every row is measured where it is read.
 
-    Null or empty text: no words, base_failed, not kept. Repeated rows: a row each. Null ids stay
-    null. Empty table: no rows. Other input columns are not read.
+    Null or empty text: no words, base_failed, not kept. Very long texts are measured whole, in memory
+    of some ten times their size. Repeated rows: a row each. Null ids stay null. Empty table: no rows.
+    Other input columns are not read.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     names = [x.split()[0] for x in SCHEMA_TAIL.split(", ")]
@@ -107,7 +113,11 @@ def repetition_coverage(
 
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
-    """The rows of ``df`` that the rules keep, columns unchanged; a filter on Arrow batches, no shuffle or join."""
+    """The rows of ``df`` that the rules keep, columns unchanged; a filter on Arrow batches, no shuffle or join.
+
+    Null and empty texts go. Very long ones are measured whole. Repeated rows stay or go alike. Empty
+    table: no rows.
+    """
     at = df.columns.index(text_col)
 
     def make():
