@@ -10,7 +10,7 @@ import pytest
 from loomgraph.llm import packing
 from loomgraph.llm.classifier import Settings, fit, score_documents, train_on
 from loomgraph.llm.embedding_dedup import embedding_groups, representatives
-from loomgraph.llm.packing import pack_documents, plan_rounds
+from loomgraph.llm.packing import best_fit, pack_documents
 
 from . import brute
 
@@ -87,7 +87,7 @@ def check_packed(rows, capacity):
 def test_packing(spark, monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "RANK_BLOCK", 4)
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 40)
     library = Tokenizer.from_file(WORD)
     rows = brute.corpus()
     df = spark.createDataFrame(rows, brute.DOC_SCHEMA).repartition(3)
@@ -105,31 +105,38 @@ def test_packing(spark, monkeypatch):
     assert pack_documents(spark.createDataFrame([], brute.DOC_SCHEMA), WORD).count() == 0
 
 
-def test_rounds_near_best_fit():
+@pytest.mark.parametrize("rows", [200, 16_384])
+def test_rounds_near_best_fit(spark, monkeypatch, rows):
+    """Several rounds of several tasks use hardly more sequences than best-fit decreasing, piece by piece."""
+    monkeypatch.setattr(packing, "SWEEP_ROWS", rows)
+    ran = []
+    each = packing._round
+    monkeypatch.setattr(packing, "_round", lambda p, g, tasks, *more: ran.append(tasks) or each(p, g, tasks, *more))
     rng = random.Random(4)
-    for capacity, kind in ((100, 40), (4096, 300), (64, 64)):
+    for capacity in (100, 4096, 64):
         lengths = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(1, max(1, capacity // 8)) for _ in range(3000)]
-        counts = collections.Counter(lengths)
-        used, fill = collections.Counter(), collections.defaultdict(list)
-        for length, rank, n, first, offset in plan_rounds(counts, capacity):
-            for k in range(n):
-                fill[first + k].append((offset, length))
-            used[length] += n
-        assert used == counts
+        ran.clear()
+        out = best_fit(spark.createDataFrame(list(enumerate(lengths)), "p_key long, p_length long"), capacity).collect()
+        assert sorted(r["p_key"] for r in out) == list(range(3000))
+        assert len(ran) == min(2, len(ran)) if capacity == 100 else len(ran) >= (1 if capacity == 64 else 6)
+        assert rows > 3000 or max(ran) > 1
+        fill = collections.defaultdict(list)
+        for r in out:
+            fill[r["p_sequence"]].append((r["p_offset"], lengths[r["p_key"]]))
         for v in fill.values():
             at = 0
             for offset, length in sorted(v):
                 assert offset == at
                 at += length
             assert at <= capacity
-        gaps = []  # best-fit decreasing, piece by piece
+        gaps = []
         for length in sorted(lengths, reverse=True):
             fits = [g for g in gaps if g >= length]
             gap = min(fits) if fits else capacity
             if fits:
                 gaps.remove(gap)
             gaps.append(gap - length)
-        assert len(fill) <= len(gaps) * 1.01 + 1
+        assert len(fill) <= len(gaps) * 1.01 + 2
 
 
 def test_classifier(spark):
@@ -149,6 +156,21 @@ def test_classifier(spark):
     assert fit([b"a", b"b"], np.array([1, 1]), settings).bias > 0
 
 
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    from loomgraph.llm import classifier
+
+    got = []
+    monkeypatch.setattr(classifier, "fit", lambda texts, labels, settings: got.append((list(texts), labels.tolist())))
+    docs = spark.createDataFrame([(1, "one text")] * 500 + [(i, "x" * 10) for i in range(2, 40)] + [(99, "y" * 5000), (50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(1, 40), 50, 99]], "doc_id long, quality int")
+    train_on(docs, labels, Settings(sample=10))
+    train_on(docs, labels, Settings(sample_bytes=100))
+    train_on(docs.limit(0), labels)
+    (ten, _), (small, marks), (none, _) = got
+    assert len(ten) == 10 and none == [] and len(small) == len(marks)
+    assert sum(len(t or b"") for t in small) <= 100 and sum(len(t or b"") for t in small) > 80
+
+
 def test_held_out_accuracy(spark):
     import os
 
