@@ -15,9 +15,10 @@ from .wordhash import mix, window_hashes, word_hashes
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: the most labelled documents the model is fitted on, those of least hash of their id."""
+    """``sample``: the most labelled documents the model is fitted on, those of least hash of their id; ``sample_bytes``: the most text they hold."""
 
     sample: int = 8000
+    sample_bytes: int = 64 << 20
     buckets: int = 1 << 18
     dim: int = 8
     grams: tuple[int, int] = (3, 5)
@@ -102,19 +103,32 @@ def fit(texts: list[bytes | None], labels: np.ndarray, settings: Settings = Sett
 def train_on(
     docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> Model:
-    """Fit on at most ``settings.sample`` labelled documents; only those are brought to the driver.
+    """Fit on at most ``settings.sample`` labelled documents of ``settings.sample_bytes`` in all; only those reach the driver.
 
-    Labels other than 0 and 1, and rows of null ids or labels, teach nothing. Repeated labels of
-    an id count by their largest.
+    The documents come in the order of their id's hash; one that no longer fits the bytes is left
+    out, and so is a very long text that alone exceeds them. Labels other than 0 and 1, and rows of
+    null ids or labels, teach nothing. Repeated labels of an id count by their largest, repeated
+    documents of an id once, by the largest text in byte order. Null text: no features. Empty tables:
+    the model of no documents.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     known = known.groupBy(F.col(id_col).alias("__qc_id")).agg(F.max(label_col).alias("__qc_label"))
-    chosen = known.orderBy(F.xxhash64("__qc_id"), "__qc_id").limit(settings.sample)
-    # The sample's bound is a setting, so is that of what is broadcast and collected here.
-    rows = docs.select(F.col(id_col).alias("__qc_id"), F.col(text_col).alias("__qc_text")).join(F.broadcast(chosen), "__qc_id")
-    got = rows.toArrow().sort_by("__qc_id")
-    texts = [t for c in got["__qc_text"].chunks for t in raw_texts(c)] if got.num_rows else []
-    return fit(texts[: settings.sample], got["__qc_label"].to_numpy()[: settings.sample], settings)
+    rows = docs.select(F.col(id_col).alias("__qc_id"), F.col(text_col).alias("__qc_text"))
+    # Sizes first, of documents that exist; the sample's bound is a setting, so is that of what is collected here.
+    sizes = rows.groupBy("__qc_id").agg(F.max(F.octet_length("__qc_text")).alias("bytes")).join(known, "__qc_id")
+    chosen, room = [], settings.sample_bytes
+    for r in sizes.orderBy(F.xxhash64("__qc_id"), "__qc_id").limit(settings.sample).collect():
+        if (r["bytes"] or 0) <= room:
+            room -= r["bytes"] or 0
+            chosen.append((r["__qc_id"], r["__qc_label"]))
+    if not chosen:
+        return fit([], np.zeros(0, int), settings)
+    schema = f"__qc_id {dict(rows.dtypes)['__qc_id']}, __qc_label int"
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, schema))
+    got = rows.join(picked, "__qc_id").groupBy("__qc_id").agg(F.max("__qc_text").alias("__qc_text"), F.max("__qc_label").alias("__qc_label"))
+    got = got.toArrow().sort_by("__qc_id")
+    texts = [t for c in got["__qc_text"].chunks for t in raw_texts(c)]
+    return fit(texts, got["__qc_label"].to_numpy(), settings)
 
 
 def score_documents(
@@ -125,13 +139,12 @@ def score_documents(
     The average of vectors is linear, so a text's score is the mean of its features' weights: one
     broadcast array of ``buckets`` floats, of fixed size. Whole texts are read, where they lie.
 
-    Null or empty text: the model's bias alone. Repeated rows: a row each. Null ids stay null. Empty
-    table: no rows. Other input columns are not read.
+    Null or empty text: the model's bias alone. Very long texts: all their features count. Repeated
+    rows: a row each. Null ids stay null. Empty table: no rows. Other input columns are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-
     def make():
         model = sent.value
         weights = model.weights.astype(np.float64)
