@@ -28,7 +28,8 @@ def interleave_shards(
     ``num_shards`` runs whose lengths differ by one at most. A run spans an equal share of every
     stratum's fractions, so each shard matches the mixture.
 
-    Null stratum: a stratum of its own. Null or repeated ids: shuffled alike, then ordered by
+    Null stratum: a stratum of its own. Texts are not looked at: very long ones weigh as any row, and
+    equal texts of different ids are shuffled apart like other rows (law ``rows`` counts, it does not group). Null or repeated ids: shuffled alike, then ordered by
     ``tie_breaks``; rows equal in all of these are interchangeable. Empty table: no rows. Fewer
     rows than shards: some shards stay empty. Input columns named ``shard`` or ``slot`` are replaced.
     """

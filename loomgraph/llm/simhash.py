@@ -108,7 +108,8 @@ def simhash_groups(
     Equal fingerprints are one vertex, so copies are never paired. Texts are read once; fingerprints
     and ids alone are shuffled.
 
-    Null or empty text, or one of spaces: fingerprint zero, linked like any other. Fewer words than
+    Null or empty text, or one of spaces: fingerprint zero, linked like any other. Very long texts:
+    every shingle votes. Fewer words than
     ``size``: one shingle of all. Null ids stay null; a component is named by one only if it has no
     other. Repeated rows: a row each. Empty table: no rows. Other input columns are not read.
     """

@@ -24,7 +24,7 @@ def count_tokens(
     loop of ``WordVocabulary.count``, kept in a bounded cache per worker. Special strings inside a
     text count one token each, as the library's default has it. No identifiers are made, no shuffle.
 
-    Null text: as empty, 0 bytes and 0 tokens. Repeated rows: a row each. Null ids stay null. Empty
+    Null text: as empty, 0 bytes and 0 tokens. Very long texts are counted whole. Repeated rows: a row each. Null ids stay null. Empty
     table: no rows. Other input columns are not read.
     """
     id_type = df.schema[id_col].dataType.simpleString()
