@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 from sys import getsizeof
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, shared_dir
 
 Kernel = Callable[[pa.RecordBatch], pa.RecordBatch]
 
@@ -76,6 +76,11 @@ def map_batches(df: DataFrame, make_kernel: Callable[[], Kernel], schema: str) -
     return df.mapInArrow(run, schema)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder below the shared one, as ``materialize`` uses it and ``runtime.clear`` deletes it."""
+    return f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}"
+
+
 def ddl(df: DataFrame) -> str:
     """The columns of ``df`` as a schema string."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

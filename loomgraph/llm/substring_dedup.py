@@ -12,17 +12,21 @@ anchor's own 64: block by block first, and window by window where no equal block
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ddl, map_batches, materialize, raw_texts, release
+from .common import ddl, map_batches, materialize, own_dir, raw_texts, release
 from .wordhash import beyond_second, mix, window_hashes, word_hash_pairs
 
 GRAM = 8
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,55 +51,123 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n), each a table bucketed and sorted by fingerprint.
+    """Sorted immutable runs of (fp, n) in the folder ``path``: one row for each fingerprint of a batch, bucketed and sorted by it.
 
-    ``add`` writes a batch as a new run and merge-joins it with each older one; ``compact`` merges
-    the runs into one. Runs share their buckets, so neither shuffles what is indexed already. An
-    entry is one row whatever the number of its occurrences: a hot passage weighs like any other.
+    ``add`` writes a batch as a new run and merge-joins it with each older one; its hits are what the
+    batch shares with itself or with history. ``maintain`` compacts once there are ``fan_in`` runs.
+    Runs share their buckets, so neither shuffles what is indexed already, and an entry is one row
+    whatever the number of its occurrences: a hot passage weighs like any other.
+
+    Beside its run a batch leaves its blocks and texts, by which later hits are verified. ``commit``
+    makes all that is new visible at once, by a numbered manifest; what a lost job leaves is never
+    read. An index of the same path, in any session, goes on from the newest manifest. Without
+    ``path`` it lies in the session's shared folder and lasts as long as the call that made it.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, fan_in: int = 4):
-        self.spark, self.fan_in = spark, fan_in
-        self.name = name or f"fpindex_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fan_in: int = 4):
+        self.spark, self.fan_in, self.kept = spark, fan_in, path is not None
+        self.path = (path or f"{own_dir(spark)}/fpindex-{uuid.uuid4().hex}").rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
-        self._made = 0
+        self.batches: list[str] = []
+        self.merged = self.compacted = 0  # joins of a batch with an older run, and of two runs into one
+        self._stale: list[str] = []
+        self._version = 0
+        if self.kept:
+            self._load()
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _file(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _load(self) -> None:
+        fs = self._fs()
+        if not fs.exists(self._file("manifests")):
+            return
+        names = [f.getPath().getName() for f in fs.listStatus(self._file("manifests"))]
+        newest = max((n for n in names if re.fullmatch(r"[0-9]{9}\.json", n)), default=None)
+        if newest:
+            m = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifests/{newest}").collect()))
+            self.buckets, self.runs, self.batches, self._version = m["buckets"], m["runs"], m["batches"], int(newest[:9])
+
+    def _run(self, name: str) -> DataFrame:
+        """A run as a bucketed table; only the catalog entry belongs to the session."""
+        table = "fpindex_" + hashlib.md5(f"{self.path}/{name}".encode()).hexdigest()
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) "
+            f"INTO {self.buckets} BUCKETS LOCATION '{self.path}/runs/{name}'"
+        )
+        return self.spark.table(table)
 
     def _write(self, rows: DataFrame) -> str:
-        table = f"{self.name}_{self._made}"
-        self._made += 1
-        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(table)
-        return table
+        name = uuid.uuid4().hex
+        table = "fpindex_" + hashlib.md5(f"{self.path}/{name}".encode()).hexdigest()
+        writer = rows.select("fp", "n").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet")
+        writer.option("path", f"{self.path}/runs/{name}").saveAsTable(table)
+        return name
+
+    def _forget(self, name: str) -> None:
+        self.spark.sql("DROP TABLE IF EXISTS fpindex_" + hashlib.md5(f"{self.path}/{name}".encode()).hexdigest())
 
     def add(self, fps: DataFrame) -> DataFrame:
-        """Index one batch, a frame of ``fp`` with repeats; returns (fp) that occur in it and anywhere else so far."""
-        run = self._write(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-        new = self.spark.table(run)
+        """Index one batch, a frame of ``fp`` with repeats; returns (fp), written, that occur in it and anywhere else so far."""
+        name = self._write(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+        new = self._run(name)
         hits = new.where("n > 1").select("fp")
         for older in self.runs:
-            hits = hits.union(new.select("fp").join(self.spark.table(older).select("fp"), "fp"))
-        self.runs.append(run)
-        return hits
+            hits = hits.union(new.select("fp").hint("merge").join(self._run(older).select("fp"), "fp"))
+            self.merged += 1
+        self.runs.append(name)
+        return materialize(hits.distinct(), "substring-hits")
 
     def compact(self) -> None:
+        """Merge all runs into one, two at a time, bucket by bucket."""
         while len(self.runs) > 1:
-            a, b = (self.spark.table(t).select("fp", "n") for t in self.runs[:2])
+            a, b = (self._run(t).hint("merge") for t in self.runs[:2])
             merged = a.alias("a").join(b.alias("b"), F.col("a.fp") == F.col("b.fp"), "full_outer").select(
                 F.coalesce("a.fp", "b.fp").alias("fp"), (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n")
             )
-            table = self._write(merged)
-            for old in self.runs[:2]:
-                self.spark.sql(f"DROP TABLE {old}")
-            self.runs[:2] = [table]
+            self._stale += self.runs[:2]
+            self.runs[:2] = [self._write(merged)]
+            self.compacted += 1
 
     def maintain(self) -> None:
         if len(self.runs) >= self.fan_in:
             self.compact()
 
+    def history(self, kind: str) -> DataFrame | None:
+        """``postings`` or ``texts`` of all committed batches."""
+        parts = [self.spark.read.parquet(f"{self.path}/{kind}/{b}") for b in self.batches]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def commit(self, postings: DataFrame, texts: DataFrame) -> None:
+        """Keep a batch's blocks and distinct texts for later verification, and publish the new runs."""
+        name = uuid.uuid4().hex
+        postings.write.parquet(f"{self.path}/postings/{name}")
+        texts.write.parquet(f"{self.path}/texts/{name}")
+        self.batches.append(name)
+        self.maintain()
+        self._version += 1
+        fs, new = self._fs(), self._file(f"manifests/new-{name}")
+        out = fs.create(new, False)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "runs": self.runs, "batches": self.batches}).encode()))
+        out.close()
+        if not fs.rename(new, self._file(f"manifests/{self._version:09d}.json")):
+            raise RuntimeError(f"another job has committed version {self._version} of {self.path}")
+        for old in self._stale:
+            self._forget(old)
+            fs.delete(self._file(f"runs/{old}"), True)
+        self._stale = []
+
     def drop(self) -> None:
-        for t in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-        self.runs = []
+        """Delete the index, files and all."""
+        for t in [*self.runs, *self._stale]:
+            self._forget(t)
+        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
+        self.runs, self.batches = [], []
 
 
 def _blocks(h1: np.ndarray, h2: np.ndarray, window: int):
@@ -119,15 +191,14 @@ PACK = 64
 def _postings(texts: DataFrame, window: int) -> DataFrame:
     """Every block of each text: text key (k, j), anchor fp, digest (d, e), packed place, and whether it is sure.
 
-    Counts are only compared with 2, so of equal texts in one task two speak for all; and of equal
-    blocks in one batch two are counted, while the others are sure to be repeated and skip every
-    join: a passage that a third of all documents share sends two rows a batch to its key.
+    Counts are only compared with 2, so of equal texts in one Arrow batch two speak for all; and of
+    equal blocks in one batch two are counted, while the others are sure to be repeated and skip
+    every join: a passage that a third of all documents share sends two rows a batch to its key.
     """
 
     def make():
-        seen: dict = {}
-
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+            seen: dict = {}
             ks, js = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out = [[], [], [], [], [], []]
             for i, raw in enumerate(raw_texts(batch.column(2))):
@@ -155,14 +226,14 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     """(k, j, own, s, w1, w2, sure): each window of the blocks in ``__sd_todo``, hashed in full.
 
     ``own``: the verdict is wanted; otherwise the block only stands for those equal to it. ``sure``:
-    as with blocks, two equal windows of this batch are counted already.
+    as with blocks, two equal windows of this batch are counted already. A text that occurs again has
+    no block whose verdict is wanted, so it does no harm that another batch tells its windows again.
     """
     at = [texts.columns.index(c) for c in ("__sd_k", "__sd_j", "__sd_t", "__sd_todo")]
 
     def make():
-        seen: set = set()
-
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+            seen: set = set()
             ks, js = batch.column(at[0]).to_numpy(), batch.column(at[1]).to_numpy()
             todo = batch.column(at[3])
             out = [[], [], [], [], [], []]
@@ -189,43 +260,73 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     return map_batches(texts, make, "k long, j int, own boolean, s long, w1 long, w2 long, sure boolean")
 
 
-def _with_verdicts(df: DataFrame, text_col: str, window: int, batches: int) -> DataFrame:
+#: Parts that the rows of one anchor, and of one text, are dealt to where they learn a verdict.
+SALT = 4
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """A copy of ``rows`` for each part."""
+    return rows.withColumn("__sd_s", F.explode(F.expr(f"sequence(0, {SALT - 1})")))
+
+
+def _of_texts(places: DataFrame, name: str) -> DataFrame:
+    """(__sd_ck, __sd_cj, __sd_cs, ``name``): the places (k, j, at) of each text, once for each part."""
+    one = places.groupBy(F.col("k").alias("__sd_ck"), F.col("j").alias("__sd_cj")).agg(F.collect_set("at").alias(name))
+    return _salted(one).withColumnRenamed("__sd_s", "__sd_cs")
+
+
+def _with_verdicts(df: DataFrame, text_col: str, window: int, batches: int, index: FingerprintIndex | None) -> DataFrame:
     """``df`` with its text as ``__sd_t`` and ``__sd_cut``: packed (start, count) of windows that occur elsewhere.
 
     Texts are keyed by a 96-bit hash, not an id: equal texts share one verdict, and repeated or null
-    ids do no harm. Only the last steps shuffle texts, once: both joins read the same exchange. A
-    key, anchor or window of a third of all rows is counted map-side first; where its rows must
-    learn a verdict, the skew join splits them, its other side having one row for each key.
+    ids do no harm. Batches enter the index one by one, and its hits are what is verified: blocks and
+    texts of this call, and of all committed before, that hold a hit. Only the last steps shuffle
+    texts, once: both joins read the same exchange. A key, anchor or window of a third of all rows is
+    counted map-side first; where its rows must learn a verdict they are dealt to ``SALT`` parts.
     """
     spark = df.sparkSession
     text = F.col(text_col)
-    keyed = df.withColumns({"__sd_t": text, "__sd_k": F.xxhash64(text), "__sd_j": F.hash(text)}).drop(text_col)
+    part = F.pmod(F.spark_partition_id(), F.lit(SALT))
+    keyed = df.withColumns({"__sd_t": text, "__sd_k": F.xxhash64(text), "__sd_j": F.hash(text), "__sd_s": part}).drop(text_col)
 
     postings = materialize(_postings(keyed, window), "substring-postings")
-    index = FingerprintIndex(spark, fan_in=batches)
-    for b in range(batches):
-        index.add(postings.where((F.pmod("j", F.lit(batches)) == b) & ~F.col("sure")).select("fp"))
-    index.compact()
-    found = materialize(spark.table(index.runs[0]).where("n > 1").select("fp"), "substring-repeats")
-    index.drop()
-    blocks = materialize(postings.where("NOT sure").drop("sure").join(found, "fp"), "substring-blocks")
+    index = index or FingerprintIndex(spark)
+    counted = postings.where("NOT sure").drop("sure")
+    hits = [index.add(counted.where(F.pmod("j", F.lit(batches)) == b).select("fp")) for b in range(batches)]
+    found = _salted(reduce(DataFrame.union, hits).distinct())
+    before, old_texts = index.history("postings"), index.history("texts")
+    entries = counted if before is None else counted.unionByName(before)
+    entries = entries.withColumn("__sd_s", F.pmod("k", F.lit(SALT)).cast("int"))
+    blocks = materialize(entries.join(found, ["fp", "__sd_s"]).drop("__sd_s"), "substring-blocks")
+    for h in hits:
+        release(h)
     sure = materialize(postings.where("sure").select("k", "j", "at"), "substring-sure")
+    if index.kept:
+        once = keyed.where("__sd_t IS NOT NULL").groupBy("__sd_k", "__sd_j").agg(F.max("__sd_t").alias("__sd_t"))
+        index.commit(counted, once)
+    else:
+        index.drop()
     release(postings)
 
     groups = blocks.groupBy("fp", "d", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "j", "at")).alias("rep"))
     groups = materialize(groups, "substring-groups")
     whole = blocks.join(groups.where("n > 1").select("fp", "d", "e"), ["fp", "d", "e"]).select("k", "j", "at")
-    loose = groups.where("n = 1").select("fp").distinct()
-    todo = groups.join(loose, "fp").select("rep.k", "rep.j", F.expr("rep.at * 2 + CAST(n = 1 AS INT)").alias("at"))
-    todo = todo.groupBy("k", "j").agg(F.collect_set("at").alias("__sd_todo"))
-
-    on = (F.col("__sd_k") == F.col("k")) & (F.col("__sd_j") == F.col("j"))
-    each = _windows(keyed.join(todo.hint("shuffle_hash"), on).drop("k", "j"), window)
+    loose = _salted(groups.where("n = 1").select("fp").distinct())
+    dealt = groups.withColumn("__sd_s", F.pmod("d", F.lit(SALT)).cast("int"))
+    todo = dealt.join(loose, ["fp", "__sd_s"]).select("rep.k", "rep.j", F.expr("rep.at * 2 + CAST(n = 1 AS INT)").alias("at"))
+    todo = _of_texts(todo, "__sd_todo")
+
+    on = (F.col("__sd_k") == F.col("__sd_ck")) & (F.col("__sd_j") == F.col("__sd_cj")) & (F.col("__sd_s") == F.col("__sd_cs"))
+    joined = keyed.join(todo.hint("shuffle_hash"), on).select("__sd_k", "__sd_j", "__sd_t", "__sd_todo")
+    if old_texts is not None:
+        old = old_texts.withColumn("__sd_s", F.lit(0)).join(todo.hint("shuffle_hash"), on)
+        joined = joined.union(old.select(*joined.columns))
+    each = _windows(joined, window)
     twice = each.where("NOT sure").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     place = F.expr(f"s * {PACK} + 1").alias("at")
     single = each.where("own AND NOT sure").join(twice, ["w1", "w2"]).select("k", "j", place)
-    cuts = whole.union(sure).union(single).union(each.where("own AND sure").select("k", "j", place)).groupBy("k", "j").agg(F.collect_set("at").alias("__sd_cut"))
-    return keyed.join(cuts.hint("shuffle_hash"), on, "left").drop("k", "j")
+    cuts = whole.union(sure).union(single).union(each.where("own AND sure").select("k", "j", place))
+    return keyed.join(_of_texts(cuts, "__sd_cut").hint("shuffle_hash"), on, "left").drop("__sd_ck", "__sd_cj", "__sd_cs")
 
 
 def _cutter(window: int):
@@ -250,20 +351,43 @@ def _kept(words: list[bytes], removed) -> bytes:
     return b" ".join([words[i] for i in np.flatnonzero(~removed).tolist()])
 
 
+def _kept_text(raw: bytes, removed) -> bytes:
+    """The kept words with the white space before each; what a removed run leaves between two words is a line end if it held one, else a space."""
+    out, cut, line, end = [], False, False, 0
+    for k, m in enumerate(_WORD.finditer(raw)):
+        gap, end = raw[end : m.start()], m.end()
+        if removed[k]:
+            line = (line and cut) or b"\n" in gap
+            cut = True
+        else:
+            out.append((b"\n" if line or b"\n" in gap else b" ") if cut and out else b"" if cut else gap)
+            out.append(m[0])
+            cut = line = False
+    return b"".join(out)
+
+
 def dedup_substrings(
-    df: DataFrame, window: int = 35, batches: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    window: int = 35,
+    batches: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    index: FingerprintIndex | None = None,
 ) -> DataFrame:
     """One row per document: n_words, n_removed, kept_sha256 of the kept words joined by one space, and kept_text.
 
     A word is removed if a window of ``window`` words covers it whose sequence starts anywhere else
     too, in any document or its own. Windows are judged on the input. Documents enter the index in
-    ``batches``.
-
-    Null or empty text: no words. Texts shorter than a window keep all. Repeated rows remove each
-    other's windows and get a row each. Null ids stay null. Empty table: no rows. Other input
-    columns are not read.
+    ``batches``. With ``index``, one that has a path, windows that start in documents of earlier calls
+    count as well, and these documents are kept in it for later ones; a call adds its documents once,
+    and all calls have to use one ``window``.
+
+    Null or empty text: no words. Texts shorter than a window keep all; very long ones are hashed
+    whole, in memory of some twenty times their size. Repeated rows remove each other's windows and
+    get a row each. Null ids stay null. Empty table: no rows. Other input columns are not read, and
+    may have any names.
     """
-    judged = _with_verdicts(df.select(id_col, text_col), text_col, window, batches)
+    judged = _with_verdicts(df.select(id_col, text_col), text_col, window, batches, index)
     judged = judged.select(id_col, "__sd_t", "__sd_cut")
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -287,12 +411,16 @@ def dedup_substrings(
     return map_batches(judged, make, schema)
 
 
-def remove_repeats(df: DataFrame, window: int = 35, batches: int = 2, text_col: str = "text") -> DataFrame:
-    """``df`` with the kept words of ``dedup_substrings`` as its text, joined by one space, where any word goes.
+def remove_repeats(
+    df: DataFrame, window: int = 35, batches: int = 2, text_col: str = "text", index: FingerprintIndex | None = None
+) -> DataFrame:
+    """``df`` without the words that ``dedup_substrings`` removes from its texts; kept words keep their line breaks and indentation.
 
-    Texts that lose nothing stay as they are, null ones null. Other columns and rows are unchanged.
+    Texts that lose nothing stay as they are, null ones null; very long ones are cut whole. Repeated
+    rows lose the windows they share and stay. Other columns, whatever their names, and rows are
+    unchanged. Empty table: no rows.
     """
-    judged = _with_verdicts(df, text_col, window, batches)
+    judged = _with_verdicts(df, text_col, window, batches, index)
     others = [c for c in df.columns if c != text_col]
     judged = judged.select(*others, "__sd_t", "__sd_cut")
     n = len(others)
@@ -305,7 +433,7 @@ def remove_repeats(df: DataFrame, window: int = 35, batches: int = 2, text_col:
             if cuts.null_count < len(cuts):
                 new = []
                 for i, raw in enumerate(raw_texts(texts)):
-                    new.append(_kept(*cut(raw, cuts[i].values.to_numpy())) if cuts[i].is_valid else raw)
+                    new.append(_kept_text(raw, cut(raw, cuts[i].values.to_numpy())[1]) if cuts[i].is_valid else raw)
                 texts = pa.array(new, pa.binary()).cast(texts.type)
             return pa.RecordBatch.from_arrays([*batch.columns[:n], texts], [*others, text_col])
 
