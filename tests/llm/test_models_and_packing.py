@@ -71,6 +71,34 @@ def test_embedding_edges(spark):
     assert representatives(spark.createDataFrame([(1, [1.0], 0), (2, [2.0], 0)], "vec_id long, embedding array<float>, label int")).count() == 1
 
 
+def test_embedding_many_lengths(spark):
+    rows = [(i, [1.0] * (1 + i // 2), 0) for i in range(160)]
+    got = embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, 1, i // 2 * 2) for i in range(160)}
+
+
+def test_cells_save_comparisons(spark):
+    """Every label has several cells, and what their rows compare is a small share of all pairs."""
+    import os
+
+    from loomgraph.llm.embedding_dedup import dealt_to_cells
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    t = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS v", "1L AS m", "label", "embedding")
+    cells, all_pairs, pairs = collections.defaultdict(collections.Counter), 0, 0
+    for r in dealt_to_cells(t, 0.98).collect():
+        cells[r["label"]][r["cell"], r["member"]] += 1
+    for counts in cells.values():
+        n = sum(c for (_, member), c in counts.items() if member)
+        all_pairs += n * (n - 1) // 2
+        homes = {cell: c for (cell, member), c in counts.items() if member}
+        assert len(homes) > 1
+        pairs += sum(c * (c - 1) // 2 + c * counts[cell, False] for cell, c in homes.items())
+    assert pairs < 0.25 * all_pairs
+
+
 def check_packed(rows, capacity):
     by = collections.defaultdict(list)
     for r in rows:
