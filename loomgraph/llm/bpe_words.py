@@ -96,13 +96,9 @@ class WordVocabulary:
         return n - merges
 
     def piece_encoder(self):
-        """A function from a piece to its identifiers, by the tokenizers library without its outer steps."""
+        """A function from a piece to its identifiers, by the model of the tokenizers library without its outer steps."""
         from tokenizers import Tokenizer
 
-        inner = self.raw | {
-            "normalizer": None,
-            "added_tokens": [],
-            "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-        }
-        library = Tokenizer.from_str(json.dumps(inner))
-        return lambda piece: library.encode(piece, add_special_tokens=False).ids
+        tokenize = Tokenizer.from_str(json.dumps(self.raw)).model.tokenize
+        symbols = {b: s for b, s in enumerate(self.symbols)}
+        return lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(symbols))]

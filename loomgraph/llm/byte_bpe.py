@@ -18,7 +18,8 @@ import base64
 import hashlib
 import heapq
 import re
-import struct
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def _up(level: list[bytes]) -> bytes:

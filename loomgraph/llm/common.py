@@ -16,7 +16,7 @@ Kernel = Callable[[pa.RecordBatch], pa.RecordBatch]
 
 
 #: What one cache of a Python worker may hold, keys and values with their overhead.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 160 << 20
 _ENTRY_BYTES = 120
 
 
