@@ -260,7 +260,7 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     return map_batches(texts, make, "k long, j int, own boolean, s long, w1 long, w2 long, sure boolean")
 
 
-#: Parts that the rows of one anchor, and of one text, are dealt to where they learn a verdict.
+#: Parts, a power of two, that the rows of one anchor, and of one text, are dealt to where they learn a verdict.
 SALT = 4
 
 
@@ -286,7 +286,7 @@ def _with_verdicts(df: DataFrame, text_col: str, window: int, batches: int, inde
     """
     spark = df.sparkSession
     text = F.col(text_col)
-    part = F.pmod(F.spark_partition_id(), F.lit(SALT))
+    part = F.spark_partition_id().bitwiseAND(F.lit(SALT - 1))  # never null, so both joins below ask for the same exchange
     keyed = df.withColumns({"__sd_t": text, "__sd_k": F.xxhash64(text), "__sd_j": F.hash(text), "__sd_s": part}).drop(text_col)
 
     postings = materialize(_postings(keyed, window), "substring-postings")
@@ -317,10 +317,11 @@ def _with_verdicts(df: DataFrame, text_col: str, window: int, batches: int, inde
     todo = _of_texts(todo, "__sd_todo")
 
     on = (F.col("__sd_k") == F.col("__sd_ck")) & (F.col("__sd_j") == F.col("__sd_cj")) & (F.col("__sd_s") == F.col("__sd_cs"))
-    joined = keyed.join(todo.hint("shuffle_hash"), on).select("__sd_k", "__sd_j", "__sd_t", "__sd_todo")
+    joined = keyed.join(todo.hint("shuffle_hash"), on).drop("__sd_ck", "__sd_cj", "__sd_cs")
     if old_texts is not None:
         old = old_texts.withColumn("__sd_s", F.lit(0)).join(todo.hint("shuffle_hash"), on)
-        joined = joined.union(old.select(*joined.columns))
+        need = ("__sd_k", "__sd_j", "__sd_t", "__sd_todo")
+        joined = joined.select(*need).union(old.select(*need))
     each = _windows(joined, window)
     twice = each.where("NOT sure").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     place = F.expr(f"s * {PACK} + 1").alias("at")
