@@ -17,7 +17,7 @@ CELLS_FACTOR = 2
 #: in all; beyond MOST_SAMPLE / SAMPLE_A_CELL cells it has no more of them, and its blocks grow in number instead.
 SAMPLE_A_CELL, MOST_SAMPLE = 16, 1 << 18
 #: Parts that the rows of one label are dealt to where they meet what is known of it.
-DEAL = 32
+DEAL = 16
 #: Rows of one side of a product.
 BLOCK_ROWS = 4096
 _STRIP = 256
@@ -212,7 +212,10 @@ def _linked(vertices: DataFrame, threshold: float, cells: int | None) -> DataFra
     """(v, n, root) of the tasks that compare blocks."""
     dealt = materialize(dealt_to_cells(vertices, threshold, cells), "embedding-cells")
     blocks = dealt.groupBy("label", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nb"))
-    placed = dealt.join(blocks, ["label", "d", "cell"]).withColumn("b", F.expr("CAST(pmod(xxhash64(v), nb) AS INT)"))
+    # A cell of a third of all rows, copies nearly, meets its count in DEAL parts.
+    spread = blocks.withColumn("s", F.explode(F.expr(f"sequence(0, {DEAL - 1})")))
+    parts = dealt.withColumn("s", F.expr(f"CAST(pmod(xxhash64(v), {DEAL}) AS INT)"))
+    placed = parts.join(spread, ["label", "d", "cell", "s"]).withColumn("b", F.expr("CAST(pmod(xxhash64(v), nb) AS INT)"))
     tasks = placed.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select(
         "label",
         "d",
