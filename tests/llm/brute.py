@@ -112,3 +112,29 @@ def rules(text):
     failed = len(w) < 50 or 100 * len(three) > 50 * len(w)
     cover = {k: sum(chars[i] for i in marked(k)) for k in (5, 8, 10)}
     return len(w), sum(chars), sum(c in "#*$%&|<>" for c in text), dups, len(three), failed, cover
+
+
+def good(text):
+    """The verdict of the rules: base, and the shares of characters in repeated n-grams and lines."""
+    n, chars, _, _, _, failed, cover = rules(text)
+    seen, again = set(), 0
+    for line in (text or "").split("\n"):
+        if words(line):
+            again += sum(len(x.decode()) for x in words(line)) if line in seen else 0
+            seen.add(line)
+    limits = {5: 15, 8: 12, 10: 10}
+    return not failed and all(100 * cover[k] <= pct * chars for k, pct in limits.items()) and 100 * again <= 20 * chars
+
+
+def kept_words(texts, k=35):
+    """The words of each text that no window covers which starts anywhere else."""
+    split = [words(t) for t in texts]
+    seen = collections.Counter(tuple(w[i : i + k]) for w in split for i in range(len(w) - k + 1))
+    out = []
+    for w in split:
+        gone = set()
+        for i in range(len(w) - k + 1):
+            if seen[tuple(w[i : i + k])] > 1:
+                gone.update(range(i, i + k))
+        out.append([x for i, x in enumerate(w) if i not in gone])
+    return out

@@ -214,31 +214,84 @@ def test_held_out_accuracy(spark):
 
 
 def test_pipeline_stages(spark):
+    """Every stage against a plain version of it, on all that the stage before kept."""
     import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    from loomgraph.llm.secret_scan import ScanRules, candidates, cutoffs, decoys
 
-    rows = brute.corpus(n=160) + [(5000, 'say password = "hunter2abc" ' + " ".join(f"n{i}" for i in range(80)), "en", "a", 1, "x", "x", "x")]
+    key = "aB3xQ9zR7kLm2Vt8Yw4NpS6dH1jU0cEfG5iK"
+    lines = "\n".join(f"l{i} " + " ".join(f"m{i}x{k}" for k in range(8)) for i in range(12))
+    rows = brute.corpus(n=160) + [
+        (5000, 'say password = "hunter2abc" ' + " ".join(f"n{i}" for i in range(80)), "en", "a", 1, "x", "x", "x"),
+        (5001, f"the key {key} is here " + " ".join(f"o{i}" for i in range(80)), "en", "a", 1, "x", "x", "x"),
+        (5002, lines + "\n" + "\n".join(lines.split("\n")[:4]), "en", "a", 1, "x", "x", "x"),
+    ]
     docs = spark.createDataFrame(rows, brute.DOC_SCHEMA)
     seen = []
     for name, stage in c.STAGES:
         before, docs = docs, stage(spark, docs, "").cache()
-        seen.append({r["doc_id"]: r["text"] for r in before.collect() if r["doc_id"] is not None})
+        seen.append(collections.Counter((r["doc_id"], r["text"]) for r in before.collect()))
         if name != "packing":
             assert docs.columns == list(c.COLUMNS)
-    ruled = seen[1]
-    assert all(not brute.rules(t)[5] for t in ruled.values())
-    single = seen[2]
-    roots = brute.components([brute.simhash(t) for t in ruled.values()], lambda a, b: (a ^ b).bit_count() <= 2)
-    ids = list(ruled)
-    assert set(single) == {min(ids[j] for j in range(len(ids)) if roots[j] == c_) for c_ in set(roots)}
-    cut = seen[3]
-    want = {i: x for i, x in zip(single, brute.substring(list(single.values())))}
-    for i, text in cut.items():
-        assert len(brute.words(text)) == want[i][0] - want[i][1]
-    assert set(cut) == set(single) == set(seen[4])
-    assert "hunter2abc" not in seen[4][5000] and "[secret]" in seen[4][5000]
-    assert {r["doc_id"] for r in docs.collect()} == set(seen[4])
-    check_packed(docs.collect(), 4096)
+    assert seen[1] == collections.Counter({k: n for k, n in seen[0].items() if brute.good(k[1])})
+    assert 5002 not in {i for i, _ in seen[1]} and brute.rules(rows[-1][1])[5] is False
+    ruled = list(seen[1])
+    roots = brute.components([brute.simhash(t) for _, t in ruled], lambda a, b: (a ^ b).bit_count() <= 2)
+    order = lambda i: (i is None, i if i is not None else 0)
+    least = {root: min((ruled[j][0] for j in range(len(ruled)) if roots[j] == root), key=order) for root in set(roots)}
+    assert sorted((i for i, _ in seen[2]), key=order) == sorted(least.values(), key=order) and max(seen[2].values()) == 1
+    single = [k for k in seen[2]]
+    cut = dict(seen[3].keys())
+    assert {i: brute.words(t) for i, t in cut.items()} == {i: w for (i, _), w in zip(single, brute.kept_words([t for _, t in single]))}
+    assert all(cut[i] == t for (i, t), w in zip(single, brute.kept_words([t for _, t in single])) if w == brute.words(t))
+    own, null, found = collections.Counter(), collections.Counter(), {}
+    for i, t in cut.items():
+        found[i] = candidates(t, brute.base_spans(t))
+        own.update((s, b) for _, _, s, b in found[i])
+        null.update(decoys(t, found[i]))
+    limit = cutoffs([(*k, n) for k, n in own.items()], [(*k, n) for k, n in null.items()], ScanRules())
+    for i, t in cut.items():
+        spans, masked, at = sorted([(s, e) for s, _, e in brute.base_spans(t)] + [(s, e) for s, e, st, b in found[i] if b <= limit[st]]), "", 0
+        for s, e in spans:
+            masked, at = masked + (t[at:s] + "[secret]" if s >= at else ""), max(at, e)
+        assert dict(seen[4].keys())[i] == masked + t[at:]
+    assert "hunter2abc" not in dict(seen[4].keys())[5000] and key not in dict(seen[4].keys())[5001]
+    library, want = Tokenizer.from_file(WORD), collections.Counter()
+    for i, t in seen[4]:
+        ids = library.encode(t, add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want[i, k // 4096, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    packed = docs.collect()
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
+    assert check_packed(packed, 4096) <= math.ceil(sum(k[3] for k in want) / 4096) + 1
     empty = spark.createDataFrame([], brute.DOC_SCHEMA)
     for _, stage in c.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
+
+
+def test_counts_and_pieces_on_tables(spark):
+    """On the driver's texts the counts and the packed identifiers are the library's."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    from loomgraph.llm.token_counts import count_tokens
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    library, counts, pieces = Tokenizer.from_file(WORD), {}, collections.Counter()
+    for r in docs.select("doc_id", "text").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        counts[r["doc_id"]] = len(ids)
+        ids.append(1)
+        for k in range(0, len(ids), 4096):
+            pieces[r["doc_id"], k // 4096, k, zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())] += 1
+    assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, WORD).collect()} == counts
+    packed = pack_documents(docs, WORD).collect()
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["ids_crc32"]) for r in packed) == pieces
+    assert check_packed(packed, 4096) <= math.ceil(sum(r["length"] for r in packed) / 4096) + 2
