@@ -5,15 +5,21 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 # Bounds of search patterns.
 MAX_WILDCARDS, MIN_LITERALS = 4, 2
-#: ASCII code tokens: acronym before a word, capitalised or lower-case word, capitals, digits.
-ASCII_TOKENS = "[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"
+#: Runs of letters, digits and the marks on them, and where such a run is cut: between letters and digits, before a
+#: capital after a small letter, before the last of several capitals if a small letter follows. Both as the JVM and
+#: Python's ``regex`` read them.
+RUN = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+_M = r"\p{M}{0,9}"
+CUT = "|".join(
+    rf"(?<={before}{_M})(?={after})"
+    for before, after in ((r"\p{L}", r"\p{N}"), (r"\p{N}", r"\p{L}"), (r"\p{Ll}", r"\p{Lu}"), (r"\p{Lu}", rf"\p{{Lu}}{_M}\p{{Ll}}"))
+)
 
 
 def fold(text: str) -> str:
@@ -21,53 +27,20 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).casefold())
 
 
-@F.pandas_udf(StringType())
-def fold_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else s.lower() if s.isascii() else fold(s))
+def folded(column: Column | str) -> Column:
+    """``fold`` by built-in functions, full case mapping included; of composed text, as there is none that composes."""
+    return F.translate(F.lower(F.upper(column)), "ς", "σ")
 
 
-def ascii_tokens(column: Column | str) -> Column:
-    """Code tokens of ASCII text, lower-cased, by built-in functions."""
-    return F.transform(F.regexp_extract_all(column, F.lit(f"({ASCII_TOKENS})")), F.lower)
+def code_tokens(text: str) -> list[str]:
+    """The tokens of code in a text, folded; marks stay with their letter."""
+    return [fold(t) for run in regex.findall(RUN, text) for t in regex.split(CUT, run, flags=regex.V1)]
 
 
-def code_tokens(text: str) -> list[str]:
-    """Split at anything but letters and digits, between letters and digits, before a capital after a lower-case
-    letter, and before the last capital of a run that a lower-case letter follows; marks stay with their letter."""
-    out, start, prev = [], None, None
-    n = len(text)
-
-    def close(end):
-        if start is not None:
-            out.append(fold(text[start:end]))
-
-    for i, c in enumerate(text):
-        if unicodedata.category(c)[0] == "M":
-            prev = prev if start is not None else None
-            continue
-        if not c.isalnum():
-            close(i)
-            start = prev = None
-            continue
-        if start is not None:
-            k = i + 1
-            while k < n and unicodedata.category(text[k])[0] == "M":
-                k += 1
-            low_next = k < n and text[k].islower()
-            edge = prev.isalpha() != c.isalpha() or (prev.islower() and c.isupper()) or (prev.isupper() and c.isupper() and low_next)
-            if edge:
-                close(i)
-                start = i
-        else:
-            start = i
-        prev = c
-    close(n)
-    return out
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def code_tokens_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else code_tokens(s))
+def token_column(column: Column | str) -> Column:
+    """``code_tokens`` by built-in functions."""
+    runs = F.regexp_extract_all(column, F.lit(f"({RUN})"))
+    return F.transform(F.flatten(F.transform(runs, lambda r: F.split(r, CUT))), folded)
 
 
 class PatternRejected(ValueError):
@@ -80,33 +53,22 @@ def safe_pattern(text: str, glob: bool) -> str:
     Regex: ``.`` and ``*`` are wildcards; glob: ``*`` and ``?``, and a dot is itself. No leading wildcard,
     no two stars in a row, at most four wildcards, two literals at least, also before the first wildcard.
     """
-    out, head, wild, literals = [], 0, 0, 0
-    open_, star, literal = True, False, False
-    for i, c in enumerate(text):
-        is_star, is_one = c == "*", c == ("?" if glob else ".")
-        if is_star or is_one:
-            if i == 0:
-                raise PatternRejected("leading_wildcard")
-            if is_star and star:
-                raise PatternRejected("unsupported_pattern")
-            wild += 1
-            if is_star and not glob and literal:  # the star repeats that letter, which is then no sure one
-                literals -= 1
-                head -= open_
-            out.append((".*" if is_star else ".") if glob else c)
-            open_, star, literal = False, is_star, False
-        elif c.isalnum() or c in "_-:/$" or (glob and c == "."):
-            out.append(re.escape(c))
-            literals += 1
-            head += open_
-            star, literal = False, True
-        else:
-            raise PatternRejected("unsupported_pattern")
-        if wild > MAX_WILDCARDS:
-            raise PatternRejected("too_many_wildcards")
-    if literals < MIN_LITERALS or head < MIN_LITERALS:
-        raise PatternRejected("insufficient_literal")
-    return f"^{''.join(out)}$"
+    wild = {"*": "s", "?": "o"} if glob else {"*": "s", ".": "o"}
+    plain = "_-:/$." if glob else "_-:/$"
+    shape = "".join(wild.get(c) or ("l" if c.isalnum() or c in plain else "x") for c in text)
+    # In a regex the star repeats the letter before it, which may then be missing.
+    sure = shape if glob else shape.replace("ls", "s")
+    faults = {
+        "leading_wildcard": shape[:1] in ("s", "o"),
+        "unsupported_pattern": "x" in shape or "ss" in shape,
+        "too_many_wildcards": len(shape) - shape.count("l") > MAX_WILDCARDS,
+        "insufficient_literal": min(sure.count("l"), len(sure) - len(sure.lstrip("l"))) < MIN_LITERALS,
+    }
+    for fault, found in faults.items():
+        if found:
+            raise PatternRejected(fault)
+    star = {"s": ".*" if glob else "*", "o": "."}
+    return "^" + "".join(star.get(kind) or re.escape(c) for kind, c in zip(shape, text)) + "$"
 
 
 def route_key(method: Column, path: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import FAMILIES, Graph, ceiling
-from .graph import container_of, oriented, reach, simple_paths, strong_components
+from ..runtime import materialize
+from .graph import container_of, oriented, reach, shortest_cycles, simple_paths, strong_components
 
 
 def effective(graph: Graph, edges: DataFrame) -> DataFrame:
@@ -19,13 +20,46 @@ def effective(graph: Graph, edges: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.least("confidence", limit)).drop("ts", "to")
 
 
-def explain_symbols(graph: Graph, ids: list[str], max_rows: int = 100) -> DataFrame:
-    """(id, kind, name, section, other, detail, confidence): each entity, what touches it, its container; ordered and cut per section."""
+def edges_of(graph: Graph, families: list[str], min_confidence: int = 0) -> DataFrame:
+    """Edges of the families with effective confidence, those of ``min_confidence`` or more."""
+    edges = effective(graph, graph.of(*families))
+    return edges.where(F.col("confidence") >= min_confidence) if min_confidence else edges
+
+
+def explain_symbols(
+    graph: Graph,
+    ids: list[str],
+    max_rows: int = 100,
+    occurrences: DataFrame | None = None,
+    provenance: DataFrame | None = None,
+    coverage: DataFrame | None = None,
+) -> DataFrame:
+    """(id, kind, name, section, other, detail, confidence): each entity, what touches it, its container; ordered and cut per section.
+
+    Sections: entity, outbound, inbound; with ``occurrences`` (id, role, enclosing, target, file) those
+    that it encloses or that target it; with ``provenance`` (id, producer, version) its producer; with
+    ``coverage`` (scope_kind, scope_id, status) that of its language and path.
+    """
     wanted = graph.entities.where(F.col("id").isin(*ids))
     own = wanted.select("id", "kind", "name", F.lit("entity").alias("section"), F.coalesce("container_id", F.lit("")).alias("other"), F.col("visibility").alias("detail"), F.lit(1000).alias("confidence"))
-    edges = graph.relations.where(F.col("subject").isin(*ids) | F.col("object").isin(*ids))
-    sides = edges.where(F.col("subject").isin(*ids)).select(F.col("subject").alias("id"), F.lit("outbound").alias("section"), F.col("object").alias("other"), F.col("predicate").alias("detail"), "confidence")
-    sides = sides.union(edges.where(F.col("object").isin(*ids)).select(F.col("object").alias("id"), F.lit("inbound").alias("section"), F.col("subject").alias("other"), F.col("predicate").alias("detail"), "confidence"))
+    row = lambda df, id_, section, other, detail, confidence: df.select(F.col(id_).alias("id"), F.lit(section).alias("section"), F.col(other).alias("other"), F.col(detail).alias("detail"), confidence.cast("int").alias("confidence"))
+    mine = lambda df, column: df.where(F.col(column).isin(*ids))
+    full = F.lit(1000)
+    parts = [
+        row(mine(graph.relations, "subject"), "subject", "outbound", "object", "predicate", F.col("confidence")),
+        row(mine(graph.relations, "object"), "object", "inbound", "subject", "predicate", F.col("confidence")),
+    ]
+    if occurrences is not None:
+        parts.append(row(mine(occurrences, "enclosing"), "enclosing", "encloses", "id", "role", full))
+        parts.append(row(mine(occurrences, "target"), "target", "targeted_by", "id", "role", full))
+    if provenance is not None:
+        parts.append(row(mine(provenance, "id"), "id", "provenance", "producer", "version", full))
+    if coverage is not None:
+        scopes = wanted.select("id", F.explode(F.array(F.struct(F.lit("language").alias("scope_kind"), F.col("language").alias("scope_id")), F.struct(F.lit("path").alias("scope_kind"), F.col("path").alias("scope_id")))).alias("s")).select("id", "s.*")
+        parts.append(row(scopes.join(coverage, ["scope_kind", "scope_id"]), "id", "coverage", "scope_id", "status", full))
+    sides = parts[0]
+    for p in parts[1:]:
+        sides = sides.unionByName(p)
     named = sides.join(wanted.select("id", "kind", "name"), "id").select(*own.columns)
     order = Window.partitionBy("id", "section").orderBy("detail", "other")
     cut = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_rows).drop("r")
@@ -62,21 +96,30 @@ def relationships(
 
 
 def flow_trace(graph: Graph, start: str, families: list[str], target: str | None = None, direction: str = "outbound", min_confidence: int = 0, max_depth: int = 8, max_paths: int = 100) -> DataFrame:
-    """(path, hops, confidence, cyclic) with the path joined by '>'."""
-    edges = graph.of(*families).where(F.col("confidence") >= min_confidence)
+    """(path, hops, confidence, cyclic, truncated) of ``simple_paths`` over effective confidence, the path joined by '>'."""
     seeds = graph.entities.where(F.col("id") == start).select("id")
-    found = simple_paths(edges, seeds, target, direction, max_depth, max_paths)
-    return found.select(F.array_join("path", ">").alias("path"), "hops", "confidence", "cyclic")
+    found = simple_paths(edges_of(graph, families, min_confidence), seeds, target, direction, max_depth, max_paths)
+    return found.select(F.array_join("path", ">").alias("path"), "hops", "confidence", "cyclic", "truncated")
 
 
 def flow_frontier(graph: Graph, start: str, families: list[str], direction: str = "outbound", max_depth: int = 8) -> DataFrame:
-    """(reached_nodes, examined_edges) of the walk that a trace makes."""
-    edges = graph.of(*families)
+    """(reached_nodes, examined_edges, truncated, unresolved_boundaries) of the walk that a trace makes.
+
+    Truncated: an edge leads from the last hop to a node not reached. Boundaries: reached nodes that no
+    entity describes.
+    """
+    edges = materialize(graph.of(*families), "frontier-edges")
     seeds = graph.entities.where(F.col("id") == start).select("id")
     found = reach(edges, seeds, direction, max_depth)
-    inner = found.where(F.col("depth") < max_depth).select(F.col("node").alias("src"))
-    examined = oriented(edges.select("subject", "object"), direction).join(inner, "src", "left_semi").agg(F.count(F.lit(1)).alias("examined_edges"))
-    return found.agg(F.count(F.lit(1)).alias("reached_nodes")).join(F.broadcast(examined))
+    steps = oriented(edges.select("subject", "object"), direction)
+    examined = steps.join(found.where(F.col("depth") < max_depth).select(F.col("node").alias("src")), "src", "left_semi").agg(F.count(F.lit(1)).alias("examined_edges"))
+    beyond = steps.join(found.where(F.col("depth") == max_depth).select(F.col("node").alias("src")), "src", "left_semi")
+    beyond = beyond.join(found.select(F.col("node").alias("dst")), "dst", "left_anti").agg((F.count(F.lit(1)) > 0).alias("truncated"))
+    unknown = found.join(graph.entities.select(F.col("id").alias("node")), "node", "left_anti").agg(F.count(F.lit(1)).alias("unresolved_boundaries"))
+    out = found.agg(F.count(F.lit(1)).alias("reached_nodes"))
+    for one in (examined, beyond, unknown):  # a row each
+        out = out.join(F.broadcast(one))
+    return out
 
 
 def project_edges(graph: Graph, edges: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
@@ -89,44 +132,70 @@ def project_edges(graph: Graph, edges: DataFrame, kinds: tuple[str, ...] | None)
     return edges.groupBy("subject", "object").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("weight"))
 
 
-def cycles(graph: Graph, families: list[str], min_size: int = 2, max_cycles: int = 200, kinds: tuple[str, ...] | None = None, min_confidence: int = 0, rank_by: str = "size", include_self: bool = False) -> DataFrame:
-    """(component, size, members, internal_edges, edge_weight, break_cost): strong components, ranked."""
-    edges = project_edges(graph, graph.of(*families).where(F.col("confidence") >= min_confidence), kinds)
+def _inside(edges: DataFrame, include_self: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the strong components, and the edges (component, subject, object, ..) inside them."""
+    edges = materialize(edges, "cycle-edges")
     member = strong_components(edges)
     if include_self:
         own = edges.where("subject = object").select(F.col("subject").alias("node"), F.col("subject").alias("component"))
         member = member.union(own.join(member.select("node"), "node", "left_anti"))
+    member = materialize(member, "cycle-members")
     inner = edges.join(member.select(F.col("node").alias("subject"), "component"), "subject")
-    inner = inner.join(member.select(F.col("node").alias("object"), F.col("component").alias("c2")), "object").where("component = c2")
+    inner = inner.join(member.select(F.col("node").alias("object"), F.col("component").alias("c2")), "object").where("component = c2").drop("c2")
+    return member, materialize(inner, "cycle-inner")
+
+
+def cycle_members(graph: Graph, families: list[str], kinds: tuple[str, ...] | None = None, min_confidence: int = 0) -> DataFrame:
+    """(component, node) of every strong component, a row for each member."""
+    member, _ = _inside(project_edges(graph, edges_of(graph, families, min_confidence), kinds))
+    return member.select("component", "node")
+
+
+def cycles(
+    graph: Graph,
+    families: list[str],
+    min_size: int = 2,
+    max_cycles: int = 200,
+    kinds: tuple[str, ...] | None = None,
+    min_confidence: int = 0,
+    rank_by: str = "size",
+    include_self: bool = False,
+    max_members: int = 64,
+) -> DataFrame:
+    """(component, size, members, internal_edges, edge_weight, change_risk, break_cost): strong components, ranked.
+
+    Confidence is effective: ``edge_weight`` is its sum, ``break_cost`` its least, over edges inside.
+    ``change_risk``: history edges between members. ``members``: the first ``max_members`` of them;
+    ``cycle_members`` has all as rows. Ranks: size, weight, change_risk, break_cost, all downwards.
+    """
+    member, inner = _inside(project_edges(graph, edges_of(graph, families, min_confidence), kinds), include_self)
     sums = inner.groupBy("component").agg(F.count(F.lit(1)).alias("internal_edges"), F.sum("confidence").alias("edge_weight"), F.min("confidence").alias("break_cost"))
-    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.sort_array(F.collect_list("node")), ",").alias("members"))
-    out = sizes.where((F.col("size") >= min_size) | (F.lit(include_self) & (F.col("size") == 1))).join(sums, "component")
-    return out.orderBy(F.desc({"size": "size", "weight": "edge_weight", "break_cost": "break_cost"}[rank_by]), "component").limit(max_cycles)
+    first = member.withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where(F.col("r") <= max_members)
+    shown = first.groupBy("component").agg(F.array_join(F.sort_array(F.collect_list("node")), ",").alias("members"))
+    past = project_edges(graph, graph.of("history"), kinds)
+    past = past.join(member.select(F.col("node").alias("subject"), "component"), "subject")
+    past = past.join(member.select(F.col("node").alias("object"), F.col("component").alias("c2")), "object").where("component = c2")
+    risk = past.groupBy("component").agg(F.sum("weight").alias("change_risk"))
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    out = sizes.where((F.col("size") >= min_size) | (F.lit(include_self) & (F.col("size") == 1))).join(shown, "component").join(sums, "component")
+    out = out.join(risk, "component", "left").fillna(0, ["change_risk"])
+    out = out.select("component", "size", "members", "internal_edges", "edge_weight", "change_risk", "break_cost")
+    order = {"size": "size", "weight": "edge_weight", "change_risk": "change_risk", "break_cost": "break_cost"}[rank_by]
+    return out.orderBy(F.desc(order), "component").limit(max_cycles)
 
 
 def break_candidates(graph: Graph, families: list[str], per_component: int = 3) -> DataFrame:
-    """(component, subject, object, cost, rank): the cheapest edges inside each cycle, cost being the confidence."""
-    edges = project_edges(graph, graph.of(*families), None)
-    member = strong_components(edges)
-    inner = edges.join(member.select(F.col("node").alias("subject"), "component"), "subject")
-    inner = inner.join(member.select(F.col("node").alias("object"), F.col("component").alias("c2")), "object").where("component = c2")
+    """(component, subject, object, cost, rank): the cheapest edges inside each cycle, cost being the effective confidence."""
+    _, inner = _inside(project_edges(graph, edges_of(graph, families), None))
     order = Window.partitionBy("component").orderBy("confidence", "subject", "object")
     ranked = inner.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_component)
     return ranked.select("component", "subject", "object", F.col("confidence").alias("cost"), "rank")
 
 
-def representative_cycles(graph: Graph, families: list[str], max_depth: int = 8) -> DataFrame:
+def representative_cycles(graph: Graph, families: list[str]) -> DataFrame:
     """(component, path, confidence): for each component a shortest cycle through its least node, first node repeated last."""
-    edges = project_edges(graph, graph.of(*families), None)
-    member = strong_components(edges)
-    inner = edges.join(member.select(F.col("node").alias("subject"), "component"), "subject")
-    inner = inner.join(member.select(F.col("node").alias("object"), F.col("component").alias("c2")), "object").where("component = c2")
-    seeds = member.select(F.col("component").alias("id")).distinct()
-    walks = simple_paths(inner, seeds, None, "outbound", max_depth, 1000).where("cyclic")
-    closed = walks.where(F.element_at("path", 1) == F.element_at("path", -1))
-    order = Window.partitionBy(F.element_at("path", 1)).orderBy("hops", F.desc("confidence"), "path")
-    best = closed.withColumn("r", F.row_number().over(order)).where("r = 1")
-    return best.select(F.element_at("path", 1).alias("component"), F.array_join("path", ">").alias("path"), "confidence")
+    _, inner = _inside(project_edges(graph, edges_of(graph, families), None))
+    return shortest_cycles(inner).select("component", F.array_join("path", ">").alias("path"), "confidence")
 
 
 def overview_components(graph: Graph, kinds: tuple[str, ...], max_components: int = 50) -> DataFrame:
@@ -159,41 +228,96 @@ def hotspots(connections: DataFrame) -> DataFrame:
     return both.join(F.broadcast(most)).select("component", "fan_in", "fan_out", F.expr("(fan_in + fan_out) * 1000 div most").alias("score"))
 
 
-def dead_code(graph: Graph, entries: DataFrame, kinds: tuple[str, ...], families: list[str], max_depth: int = 16, include_exported: bool = True) -> DataFrame:
-    """(symbol, classification, confidence, incoming_edges, strongest): entities of ``kinds`` that ``entries`` (id) don't reach.
+#: What each policy takes for entry points beside those given: public entities, tests, kinds.
+DEAD_POLICIES = {
+    "standard": (False, True, ()),
+    "library": (True, True, ()),
+    "application": (False, True, ("route", "service")),
+    "framework_specific": (False, True, ("route", "service", "event", "migration")),
+    "explicit": (False, False, ()),
+}
+
+
+def dead_code(
+    graph: Graph,
+    entries: DataFrame,
+    kinds: tuple[str, ...],
+    families: list[str],
+    policy: str = "standard",
+    include_exported: bool = False,
+    include_tests: bool = False,
+    min_confidence: int = 0,
+    max_depth: int | None = None,
+) -> DataFrame:
+    """(symbol, classification, confidence, why, incoming_edges, strongest): entities of ``kinds`` that no entry point reaches.
 
-    No incoming edge: isolated, 300. Incoming at 900 or more: strongly_referenced, 100; else weakly_referenced, 200.
+    Entry points are ``entries`` (id) and what ``policy`` adds. They are followed until nothing new is
+    reached, unless ``max_depth`` is given. Exported entities and tests are suppressed unless asked
+    for. No incoming edge: isolated, 300. Incoming at an effective confidence of 900 or more:
+    strongly_referenced, 100; else weakly_referenced, 200. All of it is evidence from partial entry
+    points, which ``why`` says. By confidence downwards, then symbol.
     """
-    edges = graph.of(*families)
-    alive = reach(edges, entries, "outbound", max_depth).select(F.col("node").alias("id"))
+    public, tests, more = DEAD_POLICIES[policy]
+    edges = materialize(edges_of(graph, families, min_confidence), "dead-edges")
+    also = F.col("kind").isin(*more) if more else F.lit(False)
+    if public:
+        also = also | (F.col("visibility") == "public")
+    if tests:
+        also = also | (F.col("kind") == "test")
+    start = entries.select("id").union(graph.entities.where(also).select("id"))
+    alive = reach(edges, start, "outbound", max_depth).select(F.col("node").alias("id"))
     rows = graph.entities.where(F.col("kind").isin(*kinds))
     if not include_exported:
         rows = rows.where("visibility <> 'public'")
+    if not include_tests:
+        rows = rows.where("kind <> 'test'")
     rows = rows.select("id").join(alive, "id", "left_anti")
     incoming = edges.groupBy(F.col("object").alias("id")).agg(F.count(F.lit(1)).alias("incoming_edges"), F.max("confidence").alias("strongest"))
     out = rows.join(incoming, "id", "left").fillna(0, ["incoming_edges", "strongest"])
-    name = F.when(F.col("incoming_edges") == 0, "isolated").when(F.col("strongest") >= 900, "strongly_referenced").otherwise("weakly_referenced")
-    level = F.when(F.col("incoming_edges") == 0, 300).when(F.col("strongest") >= 900, 100).otherwise(200)
-    return out.select(F.col("id").alias("symbol"), name.alias("classification"), level.alias("confidence"), "incoming_edges", "strongest")
+    none, strong = F.col("incoming_edges") == 0, F.col("strongest") >= 900
+    name = F.when(none, "isolated").when(strong, "strongly_referenced").otherwise("weakly_referenced")
+    level = F.when(none, 300).when(strong, 100).otherwise(200)
+    partial = "not_observed_from_partial_entry_points"
+    why = F.when(none, f"no_incoming_references,{partial}").otherwise(partial)
+    out = out.select(F.col("id").alias("symbol"), name.alias("classification"), level.alias("confidence"), why.alias("why"), "incoming_edges", "strongest")
+    return out.orderBy(F.desc("confidence"), "symbol")
+
+
+def dead_code_suppressions(graph: Graph, kinds: tuple[str, ...], include_exported: bool = False, include_tests: bool = False) -> DataFrame:
+    """(reason, count) of the entities of ``kinds`` that ``dead_code`` doesn't judge."""
+    rows = graph.entities.where(F.col("kind").isin(*kinds))
+    reason = F.when((F.col("visibility") == "public") & F.lit(not include_exported), "exported").when((F.col("kind") == "test") & F.lit(not include_tests), "test")
+    return rows.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
+
+
+def resolve_changes(graph: Graph, paths: DataFrame) -> DataFrame:
+    """(id, path, classification) of changed files (path): symbol_level for each entity that lies there, file_level where none does."""
+    at = paths.select("path").distinct().join(graph.entities.select("id", "path"), "path", "left")
+    return at.select("id", "path", F.when(F.col("id").isNull(), "file_level").otherwise("symbol_level").alias("classification"))
 
 
 def change_impact(graph: Graph, changed: DataFrame, families: list[str], max_depth: int = 3, policy: str = "standard") -> DataFrame:
-    """(symbol, distance, confidence, is_public): what depends on ``changed`` (id), by reverse steps.
+    """(symbol, distance, confidence, via, dynamic, is_public): what depends on ``changed`` (id), by reverse steps.
 
-    direct_only takes one step; standard leaves out links below 300; conservative takes all.
+    direct_only takes one step; standard leaves out links of an effective confidence below 300;
+    conservative takes all. ``via``: families of the links that lead one step nearer; ``dynamic``: all
+    of these are dispatch candidates, so the dependence itself is not sure.
     """
-    edges = graph.of(*families)
-    if policy == "standard":
-        edges = edges.where("confidence >= 300")
-    found = reach(edges, changed, "inbound", 1 if policy == "direct_only" else max_depth).where("depth > 0")
-    public = graph.entities.select("id", (F.col("visibility") == "public").alias("is_public"))
-    out = found.join(public, found["node"] == public["id"], "left")
-    return out.select(F.col("node").alias("symbol"), F.col("depth").alias("distance"), "confidence", F.coalesce("is_public", F.lit(False)).alias("is_public"))
+    edges = materialize(edges_of(graph, families, 300 if policy == "standard" else 0), "impact-edges")
+    found = reach(edges, changed, "inbound", 1 if policy == "direct_only" else max_depth)
+    near = found.select(F.col("node").alias("object"), (F.col("depth") + 1).alias("depth"))
+    steps = edges.select(F.col("subject").alias("node"), "object", "family", "predicate").join(near, "object")
+    via = steps.join(found.select("node", "depth"), ["node", "depth"]).groupBy("node").agg(
+        F.array_join(F.sort_array(F.collect_set("family")), ",").alias("via"), F.bool_and(F.col("predicate") == "dispatch_candidate").alias("dynamic")
+    )
+    public = graph.entities.select(F.col("id").alias("node"), (F.col("visibility") == "public").alias("is_public"))
+    out = found.where("depth > 0").join(via, "node").join(public, "node", "left")
+    return out.select(F.col("node").alias("symbol"), F.col("depth").alias("distance"), "confidence", "via", "dynamic", F.coalesce("is_public", F.lit(False)).alias("is_public"))
 
 
 def risk_summary(impact: DataFrame) -> DataFrame:
-    """(level, fanout, breaking_surface): none 0, low under 5, medium under 20, else high; public and 20 or more: critical."""
-    sums = impact.agg(F.count(F.lit(1)).alias("fanout"), F.count_if("is_public").alias("breaking_surface"))
+    """(level, fanout, breaking_surface, dynamic_blind_spots): none 0, low under 5, medium under 20, else high; public and 20 or more: critical."""
+    sums = impact.agg(F.count(F.lit(1)).alias("fanout"), F.count_if("is_public").alias("breaking_surface"), F.count_if("dynamic").alias("dynamic_blind_spots"))
     level = (
         F.when(F.col("fanout") == 0, "none")
         .when((F.col("fanout") >= 20) & (F.col("breaking_surface") > 0), "critical")
@@ -201,15 +325,38 @@ def risk_summary(impact: DataFrame) -> DataFrame:
         .when(F.col("fanout") >= 5, "medium")
         .otherwise("low")
     )
-    return sums.select(level.alias("level"), "fanout", "breaking_surface")
+    return sums.select(level.alias("level"), "fanout", "breaking_surface", "dynamic_blind_spots")
+
+
+#: Kinds of tests, by what their path holds; the first that fits.
+TEST_KINDS = (("end_to_end", r"(^|/)e2e(/|_)|end_to_end"), ("integration", r"(^|/)integration|_it\."), ("property", r"prop(erty)?_?test|(^|/)fuzz"), ("benchmark", r"(^|/)bench"), ("snapshot", r"snapshot|golden"))
+
 
+def kind_of_test(path: Column) -> Column:
+    """The kind of a test by its path."""
+    out = F.lit("unit")
+    for kind, pattern in reversed(TEST_KINDS):
+        out = F.when(path.rlike(pattern), kind).otherwise(out)
+    return out
 
-def select_tests(graph: Graph, subjects: DataFrame, max_hops: int = 2, max_results: int = 100, budget: int | None = None, cost: int = 1) -> DataFrame:
-    """(test, score, why, rank): tests of ``subjects`` (id) ranked; direct edge 900 or its confidence, through callers 700 - 100 a hop.
 
-    With ``budget`` the ranked tests are taken while their running cost fits.
+def select_tests(
+    graph: Graph,
+    subjects: DataFrame,
+    max_hops: int = 2,
+    max_results: int = 100,
+    budget: int | None = None,
+    cost: int = 1,
+    kinds: tuple[str, ...] | None = None,
+    co_located: bool = False,
+) -> DataFrame:
+    """(test, score, why, rank): tests of ``subjects`` (id) ranked; direct edge 900 or its effective confidence, through callers 700 - 100 a hop.
+
+    With ``co_located`` tests that lie in the folder of a subject count 300. ``kinds``: of
+    ``TEST_KINDS`` or unit, by path. With ``budget`` the ranked tests are taken while their running
+    cost fits.
     """
-    tests = graph.of("tests").select(F.col("subject").alias("test"), F.col("object").alias("node"), "confidence")
+    tests = edges_of(graph, ["tests"]).select(F.col("subject").alias("test"), F.col("object").alias("node"), "confidence")
     near = reach(graph.of("calls", "build_dependency"), subjects, "inbound", max_hops)
     hit = tests.join(near.select("node", "depth"), "node")
     scored = hit.select(
@@ -217,15 +364,34 @@ def select_tests(graph: Graph, subjects: DataFrame, max_hops: int = 2, max_resul
         F.when(F.col("depth") == 0, F.least("confidence", F.lit(900))).otherwise(700 - 100 * F.col("depth")).alias("score"),
         F.when(F.col("depth") == 0, "direct_test_edge").otherwise(F.concat(F.lit("via:calls:"), F.col("depth").cast("string"))).alias("why"),
     )
+    folder = F.regexp_extract("path", "^(.*)/", 1)
+    if co_located:
+        there = graph.entities.join(subjects.select("id").distinct(), "id", "left_semi").select(folder.alias("folder")).where("folder <> ''").distinct()
+        beside = graph.entities.where("kind = 'test'").select(F.col("id").alias("test"), folder.alias("folder")).join(there, "folder", "left_semi")
+        scored = scored.union(beside.select("test", F.lit(300), F.lit("co_located")))
+    if kinds:
+        of_kind = graph.entities.where(kind_of_test(F.col("path")).isin(*kinds)).select(F.col("id").alias("test"))
+        scored = scored.join(of_kind, "test", "left_semi")
     best = scored.groupBy("test").agg(F.max("score").alias("score"), F.array_join(F.sort_array(F.collect_set("why")), ",").alias("why"))
     top = best.orderBy(F.desc("score"), "test").limit(max_results)  # the report's bound; ranks are of the report
     out = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "test")))
     return out.where(F.col("rank") * cost <= budget) if budget is not None else out
 
 
+def gaps_of_tests(graph: Graph, subjects: DataFrame, max_hops: int = 2) -> DataFrame:
+    """(id): subjects that no test reaches, directly or through callers."""
+    tested = graph.of("tests").select(F.col("object").alias("id")).distinct()
+    covered = reach(graph.of("calls", "build_dependency"), tested, "outbound", max_hops)
+    return subjects.select("id").distinct().join(covered.select(F.col("node").alias("id")), "id", "left_anti")
+
+
 def compare(base: Graph, head: Graph) -> DataFrame:
-    """(id, change, significance, consumers): entities added, removed, renamed or modified, with consumers of the base."""
-    cols = ("kind", "name", "qualified_name", "visibility", "container_id", "language")
+    """(id, change, significance, consumers): entities added, removed, renamed, moved, of another signature or modified, with consumers of the base.
+
+    Signatures are compared where both sides have the column ``signature``.
+    """
+    signed = "signature" in base.entities.columns and "signature" in head.entities.columns
+    cols = ("kind", "name", "qualified_name", "visibility", "container_id", "language", *(("signature",) if signed else ()))
     b = base.entities.select("id", F.struct(*cols).alias("b"))
     h = head.entities.select("id", F.struct(*cols).alias("h"))
     joined = b.join(h, "id", "full_outer").where(~F.col("b").eqNullSafe(F.col("h")))
@@ -234,6 +400,7 @@ def compare(base: Graph, head: Graph) -> DataFrame:
         .when(F.col("h").isNull(), "removed")
         .when(~F.col("b.qualified_name").eqNullSafe(F.col("h.qualified_name")), "renamed")
         .when(~F.col("b.container_id").eqNullSafe(F.col("h.container_id")), "moved")
+        .when(~F.col("b.signature").eqNullSafe(F.col("h.signature")) if signed else F.lit(False), "signature_modified")
         .otherwise("modified")
     )
     consumers = base.relations.where("predicate <> 'contains' AND predicate <> 'declares'").groupBy(F.col("object").alias("id")).agg(F.count_distinct("subject").alias("consumers"))
@@ -241,6 +408,7 @@ def compare(base: Graph, head: Graph) -> DataFrame:
     weight = (
         F.when((F.col("change") == "removed") & (F.col("visibility") == "public"), 1000)
         .when(F.col("change") == "removed", 800)
+        .when(F.col("change") == "signature_modified", 900)
         .when(F.col("change").isin("renamed", "moved"), 700)
         .when(F.col("change") == "added", 600)
         .otherwise(400)
@@ -269,9 +437,32 @@ def lineage(base: Graph, head: Graph) -> DataFrame:
     )
 
 
-def plan_change(graph: Graph, targets: DataFrame, families: list[str], max_steps: int = 6) -> DataFrame:
-    """(step, action, symbol, depends_on): change the targets, then dependents by distance, then run the tests; ``max_steps`` of them."""
-    edit = targets.select(F.lit(0).alias("phase"), F.lit("edit_target").alias("action"), F.col("id").alias("symbol"))
+def compare_lineage(head: Graph) -> DataFrame:
+    """(id, change, parts): entities split or merged, as the head's lineage relations tell; parts of a split, sources of a merger."""
+    r = head.relations.where(F.col("predicate").isin("lineage_split_from", "lineage_merged_from"))
+    split = r.where("predicate = 'lineage_split_from'").groupBy(F.col("object").alias("id")).agg(F.count_distinct("subject").alias("parts"))
+    merged = r.where("predicate = 'lineage_merged_from'").groupBy(F.col("subject").alias("id")).agg(F.count_distinct("object").alias("parts"))
+    return split.select("id", F.lit("split").alias("change"), "parts").union(merged.select("id", F.lit("merged"), "parts"))
+
+
+def compare_architecture(base: Graph, head: Graph, kinds: tuple[str, ...], families: list[str]) -> DataFrame:
+    """(source, target, family, change, weight_before, weight_after): connections between components that came, went or changed in weight."""
+    side = lambda g, n: overview_connections(g, kinds, families).select("source", "target", "family", F.col("weight").alias(n))
+    j = side(base, "b").join(side(head, "h"), ["source", "target", "family"], "full_outer").where(~F.col("b").eqNullSafe(F.col("h")))
+    change = F.when(F.col("b").isNull(), "added").when(F.col("h").isNull(), "removed").otherwise("architecture_changed")
+    return j.select("source", "target", "family", change.alias("change"), F.coalesce("b", F.lit(0)).alias("weight_before"), F.coalesce("h", F.lit(0)).alias("weight_after"))
+
+
+#: What is done to the targets of a plan, by its objective.
+OBJECTIVES = {"bug_fix": "edit_target", "refactor": "refactor_target", "explanation": "read_target", "migration": "migrate_target", "review": "review_target"}
+
+
+def plan_change(graph: Graph, targets: DataFrame, families: list[str], max_steps: int = 6, objective: str = "bug_fix") -> DataFrame:
+    """(step, action, symbol, depends_on): change the targets, then dependents by distance, then run the tests; ``max_steps`` of them.
+
+    What is done to the targets is that of ``objective``; each step depends on the one before.
+    """
+    edit = targets.select(F.lit(0).alias("phase"), F.lit(OBJECTIVES[objective]).alias("action"), F.col("id").alias("symbol"))
     impact = change_impact(graph, targets, families, max_depth=2)
     adapt = impact.select(F.col("distance").alias("phase"), F.lit("adapt_dependent").alias("action"), "symbol")
     check = select_tests(graph, targets, max_hops=1, max_results=max_steps).select(F.lit(9).alias("phase"), F.lit("run_test").alias("action"), F.col("test").alias("symbol"))

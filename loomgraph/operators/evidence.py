@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.budget import Budget, BudgetExceeded
+
 # Roles by priority, roles each objective needs, and the bounds of a pack.
 ROLES = ("definition", "implementation", "caller", "test", "risk", "architecture", "change")
 REQUIRED = {
@@ -33,59 +38,54 @@ def rank_columns(objective: str, diversity: str = "balanced") -> list[Column]:
     return [F.desc("anchor"), F.desc(F.col("role").isin(*REQUIRED[objective])), at(favoured), at(ROLES), F.desc("relevance"), F.desc("confidence"), F.col("id")]
 
 
-def select_pack(rows: pd.DataFrame, objective: str, budget: int) -> pd.DataFrame:
-    """One pack from ranked candidates: anchors and one of each required role are reserved, the rest is filled in order."""
-    rows = rows.sort_values("position")
-    reserved: set[int] = set()
-    spent = 0
-    records = rows.to_dict("records")
+def _reserved(rows: pd.DataFrame, objective: str, budget: int) -> np.ndarray:
+    """A mask of what a pack holds whatever else comes: the cheapest anchors that fit, then the first of each required role."""
+    held = np.zeros(len(rows), bool)
+    anchors = rows[rows["anchor"]].sort_values(["tokens", "relevance", "confidence", "id"], ascending=[True, False, False, True])
+    # Cheapest first, so those that fit are a prefix.
+    fits = anchors["tokens"].cumsum() <= budget
+    held[anchors.index[fits.to_numpy()][:MAX_ITEMS]] = True
+    for role in REQUIRED[objective]:
+        of_role = (rows["role"] == role).to_numpy()
+        room = budget - rows["tokens"][held].sum()
+        free = of_role & (rows["tokens"] <= room).to_numpy()
+        if not held[of_role].any() and free.any() and held.sum() < MAX_ITEMS:
+            held[free.argmax()] = True
+    return held
 
-    def reserve(i: int) -> bool:
-        nonlocal spent
-        if len(reserved) < MAX_ITEMS and spent + records[i]["tokens"] <= budget:
-            reserved.add(i)
-            spent += records[i]["tokens"]
-            return True
-        return False
 
-    anchors = [i for i, r in enumerate(records) if r["anchor"]]
-    for i in sorted(anchors, key=lambda i: (records[i]["tokens"], -records[i]["relevance"], -records[i]["confidence"], records[i]["id"])):
-        reserve(i)
-    for role in REQUIRED[objective]:
-        if not any(records[i]["role"] == role for i in reserved):
-            for i, r in enumerate(records):
-                if r["role"] == role and i not in reserved and reserve(i):
-                    break
-    left, taken, paths, providers, regions = budget - spent, 0, {}, {}, set()
-    waiting, outcome = len(reserved), []
-    for i, r in enumerate(records):
-        path, provider, region = r["path"], r["provider"], (r["path"], r["region"])
-        if i in reserved:
-            waiting -= 1
+def select_pack(rows: pd.DataFrame, objective: str, budget: int) -> pd.DataFrame:
+    """One pack from ranked candidates: what ``_reserved`` holds, and in order whatever the limits and the budget still allow."""
+    rows = rows.sort_values("position", ignore_index=True)
+    held = _reserved(rows, objective, budget)
+    room = budget - int(rows["tokens"][held].sum())
+    to_come = held[::-1].cumsum()[::-1]
+    quotas = {"path": PER_PATH, "provider": PER_PROVIDER, "place": 1}
+    used, selected, outcome = Counter(), 0, []
+    for row, is_held, later in zip(rows.itertuples(), held, to_come):
+        keys = (("path", row.path), ("provider", row.provider), ("place", (row.path, row.region)))
+        if is_held:
+            verdict = "selected"
+        elif selected + later >= MAX_ITEMS:
+            verdict = "item_limit"
+        elif any(used[k] >= quotas[k[0]] for k in keys):
+            verdict = "diversity"
         else:
-            verdict = None
-            if taken + waiting >= MAX_ITEMS:
-                verdict = "item_limit"
-            elif paths.get(path, 0) >= PER_PATH or providers.get(provider, 0) >= PER_PROVIDER or region in regions:
-                verdict = "diversity"
-            elif r["tokens"] > left:
-                verdict = "budget"
-            if verdict:
-                outcome.append(verdict)
-                continue
-            left -= r["tokens"]
-        outcome.append("selected")
-        taken += 1
-        paths[path] = paths.get(path, 0) + 1
-        providers[provider] = providers.get(provider, 0) + 1
-        regions.add(region)
+            verdict = "selected" if row.tokens <= room else "budget"
+            room -= row.tokens if verdict == "selected" else 0
+        if verdict == "selected":
+            selected += 1
+            used.update(keys)
+        outcome.append(verdict)
     return rows.assign(outcome=outcome)[["pack", "position", "id", "role", "tokens", "outcome"]]
 
 
-def pack_evidence(candidates: DataFrame, objective: str, budget: int, diversity: str = "balanced") -> DataFrame:
+def pack_evidence(candidates: DataFrame, objective: str, budget: int, diversity: str = "balanced", bounds: Budget = Budget()) -> DataFrame:
     """(pack, position, id, role, tokens, outcome): selected, or why not. ``candidates``: pack, id, role, relevance,
     confidence, tokens, path, provider, region, anchor. The fill depends on what was taken before, so each pack
-    (a bounded request) is one group."""
+    is one group; a pack is a request of at most ``bounds.candidates``, and a larger one is refused."""
+    if not candidates.groupBy("pack").count().where(F.col("count") > bounds.candidates).isEmpty():
+        raise BudgetExceeded("candidates", bounds.candidates)
     ranked = candidates.withColumn("position", F.row_number().over(Window.partitionBy("pack").orderBy(*rank_columns(objective, diversity))))
     return ranked.groupBy("pack").applyInPandas(
         lambda rows: select_pack(rows, objective, budget), "pack string, position int, id string, role string, tokens long, outcome string"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, read_all, release
 
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -21,80 +21,106 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     return {"outbound": lambda: out, "inbound": lambda: back, "both": lambda: out.unionByName(back)}[direction]()
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "outbound", max_depth: int = 5) -> DataFrame:
+def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "outbound", max_depth: int | None = 5) -> DataFrame:
     """(node, depth): what ``seeds`` (id) reach, each node once at its least depth; seeds at 0 are left out."""
     found = reach(edges.select("subject", "object", F.lit(1000).alias("confidence")), seeds, direction, max_depth)
     return found.where("depth > 0").select("node", "depth")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int) -> DataFrame:
-    """(node, depth, confidence): least depth and, over shortest walks, the best weakest-link confidence; seeds have 1000."""
+def reach(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int | None = None) -> DataFrame:
+    """(node, depth, confidence): least depth and, over shortest walks, the best weakest-link confidence; seeds have 1000.
+
+    Without ``max_depth`` until a hop finds nothing new. A hop joins the edges with the last level and
+    drops what any level holds already; levels are written, and read again as one table.
+    """
     steps = oriented(edges.select("subject", "object", "confidence"), direction)
     seen = seeds.select(F.col("id").alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.lit(1000).alias("confidence"))
     levels = [materialize(seen, "reach-0")]
-    for depth in range(1, max_depth + 1):
+    while max_depth is None or len(levels) <= max_depth:
         before = levels[-1].select(F.col("node").alias("src"), F.col("confidence").alias("c"))
         step = steps.join(before, "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.least("confidence", "c")).alias("confidence"))
-        for level in levels:
-            step = step.join(level.select("node"), "node", "left_anti")
-        level = materialize(step.select("node", F.lit(depth).alias("depth"), "confidence"), f"reach-{depth}")
+        step = step.join(read_all(levels).select("node"), "node", "left_anti")
+        level = materialize(step.select("node", F.lit(len(levels)).alias("depth"), "confidence"), f"reach-{len(levels)}")
         if level.isEmpty():
             break
         levels.append(level)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return read_all(levels)
+
+
+#: Open walks of a seed that one hop of a search for a target may hold; beyond it the answer says that it is cut.
+OPEN_WALKS = 100_000
 
 
 def simple_paths(
     edges: DataFrame, seeds: DataFrame, target: str | None = None, direction: str = "outbound", max_depth: int = 8, max_paths: int = 100
 ) -> DataFrame:
-    """(path, hops, confidence, cyclic): walks without a repeated node, or with one closing hop back to a node on them (cyclic).
+    """(path, hops, confidence, cyclic, truncated): the first ``max_paths`` of each seed by hops, confidence downwards and path.
 
-    With ``target`` only paths that end there; without, every maximal outward walk. Each round keeps
-    the ``max_paths`` strongest open walks of a seed (confidence, then path), the bound the caller set.
+    Walks have no repeated node, but for one closing hop back to a node on them (cyclic). Without
+    ``target`` every outward walk of one hop or more counts, so a seed is done once it has enough: no
+    longer walk comes before those found. With it only paths that end there count, and walks are kept
+    while the target is near enough for the hops left. ``truncated``: there are more of this seed than
+    are returned, or, with ``target``, a hop had over ``OPEN_WALKS`` walks and kept the strongest.
     """
     steps = oriented(edges.select("subject", "object", "confidence"), direction)
-    steps = steps.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
-    open_ = seeds.select(F.array("id").alias("path"), F.lit(1000).alias("confidence"))
+    steps = materialize(steps.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")), "paths-steps")
+    near = None
+    if target:
+        back = {"outbound": "inbound", "inbound": "outbound", "both": "both"}[direction]
+        goal = steps.sparkSession.createDataFrame([(target,)], "id string")
+        near = reach(edges, goal, back, max_depth).select(F.col("node").alias("dst"), F.col("depth").alias("left"))
+    seed = F.element_at("path", 1)
+    open_ = seeds.select(F.array("id").alias("path"), F.lit(1000).alias("confidence"), F.lit(False).alias("cut"))
     done: list[DataFrame] = []
-    rank = Window.partitionBy(F.element_at("path", 1)).orderBy(F.desc("confidence"), "path")
+    rank = Window.partitionBy(seed).orderBy(F.desc("confidence"), "path")
     for hop in range(1, max_depth + 1):
-        ends = open_.select("path", F.col("confidence").alias("c"), F.element_at("path", -1).alias("src"))
-        grown = ends.join(steps, "src").select(
+        ends = open_.select("path", F.col("confidence").alias("c"), F.element_at("path", -1).alias("src"), "cut")
+        grown = ends.join(steps, "src")
+        if near is not None:
+            grown = grown.join(near, "dst").where(F.col("left") <= max_depth - hop)
+        grown = grown.select(
             F.concat("path", F.array("dst")).alias("path"),
             F.least("c", "confidence").alias("confidence"),
             F.array_contains("path", F.col("dst")).alias("cyclic"),
-            (F.col("dst") == F.lit(target)).alias("arrived") if target else F.lit(False).alias("arrived"),
+            (F.col("dst") == F.lit(target)).alias("arrived") if target else F.lit(True).alias("arrived"),
             F.lit(hop).alias("hops"),
+            "cut",
         )
+        if target:
+            grown = grown.where("NOT cyclic")
         grown = materialize(grown, f"paths-{hop}")
-        closed = grown.where("arrived AND NOT cyclic") if target else grown
-        done.append(closed.select("path", "hops", "confidence", "cyclic"))
-        more = grown.where("NOT cyclic AND NOT arrived").select("path", "confidence")
-        if more.isEmpty():
+        done.append(grown)
+        more = grown.where("NOT cyclic AND NOT arrived" if target else "NOT cyclic")
+        counts = read_all(done).groupBy(seed.alias("seed")).agg(F.count_if("arrived").alias("n"))
+        if hop == max_depth or more.isEmpty():
+            break
+        enough = counts.where(F.col("n") > max_paths).select("seed")
+        more = more.withColumn("seed", seed).join(enough, "seed", "left_anti")
+        if target:
+            more = more.withColumn("r", F.row_number().over(rank)).withColumn("cut", F.col("cut") | (F.count(F.lit(1)).over(Window.partitionBy(seed)) > OPEN_WALKS))
+            more = more.where(F.col("r") <= OPEN_WALKS)
+        open_ = materialize(more.select("path", "confidence", "cut"), f"paths-open-{hop}")
+        if open_.isEmpty():
             break
-        open_ = more.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= max_paths).drop("r")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    final = Window.partitionBy(F.element_at("path", 1)).orderBy("hops", F.desc("confidence"), "path")
-    return out.withColumn("r", F.row_number().over(final)).where(F.col("r") <= max_paths).drop("r")
+    found = read_all(done)
+    cuts = found.groupBy(seed.alias("seed")).agg((F.count_if("arrived") > max_paths).alias("over"), F.bool_or("cut").alias("cut"))
+    final = Window.partitionBy("seed").orderBy("hops", F.desc("confidence"), "path")
+    out = found.where("arrived").withColumn("seed", seed).withColumn("r", F.row_number().over(final)).where(F.col("r") <= max_paths)
+    return out.drop("cut").join(cuts, "seed").select("path", "hops", "confidence", "cyclic", (F.col("over") | F.col("cut")).alias("truncated"))
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) for every walk of one edge or more, by doubling; for projected graphs of few nodes."""
     now = materialize(edges.select(F.col("subject").alias("src"), F.col("object").alias("dst")).distinct(), "closure-0")
     size = now.count()
-    for k in range(1, max_rounds):
+    while True:
         left, right = now.select("src", F.col("dst").alias("mid")), now.select(F.col("src").alias("mid"), "dst")
-        after = materialize(now.union(left.join(right, "mid").select("src", "dst")).distinct(), f"closure-{k}")
+        after = materialize(now.union(left.join(right, "mid").select("src", "dst")).distinct(), "closure")
         grown = after.count()
+        release(now)
         if grown == size:
             return after
         now, size = after, grown
-    return now
 
 
 #: Graphs of at most so many edges take the closure; larger ones are coloured.
@@ -111,39 +137,96 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return _coloured(pairs)
 
 
-def _coloured(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Colour by the least node that reaches each node; within a colour, what reaches its root is one component."""
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """``pairs`` without the edges of nodes that nothing enters or that nothing leaves, until none is such."""
+    size = pairs.count()
+    while True:
+        ends = pairs.select(F.col("subject").alias("object")).distinct()
+        starts = pairs.select(F.col("object").alias("subject")).distinct()
+        after = materialize(pairs.join(ends, "object", "left_semi").join(starts, "subject", "left_semi").select("subject", "object"), "scc-edges")
+        left = after.count()
+        if left == size:
+            return after
+        pairs, size = after, left
+
+
+def _coloured(pairs: DataFrame) -> DataFrame:
+    """Colour by the least node that reaches each node; within a colour, what reaches its root is one component.
+
+    Nodes on no cycle are trimmed first, so what is coloured shrinks with the components that are
+    found. A hop sends only the colours that the last one changed.
+    """
     out = None
+    pairs = _trimmed(pairs)
     while not pairs.isEmpty():
-        nodes = pairs.select(F.col("subject").alias("node")).union(pairs.select("object")).distinct()
-        colour = materialize(nodes.withColumn("colour", F.col("node")), "scc-colour")
-        for _ in range(max_rounds):
-            sent = pairs.join(colour.withColumnRenamed("node", "subject"), "subject").groupBy(F.col("object").alias("node")).agg(F.min("colour").alias("got"))
-            after = colour.join(sent, "node", "left").select("node", F.least("colour", "got").alias("colour"), (F.col("got") < F.col("colour")).alias("changed"))
-            after = materialize(after, "scc-colour")
-            colour = after.select("node", "colour")
-            if after.where("changed").isEmpty():
+        nodes = pairs.select(F.col("subject").alias("node")).distinct()  # trimmed: every node has an edge out
+        colour = materialize(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("changed")), "scc-colour")
+        while True:
+            fresh = colour.where("changed").select(F.col("node").alias("subject"), F.col("colour").alias("sent"))
+            got = pairs.join(fresh, "subject").groupBy(F.col("object").alias("node")).agg(F.min("sent").alias("got"))
+            less = F.coalesce(F.col("got") < F.col("colour"), F.lit(False))
+            after = materialize(colour.join(got, "node", "left").select("node", F.when(less, F.col("got")).otherwise(F.col("colour")).alias("colour"), less.alias("changed")), "scc-colour")
+            release(colour)
+            colour = after
+            if colour.where("changed").isEmpty():
                 break
         own = pairs.join(colour.select(F.col("node").alias("subject"), F.col("colour").alias("cs")), "subject")
         own = own.join(colour.select(F.col("node").alias("object"), F.col("colour").alias("co")), "object").where("cs = co")
         own = materialize(own.select("subject", "object", F.col("cs").alias("colour")), "scc-own")
-        member = materialize(colour.where("node = colour"), "scc-member")
-        frontier = member
-        for _ in range(max_rounds):
-            back = own.join(frontier.select(F.col("node").alias("object"), "colour"), ["object", "colour"]).select(F.col("subject").alias("node"), "colour").distinct()
-            frontier = materialize(back.join(member, ["node", "colour"], "left_anti"), "scc-frontier")
-            if frontier.isEmpty():
+        levels = [materialize(colour.where("node = colour").select("node", "colour"), "scc-member")]
+        while True:
+            front = levels[-1].select(F.col("node").alias("object"), "colour")
+            back = own.join(front, ["object", "colour"]).select(F.col("subject").alias("node"), "colour").distinct()
+            level = materialize(back.join(read_all(levels), ["node", "colour"], "left_anti"), "scc-member")
+            if level.isEmpty():
                 break
-            member = materialize(member.union(frontier), "scc-member")
+            levels.append(level)
+        member = read_all(levels)
         many = member.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
-        part = member.join(many, "colour").select("node", F.col("colour").alias("component"))
+        part = materialize(member.join(many, "colour").select("node", F.col("colour").alias("component")), "scc-part")
         out = part if out is None else out.union(part)
         gone = member.select("node")
-        pairs = pairs.join(gone.withColumnRenamed("node", "subject"), "subject", "left_anti")
-        pairs = materialize(pairs.join(gone.withColumnRenamed("node", "object"), "object", "left_anti").select("subject", "object"), "scc-edges")
+        left = pairs.join(gone.withColumnRenamed("node", "subject"), "subject", "left_anti")
+        left = left.join(gone.withColumnRenamed("node", "object"), "object", "left_anti").select("subject", "object")
+        pairs = _trimmed(materialize(left, "scc-edges"))
     return out if out is not None else pairs.select(F.col("subject").alias("node"), F.col("object").alias("component"))
 
 
+def shortest_cycles(inner: DataFrame) -> DataFrame:
+    """(component, path array, confidence): of each component its shortest cycle through its least node.
+
+    ``inner``: component, subject, object, confidence, both ends in the component, which is named by
+    its least node. Of equally short cycles the one of strongest weakest link, then the first by path.
+    A first search finds length and strength, a second, over links that strong, the path; both go as
+    far as the cycle is long.
+    """
+    start = inner.select("component").distinct()
+    levels = [materialize(start.select("component", F.col("component").alias("node"), F.lit(0).alias("depth"), F.lit(1000).alias("b")), "cycle-0")]
+    closed: list[DataFrame] = []
+    while True:
+        hop = len(levels)
+        front = levels[-1].select("component", F.col("node").alias("subject"), "b")
+        step = materialize(inner.join(front, ["component", "subject"]).groupBy("component", F.col("object").alias("node")).agg(F.max(F.least("confidence", "b")).alias("b")), f"cycle-step-{hop}")
+        closed.append(materialize(step.where("node = component").select("component", F.lit(hop).alias("length"), F.col("b").alias("best")), f"cycle-closed-{hop}"))
+        fresh = step.join(closed[-1].select("component"), "component", "left_anti").join(read_all(levels).select("component", "node"), ["component", "node"], "left_anti")
+        level = materialize(fresh.select("component", "node", F.lit(hop).alias("depth"), "b"), f"cycle-{hop}")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    ends, depths = read_all(closed), read_all(levels)
+    strong = materialize(inner.join(ends, "component").where("confidence >= best"), "cycle-strong")
+    front = start.select("component", F.col("component").alias("subject"), F.array("component").alias("path"))
+    found = []
+    for hop in range(1, len(levels) + 1):
+        grown = strong.join(front, ["component", "subject"]).select("component", "object", "length", "best", F.concat("path", F.array("object")).alias("path"))
+        grown = materialize(grown, f"cycle-path-{hop}")
+        last = grown.where((F.col("length") == hop) & (F.col("object") == F.col("component")))
+        found.append(materialize(last.groupBy("component").agg(F.min("path").alias("path"), F.max("best").alias("confidence")), f"cycle-found-{hop}"))
+        at = depths.where(F.col("depth") == hop).select("component", F.col("node").alias("object"))
+        front = grown.where(F.col("length") > hop).join(at, ["component", "object"]).groupBy("component", F.col("object").alias("subject")).agg(F.min("path").alias("path"))
+    return read_all(found)
+
+
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, community) by label propagation over undirected weighted edges: the heaviest label wins, the least of equals."""
     both = materialize(oriented(edges.select("subject", "object", F.col("confidence").alias("w")).where("subject <> object"), "both"), "communities-edges")

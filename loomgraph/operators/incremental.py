@@ -36,10 +36,10 @@ def input_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("key", "kind", "before", "after", change.alias("change"))
 
 
-def invalidation(changes: DataFrame, input_edges: DataFrame, fact_edges: DataFrame, max_work: int = 1_000_000, max_rounds: int = 64) -> DataFrame:
+def invalidation(changes: DataFrame, input_edges: DataFrame, fact_edges: DataFrame, max_work: int = 1_000_000) -> DataFrame:
     """(node, cause): facts to redo. ``input_edges``: key, node; ``fact_edges``: subject, object (object depends on subject).
 
-    A changed key without declared dependents, or more work than ``max_work``, falls back to every
+    Dependents are followed until no new one is found. A changed key without declared dependents, or more work than ``max_work``, falls back to every
     node, with that as its cause.
     """
     changes = materialize(changes.select("key"), "changes")  # read by each test below
@@ -48,7 +48,7 @@ def invalidation(changes: DataFrame, input_edges: DataFrame, fact_edges: DataFra
     if not undeclared.isEmpty():
         return nodes.select("node", F.lit("missing_dependency_declaration").alias("cause"))
     seeds = input_edges.join(changes.select("key"), "key", "left_semi").select(F.col("node").alias("id")).distinct()
-    found = reach(fact_edges.select("subject", "object", F.lit(1000).alias("confidence")), seeds, "outbound", max_rounds)
+    found = reach(fact_edges.select("subject", "object", F.lit(1000).alias("confidence")), seeds, "outbound")
     work = fact_edges.join(found.select(F.col("node").alias("subject")), "subject", "left_semi").count()
     if work > max_work:
         return nodes.select("node", F.lit("closure_work_exceeded").alias("cause"))
@@ -103,11 +103,17 @@ def file_transitions(baseline: DataFrame, scan: DataFrame, matches: DataFrame) -
 
 
 def digest(domains: dict[str, DataFrame]) -> DataFrame:
-    """(domain, n, digest): a count and an order-free digest of each frame, combined map-side."""
+    """(domain, n, digest, total): a count and two order-free digests of each frame, combined map-side.
+
+    Rows that come in pairs cancel in ``digest``, an exclusive or; they do not in ``total``, a sum of
+    hashes of another seed.
+    """
     parts = []
     for name, df in domains.items():
-        rows = df.select(F.xxhash64(*sorted(df.columns)).alias("h"))
-        parts.append(rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("digest")).select(F.lit(name).alias("domain"), "n", "digest"))
+        columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+        rows = df.select(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit("total"), *columns).cast("decimal(38,0)").alias("g"))
+        sums = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("digest"), F.sum("g").alias("total"))
+        parts.append(sums.select(F.lit(name).alias("domain"), "n", "digest", "total"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -118,5 +124,5 @@ def equivalence(incremental: dict[str, DataFrame], clean: dict[str, DataFrame])
     """(domain, n_incremental, n_clean, equal)."""
     a, b = digest(incremental), digest(clean)
     j = a.alias("a").join(b.alias("b"), "domain", "full_outer")
-    same = F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.digest").eqNullSafe(F.col("b.digest"))
+    same = F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.digest").eqNullSafe(F.col("b.digest")) & F.col("a.total").eqNullSafe(F.col("b.total"))
     return j.select("domain", F.coalesce("a.n", F.lit(0)).alias("n_incremental"), F.coalesce("b.n", F.lit(0)).alias("n_clean"), same.alias("equal"))

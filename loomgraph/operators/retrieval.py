@@ -10,27 +10,51 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_tokens, safe_pattern
+from ..functions.text import code_tokens, fold, folded, safe_pattern, token_column
 from ..runtime import materialize
 
-#: Ranks of documents: a declaration without body comes after one with; tests and generated code come last.
-FIELDS = {"name": 10.0, "qualified_name": 8.0, "path": 6.0}
+# Weights of fields in a text search: of their tokens, of a name equal to the query, of one that begins so.
+TOKEN_BOOST = {"name": 10.0, "qualified_name": 8.0, "path": 6.0, "signature": 3.0, "type_names": 3.0, "documentation": 1.0}
+EXACT_BOOST = {"n": 24.0, "q": 20.0, "p": 18.0}
+PREFIX_BOOST = {"n": 16.0, "q": 12.0, "p": 10.0}
 K1, B = 1.2, 0.75
 
 
 def lexical_documents(entities: DataFrame) -> DataFrame:
-    """Entities with folded names and the flags that ranking uses; ASCII-folded by a built-in function."""
+    """Entities with folded names and the flags that ranking uses; the optional text fields are kept."""
     parent = entities.select(F.col("id").alias("container_id"), F.col("kind").alias("container_kind"))
     abstract = ("interface", "trait", "protocol")
     rows = entities.join(parent, "container_id", "left")
     declaration = F.col("path").rlike(r"\.d\.[mc]?ts$") | F.col("kind").isin(*abstract, "type_alias") | F.coalesce(F.col("container_kind").isin(*abstract), F.lit(False))
     return rows.select(
         "id", "name", "qualified_name", "path", "kind", "language", "tier", (F.col("kind") == "test").alias("test"), declaration.alias("declaration_only"),
-        F.lower("name").alias("n"), F.lower("qualified_name").alias("q"), F.lower("path").alias("p"),
+        folded("name").alias("n"), folded("qualified_name").alias("q"), folded("path").alias("p"),
+        *[c for c in ("signature", "type_names", "documentation") if c in entities.columns],
     )
 
 
-def _rank(mode: str, query: str) -> Column:
+def lexical_postings(documents: DataFrame) -> DataFrame:
+    """(id, field, term, tf, length): the inverted index of ``lexical_documents``, to be stored beside it."""
+    fields = [f for f in TOKEN_BOOST if f in documents.columns]
+    each = documents.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), token_column(f).alias("w")) for f in fields])).alias("x")).select("id", "x.*")
+    each = each.where(F.size("w") > 0).select("id", "field", F.size("w").alias("length"), F.explode("w").alias("term"))
+    return each.groupBy("id", "field", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def token_scores(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, matched, score): how many of ``terms`` a document holds in any field, and its boosted BM25 over the fields."""
+    docs = postings.groupBy("id", "field").agg(F.max("length").alias("length"))
+    totals = docs.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))  # a row for each field
+    found = postings.where(F.col("term").isin(*terms))
+    df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))  # a row for each field and term asked for
+    rows = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(totals), "field")
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    boost = F.create_map(*[F.lit(x) for p in TOKEN_BOOST.items() for x in p])[F.col("field")]
+    return rows.groupBy("id").agg(F.count_distinct("term").cast("int").alias("matched"), F.sum(boost * part).alias("score"))
+
+
+def _rank(mode: str, query: Column) -> Column:
     if mode == "exact":
         return F.when(F.col("n") == query, 0).when(F.col("q") == query, 1).otherwise(2)
     if mode in ("regex", "glob"):
@@ -42,46 +66,48 @@ def _rank(mode: str, query: str) -> Column:
     return out
 
 
-def locate(documents: DataFrame, mode: str, query: str, languages: list[str] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """(position, id, name, lexical_rank, definition_rank, matched): hits in final order.
+def locate(
+    documents: DataFrame, mode: str, query: str, languages: list[str] | None = None, limit: int = 20, offset: int = 0, postings: DataFrame | None = None
+) -> DataFrame:
+    """(position, id, name, lexical_rank, definition_rank, score): hits in final order.
 
-    Order: lexical class, definition class, matched tokens downwards, id. Languages are filtered
-    before ranking, so the page is full. Modes: exact, prefix, text, path, regex, glob.
+    Order: lexical class, definition class, score downwards, id. Languages are filtered before
+    ranking, so the page is full. Modes: exact, prefix, text, path, regex, glob. Text finds names
+    equal to the query, names that begin so, and documents that hold all of its tokens; its score
+    adds the boosts of the first two to the boosted BM25 of the third, over ``postings`` (by default
+    those of ``documents``). The other modes score 0.
     """
-    q = query.lower()
+    q = folded(F.lit(query))
     rows = documents.where(F.col("language").isin(*languages)) if languages else documents
-    matched = F.lit(0)
+    score = F.lit(0.0)
     if mode == "exact":
         hit = (F.col("n") == q) | (F.col("q") == q) | (F.col("p") == q)
     elif mode == "path":
         hit = F.col("p").startswith(q)
     elif mode in ("regex", "glob"):
-        pattern = safe_pattern(q, mode == "glob")
+        pattern = safe_pattern(fold(query), mode == "glob")
         hit = F.col("n").rlike(pattern) | F.col("q").rlike(pattern) | F.col("p").rlike(pattern)
     else:
-        if len(q) < 2:
+        if len(query) < 2:
             raise ValueError("a prefix has two characters or more")
         hit = F.col("n").startswith(q) | F.col("q").startswith(q) | F.col("p").startswith(q)
-        if mode == "text":
-            own = F.array_union(F.array_union(ascii_tokens("name"), ascii_tokens("qualified_name")), ascii_tokens("path"))
-            wanted = F.array_distinct(ascii_tokens(F.lit(query)))
-            matched = F.size(F.array_intersect(own, wanted))
-            hit = hit | (matched == F.size(wanted))
+        terms = sorted(set(code_tokens(query)))
+        if mode == "text" and terms:
+            full = token_scores(postings if postings is not None else lexical_postings(documents), terms).where(F.col("matched") == len(terms))
+            rows = rows.join(full.select("id", F.col("score").alias("tokens")), "id", "left")
+            hit = hit | F.col("tokens").isNotNull()
+            score = F.coalesce("tokens", F.lit(0.0))
+            for boosts, test in ((EXACT_BOOST, lambda c: F.col(c) == q), (PREFIX_BOOST, lambda c: F.col(c).startswith(q))):
+                for c, boost in boosts.items():
+                    score = score + F.when(test(c), boost).otherwise(0.0)
     found = rows.where(hit).select(
         "id", "name", _rank("prefix" if mode == "path" else mode, q).alias("lexical_rank"),
-        (F.col("declaration_only").cast("int") + F.when(F.col("test"), 2).otherwise(0)).alias("definition_rank"), matched.alias("matched"),
+        (F.col("declaration_only").cast("int") + F.when(F.col("test"), 2).otherwise(0)).alias("definition_rank"), F.round(score, 6).alias("score"),
     )
-    order = [F.col("lexical_rank"), F.col("definition_rank"), F.desc("matched"), F.col("id")]
+    order = [F.col("lexical_rank"), F.col("definition_rank"), F.desc("score"), F.col("id")]
     page = found.orderBy(*order).limit(offset + limit)  # top-k per task first; only the page is numbered
     numbered = page.withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    return numbered.where(F.col("position") > offset).select("position", "id", "name", "lexical_rank", "definition_rank", "matched")
-
-
-def postings(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(term, id, tf, length): the inverted index of a text, one row for each term and document."""
-    words = documents.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)")).alias("w"))
-    each = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
-    return each.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    return numbered.where(F.col("position") > offset).select("position", "id", "name", "lexical_rank", "definition_rank", "score")
 
 
 def bm25(documents: DataFrame, id_col: str, text: Column, terms: list[str], limit: int = 10) -> DataFrame:

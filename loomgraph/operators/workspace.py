@@ -71,12 +71,13 @@ def workflow(links: DataFrame, kind: str, seeds: DataFrame, max_depth: int = 3,
 
 def snapshot(members: DataFrame, generations: DataFrame) -> DataFrame:
     """(repository, generation, status): the active generation of each member; missing or stale ones say so."""
-    g = generations.groupBy("repository").agg(F.max_by("generation", "sequence").alias("active"), F.collect_set("generation").alias("known"))
-    j = members.join(g, "repository", "left")
+    newest = generations.groupBy("repository").agg(F.max_by("generation", "sequence").alias("active"))
+    known = generations.select("repository", "generation").distinct().withColumn("known", F.lit(True))
+    j = members.join(newest, "repository", "left").join(known, ["repository", "generation"], "left")
     status = (
         F.when(F.col("active").isNull(), "missing_repository")
         .when(F.col("generation").isNull(), "resolved_active")
-        .when(F.array_contains("known", F.col("generation")), F.when(F.col("generation") == F.col("active"), "pinned_active").otherwise("pinned_stale"))
+        .when(F.col("known"), F.when(F.col("generation") == F.col("active"), "pinned_active").otherwise("pinned_stale"))
         .otherwise("unknown_generation")
     )
     return j.select("repository", F.coalesce("generation", "active").alias("generation"), status.alias("status"))

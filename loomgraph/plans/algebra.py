@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KIND_GROUPS, TRAVERSALS, Graph
-from ..operators.graph import traverse
+from ..operators.graph import oriented, traverse
+from .budget import Budget, guard
 
 # Bounds of a query, and each operator's weight in the static cost.
 MAX_DEPTH, MAX_NODES, MAX_ROWS, MAX_EDGES = 5, 31, 1000, 100_000
@@ -220,13 +221,14 @@ def _sorted(df: DataFrame, by: list[dict]) -> DataFrame:
     return df.orderBy(*keys, *ties)
 
 
-def compile_node(graph: Graph, node: dict) -> DataFrame:
+def compile_node(graph: Graph, node: dict, max_edges: int | None = None) -> DataFrame:
+    """The frame of a checked query; with ``max_edges`` a traversal that has to look at more edges is refused."""
     op = node["op"]
     if op == "scan":
         df = graph.entities.where(F.col("kind").isin(*KIND_GROUPS[node["entity"]])).select(*SCAN_COLUMNS)
         return df.where(predicate_column(df, node["filter"])) if node.get("filter") else df
     if op == "join":
-        left, right, on = compile_node(graph, node["left"]), compile_node(graph, node["right"]), node["on"]
+        left, right, on = compile_node(graph, node["left"], max_edges), compile_node(graph, node["right"], max_edges), node["on"]
         _column(left, on), _column(right, on)
         clash = set(left.columns) & set(right.columns) - {on}
         right = right.select(*[F.col(c).alias(f"{c}_right" if c in clash else c) for c in right.columns])
@@ -238,9 +240,14 @@ def compile_node(graph: Graph, node: dict) -> DataFrame:
             direction = {"inbound": "outbound", "outbound": "inbound", "both": "both"}[direction]
         seed = graph.entities.where(F.col("id") == node["seed"]).select("id")
         edges = graph.relations.where(F.col("predicate").isin(*predicates))
-        found = traverse(edges, seed, direction, node.get("max_depth") or 1)
+        depth = node.get("max_depth") or 1
+        found = traverse(edges, seed, direction, depth)
+        if max_edges is not None:
+            inner = seed.union(found.where(F.col("depth") < depth).select("node"))
+            looked_at = oriented(edges.select("subject", "object"), direction).join(inner.select(F.col("id").alias("src")), "src", "left_semi")
+            guard(looked_at, "edges", Budget(edges=max_edges))
         return found.select(F.lit(node["seed"]).alias("source"), F.lit(node["relation"]).alias("relation"), F.col("node").alias("target"), "depth")
-    df = compile_node(graph, node["input"])
+    df = compile_node(graph, node["input"], max_edges)
     if op == "filter":
         return df.where(predicate_column(df, node["predicate"]))
     if op == "project":
@@ -260,7 +267,7 @@ def compile_node(graph: Graph, node: dict) -> DataFrame:
 
 
 def run(graph: Graph, query: dict, parameters: dict | None = None, max_rows: int = 100, max_edges: int = 10_000, cost_limit: int | None = None) -> DataFrame:
-    """Bind, check, compile; the answer has at most ``max_rows`` rows."""
+    """Bind, check, compile; the answer has at most ``max_rows`` rows, and over ``max_edges`` edges BudgetExceeded is raised."""
     bound = bind(query, parameters)
     validate(bound, max_rows, max_edges, cost_limit)
-    return compile_node(graph, bound).limit(max_rows)
+    return compile_node(graph, bound, max_edges).limit(max_rows)

@@ -25,9 +25,11 @@ def merge(parts: DataFrame, key: str) -> DataFrame:
     """
     level = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("state"))
     level = F.when(level == 0, len(STATES)).otherwise(level)
-    out = parts.groupBy(key).agg(
-        F.max(level).alias("level"),
-        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("limiting")))), ",").alias("limiting"),
+    # Limits one by one: a key of many parts has few different ones, so that is all it gathers.
+    each = parts.select(key, level.alias("level"), "continuation", F.explode_outer("limiting").alias("limit"))
+    out = each.groupBy(key).agg(
+        F.max("level").alias("level"),
+        F.array_join(F.sort_array(F.collect_set("limit")), ",").alias("limiting"),
         F.count_if(F.col("continuation") == "unavailable").alias("none"),
         F.count_if(F.col("continuation") == "available").alias("some"),
     )

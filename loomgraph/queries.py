@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import ascii_tokens, route_key
+from .functions.text import route_key, token_column
 from .model import Graph
 from .operators import analytics, evidence, incremental, resolve, retrieval, workspace
 from .operators.graph import communities, container_of
@@ -125,10 +125,9 @@ def traverse_both(t):
 def agg_count_sum_min_max(t):
     walk = {"op": "traverse", "seed": "region:2", "relation": "contains", "direction": "outbound", "max_depth": 3}
     fns = [{"fn": "count"}, {"fn": "sum", "field": "depth"}, {"fn": "min", "field": "target"}, {"fn": "max", "field": "target"}]
-    g = Graph(entities(t, "region"), relations(t, "contains", "declares"))
-    # Traverse feeds aggregate below the query root, as frames compose.
-    walked = algebra.compile_node(g, walk)
-    return walked.groupBy("depth").agg(*[F.count(F.lit(1)).alias("count") if f["fn"] == "count" else getattr(F, f["fn"])(f["field"]).alias(f"{f['fn']}_{f['field']}") for f in fns])
+    q = {"op": "aggregate", "input": walk, "group_by": ["depth"], "aggregations": fns}
+    algebra.validate(q)
+    return algebra.compile_node(_stored(Graph(entities(t, "region"), relations(t, "contains", "declares"))), q)
 
 
 @register(with_sql("e_customer", "SELECT id, kind, name, path, qualified_name, language, visibility FROM E ORDER BY language DESC, name, id LIMIT 25"))
@@ -201,7 +200,7 @@ def lexical_projection(t):
 @register("SELECT token, count(*) AS n, count(DISTINCT key) AS parts FROM (SELECT p_partkey AS key, unnest(list_transform(regexp_extract_all(p_type || ' ' || p_name || p_partkey, '([A-Z]+|[A-Z]?[a-z]+|[0-9]+)'), lambda x: lower(x))) AS token FROM part) GROUP BY token")
 def tokenize_terms(t):
     text = F.concat("p_type", F.lit(" "), "p_name", F.col("p_partkey").cast("string"))
-    each = t.part.select(F.col("p_partkey").alias("key"), F.explode(ascii_tokens(text)).alias("token"))
+    each = t.part.select(F.col("p_partkey").alias("key"), F.explode(token_column(text)).alias("token"))
     return each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("parts"))
 
 
@@ -209,49 +208,74 @@ def _parts(t):
     return retrieval.lexical_documents(entities(t, "part"))
 
 
-_PAGE = "SELECT CAST(row_number() OVER (ORDER BY lexical_rank, definition_rank, matched DESC, id) AS INT) AS position, id, name, lexical_rank, definition_rank, matched FROM ({}) QUALIFY position BETWEEN {} AND {}"
+_PAGE = "SELECT CAST(row_number() OVER (ORDER BY lexical_rank, definition_rank, score DESC, id) AS INT) AS position, id, name, lexical_rank, definition_rank, score FROM ({}) QUALIFY position BETWEEN {} AND {}"
 
 
-def _locate_sql(rank: str, matched: str, where: str, lo: int = 1, hi: int = 20) -> str:
-    return with_sql("e_part", _PAGE.format(f"SELECT id, name, {rank} AS lexical_rank, 0 AS definition_rank, {matched} AS matched FROM (SELECT *, lower(name) AS n, lower(qualified_name) AS q, lower(path) AS p FROM E) WHERE {where}", lo, hi))
+def _locate_sql(rank: str, where: str, lo: int = 1, hi: int = 20) -> str:
+    return with_sql("e_part", _PAGE.format(f"SELECT id, name, {rank} AS lexical_rank, 0 AS definition_rank, CAST(0 AS DOUBLE) AS score FROM (SELECT *, lower(name) AS n, lower(qualified_name) AS q, lower(path) AS p FROM E) WHERE {where}", lo, hi))
 
 
 def _class_sql(q: str) -> str:
     return f"CASE WHEN n = '{q}' THEN 0 WHEN q = '{q}' THEN 1 WHEN p = '{q}' THEN 2 WHEN starts_with(n, '{q}') THEN 3 WHEN starts_with(q, '{q}') THEN 4 WHEN starts_with(p, '{q}') THEN 5 ELSE 6 END"
 
 
-@register(_locate_sql("CASE WHEN n = 'small ring' THEN 0 WHEN q = 'small ring' THEN 1 ELSE 2 END", "0", "n = 'small ring' OR q = 'small ring' OR p = 'small ring'"))
+@register(_locate_sql("CASE WHEN n = 'small ring' THEN 0 WHEN q = 'small ring' THEN 1 ELSE 2 END", "n = 'small ring' OR q = 'small ring' OR p = 'small ring'"))
 def locate_exact(t):
     return retrieval.locate(_parts(t), "exact", "Small Ring")
 
 
-@register(_locate_sql(_class_sql("small"), "0", "starts_with(n, 'small') OR starts_with(q, 'small') OR starts_with(p, 'small')", 11, 30))
+@register(_locate_sql(_class_sql("small"), "starts_with(n, 'small') OR starts_with(q, 'small') OR starts_with(p, 'small')", 11, 30))
 def locate_prefix(t):
     return retrieval.locate(_parts(t), "prefix", "small", limit=20, offset=10)
 
 
+_BM25 = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))"
+
+
 @register(
-    _locate_sql(
-        _class_sql("ring small"),
-        "len(list_intersect(list_transform(regexp_extract_all(name || ' ' || qualified_name || ' ' || path, '([A-Z]+|[A-Z]?[a-z]+|[0-9]+)'), lambda x: lower(x)), ['ring', 'small']))::INT",
-        "starts_with(n, 'ring small') OR starts_with(q, 'ring small') OR starts_with(p, 'ring small') OR len(list_intersect(list_transform(regexp_extract_all(name || ' ' || qualified_name || ' ' || path, '([A-Z]+|[A-Z]?[a-z]+|[0-9]+)'), lambda x: lower(x)), ['ring', 'small'])) = 2",
+    with_sql(
+        "e_part",
+        "D AS (SELECT id, name, lower(name) AS n, lower(qualified_name) AS q, lower(path) AS p, name AS f1, qualified_name AS f2, path AS f3 FROM E), "
+        "W AS (SELECT id, field, boost, list_transform(regexp_extract_all(x, '([A-Z]+|[A-Z]?[a-z]+|[0-9]+)'), lambda y: lower(y)) AS w FROM (SELECT id, 'name' AS field, 10.0::DOUBLE AS boost, f1 AS x FROM D UNION ALL SELECT id, 'qualified_name', 8, f2 FROM D UNION ALL SELECT id, 'path', 6, f3 FROM D)), "
+        "T AS (SELECT field, count(*) AS docs, avg(len(w)) AS mean FROM W WHERE len(w) > 0 GROUP BY field), "
+        "P AS (SELECT id, field, boost, len(w) AS length, term, tf FROM (SELECT id, field, boost, w, 'ring' AS term, len(list_filter(w, lambda y: y = 'ring')) AS tf FROM W UNION ALL SELECT id, field, boost, w, 'small', len(list_filter(w, lambda y: y = 'small')) FROM W) WHERE tf > 0), "
+        "F AS (SELECT field, term, count(*) AS df FROM P GROUP BY ALL), "
+        f"S AS (SELECT id, sum(boost * {_BM25}) AS tokens FROM P JOIN F USING (field, term) JOIN T USING (field) GROUP BY id HAVING count(DISTINCT term) = 2) "
+        + _PAGE.format(
+            "SELECT id, name, CASE WHEN n = 'ring small' THEN 0 WHEN q = 'ring small' THEN 1 WHEN p = 'ring small' THEN 2 WHEN starts_with(n, 'ring small') THEN 3 WHEN starts_with(q, 'ring small') THEN 4 WHEN starts_with(p, 'ring small') THEN 5 ELSE 6 END AS lexical_rank, 0 AS definition_rank, "
+            "round(coalesce(tokens, 0) + CASE WHEN n = 'ring small' THEN 24 ELSE 0 END + CASE WHEN q = 'ring small' THEN 20 ELSE 0 END + CASE WHEN p = 'ring small' THEN 18 ELSE 0 END + CASE WHEN starts_with(n, 'ring small') THEN 16 ELSE 0 END + CASE WHEN starts_with(q, 'ring small') THEN 12 ELSE 0 END + CASE WHEN starts_with(p, 'ring small') THEN 10 ELSE 0 END, 6) AS score "
+            "FROM D LEFT JOIN S USING (id) WHERE tokens IS NOT NULL OR starts_with(n, 'ring small') OR starts_with(q, 'ring small') OR starts_with(p, 'ring small')",
+            1,
+            20,
+        ),
     )
 )
 def locate_text(t):
     return retrieval.locate(_parts(t), "text", "ring small")
 
 
-@register(_locate_sql("6", "0", "regexp_full_match(n, 'part.1*') OR regexp_full_match(q, 'part.1*') OR regexp_full_match(p, 'part.1*')"))
+@register(
+    with_sql(
+        "e_part",
+        "W AS (SELECT id, field, list_transform(regexp_extract_all(x, '([A-Z]+|[A-Z]?[a-z]+|[0-9]+)'), lambda y: lower(y)) AS w FROM (SELECT id, 'name' AS field, name AS x FROM E UNION ALL SELECT id, 'qualified_name', qualified_name FROM E UNION ALL SELECT id, 'path', path FROM E)) "
+        "SELECT id, field, term, CAST(len(w) AS INT) AS length, count(*) AS tf FROM (SELECT id, field, w, unnest(w) AS term FROM W) GROUP BY ALL",
+    )
+)
+def lexical_postings(t):
+    return retrieval.lexical_postings(_parts(t))
+
+
+@register(_locate_sql("6", "regexp_full_match(n, 'part.1*') OR regexp_full_match(q, 'part.1*') OR regexp_full_match(p, 'part.1*')"))
 def locate_regex(t):
     return retrieval.locate(_parts(t), "regex", "part.1*")
 
 
-@register(_locate_sql("6", "0", "regexp_full_match(n, 'part/1.*9') OR regexp_full_match(q, 'part/1.*9') OR regexp_full_match(p, 'part/1.*9')"))
+@register(_locate_sql("6", "regexp_full_match(n, 'part/1.*9') OR regexp_full_match(q, 'part/1.*9') OR regexp_full_match(p, 'part/1.*9')"))
 def locate_glob(t):
     return retrieval.locate(_parts(t), "glob", "part/1*9")
 
 
-@register(_locate_sql(_class_sql("part/12"), "0", "starts_with(p, 'part/12') AND language IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')"))
+@register(_locate_sql(_class_sql("part/12"), "starts_with(p, 'part/12') AND language IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')"))
 def locate_path_language(t):
     return retrieval.locate(_parts(t), "path", "part/12", ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"])
 
@@ -273,7 +297,7 @@ def vector_topk(t):
 
 @register(
     "SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) DESC, b.vec_id) AS INT) AS rank "
-    "FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 100 AND vec_id % 20 = 0) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.vec_id <> b.vec_id QUALIFY rank <= 3"
+    "FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.vec_id <> b.vec_id QUALIFY rank <= 3"
 )
 def vector_join(t):
     return retrieval.nearest_join(t.embeddings, t.embeddings.where("vec_id % 20 = 0"))
@@ -312,22 +336,30 @@ def symbol_relationships(t):
     return analytics.relationships(graph(t, ("orders", "part"), ("calls",)), ["order:1", "order:2", "part:1", "part:2"], ["calls", "called_by"], None, 100, 20)
 
 
-_PATHS = (
-    "P AS (SELECT ['nation:0'] AS path, 0 AS hops, 1000 AS confidence, false AS cyclic UNION ALL SELECT list_append(path, object), hops + 1, least(P.confidence, R.confidence), list_contains(path, object) "
-    "FROM P JOIN R ON R.subject = path[-1] WHERE hops < 3 AND NOT cyclic) "
-)
+#: R with effective confidence.
+_EFFECTIVE = f"X AS (SELECT R.* REPLACE (CAST(least(R.confidence, {_TOP.format('a.tier')}, {_TOP.format('b.tier')}) AS INT) AS confidence) FROM R LEFT JOIN E a ON a.id = subject LEFT JOIN E b ON b.id = object)"
 
 
-@register(with_sql("r_calls_route", _PATHS + "SELECT array_to_string(path, '>') AS path, hops, confidence, cyclic FROM P WHERE hops > 0", recursive=True))
+@register(
+    with_sql(
+        "e_nation r_calls_route",
+        _EFFECTIVE
+        + ", P AS (SELECT ['nation:0'] AS path, 0 AS hops, 1000 AS confidence, false AS cyclic UNION ALL SELECT list_append(path, object), hops + 1, least(P.confidence, X.confidence), list_contains(path, object) "
+        "FROM P JOIN X ON X.subject = path[-1] WHERE hops < 3 AND NOT cyclic) "
+        "SELECT array_to_string(path, '>') AS path, hops, confidence, cyclic, (SELECT count(*) > 100 FROM P WHERE hops > 0) AS truncated FROM P WHERE hops > 0 QUALIFY row_number() OVER (ORDER BY hops, confidence DESC, P.path) <= 100",
+        recursive=True,
+    )
+)
 def flow_trace(t):
     return analytics.flow_trace(_trade_routes(t), "nation:0", ["calls_route"], max_depth=3)
 
 
 @register(
     with_sql(
-        "r_calls_route",
+        "e_nation r_calls_route",
         "W AS (SELECT 'nation:0' AS node, 0 AS depth UNION SELECT object, depth + 1 FROM W JOIN R ON R.subject = W.node WHERE depth < 4), V AS (SELECT node, min(depth) AS depth FROM W GROUP BY node) "
-        "SELECT (SELECT count(*) FROM V) AS reached_nodes, (SELECT count(*) FROM R WHERE subject IN (SELECT node FROM V WHERE depth < 4)) AS examined_edges",
+        "SELECT (SELECT count(*) FROM V) AS reached_nodes, (SELECT count(*) FROM R WHERE subject IN (SELECT node FROM V WHERE depth < 4)) AS examined_edges, "
+        "EXISTS (SELECT 1 FROM R JOIN V ON V.node = subject AND depth = 4 WHERE object NOT IN (SELECT node FROM V)) AS truncated, (SELECT count(*) FROM V WHERE node NOT IN (SELECT id FROM E)) AS unresolved_boundaries",
         recursive=True,
     )
 )
@@ -336,17 +368,18 @@ def flow_frontier(t):
 
 
 _SCC = (
-    "C AS (SELECT subject AS a, object AS b FROM R UNION SELECT C.a, R.object FROM C JOIN R ON R.subject = C.b), "
+    _EFFECTIVE + ", C AS (SELECT subject AS a, object AS b FROM R UNION SELECT C.a, R.object FROM C JOIN R ON R.subject = C.b), "
     "M AS (SELECT x.a AS node, min(x.b) AS component FROM C x JOIN C y ON x.a = y.b AND x.b = y.a GROUP BY x.a), "
-    "N AS (SELECT R.*, m.component FROM R JOIN M m ON R.subject = m.node JOIN M o ON R.object = o.node AND m.component = o.component) "
+    "N AS (SELECT m.component, subject, object, max(confidence) AS confidence FROM X JOIN M m ON X.subject = m.node JOIN M o ON X.object = o.node AND m.component = o.component GROUP BY ALL) "
 )
 
 
 @register(
     with_sql(
-        "r_calls_route",
+        "e_nation r_calls_route",
         _SCC
-        + "SELECT component, size, members, internal_edges, edge_weight, break_cost FROM (SELECT component, count(*) AS size, string_agg(node, ',' ORDER BY node) AS members FROM M GROUP BY component) JOIN (SELECT component, count(*) AS internal_edges, CAST(sum(confidence) AS BIGINT) AS edge_weight, min(confidence) AS break_cost FROM N GROUP BY component) USING (component) WHERE size >= 2",
+        + "SELECT component, size, members, internal_edges, edge_weight, CAST(0 AS BIGINT) AS change_risk, break_cost FROM (SELECT component, max(size) AS size, string_agg(node, ',' ORDER BY node) FILTER (r <= 64) AS members FROM (SELECT *, count(*) OVER (PARTITION BY component) AS size, row_number() OVER (PARTITION BY component ORDER BY node) AS r FROM M) GROUP BY component) "
+        "JOIN (SELECT component, count(*) AS internal_edges, CAST(sum(confidence) AS BIGINT) AS edge_weight, min(confidence) AS break_cost FROM N GROUP BY component) USING (component) WHERE size >= 2",
         recursive=True,
     )
 )
@@ -354,17 +387,24 @@ def cycles_scc(t):
     return analytics.cycles(_trade_routes(t), ["calls_route"])
 
 
-@register(with_sql("r_calls_route", _SCC + "SELECT component, subject, object, confidence AS cost, CAST(row_number() OVER (PARTITION BY component ORDER BY confidence, subject, object) AS INT) AS rank FROM N QUALIFY rank <= 3", recursive=True))
+@register(with_sql("r_calls_route", "C AS (SELECT subject AS a, object AS b FROM R UNION SELECT C.a, R.object FROM C JOIN R ON R.subject = C.b) SELECT min(x.b) AS component, x.a AS node FROM C x JOIN C y ON x.a = y.b AND x.b = y.a GROUP BY x.a", recursive=True))
+def cycle_members(t):
+    return analytics.cycle_members(_trade_routes(t), ["calls_route"])
+
+
+@register(with_sql("e_nation r_calls_route", _SCC + "SELECT component, subject, object, confidence AS cost, CAST(row_number() OVER (PARTITION BY component ORDER BY confidence, subject, object) AS INT) AS rank FROM N QUALIFY rank <= 3", recursive=True))
 def break_candidates(t):
     return analytics.break_candidates(_trade_routes(t), ["calls_route"])
 
 
 @register(
     with_sql(
-        "r_calls_route",
+        "e_nation r_calls_route",
         _SCC.rstrip()
-        + ", Q AS (SELECT [component] AS path, 0 AS hops, 1000 AS confidence, false AS closed, component AS comp FROM (SELECT DISTINCT component FROM M) UNION ALL SELECT list_append(path, object), hops + 1, least(Q.confidence, N.confidence), object = path[1], comp FROM Q JOIN N ON N.subject = path[-1] AND N.component = comp WHERE NOT closed AND hops < 8 AND (object = path[1] OR NOT list_contains(path, object))) "
-        + "SELECT comp AS component, array_to_string(path, '>') AS path, confidence FROM Q WHERE closed QUALIFY row_number() OVER (PARTITION BY comp ORDER BY hops, confidence DESC, path) = 1",
+        + ", D AS (SELECT DISTINCT component, component AS node, 0 AS depth FROM M UNION SELECT D.component, N.object, depth + 1 FROM D JOIN N ON N.component = D.component AND N.subject = D.node WHERE depth < (SELECT count(*) FROM M)), "
+        "L AS (SELECT component, min(depth) AS length FROM D WHERE node = component AND depth > 0 GROUP BY component), "
+        "Q AS (SELECT [component] AS path, 0 AS hops, 1000 AS confidence, false AS closed, component AS comp, length FROM L UNION ALL SELECT list_append(path, object), hops + 1, least(Q.confidence, N.confidence), object = path[1], comp, length FROM Q JOIN N ON N.subject = path[-1] AND N.component = comp WHERE NOT closed AND hops < length AND (object = path[1] OR NOT list_contains(path, object))) "
+        "SELECT comp AS component, array_to_string(path, '>') AS path, confidence FROM Q WHERE closed QUALIFY row_number() OVER (PARTITION BY comp ORDER BY hops, confidence DESC, Q.path) = 1",
         recursive=True,
     )
 )
@@ -417,7 +457,20 @@ def overview_hotspots(t):
     return analytics.hotspots(g.of("calls_route").select(F.col("subject").alias("source"), F.col("object").alias("target")))
 
 
-@register()
+_ROUNDS = "".join(
+    f", L{k} AS (SELECT node, community FROM (SELECT a AS node, community, sum(w) AS s FROM B JOIN L{k - 1} ON L{k - 1}.node = b GROUP BY a, community) QUALIFY row_number() OVER (PARTITION BY node ORDER BY s DESC, community) = 1)"
+    for k in range(1, 6)
+)
+
+
+@register(
+    with_sql(
+        "r_calls_route",
+        "B AS (SELECT subject AS a, object AS b, confidence AS w FROM R WHERE subject <> object UNION ALL SELECT object, subject, confidence FROM R WHERE subject <> object), L0 AS (SELECT DISTINCT a AS node, a AS community FROM B)"
+        + _ROUNDS
+        + " SELECT node, community FROM L5",
+    )
+)
 def overview_communities(t):
     return communities(_trade_routes(t).relations)
 
@@ -425,9 +478,11 @@ def overview_communities(t):
 @register(
     with_sql(
         "e_part r_declares r_calls",
-        "W AS (SELECT 'customer:' || c_custkey AS node, 0 AS depth FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 50 = 0 UNION SELECT object, depth + 1 FROM W JOIN R ON R.subject = W.node WHERE depth < 3), "
-        "I AS (SELECT object AS id, count(*) AS n, max(confidence) AS m FROM R WHERE predicate = 'calls' GROUP BY object) "
-        "SELECT E.id AS symbol, CASE WHEN n IS NULL THEN 'isolated' WHEN m >= 900 THEN 'strongly_referenced' ELSE 'weakly_referenced' END AS classification, CASE WHEN n IS NULL THEN 300 WHEN m >= 900 THEN 100 ELSE 200 END AS confidence, coalesce(n, 0) AS incoming_edges, coalesce(m, 0) AS strongest FROM E LEFT JOIN I USING (id) WHERE E.id NOT IN (SELECT node FROM W)",
+        _EFFECTIVE
+        + ", W AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0 UNION SELECT object FROM W JOIN R ON R.subject = W.node), "
+        "I AS (SELECT object AS id, count(*) AS n, max(confidence) AS m FROM X GROUP BY object) "
+        "SELECT E.id AS symbol, CASE WHEN n IS NULL THEN 'isolated' WHEN m >= 900 THEN 'strongly_referenced' ELSE 'weakly_referenced' END AS classification, CASE WHEN n IS NULL THEN 300 WHEN m >= 900 THEN 100 ELSE 200 END AS confidence, "
+        "CASE WHEN n IS NULL THEN 'no_incoming_references,' ELSE '' END || 'not_observed_from_partial_entry_points' AS why, coalesce(n, 0) AS incoming_edges, coalesce(m, 0) AS strongest FROM E LEFT JOIN I USING (id) WHERE E.id NOT IN (SELECT node FROM W)",
         recursive=True,
     )
 )
@@ -435,13 +490,18 @@ def dead_code(t):
     g = graph(t, ("part",), ("declares", "calls"))
     # Declared orders are entered with their customer: containment counts as a call here.
     g = _stored(Graph(g.entities, g.relations.withColumn("predicate", F.lit("calls"))))
-    entries = t.customer.where("c_mktsegment = 'BUILDING' AND c_custkey % 50 = 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"))
-    return analytics.dead_code(g, entries, ("function",), ["calls"], max_depth=3)
+    entries = t.customer.where("c_mktsegment = 'BUILDING' AND c_acctbal < 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"))
+    return analytics.dead_code(g, entries, ("function",), ["calls"], include_exported=True)
+
+
+@register(with_sql("e_part e_customer e_documents", "SELECT CASE WHEN visibility = 'public' THEN 'exported' ELSE 'test' END AS reason, count(*) AS count FROM E WHERE kind IN ('function', 'class', 'test') AND (visibility = 'public' OR kind = 'test') GROUP BY 1"))
+def dead_code_suppressions(t):
+    return analytics.dead_code_suppressions(Graph(entities(t, "part", "customer", "documents"), relations(t, "contains")), ("function", "class", "test"))
 
 
 _IMPACT = (
-    "W AS (SELECT 'part:3' AS node, 0 AS depth, 1000 AS c UNION SELECT subject, depth + 1, least(c, R.confidence) FROM W JOIN R ON R.object = W.node WHERE depth < 2 AND R.confidence >= 300), "
-    "D AS (SELECT node, min(depth) AS distance FROM W GROUP BY node), X AS (SELECT D.node AS symbol, distance, max(c) AS confidence FROM D JOIN W ON W.node = D.node AND W.depth = D.distance WHERE distance > 0 GROUP BY ALL) "
+    _EFFECTIVE + ", W AS (SELECT 'part:3' AS node, 0 AS depth, 1000 AS c UNION SELECT subject, depth + 1, least(c, X.confidence) FROM W JOIN X ON X.object = W.node WHERE depth < 2 AND X.confidence >= 300), "
+    "D AS (SELECT node, min(depth) AS distance FROM W GROUP BY node), Z AS (SELECT D.node AS symbol, distance, max(c) AS confidence FROM D JOIN W ON W.node = D.node AND W.depth = D.distance WHERE distance > 0 GROUP BY ALL) "
 )
 
 
@@ -450,7 +510,7 @@ def _impact_graph(t) -> Graph:
     return _stored(Graph(g.entities, g.relations.withColumn("predicate", F.lit("calls"))))
 
 
-@register(with_sql("e_orders e_customer r_calls r_declares", _IMPACT + "SELECT symbol, distance, confidence, coalesce(visibility = 'public', false) AS is_public FROM X LEFT JOIN E ON E.id = symbol", recursive=True))
+@register(with_sql("e_orders e_customer r_calls r_declares", _IMPACT + "SELECT symbol, distance, confidence, 'calls' AS via, false AS dynamic, coalesce(visibility = 'public', false) AS is_public FROM Z LEFT JOIN E ON E.id = symbol", recursive=True))
 def change_impact(t):
     return analytics.change_impact(_impact_graph(t), _ids(t, "part:3"), ["calls"], max_depth=2)
 
@@ -459,7 +519,7 @@ def change_impact(t):
     with_sql(
         "e_orders e_customer r_calls r_declares",
         _IMPACT
-        + ", Y AS (SELECT count(*) AS fanout, count(*) FILTER (visibility = 'public') AS b FROM X LEFT JOIN E ON E.id = symbol) SELECT CASE WHEN fanout = 0 THEN 'none' WHEN fanout >= 20 AND b > 0 THEN 'critical' WHEN fanout >= 20 OR (fanout >= 5 AND b > 0) THEN 'high' WHEN fanout >= 5 THEN 'medium' ELSE 'low' END AS level, fanout, b AS breaking_surface FROM Y",
+        + ", Y AS (SELECT count(*) AS fanout, count(*) FILTER (visibility = 'public') AS b FROM Z LEFT JOIN E ON E.id = symbol) SELECT CASE WHEN fanout = 0 THEN 'none' WHEN fanout >= 20 AND b > 0 THEN 'critical' WHEN fanout >= 20 OR (fanout >= 5 AND b > 0) THEN 'high' WHEN fanout >= 5 THEN 'medium' ELSE 'low' END AS level, fanout, b AS breaking_surface, CAST(0 AS BIGINT) AS dynamic_blind_spots FROM Y",
         recursive=True,
     )
 )
@@ -469,8 +529,9 @@ def risk_summary(t):
 
 @register(
     with_sql(
-        "r_tests r_calls",
-        "N AS (SELECT 'part:' || k AS node, 0 AS depth FROM range(10) x(k)), T AS (SELECT r.subject AS test, least(r.confidence, 900) AS score, 'direct_test_edge' AS why FROM R r JOIN N ON r.object = node WHERE predicate = 'tests') "
+        "e_part r_tests r_calls",
+        _EFFECTIVE
+        + ", N AS (SELECT 'part:' || k AS node, 0 AS depth FROM range(10) x(k)), T AS (SELECT X.subject AS test, least(X.confidence, 900) AS score, 'direct_test_edge' AS why FROM X JOIN N ON X.object = node WHERE predicate = 'tests') "
         "SELECT test, max(score) AS score, string_agg(DISTINCT why, ',') AS why, CAST(row_number() OVER (ORDER BY max(score) DESC, test) AS INT) AS rank FROM T GROUP BY test QUALIFY rank <= 30",
     )
 )
@@ -479,6 +540,12 @@ def tests_select(t):
     return analytics.select_tests(g, _ids(t, *[f"part:{k}" for k in range(10)]), max_hops=1, budget=30)
 
 
+@register(with_sql("e_part r_tests", "SELECT id FROM E WHERE id NOT IN (SELECT object FROM R)"))
+def tests_gaps(t):
+    g = _stored(graph(t, ("part",), ("tests",)))
+    return analytics.gaps_of_tests(g, entities(t, "part"))
+
+
 _BASE = "o_orderdate < TIMESTAMP '1997-01-01'"
 
 
@@ -546,11 +613,11 @@ def graph_projection(t):
 
 
 def _candidates(t) -> DataFrame:
-    """Documents as evidence: a pack for each source, roles by remainder of the id."""
+    """Documents as evidence: requests of 64 neighbouring documents each, roles by remainder of the id."""
     roles = F.array(*[F.lit(r) for r in evidence.ROLES])
     d = t.documents
     return d.select(
-        F.col("source").alias("pack"), F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), F.element_at(roles, (F.col("doc_id") % 7 + 1).cast("int")).alias("role"),
+        F.concat(F.lit("r"), F.expr("doc_id div 64")).alias("pack"), F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), F.element_at(roles, (F.col("doc_id") % 7 + 1).cast("int")).alias("role"),
         (F.col("n_chars") % 1000).alias("relevance"), (F.col("n_chars") % 97 * 10).alias("confidence"), (F.lit(50) + F.col("n_chars") % 400).alias("tokens"),
         F.concat(F.lit("p"), (F.col("doc_id") % 31).cast("string")).alias("path"), F.concat(F.lit("q"), (F.col("doc_id") % 11).cast("string")).alias("provider"),
         (F.col("doc_id") % 3).alias("region"), (F.col("doc_id") % 101 == 0).alias("anchor"),
@@ -563,7 +630,7 @@ def context_pack(t):
 
 
 @register(
-    "SELECT source AS pack, 'd' || lpad(doc_id::VARCHAR, 9, '0') AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 101 = 0 DESC, doc_id % 7 < 4 DESC, doc_id % 7, n_chars % 1000 DESC, n_chars % 97 DESC, doc_id) AS position FROM documents"
+    "SELECT 'r' || (doc_id // 64) AS pack, 'd' || lpad(doc_id::VARCHAR, 9, '0') AS id, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id % 101 = 0 DESC, doc_id % 7 < 4 DESC, doc_id % 7, n_chars % 1000 DESC, n_chars % 97 DESC, doc_id) AS position FROM documents"
 )
 def context_pack_ranking(t):
     order = Window.partitionBy("pack").orderBy(*evidence.rank_columns("bug_fix"))
@@ -647,16 +714,17 @@ def link_unresolved(t):
 
 
 @register(
-    "WITH e AS (SELECT 'nation:' || n_nationkey AS a, 'region:' || n_regionkey AS b, 'contains' AS p, 1000 AS c FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'contains', 1000 FROM supplier), "
-    "f AS (SELECT 'customer:' || c_custkey AS a, 'supplier:' || s_suppkey AS b, 500 + s_suppkey % 500 AS c FROM customer JOIN supplier ON s_suppkey % 10 = c_custkey % 10 AND s_nationkey <> c_nationkey WHERE c_custkey < 30) "
-    "SELECT f.a || '>' || f.b || '>' || x.b || '>' || y.b AS path, 3 AS hops, CAST(f.c AS INT) AS confidence, false AS cyclic FROM f JOIN e x ON x.a = f.b JOIN e y ON y.a = x.b WHERE f.a = 'customer:7'"
+    "WITH e AS (SELECT 'nation:' || n_nationkey AS a, 'region:' || n_regionkey AS b FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier), "
+    "f AS (SELECT DISTINCT 'customer:' || c_custkey AS a, 'supplier:' || s_suppkey AS b, 500 + s_suppkey % 500 AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey <> c_nationkey) "
+    "SELECT f.a || '>' || f.b || '>' || x.b || '>' || y.b AS path, 3 AS hops, CAST(least(f.c, 999) AS INT) AS confidence, false AS cyclic, false AS truncated FROM f JOIN e x ON x.a = f.b JOIN e y ON y.a = x.b WHERE f.a = 'customer:7'"
 )
 def cross_repository_trace(t):
     nation = t.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("subject"), F.concat(F.lit("region:"), "n_regionkey").alias("object"))
     supplier = t.supplier.select(F.concat(F.lit("supplier:"), "s_suppkey").alias("subject"), F.concat(F.lit("nation:"), "s_nationkey").alias("object"))
     up = nation.union(supplier).select("subject", F.lit("refers_to").alias("predicate"), "object", F.lit(1000).alias("confidence"))
-    meets = (F.col("s_suppkey") % 10 == F.col("c_custkey") % 10) & (F.col("s_nationkey") != F.col("c_nationkey"))
-    links = t.customer.where("c_custkey < 30").join(t.supplier, meets).select(F.concat(F.lit("customer:"), "c_custkey").alias("consumer"), F.concat(F.lit("supplier:"), "s_suppkey").alias("provider"), (F.lit(500) + F.col("s_suppkey") % 500).cast("int").alias("confidence"))
+    bought = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    bought = bought.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).where("s_nationkey <> c_nationkey")
+    links = bought.select(F.concat(F.lit("customer:"), "c_custkey").alias("consumer"), F.concat(F.lit("supplier:"), "s_suppkey").alias("provider"), (F.lit(500) + F.col("s_suppkey") % 500).cast("int").alias("confidence"))
     edges = workspace.stitched(up, links).withColumn("id", F.concat("subject", F.lit(">"), "object"))
     found = analytics.flow_trace(Graph(entities(t, "customer"), edges), "customer:7", ["service_call", "references"], max_depth=4, max_paths=1000)
     return found.where("hops = 3")
@@ -782,14 +850,14 @@ def equivalence_digest(t):
 
 
 def _occurrences(t) -> tuple[DataFrame, DataFrame]:
-    """Each order uses the names of three parts of its key, in their language or another; parts lie in files by size."""
-    e = t.part.where("p_partkey < 400").select(
+    """Every part's name is used once, from its file and scope; parts lie in files by size."""
+    e = t.part.select(
         F.concat(F.lit("part:"), "p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 4, "constant").otherwise("function").alias("kind"), F.concat("p_name", F.lit("-"), (F.col("p_partkey") % 3).cast("string")).alias("name"),
         F.concat("p_type", F.lit("."), "p_name").alias("qualified_name"), F.when(F.col("p_partkey") % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("part:"), F.col("p_partkey") % 20)).cast("string").alias("container_id"),
         F.lit("public").alias("visibility"), F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("tier"), F.concat(F.lit("l"), F.col("p_partkey") % 2).alias("language"), F.concat(F.lit("file"), F.col("p_size") % 10).alias("path"),
     )
     e = e.where("container_id IS NULL OR container_id <> id")
-    o = t.part.where("p_partkey BETWEEN 400 AND 599 OR p_partkey < 120").select(
+    o = t.part.select(
         F.concat(F.lit("occ:"), "p_partkey").alias("id"), F.when(F.col("p_partkey") % 6 == 0, "import_use").when(F.col("p_partkey") % 6 == 1, "reference").otherwise("call_site").alias("role"),
         F.concat("p_name", F.lit("-"), (F.col("p_partkey") % 3).cast("string")).alias("text"), F.concat(F.lit("l"), F.col("p_partkey") % 2).alias("language"), F.lit("A").alias("tier"),
         F.concat(F.lit("file"), F.col("p_size") % 10).alias("file"), F.concat(F.lit("part:"), F.col("p_partkey") % 20).alias("enclosing"), F.when(F.col("p_partkey") % 4 == 1, "x.scoped_call").otherwise("x.call").alias("syntax_kind"),
@@ -798,8 +866,8 @@ def _occurrences(t) -> tuple[DataFrame, DataFrame]:
 
 
 _OCC = (
-    "e AS (SELECT 'part:' || p_partkey AS id, CASE WHEN p_partkey % 5 = 4 THEN 'constant' ELSE 'function' END AS kind, p_name || '-' || (p_partkey % 3) AS name, p_type || '.' || p_name AS qn, CASE WHEN p_partkey % 4 <> 0 THEN 'part:' || (p_partkey % 20) END AS cont, CASE WHEN p_partkey % 2 = 0 THEN 1000 ELSE 999 END AS top, 'l' || (p_partkey % 2) AS lang, 'file' || (p_size % 10) AS f FROM part WHERE p_partkey < 400 AND NOT (p_partkey % 4 <> 0 AND p_partkey < 20)), "
-    "o AS (SELECT 'occ:' || p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'import_use' WHEN 1 THEN 'reference' ELSE 'call_site' END AS role, p_name || '-' || (p_partkey % 3) AS text, 'l' || (p_partkey % 2) AS lang, 'file' || (p_size % 10) AS f, 'part:' || (p_partkey % 20) AS enc, p_partkey % 4 = 1 AS scoped FROM part WHERE p_partkey BETWEEN 400 AND 599 OR p_partkey < 120), "
+    "e AS (SELECT 'part:' || p_partkey AS id, CASE WHEN p_partkey % 5 = 4 THEN 'constant' ELSE 'function' END AS kind, p_name || '-' || (p_partkey % 3) AS name, p_type || '.' || p_name AS qn, CASE WHEN p_partkey % 4 <> 0 THEN 'part:' || (p_partkey % 20) END AS cont, CASE WHEN p_partkey % 2 = 0 THEN 1000 ELSE 999 END AS top, 'l' || (p_partkey % 2) AS lang, 'file' || (p_size % 10) AS f FROM part WHERE NOT (p_partkey % 4 <> 0 AND p_partkey < 20)), "
+    "o AS (SELECT 'occ:' || p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'import_use' WHEN 1 THEN 'reference' ELSE 'call_site' END AS role, p_name || '-' || (p_partkey % 3) AS text, 'l' || (p_partkey % 2) AS lang, 'file' || (p_size % 10) AS f, 'part:' || (p_partkey % 20) AS enc, p_partkey % 4 = 1 AS scoped FROM part), "
     "sc AS (SELECT id AS occ, enc AS scope, 0 AS depth FROM o UNION ALL SELECT occ, e.cont, depth + 1 FROM sc JOIN e ON e.id = scope WHERE e.cont IS NOT NULL AND depth < 60), "
     "m AS (SELECT o.id AS occurrence, o.role, e.id AS symbol, CASE WHEN e.name = o.text THEN 0 ELSE 1 END AS name_match, CASE WHEN e.lang <> o.lang THEN 'language_mismatch' WHEN o.role = 'import_use' OR (o.role = 'call_site' AND e.kind <> 'function') THEN 'target_kind_mismatch' END AS rejection, top, scoped, "
     "CASE WHEN o.role = 'import_use' THEN 300 WHEN o.enc = e.id THEN 350 WHEN d.depth IS NOT NULL THEN greatest(0, 340 - 20 * d.depth) WHEN e.f = o.f THEN 300 WHEN e.cont IS NULL THEN -50 ELSE -100 END AS bonus FROM o JOIN e ON e.name = o.text OR e.qn = o.text LEFT JOIN (SELECT occ, scope, min(depth) AS depth FROM sc GROUP BY ALL) d ON d.occ = o.id AND d.scope = e.cont), "
@@ -841,13 +909,13 @@ def derive_relations(t):
 
 @register(
     "WITH RECURSIVE " + _OCC.rstrip() + ", " + _DEC.rstrip()
-    + ", ex AS (SELECT 'occ:' || p_partkey AS occurrence, CASE p_partkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'candidate' ELSE 'unresolved' END AS expected, 'part:' || (p_partkey % 200) AS target FROM part WHERE p_partkey < 500), j AS (SELECT ex.*, outcome, coalesce(list_contains(CASE WHEN outcome = 'resolved' THEN syms[1:1] ELSE syms END, target), false) AS present FROM ex LEFT JOIN z USING (occurrence)) "
+    + ", ex AS (SELECT 'occ:' || p_partkey AS occurrence, CASE p_partkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'candidate' ELSE 'unresolved' END AS expected, 'part:' || (p_partkey % 200) AS target FROM part), j AS (SELECT ex.*, outcome, coalesce(list_contains(CASE WHEN outcome = 'resolved' THEN syms[1:1] ELSE syms END, target), false) AS present FROM ex LEFT JOIN z USING (occurrence)) "
     "SELECT count(*) AS expectations, count(*) FILTER (outcome = 'resolved') AS exact_predicted, count(*) FILTER (expected = 'exact') AS exact_expected, count(*) FILTER (expected = 'exact' AND outcome = 'resolved' AND present) AS exact_correct, count(*) FILTER (expected <> 'unresolved') AS target_expected, count(*) FILTER (expected <> 'unresolved' AND present) AS target_present, count(*) FILTER (expected = 'candidate' AND outcome = 'resolved') AS ambiguous_hidden_exact, count(*) FILTER (expected = 'unresolved') AS unresolved_expected, count(*) FILTER (expected = 'unresolved' AND (outcome IS NULL OR outcome = 'unresolved')) AS unresolved_correct, (SELECT count(*) FROM z WHERE occurrence NOT IN (SELECT occurrence FROM ex)) AS unexpected_decisions FROM j"
 )
 def resolution_quality(t):
     o, e = _occurrences(t)
     kind = F.when(F.col("p_partkey") % 3 == 0, "exact").when(F.col("p_partkey") % 3 == 1, "candidate").otherwise("unresolved")
-    expected = t.part.where("p_partkey < 500").select(F.concat(F.lit("occ:"), "p_partkey").alias("occurrence"), kind.alias("expected"), F.concat(F.lit("part:"), F.col("p_partkey") % 200).alias("target"))
+    expected = t.part.select(F.concat(F.lit("occ:"), "p_partkey").alias("occurrence"), kind.alias("expected"), F.concat(F.lit("part:"), F.col("p_partkey") % 200).alias("target"))
     return resolve.quality(expected, resolve.decide(o, resolve.candidates(o, e)))
 
 
@@ -860,11 +928,11 @@ def confidence_calibration(t):
 
 
 @register(
-    "WITH i AS (SELECT 'nation:' || c_nationkey AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'calls_route' ELSE 'publishes' END AS predicate, 'http' AS namespace, o_orderpriority AS protocol_key, 'c' || (o_custkey % 15) AS target, o_orderkey % 1000 AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 40 < 2), b AS (SELECT subject, predicate, namespace, protocol_key, target, max(c) AS c FROM i WHERE predicate = 'calls_route' GROUP BY ALL) "
+    "WITH i AS (SELECT 'nation:' || c_nationkey AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'calls_route' ELSE 'publishes' END AS predicate, 'http' AS namespace, o_orderpriority AS protocol_key, 'c' || (o_custkey % 15) AS target, o_orderkey % 1000 AS c FROM orders JOIN customer ON o_custkey = c_custkey), b AS (SELECT subject, predicate, namespace, protocol_key, target, max(c) AS c FROM i WHERE predicate = 'calls_route' GROUP BY ALL) "
     "SELECT subject, predicate, namespace, protocol_key, CASE WHEN count(*) = 1 AND max(c) >= 900 THEN 'exact' ELSE 'candidates' END AS outcome, string_agg(target, ',' ORDER BY c DESC, target) FILTER (r <= 4) AS targets, count(*) AS total, max(c) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate, namespace, protocol_key ORDER BY c DESC, target) AS r FROM b) GROUP BY ALL"
 )
 def foreign_links(t):
-    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 40 < 2")
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     rows = o.select(
         F.concat(F.lit("nation:"), "c_nationkey").alias("subject"), F.when(F.col("o_orderkey") % 2 == 0, "calls_route").otherwise("publishes").alias("predicate"), F.lit("http").alias("namespace"),
         F.col("o_orderpriority").alias("protocol_key"), F.concat(F.lit("c"), F.col("o_custkey") % 15).alias("target"), (F.col("o_orderkey") % 1000).alias("confidence"),
@@ -906,8 +974,8 @@ def runtime_trace_dedup(t):
 
 
 @register(
-    "WITH c AS (SELECT DISTINCT o_custkey % 500 AS commit, o_orderpriority || '/' || (o_orderkey % 12) AS path FROM orders), k AS (SELECT * FROM c WHERE commit IN (SELECT commit FROM c GROUP BY commit HAVING count(*) BETWEEN 2 AND 50)), n AS (SELECT path, count(*) AS n FROM c GROUP BY path) "
-    "SELECT a.path AS a, b.path AS b, count(*) AS together, count(*) * 1000 // least(any_value(x.n), any_value(y.n)) AS confidence FROM k a JOIN k b ON a.commit = b.commit AND a.path < b.path JOIN n x ON x.path = a.path JOIN n y ON y.path = b.path GROUP BY 1, 2 HAVING count(*) >= 2"
+    "WITH c AS (SELECT DISTINCT o_custkey % 500 AS commit, o_orderpriority || '/' || (o_orderkey % 12) AS path FROM orders), n AS (SELECT path, count(*) AS n FROM c GROUP BY path) "
+    "SELECT a.path AS a, b.path AS b, count(*) AS together, count(*) * 1000 // least(any_value(x.n), any_value(y.n)) AS confidence FROM c a JOIN c b ON a.commit = b.commit AND a.path < b.path JOIN n x ON x.path = a.path JOIN n y ON y.path = b.path GROUP BY 1, 2 HAVING count(*) >= 2"
 )
 def co_changes(t):
     rows = t.orders.select((F.col("o_custkey") % 500).alias("commit"), F.concat("o_orderpriority", F.lit("/"), F.col("o_orderkey") % 12).alias("path"))

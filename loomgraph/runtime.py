@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it names none."""
+    """The session's ``spark.checkpoint.dir``; where it names none, a temporary folder of a local session, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,6 +33,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def read_all(frames: list[DataFrame]) -> DataFrame:
+    """The union of tables of ``materialize`` of one schema, as one scan: its plan does not grow with their number."""
+    first = frames[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[f._loomgraph_path for f in frames])
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` whose readers have all run."""
+    path = getattr(df, "_loomgraph_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this application has written with ``materialize``, once its results have been read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,17 +14,67 @@ LANGUAGES = {
 }
 
 
-def discover(spark: SparkSession, root: str, include: str = "*", exclude: tuple[str, ...] = (), max_bytes: int = 4 << 20) -> DataFrame:
-    """(path, byte_length, content_hash, language, generated, class): files below ``root``; text is read only to be hashed."""
+def _ignore_pattern(line: str) -> tuple[str, bool] | None:
+    """(regular expression over relative paths, whether it takes a path back) of a line of an ignore file."""
+    line = line.rstrip()
+    if not line or line.startswith("#"):
+        return None
+    back = line.startswith("!")
+    body = line.removeprefix("!").removeprefix("\\")
+    folder, body = body.endswith("/"), body.rstrip("/")
+    rooted, body = "/" in body, body.removeprefix("/")
+    units = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    parts = re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|\[[^]]+\]|[^*?\[/]+|/|\[", body)
+    text = "".join(units.get(p) or (p if re.fullmatch(r"\[[^]]+\]", p) else re.escape(p)) for p in parts)
+    return f"^{'' if rooted else '(?:.*/)?'}{text}{'/.+' if folder else '(?:/.*)?'}$", back
+
+
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether an ignore file of ``lines`` leaves out a relative path; the last line that fits decides."""
+    out = F.lit(False)
+    for rule in map(_ignore_pattern, lines):
+        if rule:
+            out = F.when(path.rlike(rule[0]), not rule[1]).otherwise(out)
+    return out
+
+
+def _ignore_file(spark: SparkSession, root: str) -> list[str]:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(path):
+        return []
+    stream = fs.open(path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+
+
+def discover(
+    spark: SparkSession, root: str, include: str = "*", exclude: tuple[str, ...] = (), max_bytes: int = 4 << 20, ignore: tuple[str, ...] = ()
+) -> DataFrame:
+    """(path, byte_length, content_hash, language, generated, class, status): files below ``root``; text is read only to be hashed.
+
+    Files that match ``exclude`` (regular expressions) or are left out by the ignore file of ``root`` and
+    the lines ``ignore`` after it are not listed. Those over ``max_bytes`` are, as ``too_large`` and
+    without a hash, so that coverage counts them as skipped; others are ``eligible``.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", include).load(root)
-    raw = raw.where(F.col("length") <= max_bytes)
+    top = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    relative = F.regexp_replace("path", f"^.*?{re.escape(top)}/", "")
+    raw = raw.where(~ignored(relative, [*_ignore_file(spark, root), *ignore]))
     for rule in exclude:
         raw = raw.where(~F.col("path").rlike(rule))
     end = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     language = F.coalesce(F.create_map(*[F.lit(x) for p in LANGUAGES.items() for x in p])[end], F.lit("unknown"))
     generated = F.col("path").rlike(r"(^|/)(generated|vendor|node_modules|dist)/|\.min\.js$|_pb2?\.")
     kind = F.when(F.col("path").rlike(r"(^|/)tests?/|[._]test\.|_test\."), "test").when(generated, "generated").otherwise("source")
-    return raw.select("path", F.col("length").alias("byte_length"), F.sha2("content", 256).alias("content_hash"), language.alias("language"), generated.alias("generated"), kind.alias("class"))
+    fits = F.col("length") <= max_bytes
+    return raw.select(
+        "path", F.col("length").alias("byte_length"), F.when(fits, F.sha2("content", 256)).alias("content_hash"), language.alias("language"), generated.alias("generated"),
+        kind.alias("class"), F.when(fits, "eligible").otherwise("too_large").alias("status"),
+    )
 
 
 def read_lines(documents: DataFrame, id_col: str, text: Column, first: Column, last: Column, before: int = 0, after: int = 0) -> DataFrame:

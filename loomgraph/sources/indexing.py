@@ -2,41 +2,64 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import ROLE_PREDICATES, mapping
 from ..operators.resolve import candidates, decide, derive_relations
 from ..runtime import materialize
 from .files import discover
 from .snapshots import SnapshotStore
-from .syntax import declarations, uses
+from .syntax import declarations, imported_module, module_name, routes, uses
 
 
-def facts(texts: DataFrame) -> dict[str, DataFrame]:
-    """Entities, occurrences and relations of (path, language, text): declared names, their uses, what the uses bind to."""
-    d = declarations(texts)
+def facts(texts: DataFrame, root: str = "") -> dict[str, DataFrame]:
+    """Entities, occurrences and relations of (path, language, text): declared names, their uses, what the uses bind to.
+
+    Files are modules by their path below ``root``, so an import binds to the file it names, in whatever
+    folder; bases bind heirs to the types they extend or implement, in whatever file; routes are entities
+    that their files serve. Other uses stand for the file that holds them.
+    """
     fid = lambda c: F.concat(F.lit("file:"), c)
+    below = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/'))}/", "") if root else F.col("path")
+    texts = materialize(texts.select("path", "language", "text", below.alias("below")), "source-texts")
+    d = declarations(texts)
+    none = F.lit(None).cast("string")
     module = texts.select(
-        fid(F.col("path")).alias("id"), F.lit("file").alias("kind"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), F.col("path").alias("qualified_name"),
-        F.lit(None).cast("string").alias("container_id"), F.lit("public").alias("visibility"), F.lit("B").alias("tier"), "language", "path",
+        fid(F.col("path")).alias("id"), F.lit("file").alias("kind"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), module_name(F.col("below")).alias("qualified_name"),
+        none.alias("container_id"), F.lit("public").alias("visibility"), F.lit("B").alias("tier"), "language", "path",
     )
     own = d.select(
         F.concat(fid(F.col("path")), F.lit("#"), F.col("name"), F.lit("@"), F.col("line").cast("string")).alias("id"), "kind", "name", F.concat("path", F.lit("."), "name").alias("qualified_name"),
         fid(F.col("path")).alias("container_id"), F.when(F.col("name").startswith("_"), "private").otherwise("public").alias("visibility"), F.lit("B").alias("tier"), "language", "path",
-    )
-    entities = module.unionByName(own)
-    u = uses(texts).dropDuplicates(["path", "line", "role", "text"])
+    ).dropDuplicates(["id"])
+    served = routes(texts)
+    route = served.groupBy("key").agg(F.min("path").alias("path"), F.min("language").alias("language")).select(
+        F.concat(F.lit("route:"), "key").alias("id"), F.lit("route").alias("kind"), F.col("key").alias("name"), F.col("key").alias("qualified_name"), none.alias("container_id"), F.lit("public").alias("visibility"), F.lit("B").alias("tier"), "language", "path"
+    )
+    entities = materialize(module.unionByName(own).unionByName(route), "source-entities")
+    u = uses(texts).join(texts.select("path", "below"), "path")
+    u = u.withColumn("text", F.when(F.col("role") == "import_use", imported_module(F.col("text"), F.col("below"))).otherwise(F.col("text")))
+    heirs = own.where(F.col("kind").isin("class", "struct", "interface", "trait", "enum")).groupBy("path", F.col("name").alias("heir")).agg(F.min("id").alias("heir_id"))
+    u = u.join(heirs, ["path", "heir"], "left").dropDuplicates(["path", "line", "role", "text", "heir"])
     occurrences = u.select(
-        F.concat(fid(F.col("path")), F.lit(":"), F.col("line").cast("string"), F.lit(":"), "role", F.lit(":"), "text").alias("id"), "role", "text", "language", F.lit("B").alias("tier"),
-        F.col("path").alias("file"), fid(F.col("path")).alias("enclosing"), F.lit("line.call").alias("syntax_kind"),
+        F.concat(fid(F.col("path")), F.lit(":"), F.col("line").cast("string"), F.lit(":"), "role", F.lit(":"), "text", F.coalesce(F.concat(F.lit(":"), "heir"), F.lit(""))).alias("id"), "role", "text", "language", F.lit("B").alias("tier"),
+        F.col("path").alias("file"), F.coalesce("heir_id", fid(F.col("path"))).alias("enclosing"), F.lit("line.use").alias("syntax_kind"),
     )
     occurrences = materialize(occurrences, "occurrences")
     found = materialize(candidates(occurrences, entities), "candidates")
-    bound = derive_relations(decide(occurrences, found), found)
-    # An occurrence stands for the file that holds it.
-    held = bound.join(occurrences.select(F.col("id").alias("subject"), "enclosing"), "subject").select(F.col("enclosing").alias("subject"), "predicate", "object", "confidence")
+    decided = decide(occurrences, found)
+    bound = derive_relations(decided, found)
+    # A base named in another file scores below a resolved one: the only candidate is taken, at its score.
+    only = decided.where("outcome = 'candidates' AND total = 1 AND role IN ('inheritance_use', 'implementation_use', 'type_use')")
+    alone = only.select(F.col("occurrence").alias("subject"), mapping(F.col("role"), ROLE_PREDICATES).alias("predicate"), F.col("symbols")[0].alias("object"), "confidence")
+    # An occurrence stands for what encloses it: the heir of a base, else the file.
+    held = bound.union(alone).join(occurrences.select(F.col("id").alias("subject"), "enclosing"), "subject").select(F.col("enclosing").alias("subject"), "predicate", "object", "confidence")
     inside = own.select(F.col("container_id").alias("subject"), F.lit("contains").alias("predicate"), F.col("id").alias("object"), F.lit(1000).alias("confidence"))
-    relations = held.union(inside).groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"))
+    serves = served.select(fid(F.col("path")).alias("subject"), F.lit("serves_route").alias("predicate"), F.concat(F.lit("route:"), "key").alias("object"), F.lit(900).alias("confidence"))
+    relations = held.union(inside).union(serves).groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"))
     relations = relations.withColumn("id", F.concat_ws("|", "subject", "predicate", "object"))
     return {"entities": entities, "occurrences": occurrences, "relations": relations}
 
@@ -45,12 +68,12 @@ def index_repository(spark: SparkSession, root: str, store: SnapshotStore, gener
     """Discover, extract, resolve, and commit as the active snapshot."""
     listed = discover(spark, root, exclude=exclude)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    texts = raw.join(listed.where("language <> 'unknown'").select("path", "language"), "path").select("path", "language", F.decode("content", "UTF-8").alias("text"))
-    files = listed.select(F.concat(F.lit("file:"), "path").alias("id"), "path", "content_hash", "byte_length", "language", "generated", "class")
-    known = F.col("language") != "unknown"
+    texts = raw.join(listed.where("language <> 'unknown' AND status = 'eligible'").select("path", "language"), "path").select("path", "language", F.decode("content", "UTF-8").alias("text"))
+    files = listed.select(F.concat(F.lit("file:"), "path").alias("id"), "path", "content_hash", "byte_length", "language", "generated", "class", "status")
+    known = (F.col("language") != "unknown") & (F.col("status") == "eligible")
     coverage = files.groupBy("language").agg(F.count(F.lit(1)).alias("discovered"), F.count_if(known).alias("indexed"), F.count_if(~known).alias("skipped"))
     coverage = coverage.select(F.concat(F.lit("coverage:"), "language").alias("id"), F.lit("language").alias("scope_kind"), F.col("language").alias("scope_id"), F.lit("syntax").alias("domain"), "discovered", "indexed", "skipped")
-    store.stage(generation, {**facts(texts), "files": files, "coverage": coverage})
+    store.stage(generation, {**facts(texts, spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()), "files": files, "coverage": coverage})
     store.commit(generation)
 
 

@@ -7,6 +7,7 @@ kept. One index is one record: its documents are exploded on the executors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -137,22 +138,32 @@ def encode_document(row: dict) -> bytes:
     return out
 
 
+#: Documents that one frame of the reader holds.
+_READ_ROWS = 256
+
+
 def read_scip(spark: SparkSession, path: str) -> DataFrame:
-    """(path, language, occurrences, symbols): a row for each document of the index files at ``path``."""
-    raw = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_INDEX_BYTES).select("content")
+    """(path, language, occurrences, symbols): a row for each document of the index files at ``path``.
+
+    A file over ``MAX_INDEX_BYTES`` is refused, not left out.
+    """
+    raw = spark.read.format("binaryFile").load(path)
+    large = raw.where(F.col("length") > MAX_INDEX_BYTES).select("path").limit(1).collect()
+    if large:
+        raise ScipRejected(f"{large[0]['path']} is over {MAX_INDEX_BYTES} bytes")
 
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for content in part["content"]:
-                for number, value in fields(bytes(content)):
-                    if number == INDEX_DOCUMENTS:
-                        yield pd.DataFrame({"document": [value]})
+                documents = (value for number, value in fields(bytes(content)) if number == INDEX_DOCUMENTS)
+                while some := list(islice(documents, _READ_ROWS)):
+                    yield pd.DataFrame({"document": some})
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame([decode_document(bytes(d)) for d in part["document"]], columns=["path", "language", "occurrences", "symbols"])
 
-    return raw.mapInPandas(split, "document binary").mapInPandas(decode, SCHEMA)
+    return raw.select("content").mapInPandas(split, "document binary").mapInPandas(decode, SCHEMA)
 
 
 def to_facts(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,11 +16,13 @@ class SnapshotError(ValueError):
 
 
 class SnapshotStore:
-    """``root``/staging and ``root``/generations hold one folder a snapshot, with a folder a table; ``root``/active names one.
+    """``root``/staging and ``root``/generations hold one folder a snapshot, with a folder a table; ``root``/active numbers which is active.
 
     All paths go through the file system that the session resolves for them, so any store Spark reads
     will do. A snapshot becomes visible by the rename of its folder, and stays addressable after the
-    next is activated.
+    next is activated; activation adds a numbered pointer, of which the newest counts, so there is
+    never a moment without one. A table that does not change is carried: the snapshot names the one
+    that has it, which cannot be removed before.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -33,18 +37,50 @@ class SnapshotStore:
     def _exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
-    def stage(self, generation: str, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> None:
+    def _put(self, path: str, data: dict) -> None:
+        out = self._fs.create(self._path(path), True)
+        out.write(bytearray(json.dumps(data).encode()))
+        out.close()
+
+    def _get(self, path: str) -> dict:
+        stream = self._fs.open(self._path(path))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _carried(self, area: str, generation: str) -> dict[str, str]:
+        path = self._at(area, generation, "carried.json")
+        return self._get(path) if self._exists(path) else {}
+
+    def _table(self, table: str, generation: str, area: str = "generations") -> str | None:
+        """Where a snapshot's table lies, its own or carried; None if it has none."""
+        own = self._at(area, generation, table)
+        if self._exists(own):
+            return own
+        owner = self._carried(area, generation).get(table)
+        return self._at("generations", owner, table) if owner else None
+
+    def tables(self, generation: str) -> list[str]:
+        return [t for t in TABLES if self._table(t, generation)]
+
+    def stage(self, generation: str, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, carry_from: str | None = None) -> None:
+        """Write ``tables``; with ``carry_from`` the snapshot has all other tables of that one as well."""
         unknown = set(tables) - set(TABLES)
         if unknown or self._exists(self._at("generations", generation)):
             raise SnapshotError(f"unknown tables {sorted(unknown)}" if unknown else f"{generation} exists")
         for name, df in tables.items():
             df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, [])).parquet(self._at("staging", generation, name))
+        if carry_from:
+            known = self._carried("generations", carry_from)
+            owners = {t: known.get(t, carry_from) for t in self.tables(carry_from) if t not in tables}
+            self._put(self._at("staging", generation, "carried.json"), owners)
 
     def _checked(self, generation: str) -> None:
         """Ids are unique; the ends of relations and the containers of entities exist; coverage adds up."""
-        at = lambda t: self._at("staging", generation, t)
-        has = {t for t in TABLES if self._exists(at(t))}
-        read = lambda t: self.spark.read.parquet(at(t))
+        at = {t: self._table(t, generation, "staging") for t in TABLES}
+        has = {t for t, path in at.items() if path}
+        read = lambda t: self.spark.read.parquet(at[t])
         for t in has & {"entities", "relations", "files", "occurrences"}:
             if not read(t).groupBy("id").count().where("count > 1").isEmpty():
                 raise SnapshotError(f"repeated ids in {t}")
@@ -70,17 +106,22 @@ class SnapshotStore:
     def activate(self, generation: str) -> None:
         if not self._exists(self._at("generations", generation)):
             raise SnapshotError(f"no {generation}")
-        new, old = self._path(self._at("active.new")), self._path(self._at("active"))
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps({"generation": generation}).encode()))
-        out.close()
-        self._fs.delete(old, False)
-        self._fs.rename(new, old)
+        new = self._at("active", f"new-{uuid.uuid4().hex}")
+        self._put(new, {"generation": generation})
+        at = self._pointers()
+        number = int(at[-1][:9]) + 1 if at else 1
+        if not self._fs.rename(self._path(new), self._path(self._at("active", f"{number:09d}.json"))):
+            raise SnapshotError(f"another job has activated a snapshot; {generation} is not active")
+
+    def _pointers(self) -> list[str]:
+        if not self._exists(self._at("active")):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self._at("active")))]
+        return sorted(n for n in names if re.fullmatch(r"[0-9]{9}\.json", n))
 
     def active(self) -> str | None:
-        if not self._exists(self._at("active")):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(self._at("active")).collect()))["generation"]
+        at = self._pointers()
+        return self._get(self._at("active", at[-1]))["generation"] if at else None
 
     def generations(self) -> list[str]:
         if not self._exists(self._at("generations")):
@@ -91,22 +132,26 @@ class SnapshotStore:
         generation = generation or self.active()
         if generation not in self.generations():
             raise SnapshotError(f"no snapshot {generation}")
-        return self.spark.read.parquet(self._at("generations", generation, table))
+        path = self._table(table, generation)
+        if not path:
+            raise SnapshotError(f"{generation} has no {table}")
+        return self.spark.read.parquet(path)
 
     def remove(self, generation: str) -> None:
         if generation == self.active():
             raise SnapshotError("the active snapshot stays")
+        if any(generation in self._carried("generations", g).values() for g in self.generations()):
+            raise SnapshotError(f"other snapshots carry tables of {generation}")
         self._fs.delete(self._path(self._at("generations", generation)), True)
 
     def export_bundle(self, generation: str, target: str) -> None:
         """Tables without source text, and a manifest of counts, for another store to import."""
         rows = []
-        for table in TABLES:
-            if self._exists(self._at("generations", generation, table)):
-                df = self.read(table, generation)
-                df = df.drop(*[c for c in ("text", "content") if c in df.columns])
-                df.write.parquet(f"{target}/{table}")
-                rows.append((generation, table, df.count()))
+        for table in self.tables(generation):
+            df = self.read(table, generation)
+            df = df.drop(*[c for c in ("text", "content") if c in df.columns])
+            df.write.parquet(f"{target}/{table}")
+            rows.append((generation, table, df.count()))
         self.spark.createDataFrame(rows, "generation string, table string, rows long").coalesce(1).write.json(f"{target}/manifest")
 
     def import_bundle(self, source: str) -> str:

@@ -1,44 +1,150 @@
-"""Entities and uses from source text, by patterns over lines: a light extractor for a few languages."""
+"""Entities and uses from source text, by patterns over lines: a light extractor, built-in functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import route_key
+
+_NAME = r"([A-Za-z_$][\w$]*)"
+_MODS = r"(?:(?:public|protected|private|internal|abstract|final|static|sealed|partial|override|virtual|async|synchronized|readonly)\s+)*"
+_JS = (
+    (rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_NAME}", "function"),
+    (rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}", "class"),
+    (rf"^\s*(?:export\s+)?const\s+{_NAME}\s*=\s*(?:async\s*)?\([^)]*\)\s*=>", "function"),
+)
+_C = (
+    (r"^(?!return|else|typedef|struct|enum|union)[A-Za-z_][\w\s\*:<>,&]*?\b([A-Za-z_]\w*)\s*\([^;]*$", "function"),
+    (r"^\s*(?:typedef\s+)?struct\s+([A-Za-z_]\w*)", "struct"),
+    (r"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?([A-Za-z_]\w*)", "enum"),
+    (r"^\s*(?:typedef\s+)?union\s+([A-Za-z_]\w*)", "union"),
+)
+_TYPES = ((rf"^\s*{_MODS}class\s+{_NAME}", "class"), (rf"^\s*{_MODS}interface\s+{_NAME}", "interface"), (rf"^\s*{_MODS}enum\s+{_NAME}", "enum"))
 # Declarations that a line may hold, by language, as (pattern, kind).
 DECLARATIONS = {
     "python": ((r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", "function"), (r"^\s*class\s+([A-Za-z_]\w*)", "class")),
-    "rust": ((r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)", "function"), (r"^\s*(?:pub\s+)?struct\s+([A-Za-z_]\w*)", "struct"), (r"^\s*(?:pub\s+)?trait\s+([A-Za-z_]\w*)", "trait")),
-    "go": ((r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", "function"), (r"^type\s+([A-Za-z_]\w*)\s+struct", "struct")),
-    "javascript": ((r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function"), (r"^\s*(?:export\s+)?class\s+([A-Za-z_$][\w$]*)", "class")),
+    "rust": (
+        (r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", "function"),
+        (r"^\s*(?:pub(?:\([a-z]+\))?\s+)?struct\s+([A-Za-z_]\w*)", "struct"),
+        (r"^\s*(?:pub(?:\([a-z]+\))?\s+)?enum\s+([A-Za-z_]\w*)", "enum"),
+        (r"^\s*(?:pub(?:\([a-z]+\))?\s+)?trait\s+([A-Za-z_]\w*)", "trait"),
+    ),
+    "go": ((r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", "function"), (r"^type\s+([A-Za-z_]\w*)\s+struct", "struct"), (r"^type\s+([A-Za-z_]\w*)\s+interface", "interface")),
+    "javascript": _JS,
+    "typescript": (*_JS, (rf"^\s*(?:export\s+)?interface\s+{_NAME}", "interface"), (rf"^\s*(?:export\s+)?type\s+{_NAME}[^=]*=", "type_alias"), (rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{_NAME}", "enum")),
+    "java": (*_TYPES, (rf"^\s*{_MODS}record\s+{_NAME}", "class"), (rf"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\],.? ]+\s+{_NAME}\s*\(", "method")),
+    "c": _C,
+    "cpp": (*_C, (r"^\s*class\s+([A-Za-z_]\w*)", "class"), (r"^\s*namespace\s+([A-Za-z_]\w*)", "namespace")),
+    "csharp": (*_TYPES, (rf"^\s*{_MODS}(?:struct|record)\s+{_NAME}", "struct"), (r"^\s*namespace\s+([\w.]+)", "namespace"), (rf"^\s+(?:(?:public|protected|private|internal|static|override|virtual|async)\s+)+[\w<>\[\],.? ]+\s+{_NAME}\s*\(", "method")),
+    "ruby": ((r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)", "method"), (r"^\s*class\s+([A-Za-z_]\w*)", "class"), (r"^\s*module\s+([A-Za-z_]\w*)", "module")),
+    "php": ((rf"^\s*{_MODS}function\s+&?{_NAME}", "function"), *_TYPES, (rf"^\s*trait\s+{_NAME}", "trait")),
 }
+_EXTENDS = (r"\b(?:class|interface)\s+([\w$]+)[^{]*?\bextends\s+([\w$.,\s]+?)\s*(?:<|\bimplements\b|\{|$)", "inheritance_use")
+_IMPLEMENTS = (r"\bclass\s+([\w$]+)[^{]*?\bimplements\s+([\w$.,\s]+?)\s*(?:<|\{|$)", "implementation_use")
+_COLON = (r"\b(?:class|struct|interface)\s+(\w+)[^:{]*:\s*([\w:.,<>\s]+?)\s*(?:\{|$)", "inheritance_use")
+# What a declaration says of its bases, as (pattern of heir and bases, role), and those that name the bases first.
+BASES = {
+    "python": ((r"^\s*class\s+(\w+)\s*\(([\w.,\s]+)", "inheritance_use"),),
+    "javascript": (_EXTENDS,),
+    "typescript": (_EXTENDS, _IMPLEMENTS),
+    "java": (_EXTENDS, _IMPLEMENTS),
+    "php": (_EXTENDS, _IMPLEMENTS),
+    "csharp": (_COLON,),
+    "cpp": (_COLON,),
+    "ruby": ((r"^\s*class\s+(\w+)\s*<\s*([\w:]+)", "inheritance_use"),),
+}
+BASES_FIRST = {"rust": ((r"^\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+(\w+)", "implementation_use"),)}
 CALL = r"([A-Za-z_]\w*)\s*\("
-IMPORTS = {"python": r"^\s*(?:from|import)\s+([\w.]+)", "rust": r"^\s*use\s+([\w:]+)", "go": r"^\s*import\s+\"([^\"]+)\"", "javascript": r"from\s+['\"]([^'\"]+)['\"]"}
+# Words before a parenthesis that call nothing.
+NOT_CALLED = ("if", "for", "while", "switch", "return", "catch", "elif", "match", "function", "def", "fn", "func", "class", "and", "or", "not", "in", "sizeof", "typeof")
+TYPE = r"(?::|->)\s*&?(?:mut\s+)?(?:[\w]+(?:\.|::))*([A-Z]\w*)"
+TYPED = ("python", "rust", "typescript", "php")
+ROUTE = r"\.(get|post|put|patch|delete)\(\s*['\"](/[^'\"]*)['\"]"
+IMPORTS = {
+    "python": r"^\s*(?:from|import)\s+([\w.]+)", "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)", "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$", "javascript": r"(?:from|require\()\s*['\"]([^'\"]+)['\"]",
+    "typescript": r"(?:from|require\()\s*['\"]([^'\"]+)['\"]", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "c": r"^\s*#\s*include\s+\"([^\"]+)\"", "cpp": r"^\s*#\s*include\s+\"([^\"]+)\"",
+    "csharp": r"^\s*using\s+([\w.]+)\s*;", "ruby": r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", "php": r"^\s*use\s+([\w\\]+)",
+}
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    return files.select("path", "language", F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("line_no", F.col("k") + 1)
+    return files.select("path", "language", F.posexplode(F.split("text", "\r?\n")).alias("k", "line")).withColumn("line_no", F.col("k") + 1)
+
+
+def _collected(rules: dict, element: str, made) -> Column:
+    """The array of all that the rules of a row's language make of its line."""
+    out = F.array().cast(f"array<{element}>")
+    for language, own in rules.items():
+        for rule in own:
+            hit = made(*rule)
+            out = F.when((F.col("language") == language) & hit[0], F.concat(out, hit[1])).otherwise(out)
+    return out
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """(path, language, name, kind, line) of files (path, language, text); built-in functions only."""
-    found = F.array().cast("array<struct<name:string,kind:string>>")
-    for language, rules in DECLARATIONS.items():
-        for pattern, kind in rules:
-            name = F.regexp_extract("line", pattern, 1)
-            hit = F.array(F.struct(name.alias("name"), F.lit(kind).alias("kind")))
-            found = F.when((F.col("language") == language) & (name != ""), F.concat(found, hit)).otherwise(found)
-    return _lines(files).select("path", "language", F.explode(found).alias("d"), "line_no").select("path", "language", "d.name", "d.kind", F.col("line_no").alias("line"))
+    """(path, language, name, kind, line) of files (path, language, text)."""
+
+    def made(pattern: str, kind: str):
+        name = F.regexp_extract("line", pattern, 1)
+        return name != "", F.array(F.struct(name.alias("name"), F.lit(kind).alias("kind")))
+
+    found = _collected(DECLARATIONS, "struct<name:string,kind:string>", made)
+    out = _lines(files).select("path", "language", F.explode(found).alias("d"), "line_no").select("path", "language", "d.name", "d.kind", F.col("line_no").alias("line"))
+    return out.where(~F.col("name").isin(*NOT_CALLED))
+
+
+def inheritance(files: DataFrame) -> DataFrame:
+    """(path, language, role, text, line, heir): each base that a declaration names, and the type that has it."""
+
+    def made(heir: int):
+        def of(pattern: str, role: str):
+            name, bases = F.regexp_extract("line", pattern, heir), F.regexp_extract("line", pattern, 3 - heir)
+            return name != "", F.array(F.struct(name.alias("heir"), bases.alias("bases"), F.lit(role).alias("role")))
+
+        return of
+
+    kind = "struct<heir:string,bases:string,role:string>"
+    found = F.concat(_collected(BASES, kind, made(1)), _collected(BASES_FIRST, kind, made(2)))
+    rows = _lines(files).select("path", "language", F.explode(found).alias("b"), F.col("line_no").alias("line"))
+    each = rows.select("path", "language", F.col("b.role").alias("role"), F.explode(F.split("b.bases", ",")).alias("text"), "line", F.col("b.heir").alias("heir"))
+    # Access words and what qualifies a base are dropped: names are bound by the resolver.
+    plain = F.regexp_extract("text", r"([A-Za-z_$][\w$]*)(?:<[^>]*>?)?\s*$", 1)
+    return each.withColumn("text", plain).where("text <> '' AND text <> heir")
+
+
+def routes(files: DataFrame) -> DataFrame:
+    """(path, language, key, line): routes that a file serves, by calls such as app.get("/x", ..)."""
+    rows = _lines(files).select("path", "language", F.regexp_extract("line", ROUTE, 1).alias("method"), F.regexp_extract("line", ROUTE, 2).alias("route"), F.col("line_no").alias("line"))
+    return rows.where("method <> ''").select("path", "language", route_key(F.col("method"), F.col("route")).alias("key"), "line").where("key IS NOT NULL")
+
+
+def module_name(path: Column) -> Column:
+    """A relative path as a dotted module name, without its ending and a last index or __init__."""
+    return F.regexp_replace(F.translate(F.regexp_replace(path, r"\.[A-Za-z0-9]+$", ""), "/", "."), r"\.(index|mod|__init__)$", "")
+
+
+def imported_module(text: Column, path: Column) -> Column:
+    """The dotted module that an import names; relative ones against the folder of ``path``."""
+    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    upper = F.regexp_extract(folder, r"^(.*)/[^/]*$", 1)
+    clean = F.regexp_replace(text, r"\.(h|hpp|js|jsx|ts|tsx|rb)$", "")
+    joined = F.when(clean.startswith("../"), F.concat_ws("/", upper, F.substring(clean, 4, 4096))).when(clean.startswith("./"), F.concat_ws("/", folder, F.substring(clean, 3, 4096))).otherwise(clean)
+    dotted = F.regexp_replace(F.regexp_replace(joined, r"::|/|\\", "."), r"^(crate|self|super)\.", "")
+    return F.regexp_replace(dotted, r"^\.+", "")
 
 
 def uses(files: DataFrame) -> DataFrame:
-    """(path, language, role, text, line): calls and imports by spelling, for the resolver."""
+    """(path, language, role, text, line, heir): calls, imports, types and bases by spelling, for the resolver."""
     rows = _lines(files)
-    calls = rows.select("path", "language", F.explode(F.regexp_extract_all("line", F.lit(CALL))).alias("text"), F.col("line_no").alias("line"))
+    none = F.lit(None).cast("string").alias("heir")
+    calls = rows.select("path", "language", F.explode(F.regexp_extract_all("line", F.lit(CALL))).alias("text"), F.col("line_no").alias("line")).where(~F.col("text").isin(*NOT_CALLED))
     declared = declarations(files).select("path", "line", F.col("name").alias("text"))
-    calls = calls.join(declared, ["path", "line", "text"], "left_anti").select("path", "language", F.lit("call_site").alias("role"), "text", "line")
+    calls = calls.join(declared, ["path", "line", "text"], "left_anti").select("path", "language", F.lit("call_site").alias("role"), "text", "line", none)
     module = F.lit("")
     for language, pattern in IMPORTS.items():
         module = F.when(F.col("language") == language, F.regexp_extract("line", pattern, 1)).otherwise(module)
-    imports = rows.select("path", "language", F.lit("import_use").alias("role"), module.alias("text"), F.col("line_no").alias("line")).where("text <> ''")
-    return calls.unionByName(imports)
+    imports = rows.select("path", "language", F.lit("import_use").alias("role"), module.alias("text"), F.col("line_no").alias("line"), none).where("text <> ''")
+    types = rows.where(F.col("language").isin(*TYPED)).select("path", "language", F.lit("type_use").alias("role"), F.explode(F.regexp_extract_all("line", F.lit(TYPE))).alias("text"), F.col("line_no").alias("line"), none)
+    bases = inheritance(files).select("path", "language", "role", "text", "line", "heir")
+    return calls.unionByName(imports).unionByName(types).unionByName(bases)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.incremental import file_transitions, reconcile_plan
+from ..runtime import materialize
 from ..sources.snapshots import SnapshotStore
 
 FILE_COLUMNS = ("file", "path", "hash", "identity", "size", "mtime", "trusted")
@@ -20,31 +21,44 @@ def latest(batch: DataFrame) -> DataFrame:
     return batch.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def apply_batch(store: SnapshotStore, batch: DataFrame, generation: str) -> DataFrame:
+def apply_batch(store: SnapshotStore, batch: DataFrame, generation: str, full: bool = False) -> DataFrame:
     """Commit ``generation`` as the active snapshot with the batch's files applied; returns their transitions.
 
-    A batch that was committed before (a replay after a failure) changes nothing.
+    Scans are matched with all files of the active snapshot, so a file that comes back under another
+    id is a move, not an addition. A file is deleted by a scan whose ``deleted`` (optional) is true, or,
+    with ``full``, by being absent. The other tables are carried; the transitions say whose facts are
+    to be extracted anew. A batch that was committed before (a replay after a failure) changes nothing.
     """
     if generation in store.generations():
-        return batch.select("file").limit(0)
-    scan = latest(batch.select(*FILE_COLUMNS))
+        return batch.sparkSession.createDataFrame([], "file string, previous_file string, change string")
+    deleted = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
+    scans = materialize(latest(batch.select(*FILE_COLUMNS, deleted.alias("deleted"))), "refresh-scan")
+    scan, gone = scans.where("NOT deleted").select(*FILE_COLUMNS), scans.where("deleted").select("file")
     active = store.active()
-    base = store.read("files").select("id", *FILE_COLUMNS[1:]).withColumnRenamed("id", "file") if active else scan.limit(0)
-    touched = base.join(scan.select("file"), "file", "left_semi")
-    plan = reconcile_plan(touched, scan)
-    changes = file_transitions(touched, scan, plan.where("previous_file IS NOT NULL"))
-    kept = base.join(scan.select("file"), "file", "left_anti")
-    files = kept.select(*FILE_COLUMNS).unionByName(scan.select(*FILE_COLUMNS)).withColumnRenamed("file", "id")
-    store.stage(generation, {"files": files})
+    known = bool(active) and "files" in store.tables(active)
+    base = store.read("files").withColumnRenamed("id", "file").select(*FILE_COLUMNS) if known else scan.limit(0)
+    matches = materialize(reconcile_plan(base.join(gone, "file", "left_anti"), scan).where("previous_file IS NOT NULL").select("file", "previous_file"), "refresh-matches")
+    met = matches.select(F.col("previous_file").alias("file"))
+    touched = base if full else base.join(met.union(gone).distinct(), "file", "left_semi")
+    changes = materialize(file_transitions(touched, scan, matches), "refresh-changes")
+    files = scan if full else scan.unionByName(base.join(met, "file", "left_anti").join(gone, "file", "left_anti"))
+    store.stage(generation, {"files": files.withColumnRenamed("file", "id")}, carry_from=active)
     store.commit(generation)
     return changes
 
 
-def refresh(stream: DataFrame, store: SnapshotStore, checkpoint: str, on_changes: Callable[[DataFrame, int], None] | None = None, available_now: bool = True) -> StreamingQuery:
+def refresh(
+    stream: DataFrame,
+    store: SnapshotStore,
+    checkpoint: str,
+    on_changes: Callable[[DataFrame, int], None] | None = None,
+    available_now: bool = True,
+    full: bool = False,
+) -> StreamingQuery:
     """Start a query that applies each micro-batch as generation g<batch id>; exactly once, as generations are named by batch."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        changes = apply_batch(store, batch, f"g{batch_id:08d}")
+        changes = apply_batch(store, batch, f"g{batch_id:08d}", full)
         if on_changes:
             on_changes(changes, batch_id)
 

@@ -24,18 +24,18 @@ def rows(df):
 def test_two_functions(spark):
     g = make(spark, [("caller", "calls", "callee", 950)])
     assert rows(analytics.relationships(g, ["caller"], ["calls"]).select("symbol", "confidence")) == {("callee", 950)}
-    assert rows(analytics.flow_trace(g, "caller", ["calls"], "callee")) == {("caller>callee", 1, 950, False)}
-    assert rows(analytics.flow_frontier(g, "caller", ["calls"])) == {(2, 1)}
+    assert rows(analytics.flow_trace(g, "caller", ["calls"], "callee")) == {("caller>callee", 1, 950, False, False)}
+    assert rows(analytics.flow_frontier(g, "caller", ["calls"])) == {(2, 1, False, 0)}
     changed = spark.createDataFrame([("callee",)], "id string")
     impact = analytics.change_impact(g, changed, ["calls"])
-    assert rows(impact) == {("caller", 1, 950, False)}
-    assert rows(analytics.risk_summary(impact)) == {("low", 1, 0)}
+    assert rows(impact) == {("caller", 1, 950, "calls", False, False)}
+    assert rows(analytics.risk_summary(impact)) == {("low", 1, 0, 0)}
 
 
 def test_isolated_is_dead(spark):
     g = make(spark, [("caller", "calls", "callee")], nodes=["isolated"])
     entry = spark.createDataFrame([("caller",)], "id string")
-    assert rows(analytics.dead_code(g, entry, ("function",), ["calls"])) == {("isolated", "isolated", 300, 0, 0)}
+    assert rows(analytics.dead_code(g, entry, ("function",), ["calls"])) == {("isolated", "isolated", 300, "no_incoming_references,not_observed_from_partial_entry_points", 0, 0)}
 
 
 def test_direct_test_edge(spark):
@@ -104,3 +104,137 @@ def test_empty_graph(spark):
     assert analytics.cycles(g, ["calls"]).count() == 0
     assert analytics.overview_components(g, ("module",)).count() == 0
     assert graph.reach(g.relations, spark.createDataFrame([("a",)], "id string"), "both", 3).count() == 1
+
+
+def chain(n, start=0):
+    return [(f"v{i:03d}", "calls", f"v{i + 1:03d}") for i in range(start, start + n)]
+
+
+def ids(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "id string")
+
+
+def test_long_chain_is_alive(spark):
+    g = make(spark, chain(120), nodes=["lone"])
+    assert {r["symbol"] for r in analytics.dead_code(g, ids(spark, "v000"), ("function",), ["calls"]).collect()} == {"lone"}
+    found = graph.reach(g.relations, ids(spark, "v000"), "outbound").collect()
+    assert len(found) == 121 and max(r["depth"] for r in found) == 120
+
+
+def test_paths_to_a_weak_target(spark):
+    """The strongest walks lead elsewhere; the one to the target is found all the same."""
+    g = make(spark, [("s", "calls", "lo", 100), ("lo", "calls", "t", 100)] + [("s", "calls", f"x{i}", 900) for i in range(5)] + [(f"x{i}", "calls", f"y{i}", 900) for i in range(5)])
+    assert rows(analytics.flow_trace(g, "s", ["calls"], "t", max_paths=2)) == {("s>lo>t", 2, 100, False, False)}
+    some = analytics.flow_trace(g, "s", ["calls"], max_paths=3).collect()
+    assert [(r["path"], r["truncated"]) for r in sorted(some, key=lambda r: r["path"])] == [("s>x0", True), ("s>x1", True), ("s>x2", True)]
+
+
+def test_paths_against_brute_force(spark):
+    rng = random.Random(5)
+    nodes = "abcdefg"
+    edges = sorted({(rng.choice(nodes), "calls", rng.choice(nodes), rng.randrange(1, 900)) for _ in range(18)})
+    strongest = {}
+    for a, _, b, c in edges:
+        strongest[a, b] = max(c, strongest.get((a, b), 0))
+    want = []
+
+    def walk(path, confidence):
+        for (a, b), c in strongest.items():
+            if a == path[-1] and len(path) <= 4:
+                want.append((len(path), -min(confidence, c), [*path, b], b in path))
+                if b not in path:
+                    walk([*path, b], min(confidence, c))
+
+    walk(["a"], 1000)
+    g = make(spark, edges, nodes=nodes)
+    for limit in (1000, 7):
+        got = analytics.flow_trace(g, "a", ["calls"], max_depth=4, max_paths=limit).collect()
+        assert {(r["path"], r["hops"], r["confidence"], r["cyclic"]) for r in got} == {(">".join(p), h, -c, y) for h, c, p, y in sorted(want)[:limit]}
+        assert all(r["truncated"] == (len(want) > limit) for r in got)
+    to_d = analytics.flow_trace(g, "a", ["calls"], "d", max_depth=4, max_paths=1000).collect()
+    assert {r["path"] for r in to_d} == {">".join(p) for _, _, p, y in want if p[-1] == "d" and not y and "d" not in p[:-1]}
+
+
+def test_long_cycle_has_a_representative(spark):
+    ring = [(f"n{i:02d}", "calls", f"n{(i + 1) % 12:02d}", 500 + i) for i in range(12)]
+    got = analytics.representative_cycles(make(spark, ring), ["calls"]).collect()
+    assert [(r["path"], r["confidence"]) for r in got] == [(">".join([f"n{i:02d}" for i in range(12)] + ["n00"]), 500)]
+    two = [("a", "calls", "b", 100), ("b", "calls", "a", 900), ("a", "calls", "c", 800), ("c", "calls", "a", 800), ("a", "calls", "d", 800), ("d", "calls", "a", 850)]
+    assert rows(analytics.representative_cycles(make(spark, two), ["calls"])) == {("a", "a>c>a", 800)}
+
+
+@pytest.mark.parametrize("closure_edges", [0, 2000])
+def test_components_of_long_cycles_and_tails(spark, monkeypatch, closure_edges):
+    monkeypatch.setattr(graph, "CLOSURE_EDGES", closure_edges)
+    ring = [(f"r{i:02d}", f"r{(i + 1) % 9:02d}") for i in range(9)]
+    tail = [(f"t{i:02d}", f"t{i + 1:02d}") for i in range(15)] + [("t15", "r00"), ("r03", "z0"), ("z0", "z1"), ("z1", "z0")]
+    got = rows(graph.strong_components(spark.createDataFrame(ring + tail, "subject string, object string")).select("node", "component"))
+    assert got == {(a, "r00") for a, _ in ring} | {("z0", "z0"), ("z1", "z0")}
+
+
+def test_effective_confidence_everywhere(spark):
+    g = make(spark, [("a", "calls", "b", 900), ("b", "calls", "a", 900), ("a", "changed_in", "b", 1000)], tier="D")
+    (cycle,) = analytics.cycles(g, ["calls"]).collect()
+    assert (cycle["edge_weight"], cycle["break_cost"], cycle["change_risk"], cycle["members"]) == (798, 399, 1, "a,b")
+    assert rows(analytics.break_candidates(g, ["calls"]).select("cost")) == {(399,)}
+    assert rows(analytics.representative_cycles(g, ["calls"])) == {("a", "a>b>a", 399)}
+    assert rows(analytics.flow_trace(g, "a", ["calls"], "b").select("confidence")) == {(399,)}
+    assert rows(analytics.change_impact(g, ids(spark, "a"), ["calls"]).select("symbol", "confidence")) == {("b", 399)}
+    assert rows(analytics.cycle_members(g, ["calls"])) == {("a", "a"), ("a", "b")}
+    for rank in ("size", "weight", "change_risk", "break_cost"):
+        assert analytics.cycles(g, ["calls"], rank_by=rank).count() == 1
+
+
+def test_dead_code_policies(spark):
+    e = [("open", "function", "public"), ("route", "route", "private"), ("t", "test", "private"), ("used", "function", "private"), ("tested", "function", "private"), ("routed", "function", "private"), ("lone", "function", "private")]
+    e = spark.createDataFrame([(i, k, i, i, None, v, "A", "rust", f"{i}.rs") for i, k, v in e], E)
+    r = [("open", "used"), ("t", "tested"), ("route", "routed")]
+    g = Graph(e, spark.createDataFrame([(a + b, a, "calls", b, 950) for a, b in r], R))
+    none = ids(spark, "nothing")
+    dead = lambda **k: {x["symbol"] for x in analytics.dead_code(g, none, ("function",), ["calls"], **k).collect()}
+    assert dead() == {"used", "routed", "lone"} and dead(policy="library") == {"routed", "lone"}
+    assert dead(policy="application") == {"used", "lone"} and dead(policy="explicit") == {"used", "tested", "routed", "lone"}
+    assert dead(include_exported=True) == {"open", "used", "routed", "lone"}
+    assert rows(analytics.dead_code_suppressions(g, ("function", "test"))) == {("exported", 1), ("test", 1)}
+    first = analytics.dead_code(g, none, ("function",), ["calls"]).collect()
+    assert [x["symbol"] for x in first] == ["lone", "routed", "used"] and first[1]["classification"] == "strongly_referenced"
+
+
+def test_explain_sections(spark):
+    g = make(spark, [("a", "calls", "b", 900)])
+    o = spark.createDataFrame([("o1", "call_site", "a", "b", "a.rs")], "id string, role string, enclosing string, target string, file string")
+    p = spark.createDataFrame([("a", "parser", "1.2")], "id string, producer string, version string")
+    c = spark.createDataFrame([("language", "rust", "complete"), ("path", "zz", "bounded")], "scope_kind string, scope_id string, status string")
+    got = rows(analytics.explain_symbols(g, ["a"], occurrences=o, provenance=p, coverage=c).select("section", "other", "detail"))
+    assert got == {("entity", "", "private"), ("outbound", "b", "calls"), ("encloses", "o1", "call_site"), ("provenance", "parser", "1.2"), ("coverage", "rust", "complete")}
+
+
+def test_test_kinds_and_gaps(spark):
+    e = spark.createDataFrame([(i, k, i, i, None, "private", "A", "rust", p) for i, k, p in [("s", "function", "src/a.rs"), ("u", "test", "src/a_test.rs"), ("i", "test", "tests/integration/a.rs"), ("alone", "function", "x/y.rs")]], E)
+    g = Graph(e, spark.createDataFrame([("r", "i", "tests", "s", 900)], R))
+    pick = lambda **k: rows(analytics.select_tests(g, ids(spark, "s"), **k).select("test", "score", "why"))
+    assert pick() == {("i", 900, "direct_test_edge")}
+    assert pick(co_located=True) == {("i", 900, "direct_test_edge"), ("u", 300, "co_located")}
+    assert pick(co_located=True, kinds=("unit",)) == {("u", 300, "co_located")}
+    assert rows(analytics.gaps_of_tests(g, ids(spark, "s", "alone"))) == {("alone",)}
+
+
+def test_history_kinds(spark):
+    row = lambda i, q, sig, c=None: (i, "function", i, q, c, "public", "A", "rust", f"{i}.rs", sig)
+    schema = f"{E}, signature string"
+    none = spark.createDataFrame([], R)
+    base = Graph(spark.createDataFrame([row("a", "a", "()"), row("b", "b", "()"), row("c", "c", "()")], schema), none)
+    lineage = spark.createDataFrame([("1", "p", "lineage_split_from", "c", 900), ("2", "q", "lineage_split_from", "c", 900), ("3", "m", "lineage_merged_from", "x", 900), ("4", "m", "lineage_merged_from", "y", 900)], R)
+    head = Graph(spark.createDataFrame([row("a", "a", "(int)"), row("b", "b", "()", "box")], schema), lineage)
+    assert rows(analytics.compare(base, head).select("id", "change", "significance")) == {("a", "signature_modified", 900), ("b", "moved", 700), ("c", "removed", 1000)}
+    assert rows(analytics.compare_lineage(head)) == {("c", "split", 2), ("m", "merged", 2)}
+
+
+def test_traversal_over_its_edges_is_refused(spark):
+    from loomgraph.plans import algebra, budget
+
+    g = make(spark, [("a", "calls", f"b{i}") for i in range(9)])
+    q = {"op": "traverse", "seed": "a", "relation": "calls", "direction": "outbound", "max_depth": 2}
+    assert algebra.run(g, q, max_edges=9).count() == 9
+    with pytest.raises(budget.BudgetExceeded, match="edges"):
+        algebra.run(g, q, max_edges=8)

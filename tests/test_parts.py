@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import PatternRejected, code_tokens, code_tokens_udf, fold, fold_udf, route_key, safe_pattern
+from loomgraph.functions.text import PatternRejected, code_tokens, fold, folded, route_key, safe_pattern, token_column
 from loomgraph.operators import evidence, incremental, resolve, retrieval, workspace
 from loomgraph.plans import batch, budget, completeness, paging
 from loomgraph.sources import files, history, indexing, reads, scip, snapshots, syntax, traces
@@ -33,8 +33,11 @@ def test_tokens(text, tokens):
 def test_fold(spark):
     assert fold("Straße") == fold("STRASSE") and fold("ς") == fold("σ") and fold("é") == fold("é")
     df = spark.createDataFrame([("STRASSE",), (None,), ("Straße",)], "t string")
-    assert rows(df.select(fold_udf("t"))) == {("strasse",), (None,)}
-    assert df.select(code_tokens_udf("t")).collect()[0][0] == ["strasse"]
+    assert rows(df.select(folded("t"))) == {("strasse",), (None,)}
+    assert df.select(token_column("t")).collect()[0][0] == ["strasse"]
+    texts = ["HTTPServer", "crate::HTTP2Server/path.rs", "snake_case42", "Straße", "caféBar", "cafe\u0301Bar\u0301Baz", "ΣΑΣ", "X1Y", "aB中文C", "", "__", "parseHTMLDoc2x"]
+    for text, got in df.sparkSession.createDataFrame([(t,) for t in texts], "t string").select("t", token_column("t")).collect():
+        assert [fold(t) for t in got] == code_tokens(text), text
 
 
 def test_patterns():
@@ -56,6 +59,23 @@ def test_locate_order(spark):
     assert [r["id"] for r in retrieval.locate(docs, "prefix", "run").collect()] == ["c", "d", "a", "b"]
     assert [r["id"] for r in retrieval.locate(docs, "prefix", "run", limit=2, offset=1).collect()] == ["d", "a"]
     assert retrieval.locate(docs, "exact", "run", ["go"]).count() == 0
+    assert [r["id"] for r in retrieval.locate(docs, "exact", "RUN").collect()] == ["c", "d", "a"]
+
+
+def test_text_search_scores(spark):
+    """Classes come before scores; within one, more and rarer tokens and names before paths."""
+    e = [("a", "parse", "x.parse", "src/http/parse.rs"), ("b", "httpParse", "x.httpParse", "src/b.rs"), ("c", "parseHTTPHead", "x.c", "src/c.rs"), ("d", "other", "x.other", "http/parse/d.rs"), ("s", "Straße", "x.s", "s.rs")]
+    df = spark.createDataFrame([(i, "function", n, q, None, "public", "A", "rust", p) for i, n, q, p in e], "id string, kind string, name string, qualified_name string, container_id string, visibility string, tier string, language string, path string")
+    docs = retrieval.lexical_documents(df)
+    stored = retrieval.lexical_postings(docs).cache()
+    got = retrieval.locate(docs, "text", "HTTP parse", postings=stored).collect()
+    assert {r["id"] for r in got} == {"a", "b", "c", "d"} and all(r["score"] > 0 for r in got)
+    order = [r["id"] for r in got]
+    assert order.index("b") < order.index("d") and order.index("c") < order.index("d")
+    assert [r["id"] for r in retrieval.locate(docs, "text", "http/parse", postings=stored).collect()][0] == "d"  # a path that begins so
+    assert [r["id"] for r in retrieval.locate(docs, "text", "STRASSE").collect()] == ["s"]
+    own = {(r["id"], r["field"], r["term"], r["tf"]) for r in stored.collect()}
+    assert ("c", "name", "http", 1) in own and ("d", "path", "parse", 1) in own
 
 
 def test_nearest_rejects(spark):
@@ -226,6 +246,86 @@ def test_stream_refresh(spark, tmp_path):
     assert rows(store.read("files").select("id", "hash")) == {("f1", "h9"), ("f2", "h2"), ("f3", "h3")}
 
 
+SCAN = "file string, path string, hash string, identity string, size long, mtime long, trusted boolean"
+
+
+def test_refresh_carries_moves_and_deletes(spark, tmp_path):
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    scans = lambda *r, schema=SCAN: spark.createDataFrame([(f, p, h, i, 1, t, True, *more) for f, p, h, i, t, *more in r], schema)
+    e = spark.createDataFrame([("a",), ("b",)], "id string")
+    files_ = scans(("f1", "a.py", "h1", "i1", 1), ("f2", "b.py", "h2", "i2", 1), ("f3", "c.py", "h3", "i3", 1))
+    store.stage("g0", {"entities": e, "files": files_.withColumnRenamed("file", "id")})
+    store.commit("g0")
+    got = refresh.apply_batch(store, scans(("f9", "z.py", "h1", "i1", 2)), "g1")
+    assert rows(got) == {("f9", "f1", "moved")}
+    assert rows(store.read("entities")) == {("a",), ("b",)} and rows(store.read("files").select("id")) == {("f9",), ("f2",), ("f3",)}
+    got = refresh.apply_batch(store, scans(("f2", "b.py", None, None, 3, True), ("f4", "d.py", "h4", "i4", 3, False), schema=f"{SCAN}, deleted boolean"), "g2")
+    assert rows(got) == {(None, "f2", "deleted"), ("f4", None, "added")}
+    assert rows(refresh.apply_batch(store, scans(("f4", "d.py", "h4", "i4", 3)), "g2")) == set()
+    got = refresh.apply_batch(store, scans(("f4", "d.py", "h5", "i4", 4)), "g3", full=True)
+    assert rows(got) == {("f4", "f4", "modified"), (None, "f3", "deleted"), (None, "f9", "deleted")}
+    assert store.active() == "g3" and store.read("entities").count() == 2 and rows(store.read("files").select("id")) == {("f4",)}
+    with pytest.raises(snapshots.SnapshotError, match="carry"):
+        store.remove("g0")
+    store.remove("g1")
+    store.export_bundle("g3", str(tmp_path / "bundle"))
+    other = snapshots.SnapshotStore(spark, str(tmp_path / "other"))
+    assert other.import_bundle(str(tmp_path / "bundle")) == "g3" and other.read("entities", "g3").count() == 2
+
+
+def test_activation_never_leaves_a_gap(spark, tmp_path):
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    for g in ("g1", "g2"):
+        store.stage(g, {"files": spark.createDataFrame([(g,)], "id string")})
+        store.commit(g)
+    assert store.active() == "g2"
+    (tmp_path / "store" / "active" / "new-lost").write_text("{")  # what a job leaves that died before its rename
+    assert store.active() == "g2"
+    store.activate("g1")
+    assert store.active() == "g1" and len(store._pointers()) == 3
+
+
+def test_pairs_do_not_cancel_in_digests(spark):
+    a, b = (spark.createDataFrame([(x,), (x,)], "v string") for x in "ab")
+    assert [r["equal"] for r in incremental.equivalence({"d": a}, {"d": b}).collect()] == [False]
+    assert [r["equal"] for r in incremental.equivalence({"d": a}, {"d": a}).collect()] == [True]
+
+
+def test_invalidation_follows_long_chains(spark):
+    facts = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(100)], "subject string, object string")
+    out = incremental.invalidation(spark.createDataFrame([("k",)], "key string"), spark.createDataFrame([("k", "n0")], "key string, node string"), facts)
+    assert len(rows(out)) == 101
+
+
+def test_discovery_counts_and_ignores(spark, tmp_path):
+    for name, text in (("src/a.py", "x"), ("src/big.py", "y" * 100), ("build/out.py", "x"), ("src/gen/keep.py", "x"), ("src/gen/drop.py", "x"), ("note.log", "x"), ("deep/x/note.log", "x")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / ".gitignore").write_text("# output\n/build/\n*.log\nsrc/gen/*\n!src/gen/keep.py\n")
+    found = {r["path"].split(f"{tmp_path.name}/")[1]: (r["status"], r["content_hash"] is None) for r in files.discover(spark, str(tmp_path), max_bytes=50).collect()}
+    assert found == {"src/a.py": ("eligible", False), "src/big.py": ("too_large", True), "src/gen/keep.py": ("eligible", False)}
+    assert {r["path"][-4:] for r in files.discover(spark, str(tmp_path), ignore=("src/",)).collect()} == set()
+
+
+def test_large_index_is_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "index.scip").write_bytes(b"\x12\x00" * 40)
+    monkeypatch.setattr(scip, "MAX_INDEX_BYTES", 50)
+    with pytest.raises(scip.ScipRejected, match="over 50 bytes"):
+        scip.read_scip(spark, str(tmp_path / "index.scip"))
+
+
+def test_packs_over_their_bound_are_refused(spark):
+    c = spark.createDataFrame([("p", str(i), "definition", 1, 1, 10, "a", "b", 1, False) for i in range(5)], "pack string, id string, role string, relevance int, confidence int, tokens long, path string, provider string, region int, anchor boolean")
+    assert evidence.pack_evidence(c, "bug_fix", 100).count() == 5
+    with pytest.raises(budget.BudgetExceeded, match="candidates"):
+        evidence.pack_evidence(c, "bug_fix", 100, bounds=budget.Budget(candidates=4))
+
+
+def test_completeness_of_many_parts(spark):
+    parts = spark.createDataFrame([("k", "complete", [], "not_applicable"), ("k", "truncated", ["rows", "edges"], "available"), ("k", "truncated", ["rows"], "unavailable"), ("e", "complete", None, "not_applicable")], "key string, state string, limiting array<string>, continuation string")
+    assert rows(completeness.merge(parts, "key")) == {("k", "truncated", "edges,rows", "unavailable"), ("e", "complete", "", "not_applicable")}
+
+
 def test_stream_windows(spark, tmp_path):
     path = str(tmp_path / "events")
     spark.sql("SELECT TIMESTAMP '2024-01-01 00:10:00' AS ts, 'a' AS k, 1.5D AS value UNION ALL SELECT TIMESTAMP '2024-01-01 00:50:00', 'a', 2.0D UNION ALL SELECT TIMESTAMP '2024-01-01 03:00:00', 'b', 1.0D").write.parquet(path)
@@ -295,6 +395,39 @@ def test_index_repository(spark, tmp_path):
         reads.relation_range(every, anchor, "outgoing", [], limit=1)
 
 
+SOURCES = {
+    "pkg/base.py": "class Base:\n    pass\n",
+    "pkg/app.py": "from pkg.base import Base\nclass App(Base):\n    def run(self, b: Base):\n        return start(b)\n",
+    "web/shape.ts": "export interface Shape {\n}\nexport class Root {\n}\n",
+    "web/square.ts": "import { Shape } from './shape'\nexport class Square extends Root implements Shape {\n}\napp.get('/squares/:id', list)\n",
+    "core/lib.rs": "pub trait Draw {\n}\npub struct Pen;\nimpl Draw for Pen {\n}\n",
+    "j/A.java": "public class A extends B implements C {\n    public int size(int x) {\n        return go(x);\n    }\n}\n",
+    "j/B.java": "public class B {\n}\ninterface C {\n}\n",
+    "n/x.cpp": "class Node : public Tree {\n};\nint walk(int a) {\n",
+    "n/t.cpp": "class Tree {\n};\n",
+    "c/S.cs": "namespace N {\n  public class Sharp : Base9 {\n    public void Go() {\n",
+    "r/r.rb": "class Dog < Animal\n  def bark\nend\nclass Animal\nend\n",
+    "p/p.php": "class P extends Q {\n  public function hi() {\n}\nclass Q {\n}\n",
+    "g/g.go": "type Reader interface {\n}\nfunc Open(x int) {\n",
+    "c/c.c": "struct point {\nint add(int a, int b) {\n",
+}
+
+
+def test_eleven_languages_bind_across_files(spark, tmp_path):
+    for name, text in SOURCES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    store = snapshots.SnapshotStore(spark, str(tmp_path) + "-store")
+    indexing.index_repository(spark, str(tmp_path), store, "g1")
+    short = lambda i: i.split("#")[1].split("@")[0] if "#" in i else i.split("/")[-1]
+    edges = {(short(r["subject"]), r["predicate"], short(r["object"])) for r in store.read("relations").collect()}
+    want = {("App", "extends", "Base"), ("Square", "extends", "Root"), ("Square", "implements", "Shape"), ("Pen", "implements", "Draw"), ("A", "extends", "B"), ("A", "implements", "C"), ("Node", "extends", "Tree"), ("Dog", "extends", "Animal"), ("P", "extends", "Q")}
+    assert want <= edges
+    assert {("app.py", "imports", "base.py"), ("square.ts", "imports", "shape.ts"), ("app.py", "uses_type", "Base"), ("square.ts", "serves_route", "{}")} <= edges
+    kinds = {(r["name"], r["kind"]) for r in store.read("entities").collect()}
+    assert {("Shape", "interface"), ("Draw", "trait"), ("size", "method"), ("walk", "function"), ("Sharp", "class"), ("N", "namespace"), ("bark", "method"), ("hi", "function"), ("Reader", "interface"), ("point", "struct"), ("add", "function"), ("GET /squares/{}", "route")} <= kinds
+
+
 def test_written_tables_can_be_cleared(spark):
     from loomgraph import runtime
 
