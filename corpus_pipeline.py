@@ -1,7 +1,8 @@
 """The corpus pipeline: rules, near copies, repeated passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir); its result, written as Parquet, is the next one's docs. All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``; other columns of docs, whatever their names, are
+left out. Very long texts go through whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,27 +27,27 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go: null and short texts among them."""
+    """Documents that the rules reject go: null, empty and short texts among them. Repeated rows stay or go alike; null ids stay null."""
     return keep_good(docs.select(*COLUMNS))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that of smallest id."""
+    """One document of each group of linked fingerprints stays, that of smallest id, null ids last; of repeated rows one stays. Null texts link with each other and with texts without words."""
     return drop_near_copies(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of 35-word windows that start anywhere else too go; the documents stay."""
+    """Words of 35-word windows that start anywhere else too go; the documents stay, repeated rows among them. Null texts stay null."""
     return _measured(remove_repeats(docs.select(*COLUMNS)))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked; the documents stay."""
+    """Secrets in the texts are masked; the documents stay, repeated rows among them. Null texts stay null."""
     return _measured(redact_secrets(docs.select(*COLUMNS)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Sequences of at most 4096 tokens. Null texts are as empty ones: the end alone. Repeated rows have pieces of their own."""
     return pack_documents(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
 
 
