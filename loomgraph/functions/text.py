@@ -28,8 +28,8 @@ def fold(text: str) -> str:
 
 
 def folded(column: Column | str) -> Column:
-    """``fold`` by built-in functions, full case mapping included; of composed text, as there is none that composes."""
-    return F.translate(F.lower(F.upper(column)), "ς", "σ")
+    """``fold`` by built-in functions: of composed text, as there is none that composes, and of ß alone among the letters that fold to several."""
+    return F.replace(F.translate(F.lower(F.upper(column)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def code_tokens(text: str) -> list[str]:

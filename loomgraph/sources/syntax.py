@@ -73,12 +73,12 @@ def _lines(files: DataFrame) -> DataFrame:
 
 
 def _collected(rules: dict, element: str, made) -> Column:
-    """The array of all that the rules of a row's language make of its line."""
-    out = F.array().cast(f"array<{element}>")
+    """The array of all that the rules of a row's language make of its line; one branch a language, one entry a rule."""
+    none = F.array().cast(f"array<{element}>")
+    out = none
     for language, own in rules.items():
-        for rule in own:
-            hit = made(*rule)
-            out = F.when((F.col("language") == language) & hit[0], F.concat(out, hit[1])).otherwise(out)
+        hits = [F.when(ok, found).otherwise(none) for ok, found in (made(*rule) for rule in own)]
+        out = F.when(F.col("language") == language, F.concat(*hits)).otherwise(out)
     return out
 
 
