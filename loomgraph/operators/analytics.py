@@ -480,3 +480,11 @@ def graph_projection(nodes: DataFrame, edges: DataFrame, max_nodes: int = 512, m
     out = out.join(shown.select(F.col("id").alias("target"), F.col("ordinal").alias("t")), "target")
     out = out.select(F.col("s").alias("source"), F.col("t").alias("target"), "family", "weight", "confidence")
     return out.orderBy("source", "target", "family").limit(max_edges)
+
+
+def projection_omissions(nodes: DataFrame, edges: DataFrame, max_nodes: int = 512, max_edges: int = 2048) -> DataFrame:
+    """(omitted_nodes, omitted_edges): what ``graph_projection`` of the same arguments leaves out."""
+    shown = graph_projection(nodes, edges, max_nodes, max_edges).agg(F.count(F.lit(1)).alias("e"))
+    sums = nodes.agg(F.greatest(F.count(F.lit(1)) - max_nodes, F.lit(0)).alias("omitted_nodes"))
+    all_ = edges.agg(F.count(F.lit(1)).alias("a"))
+    return sums.join(F.broadcast(all_)).join(F.broadcast(shown)).select("omitted_nodes", (F.col("a") - F.col("e")).alias("omitted_edges"))  # a row each

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, fold, folded, safe_pattern, token_column
+from ..plans.budget import VectorBinding
 from ..runtime import materialize
 
 # Weights of fields in a text search: of their tokens, of a name equal to the query, of one that begins so.
@@ -130,8 +131,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total(a, b) / F.sqrt(total(a, a) * total(b, b))))
 
 
-def nearest(vectors: DataFrame, query: list[float], limit: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, score): exact top-k by cosine, ties by id; rows of another length, zero or non-finite are rejected."""
+def nearest(
+    vectors: DataFrame,
+    query: list[float],
+    limit: int = 10,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    binding: tuple[VectorBinding, VectorBinding] | None = None,
+) -> DataFrame:
+    """(id, score): exact top-k by cosine, ties by id; rows of another length, zero or non-finite are rejected.
+
+    ``binding``: what the table was made from and what the query was; they have to be the same.
+    """
+    if binding:
+        binding[0].check(binding[1])
     if not query or not all(map(math.isfinite, query)) or not any(query):
         raise ValueError("a finite vector that is not zero is needed")
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -155,13 +168,18 @@ def _query_blocks(queries: DataFrame, id_col: str, vector_col: str, size: int) -
         yield block
 
 
-def nearest_join(vectors: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_join(
+    vectors: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", binding: tuple[VectorBinding, VectorBinding] | None = None
+) -> DataFrame:
     """(query_id, id, score, rank): exact top-k of every query against all rows, themselves left out.
 
     Queries go through in blocks of ``QUERY_BLOCK``, each a scan of the vectors with the block as a
     literal list; each task keeps k for each query before anything is shuffled. One block is lazy; of
     several, each result is written before the next block is read, so the driver holds one at a time.
+    ``binding``: as for ``nearest``.
     """
+    if binding:
+        binding[0].check(binding[1])
     spark = vectors.sparkSession
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
 

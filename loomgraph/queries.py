@@ -14,6 +14,7 @@ from .operators.graph import communities, container_of
 from .plans import algebra, batch, completeness, paging
 from .runtime import materialize
 from .sources import files, traces
+from .sources.catalog import list_catalog
 from .sources.reads import relation_range
 from .sources.tables import Tables, entities, entity_parts, graph, relation_parts, relations, with_sql
 from .streaming.refresh import windowed_counts
@@ -181,12 +182,13 @@ def page_limit_plus_one(t):
     return paging.page_frame(entities(t, "customer").select("id", "name"), "id", 40, "customer:5")
 
 
-@register("SELECT row_number() OVER (ORDER BY lower(n_name), n_nationkey) AS position, n_name AS name, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name), 'an') OR contains(lower(n_name), '1') QUALIFY position <= 20")
+@register(
+    "WITH c AS (SELECT n_nationkey AS id, n_name AS name, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name), 'an') OR contains(lower(n_name), '1')) "
+    "SELECT row_number() OVER (ORDER BY lower(name), id) AS position, id, name, state, (SELECT count(*) FROM c) AS total, (SELECT count(*) > 20 FROM c) AS truncated FROM c QUALIFY position <= 20"
+)
 def catalog_list(t):
-    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).where(F.contains(F.lower("n_name"), F.lit("an")) | F.contains(F.lower("n_name"), F.lit("1")))
-    order = [F.lower("n_name"), F.col("n_nationkey")]
-    top = rows.orderBy(*order).limit(20)
-    return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"), F.col("n_name").alias("name"), F.col("r_name").alias("state"))
+    entries = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("state"))
+    return list_catalog(entries, ("an", "1"))
 
 
 # Retrieval
@@ -612,6 +614,12 @@ def graph_projection(t):
     return analytics.graph_projection(entities(t, "nation"), edges, 12, 100)
 
 
+@register("WITH c AS (" + _CONN + "), s AS (SELECT 'nation:' || n_nationkey AS id FROM nation ORDER BY id LIMIT 12) SELECT (SELECT greatest(count(*) - 12, 0) FROM nation) AS omitted_nodes, (SELECT count(*) FROM c) - least(100, (SELECT count(*) FROM c WHERE source IN (SELECT id FROM s) AND target IN (SELECT id FROM s))) AS omitted_edges")
+def projection_omissions(t):
+    edges = materialize(analytics.overview_connections(_trade_graph(t), ("module",), ["calls"]), "connections")
+    return analytics.projection_omissions(entities(t, "nation"), edges, 12, 100)
+
+
 def _candidates(t) -> DataFrame:
     """Documents as evidence: requests of 64 neighbouring documents each, roles by remainder of the id."""
     roles = F.array(*[F.lit(r) for r in evidence.ROLES])

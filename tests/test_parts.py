@@ -83,6 +83,12 @@ def test_nearest_rejects(spark):
     assert [tuple(r) for r in retrieval.nearest(v, [1.0, 0.0]).collect()] == [(1, 1.0), (6, 1.0)]
     with pytest.raises(ValueError):
         retrieval.nearest(v, [0.0, 0.0])
+    one = budget.VectorBinding("r", "g", "m", "h", "c")
+    assert retrieval.nearest(v, [1.0, 0.0], binding=(one, one)).count() == 2
+    other = budget.VectorBinding("r", "g2", "m", "h", "c")
+    for search in (lambda: retrieval.nearest(v, [1.0, 0.0], binding=(one, other)), lambda: retrieval.nearest_join(v, v, binding=(one, other))):
+        with pytest.raises(ValueError, match="generation"):
+            search()
 
 
 def test_snapshots(spark, tmp_path):
@@ -428,6 +434,17 @@ def test_eleven_languages_bind_across_files(spark, tmp_path):
     assert {("Shape", "interface"), ("Draw", "trait"), ("size", "method"), ("walk", "function"), ("Sharp", "class"), ("N", "namespace"), ("bark", "method"), ("hi", "function"), ("Reader", "interface"), ("point", "struct"), ("add", "function"), ("GET /squares/{}", "route")} <= kinds
 
 
+def test_catalog_pages(spark):
+    from loomgraph.sources.catalog import list_catalog
+
+    df = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate([("beta", "ready"), ("Alpha", "ready"), ("Straße", "stale"), ("gamma", "ready"), ("alpha", "stale")])], "id long, name string, state string")
+    page = lambda **k: [tuple(r) for r in list_catalog(df, **k).orderBy("position").collect()]
+    assert page(limit=2) == [(1, 1, "Alpha", "ready", 5, True), (2, 4, "alpha", "stale", 5, True)]
+    assert [r[1] for r in page(limit=3, after=("alpha", 4))] == [0, 3, 2] and not page(limit=3, after=("alpha", 4))[0][5]
+    assert page(search=("STRASSE",)) == [(1, 2, "Straße", "stale", 1, False)]
+    assert [r[1] for r in page(states=("ready",))] == [1, 0, 3] and page(search=("nothing",)) == []
+
+
 def test_written_tables_can_be_cleared(spark):
     from loomgraph import runtime
 
