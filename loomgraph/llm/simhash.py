@@ -61,6 +61,9 @@ def links(distinct: DataFrame) -> DataFrame:
     other segment differs in the bits left over (two, or one under a deleted bit), so they are
     indexed once more: by all values within one bit of the other segment, or by its own one-bit
     deletions. All that meet there link, at most 33 to a value, and an edge to the least is enough.
+
+    The planner takes exploded rows for as few as they come from, and would broadcast all signatures
+    by way of the driver; so the joins of signatures are told to shuffle both sides.
     """
     # A fingerprint becomes 66 signatures: spread them before they are made, not as their files happen to lie.
     spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
@@ -82,12 +85,12 @@ def links(distinct: DataFrame) -> DataFrame:
     )
     met = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"), F.first("deleted").alias("del"))
     met = met.where("n > 1 AND (NOT del OR lo <> hi)").select("sig", "n")
-    rows = materialize(sigs.join(met, "sig"), "simhash-met")
+    rows = materialize(sigs.join(met.hint("merge"), "sig"), "simhash-met")
 
     few = rows.where(F.col("n") <= PAIRS_UP_TO)
     left = few.select("sig", "deleted", F.col("fp").alias("u"), F.col("side").alias("su"))
     right = few.select("sig", F.col("fp").alias("v"), F.col("side").alias("sv"))
-    pairs = left.join(right, "sig").where(
+    pairs = left.join(right.hint("merge"), "sig").where(
         "((deleted AND su < sv) OR (NOT deleted AND u < v)) AND bit_count(u ^ v) <= 2"
     ).select("u", "v")
 
@@ -96,7 +99,7 @@ def links(distinct: DataFrame) -> DataFrame:
     gone = F.expr("transform(sequence(0, 31), j -> j * 4294967296L + (other & ~shiftleft(1L, j)))")
     again = many.select("fp", "sig", F.explode(F.when(F.col("deleted"), gone).otherwise(near)).alias("z"))
     least = again.groupBy("sig", "z").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = again.join(least.select("sig", "z", "v"), ["sig", "z"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
+    stars = again.join(least.select("sig", "z", "v").hint("merge"), ["sig", "z"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.union(stars)
 
 
