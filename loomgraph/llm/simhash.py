@@ -109,7 +109,8 @@ def simhash_groups(
     """One row per document: fingerprint (16 hex digits) and component_id, the smallest id linked to it, directly or not.
 
     Equal fingerprints are one vertex, so copies are never paired. Texts are read once; fingerprints
-    and ids alone are shuffled.
+    and ids alone are shuffled. A table of them is small in bytes even with millions of rows, so the
+    joins of documents and fingerprints are told to shuffle too, not to broadcast by way of the driver.
 
     Null or empty text, or one of spaces: fingerprint zero, linked like any other. Very long texts:
     every shingle votes. Fewer words than
@@ -118,7 +119,7 @@ def simhash_groups(
     """
     fps = materialize(fingerprints(df.select(id_col, text_col), text_col, size, seed), "simhash-fps")
     firsts = _first_of_groups(fps, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")))
-    return fps.join(firsts, "__sh_fp").select(
+    return fps.join(firsts.hint("merge"), "__sh_fp").select(
         id_col, F.lower(F.lpad(F.hex("__sh_fp"), 16, "0")).alias("fingerprint"), F.col("__sh_first.id").alias("component_id")
     )
 
@@ -128,11 +129,11 @@ def _first_of_groups(fps: DataFrame, order: Column) -> DataFrame:
     distinct = materialize(fps.groupBy("__sh_fp").agg(F.min(order).alias("first")), "simhash-distinct")
     edges = links(distinct.select(F.col("__sh_fp").alias("fp")))
     comps = connected_components(edges, "simhash")
-    named = distinct.join(comps, distinct["__sh_fp"] == comps["node"], "left").select(
+    named = distinct.join(comps.hint("merge"), distinct["__sh_fp"] == comps["node"], "left").select(
         "__sh_fp", "first", F.coalesce("component", "__sh_fp").alias("c")
     )
     firsts = named.groupBy("c").agg(F.min("first").alias("__sh_first"))
-    return named.select("__sh_fp", "c").join(firsts, "c").select("__sh_fp", "__sh_first")
+    return named.select("__sh_fp", "c").join(firsts.hint("merge"), "c").select("__sh_fp", "__sh_first")
 
 
 def drop_near_copies(
