@@ -57,16 +57,21 @@ def held(key: tuple, make: Callable):
     return _held[key]
 
 
-def map_batches(df: DataFrame, make_kernel: Callable[[], Kernel], schema: str) -> DataFrame:
-    """``mapInArrow`` with one kernel per task, over batches bounded by bytes, not by rows alone.
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's batches to Python workers by ``BATCH_BYTES``.
 
     The bound is read when the plan runs, so it has to stay in the session; a smaller one is left as it is.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", conf.get(name))
     if not now or not 0 < int(now[1]) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
 
+
+def map_batches(df: DataFrame, make_kernel: Callable[[], Kernel], schema: str) -> DataFrame:
+    """``mapInArrow`` with one kernel per task, over batches bounded by bytes, not by rows alone."""
+    bounded_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make_kernel()
         for batch in batches:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import string
+
 from .quality_rules import RepetitionRules
+from .spelling import Settings
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-_SHARDS = """
-WITH RECURSIVE steps AS (
+#: Ends in ``crc``, whose list ``t`` is the table of crc32.
+_CRC_TABLE = """WITH RECURSIVE steps AS (
   SELECT i, 0 AS k, i AS c FROM range(256) t(i)
   UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
-crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),"""
+
+_SHARDS = f"""{_CRC_TABLE}
 d AS (
   SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
     xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
@@ -74,9 +79,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_
 """
 
 
+def _spelling(s: Settings) -> str:
+    crc = f"""xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
+    return f"""
+{_CRC_TABLE}
+u AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[{s.letters}]+')), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS c FROM u WHERE length(run) >= {s.min_length} GROUP BY ALL),
+h AS (SELECT run, c, {crc} AS h FROM r, crc),
+w AS (SELECT CASE WHEN h % {s.thin} = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= {s.min_length} GROUP BY word HAVING sum(c) >= {s.min_count}),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+x AS (SELECT word, n, substring(word, 1, i - 1) || '*' || substring(word, i + 1) AS hole FROM i),
+d AS (SELECT DISTINCT word, n, substring(word, 1, i - 1) || substring(word, i + 1) AS gone FROM i),
+e AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM x a JOIN x b ON a.hole = b.hole AND a.word <> b.word
+  UNION ALL SELECT d.word, d.n, v.word, v.n FROM d JOIN v ON d.gone = v.word
+  UNION ALL SELECT v.word, v.n, d.word, d.n FROM d JOIN v ON d.gone = v.word),
+b AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM e GROUP BY word, n),
+f AS (SELECT word, other AS form, m FROM b WHERE m >= {s.ratio} * n),
+p AS (SELECT word, word AS at FROM v UNION ALL SELECT p.word, f.form FROM p JOIN f ON f.word = p.at)
+SELECT v.word, f.form, p.at AS root, v.n, coalesce(b.n_near, 0) AS n_near, f.m AS form_n
+FROM v JOIN p ON p.word = v.word AND p.at NOT IN (SELECT word FROM f) LEFT JOIN b ON b.word = v.word LEFT JOIN f ON f.word = v.word
+"""
+
+
 ORACLE_SQL = {
     "op1_sharding": _SHARDS,
     "op3_substring_dedup": _SUBSTRINGS,
     "op5_embedding_dedup": _EMBEDDINGS,
     "op6_quality_rules": _rules(RepetitionRules()),
+    "op12_spelling_variants": _spelling(Settings()),
 }

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .byte_bpe import encode_documents
 from .classifier import score_documents, train_on
 from .embedding_dedup import embedding_groups
@@ -15,6 +16,7 @@ from .quality_rules import RepetitionRules, repetition_coverage
 from .secret_scan import find_secrets
 from .sharding import interleave_shards
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
 
@@ -80,6 +82,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_docs(spark, sf_dir))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return align_tokenizers(_docs(spark, sf_dir), path("byte_bpe_50k.json"), path("piece_bpe_32k.model")).drop("aligned")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +104,8 @@ QUERIES = {
         op8_simhash,
         op9_token_counts,
         op10_quality_classifier,
+        op12_spelling_variants,
+        op13_alignment,
     )
 }
 
