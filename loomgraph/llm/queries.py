@@ -10,6 +10,7 @@ from .alignment import align_tokenizers
 from .byte_bpe import encode_documents
 from .classifier import score_documents, train_on
 from .embedding_dedup import embedding_groups
+from .lm_scoring import score_documents as score_likelihood
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack_documents
 from .quality_rules import RepetitionRules, repetition_coverage
@@ -82,6 +83,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt on rows whose crc32(doc_id as text) mod 7 is not 2; those for which it is are held out. Null ids are neither."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    out = score_likelihood(_docs(spark, sf_dir), fold != 2)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_docs(spark, sf_dir))
 
@@ -104,6 +113,7 @@ QUERIES = {
         op8_simhash,
         op9_token_counts,
         op10_quality_classifier,
+        op11_lm_scoring,
         op12_spelling_variants,
         op13_alignment,
     )
