@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +16,13 @@ from pyspark.sql import functions as F
 
 from .blocks import Numbered, map_blocks, ragged, rows, sums
 from .bpe_words import byte_symbols
-from .common import BoundedCache, held, materialize, raw_texts
+from .common import held, materialize, raw_texts
 
 #: A space between characters that are none: neither vocabulary has a token that goes on beyond its left side.
 _SPACE = re.compile(r" (?<=\S )(?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Links looked at together while their documents are counted.
-_LINKS = 1 << 20
+#: Bytes of segments that are aligned at once, the links of a group up to which all are listed, and the links looked at together while their documents are counted.
+_BYTES, _LARGE, _LINKS = 1 << 20, 4096, 1 << 20
 
 
 def owners(lengths: np.ndarray) -> np.ndarray:
@@ -42,8 +44,23 @@ def cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(both)
 
 
+@dataclass
+class Aligned:
+    """Segments' figures (n_a, n_b, n_groups, n_links, n_overlaps by row), their groups as text (None where bytes are not kept), and their links.
+
+    Segment k has the links ``sizes[k]`` from ``starts[k]``: id pairs a << 32 | b, and how often each counts.
+    """
+
+    figures: np.ndarray
+    groups: list[str | None]
+    starts: np.ndarray
+    sizes: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+
+
 class Aligner:
-    """Two vocabularies, their tokens' bytes, and the alignment of one segment."""
+    """Two vocabularies, their tokens' bytes, and the alignment of segments."""
 
     def __init__(self, byte_level: str, pieces: str):
         from sentencepiece import SentencePieceProcessor
@@ -63,55 +80,93 @@ class Aligner:
         self.b_bytes = [bytes.fromhex(m[1]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in piece]
         if any(re.search("[^▁]▁", p) for p in piece):
             raise ValueError(f"{pieces} has pieces that go on after a space; texts can't be cut there")
-        self.known = BoundedCache(self.align).__getitem__
+        self.lengths = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
+        # Each id as text, with what may stand after it in a list of groups.
+        self.said = {sign: np.array([f"{i}{sign}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object) for sign in ",|;\n"}
 
     def segments(self, text: str) -> list[str]:
         """``text`` cut at single spaces; each segment stands for itself with a space before it, which B adds."""
         return _SPACE.split(text)
 
-    def align(self, segment: str) -> list | None:
-        """[groups as text, n_a, n_b, n_groups, n_links, linked id pairs, their links], or None if bytes are not kept.
-
-        An id pair is a << 32 | b. In a group that holds ids more than once the links are counted, not listed.
-        """
-        a = self.a.encode(" " + segment, add_special_tokens=False).ids
-        b = self.b.encode(segment)
-        raw = (" " + segment).encode()
-        of_a, of_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        own_a, own_b = owners(np.fromiter(map(len, of_a), np.int64)), owners(np.fromiter(map(len, of_b), np.int64))
-        group, (i, j) = cuts(own_a, own_b), overlaps(own_a, own_b)
-        # Each token overlaps another, and all its bytes lie in one group: that of its overlaps.
-        first = np.flatnonzero(np.r_[True, (own_a[1:] != own_a[:-1]) | (own_b[1:] != own_b[:-1])])
-        n = int(group[-1]) + 1
-        at_a, at_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        at_a[i], at_b[j] = group[first], group[first]
-        ends_a, ends_b = np.searchsorted(at_a, np.arange(n), "right").tolist(), np.searchsorted(at_b, np.arange(n), "right").tolist()
-        said, links, was_a, was_b = [], {}, 0, 0
-        large = []
-        for end_a, end_b in zip(ends_a, ends_b):
-            left, right = a[was_a:end_a], b[was_b:end_b]
-            said.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            if len(left) * len(right) > 4096:
-                large.append(_counted(left, right))
-            else:
-                for x in left:
-                    for y in right:
-                        links[x << 32 | y] = links.get(x << 32 | y, 0) + 1
-            was_a, was_b = end_a, end_b
-        pairs, counts = np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
-        if large:
-            everything = np.concatenate([pairs, *(p for p, _ in large)])
-            pairs, place = np.unique(everything, return_inverse=True)
-            total = np.zeros(len(pairs), np.int64)
-            np.add.at(total, place, np.concatenate([counts, *(c for _, c in large)]))
-            counts = total
-        return [";".join(said).encode(), len(a), len(b), n, int(counts.sum()), pairs.tobytes(), counts.tobytes()]
-
-
-def _counted(left: list[int], right: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The id pairs of one group and their links."""
+    def align(self, segments: list[str]) -> Aligned:
+        """All ``segments``, so many at once as ``_BYTES`` allow, or one."""
+        parts, was, size = [], 0, 0
+        for k, segment in enumerate(segments):
+            size += len(segment) + 1
+            if size > _BYTES and k > was:
+                parts.append(self._align(segments[was:k]))
+                was, size = k, len(segment) + 1
+        parts.append(self._align(segments[was:]))
+        sizes = np.concatenate([x.sizes for x in parts])
+        return Aligned(
+            np.concatenate([x.figures for x in parts], axis=1), [g for x in parts for g in x.groups], np.cumsum(sizes) - sizes, sizes, np.concatenate([x.pairs for x in parts]), np.concatenate([x.times for x in parts])
+        )
+
+    def _align(self, segments: list[str]) -> Aligned:
+        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
+        b = self.b.encode(segments, num_threads=1) if segments else []
+        raw = [b" " + s.encode() for s in segments]
+        if not self._kept(raw, a, b):
+            good = [self._kept([r], [x], [y]) for r, x, y in zip(raw, a, b)]
+            part = self._align([s for s, ok in zip(segments, good) if ok])
+            figures, sizes, at = np.zeros((5, len(segments)), np.int64), np.zeros(len(segments), np.int64), np.flatnonzero(good)
+            figures[:, at], sizes[at] = part.figures, part.sizes
+            said = iter(part.groups)
+            return Aligned(figures, [next(said) if ok else None for ok in good], np.cumsum(sizes) - sizes, sizes, part.pairs, part.times)
+        return self._linked(a, b)
+
+    def _kept(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> bool:
+        """Whether the tokens of every segment join to its bytes."""
+        sizes, whole = np.array(list(map(len, raw)), np.int64), b"".join(raw)
+        for ids, own, lengths in ((a, self.a_bytes, self.lengths[0]), (b, self.b_bytes, self.lengths[1])):
+            flat = list(chain.from_iterable(ids))
+            n = np.array(list(map(len, ids)), np.int64)
+            if (sums(lengths[flat] if flat else np.zeros(0, np.int64), n) != sizes).any() or b"".join(map(own.__getitem__, flat)) != whole:
+                return False
+        return True
+
+    def _linked(self, a: list[list[int]], b: list[list[int]]) -> Aligned:
+        """Owners, overlaps, cuts and links over the bytes of all segments, one after the other; between two both tokens end."""
+        n = len(a)
+        seg_a, seg_b = (np.repeat(np.arange(n), np.array(list(map(len, x)), np.int64)) for x in (a, b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        own_a, own_b = owners(self.lengths[0][a]), owners(self.lengths[1][b])
+        group, (over, _) = cuts(own_a, own_b), overlaps(own_a, own_b)
+        of_a, of_b = (group[np.cumsum(x) - x] if len(x) else x for x in (self.lengths[0][a], self.lengths[1][b]))
+        m = int(group[-1]) + 1 if len(group) else 0
+        in_a, in_b = np.bincount(of_a, minlength=m), np.bincount(of_b, minlength=m)
+        ends_a, ends_b = np.cumsum(in_a), np.cumsum(in_b)
+        seg_g = seg_a[ends_a - in_a] if m else seg_a
+        figures = np.stack([np.bincount(seg_a, minlength=n), np.bincount(seg_b, minlength=n), np.bincount(seg_g, minlength=n), np.bincount(seg_g, in_a * in_b, n).astype(np.int64), np.bincount(seg_a[over], minlength=n)])
+        # A group's tokens of A, then those of B, each with the sign that follows it.
+        text = np.empty(len(a) + len(b), object)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[ends_a - 1] = last_b[ends_b - 1] = True
+        ends = np.zeros(m, bool)
+        ends[np.cumsum(figures[2])[figures[2] > 0] - 1] = True
+        text[np.arange(len(a)) + (ends_b - in_b)[of_a]] = np.where(last_a, self.said["|"][a], self.said[","][a])
+        after = np.where(ends[of_b], self.said["\n"][b], self.said[";"][b])
+        text[np.arange(len(b)) + ends_a[of_b]] = np.where(last_b, after, self.said[","][b])
+        groups = "".join(text).split("\n")[:-1]
+        # Links: each token of A with all of B in its group; of large groups the different pairs, counted.
+        small = in_a * in_b <= _LARGE
+        own = np.flatnonzero(small[of_a])
+        width = in_b[of_a[own]]
+        pairs = [np.repeat(a[own], width) << 32 | b[ragged((ends_b - in_b)[of_a[own]], width)]]
+        times, seg = [np.ones(len(pairs[0]), np.int64)], [np.repeat(seg_a[own], width)]
+        for g in np.flatnonzero(~small).tolist():
+            found, counts = counted(a[ends_a[g] - in_a[g] : ends_a[g]], b[ends_b[g] - in_b[g] : ends_b[g]])
+            pairs.append(found)
+            times.append(counts)
+            seg.append(np.full(len(found), seg_g[g]))
+        seg = np.concatenate(seg)
+        order = np.argsort(seg, kind="stable") if len(pairs) > 1 else slice(None)
+        sizes = np.bincount(seg, minlength=n)
+        return Aligned(figures, groups, np.cumsum(sizes) - sizes, sizes, np.concatenate(pairs)[order], np.concatenate(times)[order])
+
+
+def counted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different id pairs of one group, and their links."""
     x, n = np.unique(left, return_counts=True)
     y, m = np.unique(right, return_counts=True)
     return (x[:, None] << 32 | y).ravel(), (n[:, None] * m).ravel()
@@ -139,12 +194,12 @@ def align_tokenizers(df: DataFrame, byte_level: str, pieces: str, id_col: str =
     """One row per document: how its tokens of A (``byte_level``, of a space and the text) and of B (``pieces``, of the text) lie on each other.
 
     n_a, n_b: tokens; n_groups: parts between byte offsets where tokens of both end; n_links: pairs of
-    an A and a B token within a group; n_best: links whose id pair is linked in as many documents of the
+    an A and a B token within a group; n_overlaps: those that share bytes; n_best: links whose id pair is linked in as many documents of the
     corpus as any pair of its A id; count_sum: these document counts summed over the links;
     groups_sha256 of the groups' ids as text; aligned: whether it has tokens.
 
     Texts are cut at single spaces, where both vocabularies always end a token. Each different segment
-    of a block (a batch of texts, bounded in bytes) is aligned once: its bytes' owners in A and B give
+    of a block (a batch of texts, bounded in bytes) is aligned once, many side by side: its bytes' owners in A and B give
     overlaps and cuts. A block sends each of its id pairs once, with the number of its documents that
     hold it; what comes back is the pair's count in the corpus. So a pair that a third of all documents
     hold is a row a block, and texts are read once.
@@ -155,35 +210,31 @@ def align_tokenizers(df: DataFrame, byte_level: str, pieces: str, id_col: str =
     columns are not read.
     """
     id_field = df.select(id_col).schema[0]
-    numbers = "n_a long, n_b long, n_groups long, n_links long"
+    numbers = "n_a long, n_b long, n_groups long, n_links long, n_overlaps long"
     schema = f"block long, id {id_field.dataType.simpleString()}, {numbers}, groups_sha256 string, segments binary, starts binary, links binary, pair long, place int, docs long"
 
     def make():
         aligner = held(("alignment", byte_level, pieces), lambda: Aligner(byte_level, pieces))
 
         def kernel(batch: pa.RecordBatch, block: int):
-            out = pa.schema([pa.field("block", pa.int64()), pa.field("id", batch.column(0).type)] + [pa.field(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")] + [pa.field("groups_sha256", pa.string())] + [pa.field(c, pa.binary()) for c in ("segments", "starts", "links")] + [pa.field("pair", pa.int64()), pa.field("place", pa.int32()), pa.field("docs", pa.int64())])
-            number, known, texts, digests = Numbered(), [], [], []
-            for raw in raw_texts(batch.column(1)):
-                own = [number[s] for s in aligner.segments(raw.decode())] if raw else []
-                known.extend(map(aligner.known, number.keys_in_order[len(known) :]))
-                if not own or any(known[k] is None for k in set(own)):
-                    own = []
-                texts.append(np.array(own, np.uint32))
-                digests.append(hashlib.sha256(b";".join([known[k][0] for k in own])).hexdigest() if own else "")
-            known = [k or [b"", 0, 0, 0, 0, b"", b""] for k in known]
-            sizes = np.array([len(k[5]) // 8 for k in known], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            pairs, place = np.unique(np.frombuffer(b"".join(k[5] for k in known), np.int64), return_inverse=True)
-            flat = np.concatenate(texts)
-            lengths = np.array(list(map(len, texts)), np.int64)
-            figures = {c: pa.array(sums(np.array([k[i] for k in known], np.int64)[flat], lengths)) for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"), 1)}
+            numbers = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
+            out = pa.schema([pa.field("block", pa.int64()), pa.field("id", batch.column(0).type)] + [pa.field(c, pa.int64()) for c in numbers] + [pa.field("groups_sha256", pa.string())] + [pa.field(c, pa.binary()) for c in ("segments", "starts", "links")] + [pa.field("pair", pa.int64()), pa.field("place", pa.int32()), pa.field("docs", pa.int64())])
+            number = Numbered()
+            texts = [[number[s] for s in aligner.segments(raw.decode())] if raw else [] for raw in raw_texts(batch.column(1))]
+            known = aligner.align(number.keys_in_order)
+            bad = {k for k, g in enumerate(known.groups) if g is None}
+            texts = [t if not bad or bad.isdisjoint(t) else [] for t in texts]
+            said = known.groups
+            digests = [hashlib.sha256(";".join([said[k] for k in t]).encode()).hexdigest() if t else "" for t in texts]
+            texts = [np.array(t, np.uint32) for t in texts]
+            pairs, place = np.unique(known.pairs, return_inverse=True)
+            flat, lengths = np.concatenate(texts), np.array(list(map(len, texts)), np.int64)
+            figures = {c: pa.array(sums(own[flat], lengths)) for c, own in zip(numbers, known.figures)}
             yield rows(out, len(texts), block=[block] * len(texts), id=batch.column(0), groups_sha256=digests, segments=[t.tobytes() for t in texts], **figures)
-            links = np.frombuffer(b"".join(k[6] for k in known), np.int64)
-            yield rows(out, 1, block=[block], starts=[np.append(starts, len(place)).tobytes()], links=[np.stack([place, links]).astype(np.int64).tobytes()])
-            docs = _holders([t for t in texts if len(t)], starts, sizes, place, len(pairs))
-            held_ = np.flatnonzero(docs)
-            yield rows(out, len(held_), block=np.full(len(held_), block), pair=pairs[held_], place=held_.astype(np.int32), docs=docs[held_])
+            yield rows(out, 1, block=[block], starts=[np.append(known.starts, len(place)).tobytes()], links=[np.stack([place, known.times]).astype(np.int64).tobytes()])
+            docs = _holders([t for t in texts if len(t)], known.starts, known.sizes, place, len(pairs))
+            found = np.flatnonzero(docs)
+            yield rows(out, len(found), block=np.full(len(found), block), pair=pairs[found], place=found.astype(np.int32), docs=docs[found])
 
         return kernel
 
@@ -207,8 +258,8 @@ def align_tokenizers(df: DataFrame, byte_level: str, pieces: str, id_col: str =
         flat, lengths = np.concatenate(segments), np.array(list(map(len, segments)), np.int64)
         of_pairs = [sums(sums(links * x[place], np.diff(starts))[flat], lengths) for x in (best, n)]
         return pa.table(
-            [docs["id"], *(docs[c] for c in ("n_a", "n_b", "n_groups", "n_links")), *map(pa.array, of_pairs), docs["groups_sha256"], pa.array(lengths > 0)],
-            names=[id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "aligned"],
+            [docs["id"], *(docs[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")), *map(pa.array, of_pairs), docs["groups_sha256"], pa.array(lengths > 0)],
+            names=[id_col, "n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_best", "count_sum", "groups_sha256", "aligned"],
         )
 
     done = f"`{id_col}` {id_field.dataType.simpleString()}, {numbers}, n_best long, count_sum long, groups_sha256 string, aligned boolean"

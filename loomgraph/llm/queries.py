@@ -97,7 +97,7 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
-    return align_tokenizers(_docs(spark, sf_dir), path("byte_bpe_50k.json"), path("piece_bpe_32k.model")).drop("aligned")
+    return align_tokenizers(_docs(spark, sf_dir), path("byte_bpe_50k.json"), path("piece_bpe_32k.model")).drop("n_overlaps", "aligned")
 
 
 QUERIES = {
