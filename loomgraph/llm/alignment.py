@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Numbered, map_blocks, ragged, rows, sums
+from .blocks import Numbered, from_planes, map_blocks, planes, ragged, rows, sums
 from .bpe_words import byte_symbols
 from .common import held, materialize, raw_texts
 
@@ -230,7 +230,7 @@ def align_tokenizers(df: DataFrame, byte_level: str, pieces: str, id_col: str =
             pairs, place = np.unique(known.pairs, return_inverse=True)
             flat, lengths = np.concatenate(texts), np.array(list(map(len, texts)), np.int64)
             figures = {c: pa.array(sums(own[flat], lengths)) for c, own in zip(numbers, known.figures)}
-            yield rows(out, len(texts), block=[block] * len(texts), id=batch.column(0), groups_sha256=digests, segments=[t.tobytes() for t in texts], **figures)
+            yield rows(out, len(texts), block=[block] * len(texts), id=batch.column(0), groups_sha256=digests, segments=list(map(planes, texts)), **figures)
             yield rows(out, 1, block=[block], starts=[np.append(known.starts, len(place)).tobytes()], links=[np.stack([place, known.times]).astype(np.int64).tobytes()])
             docs = _holders([t for t in texts if len(t)], known.starts, known.sizes, place, len(pairs))
             found = np.flatnonzero(docs)
@@ -254,7 +254,7 @@ def align_tokenizers(df: DataFrame, byte_level: str, pieces: str, id_col: str =
         n, best = np.zeros(place.max(initial=-1) + 1, np.int64), np.zeros(place.max(initial=-1) + 1, np.int64)
         n[at], best[at] = right["n"].to_numpy(), right["best"].to_numpy(zero_copy_only=False)
         docs = left.filter(pa.compute.is_valid(left["segments"]))
-        segments = [np.frombuffer(b, np.uint32) for b in docs["segments"].to_pylist()]
+        segments = list(map(from_planes, docs["segments"].to_pylist()))
         flat, lengths = np.concatenate(segments), np.array(list(map(len, segments)), np.int64)
         of_pairs = [sums(sums(links * x[place], np.diff(starts))[flat], lengths) for x in (best, n)]
         return pa.table(

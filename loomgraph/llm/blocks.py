@@ -53,6 +53,17 @@ class Numbered(dict):
         return n
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32: their lower halves, then their upper ones, which are alike and so compress well."""
+    wide = numbers.astype(np.uint32)
+    return (wide & 0xFFFF).astype("<u2").tobytes() + (wide >> 16).astype("<u2").tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    low, high = np.frombuffer(raw, "<u2").reshape(2, -1).astype(np.uint32)
+    return high << 16 | low
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of all entries of runs that begin at ``starts`` and hold ``sizes``."""
     ends = np.cumsum(sizes)

@@ -50,14 +50,16 @@ def initial(shape: Shape, head_counts: np.ndarray, tail_counts: np.ndarray, seed
     counts = np.zeros(shape.head)
     counts[: len(head_counts)] = head_counts
     by_class = counts.reshape(shape.classes, shape.class_words)
-    log = lambda n: np.where(n > 0, np.log(np.maximum(n, 1)), _NEVER)
+    log = lambda n, total: np.where(n > 0, np.log(np.maximum(n, 1) / np.maximum(total, 1)), _NEVER)
+    by_tail = tail_counts + 1.0
+    total = counts.sum() + by_tail.sum()
     out = {
         "inputs": normal(shape.start + 1, 3 * h),
         "recur": rng.normal(0, h**-0.5, (h, 3 * h)),
         "class_w": normal(h, shape.classes + shape.tails),
-        "class_b": np.concatenate([log(by_class.sum(1)), np.log(tail_counts + 1.0)]),
+        "class_b": np.concatenate([log(by_class.sum(1), total), np.log(by_tail / total)]),
         "word_w": normal(shape.classes, h, shape.class_words),
-        "word_b": log(by_class),
+        "word_b": log(by_class, by_class.sum(1, keepdims=True)),
     }
     out["inputs"][:, :h] -= 1  # new input comes in slowly
     return {k: v.astype(np.float32) for k, v in out.items()}
@@ -106,7 +108,19 @@ class Lanes:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
+
+
+def _by_value(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts small ``ids``, where in it each value begins)."""
+    order = np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
+    s = ids[order]
+    return order, np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else order
 
 
 def _states(w: Weights, h: np.ndarray, inputs: np.ndarray, first: np.ndarray, keep: bool):
@@ -130,18 +144,19 @@ def _states(w: Weights, h: np.ndarray, inputs: np.ndarray, first: np.ndarray, ke
 
 
 def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the log of their sum before scaling."""
-    top = logits.max(1, keepdims=True)
-    p = np.exp(logits - top)
-    total = p.sum(1, keepdims=True)
-    return p / total, (np.log(total) + top)[:, 0]
+    """Probabilities, and the log of their sum before scaling. Logits are log frequencies and what a state adds, far below what overflows."""
+    p = np.exp(np.minimum(logits, 80, out=logits))
+    total = np.maximum(p @ np.ones(p.shape[1], p.dtype), 1e-30)  # a class without words has none
+    p /= total[:, None]
+    return p, np.log(total)
 
 
 def _outputs(w: Weights, shape: Shape, h: np.ndarray, tokens: np.ndarray, grads: Weights | None):
     """(natural log probability of each token, its class only if a tail; the gradient of ``h``). Adds to ``grads``."""
     head = tokens < shape.head
     cls = np.where(head, tokens // shape.class_words, shape.classes + tokens - shape.head)
-    logits = h @ w["class_w"] + w["class_b"]
+    logits = h @ w["class_w"]
+    logits += w["class_b"]
     p, total = _softmax(logits)
     every = np.arange(len(tokens))
     found = logits[every, cls].astype(np.float64) - total
@@ -152,15 +167,14 @@ def _outputs(w: Weights, shape: Shape, h: np.ndarray, tokens: np.ndarray, grads:
         grads["class_b"] += p.sum(0)
         back = p @ w["class_w"].T
     own = np.flatnonzero(head)
-    own = own[np.argsort(cls[own], kind="stable")]
-    ends = np.searchsorted(cls[own], np.arange(shape.classes), "right").tolist()
-    was = 0
-    for k, end in enumerate(ends):
-        if end == was:
-            continue
-        at, was = own[was:end], end
-        hk, word = h[at], tokens[at] % shape.class_words
-        logits = hk @ w["word_w"][k] + w["word_b"][k]
+    order, begins = _by_value(cls[own])
+    own = own[order]
+    held, words = h[own], tokens[own] % shape.class_words
+    for was, end in zip(begins.tolist(), [*begins[1:].tolist(), len(own)]):
+        at, hk, word = own[was:end], held[was:end], words[was:end]
+        k = cls[at[0]]
+        logits = hk @ w["word_w"][k]
+        logits += w["word_b"][k]
         p, total = _softmax(logits)
         within = np.arange(len(at))
         found[at] += logits[within, word] - total
@@ -194,9 +208,8 @@ def _backward(w: Weights, grads: Weights, inputs: np.ndarray, first: np.ndarray,
     states = np.stack([k[0] for k in kept])
     grads["recur"] += states.reshape(-1, n).T @ pulled.reshape(-1, 3 * n)
     flat, given = inputs.ravel(), given.reshape(-1, 3 * n)
-    order = np.argsort(flat, kind="stable")
-    ids, at = np.unique(flat[order], return_index=True)
-    grads["inputs"][ids] += np.add.reduceat(given[order], at, axis=0)
+    order, at = _by_value(flat)
+    grads["inputs"][flat[order[at]]] += np.add.reduceat(given[order], at, axis=0)
 
 
 def _read(lanes: Lanes, shape: Shape, steps: int):

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Numbered, map_blocks, rows, sums
+from .blocks import Numbered, from_planes, map_blocks, planes, rows, sums
 from .common import bounded_batches, map_batches, materialize, raw_texts, release
 from .gru import Shape, Trainer, Training, Weights, initial, log10_likelihoods, pack, unpack
 
@@ -52,7 +52,7 @@ def _blocks(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFra
                 words.append(END)
                 texts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
             train = batch.column(2).to_numpy(zero_copy_only=False)
-            yield rows(schema, len(texts), block=[block] * len(texts), id=batch.column(0), train=batch.column(2), at=np.arange(len(texts), dtype=np.int32), tokens=[t.tobytes() for t in texts])
+            yield rows(schema, len(texts), block=[block] * len(texts), id=batch.column(0), train=batch.column(2), at=np.arange(len(texts), dtype=np.int32), tokens=list(map(planes, texts)))
             n = len(number)
             learnt = [t for t, own in zip(texts, train) if own]
             times = np.bincount(np.concatenate(learnt), minlength=n) if learnt else np.zeros(n, np.int64)
@@ -117,7 +117,7 @@ def _encoded(blocks: DataFrame, counts: Counts, shape: Shape, id_col: str) -> Da
         n[at], own[at] = right["n"].to_numpy(), right["own"].to_numpy()
         log_n = np.log10(n + 1)
         rest = np.where(own >= head, log_n - log_tails[np.maximum(own - head, 0)], 0)
-        texts = [np.frombuffer(b, np.uint32) for b in left["tokens"].to_pylist()]
+        texts = list(map(from_planes, left["tokens"].to_pylist()))
         flat, sizes = np.concatenate(texts), np.array(list(map(len, texts)), np.int64)
         figures = [sizes, sums((n > 0).astype(np.int64)[flat], sizes), sums((log_n - log_base)[flat], sizes), sums(rest[flat], sizes)]
         ids = own.astype(wide)
