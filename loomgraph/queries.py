@@ -13,7 +13,7 @@ from .operators import analytics, evidence, incremental, resolve, retrieval, wor
 from .operators.graph import communities, container_of
 from .plans import algebra, batch, completeness, paging
 from .runtime import materialize
-from .sources import files, traces
+from .sources import files, indexing, syntax, tables_as_code, traces
 from .sources.catalog import list_catalog
 from .sources.reads import relation_range
 from .sources.tables import Tables, entities, entity_parts, graph, relation_parts, relations, with_sql
@@ -993,3 +993,39 @@ def co_changes(t):
 @register("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
 def windowed_event_counts(t):
     return windowed_counts(t.events, "ts", "event_type", "1 hour", "10 minutes")
+
+
+# Sources
+
+
+def _code_facts(t) -> dict[str, DataFrame]:
+    return indexing.facts(tables_as_code.source_files(t))
+
+
+def _short(column: str):
+    return F.regexp_replace(column, r"^file:|@\d+$", "")
+
+
+@register(
+    tables_as_code.SQL
+    + "SELECT o AS caller, p AS callee, 'calls' AS predicate, 650 AS confidence FROM lines UNION ALL SELECT o, n, 'calls', 650 FROM following WHERE n IS NOT NULL UNION ALL SELECT f || p, f || 'unit', 'calls', 650 FROM units"
+)
+def source_call_graph(t):
+    """Calls from function to function, across files, as ``index_repository`` finds them in source text."""
+    found = _code_facts(t)["relations"].where(F.col("predicate").isin("calls", "dispatch_candidate"))
+    return found.select(_short("subject").alias("caller"), _short("object").alias("callee"), "predicate", "confidence")
+
+
+@register(
+    tables_as_code.SQL
+    + "SELECT o AS entity, 'method' AS kind, split_part(o, '#', 1) || '#Customer' || o_custkey AS container, CAST(1 + (SELECT count(*) FROM lines l WHERE l.o = own.o) + (SELECT count(n) FROM following g WHERE g.o = own.o) AS INTEGER) AS lines FROM own "
+    "UNION ALL SELECT 'customers/c' || o_custkey || '.py#Customer' || o_custkey, 'class', 'customers/c' || o_custkey || '.py', CAST(1 + sum(1 + (SELECT count(*) FROM lines l WHERE l.o = own.o) + (SELECT count(n) FROM following g WHERE g.o = own.o)) + count(*) - 1 AS INTEGER) FROM own GROUP BY o_custkey "
+    "UNION ALL SELECT f || p, 'function', replace(f, '#', ''), 2 FROM units UNION ALL SELECT DISTINCT f || 'unit', 'function', replace(f, '#', ''), 2 FROM units"
+)
+def source_scopes(t):
+    """Declarations of source text with what they lie in and how many lines they span."""
+    lines = syntax.scoped_lines(tables_as_code.source_files(t))
+    d = syntax.scoped_declarations(lines)
+    own = F.concat("path", F.lit("#"), "name")
+    container = F.concat_ws("#", F.col("path"), F.when(F.col("holder_line").isNotNull(), F.col("holder")))
+    return d.select(own.alias("entity"), "kind", container.alias("container"), (F.col("end") - F.col("line") + 1).alias("lines"))

@@ -10,56 +10,78 @@ from pyspark.sql import functions as F
 from ..model import ROLE_PREDICATES, mapping
 from ..operators.resolve import candidates, decide, derive_relations
 from ..runtime import materialize
+from .calls import bindings, bound_calls, call_relations, modules
 from .files import discover
 from .snapshots import SnapshotStore
-from .syntax import declarations, imported_module, module_name, routes, uses
+from .syntax import HOLDERS, imported_module, module_name, routes, scoped_declarations, scoped_lines, uses
 
 
 def facts(texts: DataFrame, root: str = "") -> dict[str, DataFrame]:
     """Entities, occurrences and relations of (path, language, text): declared names, their uses, what the uses bind to.
 
-    Files are modules by their path below ``root``, so an import binds to the file it names, in whatever
-    folder; bases bind heirs to the types they extend or implement, in whatever file; routes are entities
-    that their files serve. Other uses stand for the file that holds them.
+    Declarations lie in what is open around them: methods in types, functions in functions, the rest in
+    their file; each has the span of its lines. A use stands for the innermost declaration around it,
+    else for its file; a base for its heir. Calls are bound by scopes, imports and qualifiers; those
+    that are not, and all other uses, by the resolver. Files are modules by their path below ``root``, so
+    an import binds to the file it names, in whatever folder; routes are entities that their files serve.
     """
     fid = lambda c: F.concat(F.lit("file:"), c)
     below = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/'))}/", "") if root else F.col("path")
     texts = materialize(texts.select("path", "language", "text", below.alias("below")), "source-texts")
-    d = declarations(texts)
+    lines = materialize(scoped_lines(texts), "source-lines")
+    d = materialize(scoped_declarations(lines), "source-declarations")
     none = F.lit(None).cast("string")
+    own_id = lambda path, name, line: F.concat(fid(F.col(path)), F.lit("#"), F.col(name), F.lit("@"), F.col(line).cast("string"))
     module = texts.select(
         fid(F.col("path")).alias("id"), F.lit("file").alias("kind"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), module_name(F.col("below")).alias("qualified_name"),
-        none.alias("container_id"), F.lit("public").alias("visibility"), F.lit("B").alias("tier"), "language", "path",
+        none.alias("container_id"), F.lit("public").alias("visibility"), F.lit("B").alias("tier"), "language", "path", F.lit(1).alias("line_start"), F.size(F.split("text", "\r?\n")).alias("line_end"),
     )
+    # What a declaration lies in: by its line where that declares it, else by name (a block that implements a type, a receiver).
+    types = d.where(F.col("kind").isin(*HOLDERS)).groupBy("path", F.col("name").alias("holder")).agg(F.min(F.struct("line", "end")).alias("type"))
+    d = d.join(types, ["path", "holder"], "left").withColumn("holder_line", F.coalesce("holder_line", "type.line"))
+    ends = d.groupBy("path", F.col("line").alias("holder_line")).agg(F.max("end").alias("holder_end"))
+    d = materialize(d.join(ends, ["path", "holder_line"], "left").withColumn("id", own_id("path", "name", "line")).dropDuplicates(["id"]), "source-declared")
+    inner = F.when(F.col("holder_line").isNotNull(), own_id("path", "holder", "holder_line")).otherwise(fid(F.col("path")))
     own = d.select(
-        F.concat(fid(F.col("path")), F.lit("#"), F.col("name"), F.lit("@"), F.col("line").cast("string")).alias("id"), "kind", "name", F.concat("path", F.lit("."), "name").alias("qualified_name"),
-        fid(F.col("path")).alias("container_id"), F.when(F.col("name").startswith("_"), "private").otherwise("public").alias("visibility"), F.lit("B").alias("tier"), "language", "path",
-    ).dropDuplicates(["id"])
+        "id", "kind", "name", F.concat_ws(".", F.col("path"), "chain", F.col("name")).alias("qualified_name"), inner.alias("container_id"), F.when(F.col("name").startswith("_"), "private").otherwise("public").alias("visibility"),
+        F.lit("B").alias("tier"), "language", "path", F.col("line").alias("line_start"), F.col("end").alias("line_end"),
+    )
     served = routes(texts)
     route = served.groupBy("key").agg(F.min("path").alias("path"), F.min("language").alias("language")).select(
-        F.concat(F.lit("route:"), "key").alias("id"), F.lit("route").alias("kind"), F.col("key").alias("name"), F.col("key").alias("qualified_name"), none.alias("container_id"), F.lit("public").alias("visibility"), F.lit("B").alias("tier"), "language", "path"
-    )
+        F.concat(F.lit("route:"), "key").alias("id"), F.lit("route").alias("kind"), F.col("key").alias("name"), F.col("key").alias("qualified_name"), none.alias("container_id"), F.lit("public").alias("visibility"), F.lit("B").alias("tier"), "language", "path",
+        F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"),
+    )
     entities = materialize(module.unionByName(own).unionByName(route), "source-entities")
-    u = uses(texts).join(texts.select("path", "below"), "path")
+    # The innermost declaration of each line: the last one of the line that opened its scope.
+    of_scope = d.groupBy("path", F.col("line").alias("inside")).agg(F.max(F.struct("kind", "id", "holder")).alias("scope"))
+    at = lines.where("inside IS NOT NULL").select("path", F.col("line_no").alias("line"), "inside").join(of_scope, ["path", "inside"]).select("path", "line", "scope")
+    u = uses(texts, lines).join(texts.select("path", "below"), "path")
     u = u.withColumn("text", F.when(F.col("role") == "import_use", imported_module(F.col("text"), F.col("below"))).otherwise(F.col("text")))
     heirs = own.where(F.col("kind").isin("class", "struct", "interface", "trait", "enum")).groupBy("path", F.col("name").alias("heir")).agg(F.min("id").alias("heir_id"))
-    u = u.join(heirs, ["path", "heir"], "left").dropDuplicates(["path", "line", "role", "text", "heir"])
+    u = u.join(heirs, ["path", "heir"], "left").join(at, ["path", "line"], "left").dropDuplicates(["path", "line", "role", "text", "qualifier", "heir"])
+    tail = [F.coalesce(F.concat(F.lit(":"), F.col(c)), F.lit("")) for c in ("qualifier", "heir")]
+    enclosing = F.coalesce("heir_id", F.when(F.col("role") != "import_use", F.col("scope.id")), fid(F.col("path")))
     occurrences = u.select(
-        F.concat(fid(F.col("path")), F.lit(":"), F.col("line").cast("string"), F.lit(":"), "role", F.lit(":"), "text", F.coalesce(F.concat(F.lit(":"), "heir"), F.lit(""))).alias("id"), "role", "text", "language", F.lit("B").alias("tier"),
-        F.col("path").alias("file"), F.coalesce("heir_id", fid(F.col("path"))).alias("enclosing"), F.lit("line.use").alias("syntax_kind"),
+        F.concat(fid(F.col("path")), F.lit(":"), F.col("line").cast("string"), F.lit(":"), "role", F.lit(":"), "text", *tail).alias("id"), "role", "text", "language", F.lit("B").alias("tier"),
+        F.col("path").alias("file"), enclosing.alias("enclosing"), F.lit("line.use").alias("syntax_kind"), "path", "line", "qualifier", F.col("scope.holder").alias("holder"),
     )
     occurrences = materialize(occurrences, "occurrences")
-    found = materialize(candidates(occurrences, entities), "candidates")
-    decided = decide(occurrences, found)
-    bound = derive_relations(decided, found)
+    calls = occurrences.where("role = 'call_site'").withColumn("qualifier", F.coalesce("qualifier", F.lit("")))
+    imports = bindings(lines, texts.select("path", "below"))
+    bound = materialize(bound_calls(calls, d, imports, modules(texts)), "calls-bound")
+    called = call_relations(calls, bound).select("subject", "predicate", "object", "confidence")
+    occurrences = occurrences.drop("path", "qualifier", "holder")
+    rest = materialize(occurrences.join(bound.select("id").distinct(), "id", "left_anti"), "occurrences-left")
+    found = materialize(candidates(rest, entities), "candidates")
+    decided = decide(rest, found)
+    resolved = derive_relations(decided, found)
     # A base named in another file scores below a resolved one: the only candidate is taken, at its score.
     only = decided.where("outcome = 'candidates' AND total = 1 AND role IN ('inheritance_use', 'implementation_use', 'type_use')")
     alone = only.select(F.col("occurrence").alias("subject"), mapping(F.col("role"), ROLE_PREDICATES).alias("predicate"), F.col("symbols")[0].alias("object"), "confidence")
-    # An occurrence stands for what encloses it: the heir of a base, else the file.
-    held = bound.union(alone).join(occurrences.select(F.col("id").alias("subject"), "enclosing"), "subject").select(F.col("enclosing").alias("subject"), "predicate", "object", "confidence")
+    held = resolved.union(alone).join(occurrences.select(F.col("id").alias("subject"), "enclosing"), "subject").select(F.col("enclosing").alias("subject"), "predicate", "object", "confidence")
     inside = own.select(F.col("container_id").alias("subject"), F.lit("contains").alias("predicate"), F.col("id").alias("object"), F.lit(1000).alias("confidence"))
     serves = served.select(fid(F.col("path")).alias("subject"), F.lit("serves_route").alias("predicate"), F.concat(F.lit("route:"), "key").alias("object"), F.lit(900).alias("confidence"))
-    relations = held.union(inside).union(serves).groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"))
+    relations = held.union(called).union(inside).union(serves).groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"))
     relations = relations.withColumn("id", F.concat_ws("|", "subject", "predicate", "object"))
     return {"entities": entities, "occurrences": occurrences, "relations": relations}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import route_key
@@ -13,6 +13,7 @@ _JS = (
     (rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_NAME}", "function"),
     (rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}", "class"),
     (rf"^\s*(?:export\s+)?const\s+{_NAME}\s*=\s*(?:async\s*)?\([^)]*\)\s*=>", "function"),
+    (rf"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*{_NAME}\s*\([^)]*\)\s*(?::[^={{]+)?\{{\s*$", "method"),
 )
 _C = (
     (r"^(?!return|else|typedef|struct|enum|union)[A-Za-z_][\w\s\*:<>,&]*?\b([A-Za-z_]\w*)\s*\([^;]*$", "function"),
@@ -30,7 +31,7 @@ DECLARATIONS = {
         (r"^\s*(?:pub(?:\([a-z]+\))?\s+)?enum\s+([A-Za-z_]\w*)", "enum"),
         (r"^\s*(?:pub(?:\([a-z]+\))?\s+)?trait\s+([A-Za-z_]\w*)", "trait"),
     ),
-    "go": ((r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", "function"), (r"^type\s+([A-Za-z_]\w*)\s+struct", "struct"), (r"^type\s+([A-Za-z_]\w*)\s+interface", "interface")),
+    "go": ((r"^func\s+([A-Za-z_]\w*)", "function"), (r"^func\s+\([^)]*\)\s*([A-Za-z_]\w*)", "method"), (r"^type\s+([A-Za-z_]\w*)\s+struct", "struct"), (r"^type\s+([A-Za-z_]\w*)\s+interface", "interface")),
     "javascript": _JS,
     "typescript": (*_JS, (rf"^\s*(?:export\s+)?interface\s+{_NAME}", "interface"), (rf"^\s*(?:export\s+)?type\s+{_NAME}[^=]*=", "type_alias"), (rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{_NAME}", "enum")),
     "java": (*_TYPES, (rf"^\s*{_MODS}record\s+{_NAME}", "class"), (rf"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\],.? ]+\s+{_NAME}\s*\(", "method")),
@@ -55,7 +56,12 @@ BASES = {
     "ruby": ((r"^\s*class\s+(\w+)\s*<\s*([\w:]+)", "inheritance_use"),),
 }
 BASES_FIRST = {"rust": ((r"^\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\s+(\w+)", "implementation_use"),)}
-CALL = r"([A-Za-z_]\w*)\s*\("
+# Lines that open a scope of a type declared elsewhere, and lines that name the type whose method they declare.
+IMPLEMENTS_FOR = {"rust": r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?:\w+::)*(\w+)"}
+RECEIVER = {"go": r"^func\s+\(\s*(?:\w+\s+)?\*?(\w+)"}
+#: Languages whose scopes are told by indentation; those of all others by braces.
+INDENTED = ("python", "ruby")
+CALL = r"((?:[A-Za-z_$][\w$]*(?:\.|::|->))*)([A-Za-z_]\w*)\s*\("
 # Words before a parenthesis that call nothing.
 NOT_CALLED = ("if", "for", "while", "switch", "return", "catch", "elif", "match", "function", "def", "fn", "func", "class", "and", "or", "not", "in", "sizeof", "typeof")
 TYPE = r"(?::|->)\s*&?(?:mut\s+)?(?:[\w]+(?:\.|::))*([A-Z]\w*)"
@@ -72,6 +78,80 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.select("path", "language", F.posexplode(F.split("text", "\r?\n")).alias("k", "line")).withColumn("line_no", F.col("k") + 1)
 
 
+def _times(text: Column, *signs: str) -> Column:
+    """How often ``text`` holds any of ``signs``, of one character each."""
+    return F.length(text) - F.length(F.translate(text, "".join(signs), ""))
+
+
+def leveled(files: DataFrame) -> DataFrame:
+    """(path, language, line, line_no, level): how deep each line lies, by indentation or braces; null where it says nothing.
+
+    Blank lines, comments, quoted blocks and the rest of a statement that goes on in brackets say
+    nothing. All is running sums over a file's lines: of block marks, of brackets, of braces.
+    """
+    rows = _lines(files)
+    before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    indented = F.col("language").isin(*INDENTED)
+    hashes = F.col("language").isin(*INDENTED, "php")
+    quotes = r"'(?:\\.|[^'\\])'"
+    long_quotes = r"'(?:\\.|[^'\\])*'"
+    one_letter = F.col("language").isin("rust", "go", "java", "c", "cpp", "csharp")
+    strings = lambda q: F.regexp_replace("line", rf'"(?:\\.|[^"\\])*"|`[^`]*`|{q}', "")
+    plain = F.when(one_letter, strings(quotes)).otherwise(strings(long_quotes))
+    code = F.when(hashes, F.regexp_replace(plain, "#.*$", "")).otherwise(F.regexp_replace(plain, r"//.*$|/\*.*?\*/", ""))
+    fences = (F.length("line") - F.length(F.regexp_replace("line", "\"\"\"|'''", ""))) / 3
+    marks = F.when(indented, fences.cast("int")).otherwise((F.length(code) - F.length(F.regexp_replace(code, r"/\*", ""))) / 2 - (F.length(code) - F.length(F.regexp_replace(code, r"\*/", ""))) / 2)
+    rows = rows.withColumn("code", F.trim(code)).withColumn("marks", marks.cast("int"))
+    open_ = so_far(F.col("marks"))
+    inside = F.when(indented, open_ % 2 == 1).otherwise(open_ > 0)
+    rows = rows.withColumn("inside", inside)
+    told = F.when(F.col("inside") | (F.col("marks") > 0), "").otherwise(F.col("code"))
+    braces = _times(told, "{") - _times(told, "}")
+    brackets = _times(told, "(", "[") - _times(told, ")", "]")
+    rows = rows.withColumns({"braces": braces, "brackets": brackets})
+    rows = rows.withColumns({"depth": so_far(F.col("braces")), "round": so_far(F.col("brackets"))})
+    # Brackets open since the last brace: a statement that goes on; those before it hold a whole body.
+    held = F.last(F.when(F.col("braces") != 0, F.col("round") + F.col("brackets")), True).over(before)
+    goes_on = F.when(indented, F.col("round") > 0).otherwise(F.col("round") > F.coalesce(held, F.lit(0)))
+    silent = F.col("inside") | goes_on | (F.col("code") == "")
+    margin = F.length(F.regexp_replace(F.regexp_extract("line", r"^[ \t]*", 0), "\t", " " * 8))
+    by_margin = F.when(~F.col("code").rlike(r"^(?:[)\]}]|end\b)"), margin)
+    by_brace = F.col("depth") + F.col("code").startswith("{").cast("int")
+    level = F.when(~silent, F.when(indented, by_margin).otherwise(by_brace))
+    return rows.select("path", "language", "line", "line_no", level.cast("int").alias("level"))
+
+
+def scopes_of_lines(rows: DataFrame, opens: Column) -> DataFrame:
+    """``rows`` of ``leveled`` with end, above and inside: where the scope that a line opens ends, the lines whose scopes it lies in, and the innermost of these with its own.
+
+    ``opens``: whether a line opens a scope. A scope holds the lines after it until one that lies as
+    deep or less, and ends with the last of them that is not blank. For each depth at which a file has scopes, the last of its lines that lie so deep or
+    less tells whether one is open, and which: a window for each depth, not a stack.
+    """
+    file = Window.partitionBy("path")
+    rows = rows.withColumn("opens", opens & F.col("level").isNotNull())
+    told = F.when(F.trim("line") != "", F.col("line_no"))
+    before = file.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"depths": F.collect_set(F.when(F.col("opens"), F.col("level"))).over(file), "last_line": F.max(told).over(file), "before": F.max(told).over(before)})
+    each = rows.withColumn("d", F.explode_outer("depths"))
+    event = F.when(F.col("opens") & (F.col("level") == F.col("d")), F.col("line_no")).when(F.col("level") <= F.col("d"), 0)
+    by_depth = Window.partitionBy("path", "d")
+    now = by_depth.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    later = by_depth.orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("event", event)
+    each = each.withColumns({"open": F.last("event", True).over(now), "until": F.last(F.when(F.col("event").isNotNull(), F.col("before")), True).over(later)})
+    is_open = F.col("open") > 0
+    keep = [c for c in rows.columns if c not in ("depths", "last_line", "before")]
+    found = each.groupBy("path", "line_no").agg(
+        *[F.first(c).alias(c) for c in keep if c not in ("path", "line_no")],
+        F.max(F.when(F.col("opens") & (F.col("d") == F.col("level")), F.coalesce("until", "last_line"))).alias("end"),
+        F.sort_array(F.collect_set(F.when(is_open & (F.col("level").isNull() | (F.col("d") < F.col("level"))), F.col("open")))).alias("above"),
+        F.max(F.when(is_open, F.col("open"))).alias("inside"),
+    )
+    return found
+
+
 def _collected(rules: dict, element: str, made) -> Column:
     """The array of all that the rules of a row's language make of its line; one branch a language, one entry a rule."""
     none = F.array().cast(f"array<{element}>")
@@ -82,16 +162,66 @@ def _collected(rules: dict, element: str, made) -> Column:
     return out
 
 
-def declarations(files: DataFrame) -> DataFrame:
-    """(path, language, name, kind, line) of files (path, language, text)."""
+def _declared() -> Column:
+    """All that a line declares, in order."""
 
     def made(pattern: str, kind: str):
         name = F.regexp_extract("line", pattern, 1)
         return name != "", F.array(F.struct(name.alias("name"), F.lit(kind).alias("kind")))
 
     found = _collected(DECLARATIONS, "struct<name:string,kind:string>", made)
-    out = _lines(files).select("path", "language", F.explode(found).alias("d"), "line_no").select("path", "language", "d.name", "d.kind", F.col("line_no").alias("line"))
-    return out.where(~F.col("name").isin(*NOT_CALLED))
+    return F.filter(found, lambda d: ~d["name"].isin(*NOT_CALLED))
+
+
+def _named(rules: dict[str, str]) -> Column:
+    """What the rule of a row's language finds in its line, else null."""
+    out = F.lit("")
+    for language, pattern in rules.items():
+        out = F.when(F.col("language") == language, F.regexp_extract("line", pattern, 1)).otherwise(out)
+    return F.when(out != "", out)
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """(path, language, name, kind, line) of files (path, language, text)."""
+    rows = _lines(files).select("path", "language", F.explode(_declared()).alias("d"), "line_no")
+    return rows.select("path", "language", "d.name", "d.kind", F.col("line_no").alias("line"))
+
+
+#: Kinds that hold methods.
+HOLDERS = ("class", "struct", "interface", "trait", "enum", "union")
+
+
+def scoped_lines(files: DataFrame) -> DataFrame:
+    """(path, language, line, line_no, level, declared, owner, end, above, inside) of every line, with ``scopes_of_lines`` of its declarations.
+
+    ``declared``: what it declares (name, kind); a block that implements a type declares it as kind
+    impl. ``owner``: the type that a receiver names. Lines in comments and quoted blocks declare nothing.
+    """
+    block = _named(IMPLEMENTS_FOR)
+    declared = F.when(block.isNotNull(), F.array(F.struct(block.alias("name"), F.lit("impl").alias("kind")))).otherwise(_declared())
+    rows = leveled(files)
+    rows = rows.withColumn("declared", F.when(F.col("level").isNotNull(), declared).otherwise(F.array().cast("array<struct<name:string,kind:string>>")))
+    return scopes_of_lines(rows.withColumn("owner", _named(RECEIVER)), F.size("declared") > 0)
+
+
+def scoped_declarations(lines: DataFrame) -> DataFrame:
+    """(path, language, name, kind, line, end, holder_line, holder, chain) of ``scoped_lines``: each declaration, its span, and the one it lies in.
+
+    ``holder``: its name, null in the file itself; ``chain``: the names of all around it, the outermost
+    first. A function in a type is a method. Blocks that implement a type are not declarations, but hold
+    them under the type's name.
+    """
+    rows = lines.where(F.size("declared") > 0)
+    scopes = rows.select("path", F.col("line_no").alias("above_line"), F.element_at("declared", -1).alias("scope"))
+    around = rows.select("path", "line_no", F.explode("above").alias("above_line")).join(scopes, ["path", "above_line"])
+    around = around.groupBy("path", "line_no").agg(F.sort_array(F.collect_list(F.struct("above_line", "scope"))).alias("around"))
+    out = rows.join(around, ["path", "line_no"], "left").withColumn("in", F.element_at("around", -1)).select("path", "language", F.explode("declared").alias("d"), "line_no", "end", "owner", "around", "in")
+    holder = F.coalesce("owner", F.col("in.scope.name"))
+    kind = F.when((F.col("d.kind") == "function") & F.col("in.scope.kind").isin("impl", *HOLDERS), "method").otherwise(F.col("d.kind"))
+    return out.where("d.kind <> 'impl'").select(
+        "path", "language", "d.name", kind.alias("kind"), F.col("line_no").alias("line"), "end", F.when(F.col("owner").isNull() & (F.col("in.scope.kind") != "impl"), F.col("in.above_line")).alias("holder_line"),
+        holder.alias("holder"), F.coalesce(F.when(F.col("owner").isNotNull(), F.array("owner")), F.col("around.scope.name"), F.array().cast("array<string>")).alias("chain"),
+    )
 
 
 def inheritance(files: DataFrame) -> DataFrame:
@@ -134,17 +264,31 @@ def imported_module(text: Column, path: Column) -> Column:
     return F.regexp_replace(dotted, r"^\.+", "")
 
 
-def uses(files: DataFrame) -> DataFrame:
-    """(path, language, role, text, line, heir): calls, imports, types and bases by spelling, for the resolver."""
-    rows = _lines(files)
+def call_sites(lines: DataFrame) -> DataFrame:
+    """(path, language, text, line, qualifier) of ``scoped_lines``: each call, with what stands before its name."""
+    found = F.transform(
+        F.arrays_zip(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)).alias("q"), F.regexp_extract_all("line", F.lit(CALL), F.lit(2)).alias("n")),
+        lambda x: F.struct(F.regexp_replace(x["q"], r"(?:\.|::|->)$", "").alias("qualifier"), x["n"].alias("text")),
+    )
+    own = F.transform("declared", lambda d: d["name"])
+    kept = F.filter(found, lambda x: ~x["text"].isin(*NOT_CALLED) & ~F.array_contains(own, x["text"]))
+    rows = lines.select("path", "language", F.col("line_no").alias("line"), F.explode(kept).alias("c"))
+    return rows.select("path", "language", "c.text", "line", "c.qualifier").distinct()
+
+
+def uses(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(path, language, role, text, line, heir, qualifier): calls, imports, types and bases by spelling, for the resolver.
+
+    ``lines``: ``scoped_lines`` of the files, where they are at hand.
+    """
+    rows = lines if lines is not None else scoped_lines(files)
     none = F.lit(None).cast("string").alias("heir")
-    calls = rows.select("path", "language", F.explode(F.regexp_extract_all("line", F.lit(CALL))).alias("text"), F.col("line_no").alias("line")).where(~F.col("text").isin(*NOT_CALLED))
-    declared = declarations(files).select("path", "line", F.col("name").alias("text"))
-    calls = calls.join(declared, ["path", "line", "text"], "left_anti").select("path", "language", F.lit("call_site").alias("role"), "text", "line", none)
+    calls = call_sites(rows).select("path", "language", F.lit("call_site").alias("role"), "text", "line", none, "qualifier")
+    unqualified = F.lit(None).cast("string").alias("qualifier")
     module = F.lit("")
     for language, pattern in IMPORTS.items():
         module = F.when(F.col("language") == language, F.regexp_extract("line", pattern, 1)).otherwise(module)
-    imports = rows.select("path", "language", F.lit("import_use").alias("role"), module.alias("text"), F.col("line_no").alias("line"), none).where("text <> ''")
-    types = rows.where(F.col("language").isin(*TYPED)).select("path", "language", F.lit("type_use").alias("role"), F.explode(F.regexp_extract_all("line", F.lit(TYPE))).alias("text"), F.col("line_no").alias("line"), none)
-    bases = inheritance(files).select("path", "language", "role", "text", "line", "heir")
+    imports = rows.select("path", "language", F.lit("import_use").alias("role"), module.alias("text"), F.col("line_no").alias("line"), none, unqualified).where("text <> ''")
+    types = rows.where(F.col("language").isin(*TYPED)).select("path", "language", F.lit("type_use").alias("role"), F.explode(F.regexp_extract_all("line", F.lit(TYPE))).alias("text"), F.col("line_no").alias("line"), none, unqualified)
+    bases = inheritance(files).select("path", "language", "role", "text", "line", "heir", unqualified)
     return calls.unionByName(imports).unionByName(types).unionByName(bases)
