@@ -22,7 +22,9 @@ from .common import held, materialize, raw_texts
 _SPACE = re.compile(r" (?<=\S )(?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Bytes of segments that are aligned at once, the links of a group up to which all are listed, and the links looked at together while their documents are counted.
-_BYTES, _LARGE, _LINKS = 1 << 20, 4096, 1 << 20
+_BYTES, _LARGE, _LINKS = 1 << 17, 4096, 1 << 19
+#: Bytes of text of a block: a worker holds its segments, their tokens and their links at once.
+BLOCK_BYTES = 3 << 20
 
 
 def owners(lengths: np.ndarray) -> np.ndarray:
@@ -238,7 +240,7 @@ def align_tokenizers(df: DataFrame, byte_level: str, pieces: str, id_col: str =
 
         return kernel
 
-    table = materialize(map_blocks(df.select(id_col, text_col), make, schema), "alignment-blocks")
+    table = materialize(map_blocks(df.select(id_col, text_col), make, schema, BLOCK_BYTES), "alignment-blocks")
     own = table.where("pair IS NOT NULL").select(F.col("block").alias("of_block"), "pair", "place", "docs")
     counts = own.groupBy("pair").agg(F.sum("docs").alias("n")).withColumn("a", F.shiftright("pair", 32))
     most = counts.groupBy("a").agg(F.max("n").alias("most"))

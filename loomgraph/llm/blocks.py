@@ -6,16 +6,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import BATCH_BYTES, bounded_batches
 
 BlockKernel = Callable[[pa.RecordBatch, int], Iterator[pa.RecordBatch]]
 
 
-def map_blocks(df: DataFrame, make_kernel: Callable[[], BlockKernel], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches bounded by bytes, each numbered by its task and its place there.
+def cut(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts whose column ``text`` holds ``most`` bytes, or of one row."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    was = 0
+    while was < batch.num_rows:
+        end = max(was + 1, int(np.searchsorted(ends, (ends[was - 1] if was else 0) + most, "right")))
+        yield batch.slice(was, end - was)
+        was = end
+
+
+def map_blocks(df: DataFrame, make_kernel: Callable[[], BlockKernel], schema: str, most: int = BATCH_BYTES) -> DataFrame:
+    """``mapInArrow`` over batches whose second column, the text, is bounded by bytes, each numbered by its task and its place there.
 
     Write the result before it is used twice: the numbers name the batches of one run.
     """
@@ -23,8 +34,8 @@ def map_blocks(df: DataFrame, make_kernel: Callable[[], BlockKernel], schema: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel, task = make_kernel(), TaskContext.get().partitionId()
-        for k, batch in enumerate(b for b in batches if b.num_rows):
-            yield from kernel(batch, task << 32 | k)
+        for k, block in enumerate(part for batch in batches for part in cut(batch, 1, most)):
+            yield from kernel(block, task << 32 | k)
 
     return df.mapInArrow(run, schema)
 
