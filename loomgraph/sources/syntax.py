@@ -102,7 +102,7 @@ def leveled(files: DataFrame) -> DataFrame:
     code = F.when(hashes, F.regexp_replace(plain, "#.*$", "")).otherwise(F.regexp_replace(plain, r"//.*$|/\*.*?\*/", ""))
     fences = (F.length("line") - F.length(F.regexp_replace("line", "\"\"\"|'''", ""))) / 3
     marks = F.when(indented, fences.cast("int")).otherwise((F.length(code) - F.length(F.regexp_replace(code, r"/\*", ""))) / 2 - (F.length(code) - F.length(F.regexp_replace(code, r"\*/", ""))) / 2)
-    rows = rows.withColumn("code", F.trim(code)).withColumn("marks", marks.cast("int"))
+    rows = rows.withColumn("code", F.trim(F.when(indented, code).otherwise(F.regexp_replace(code, r"/\*.*$", "")))).withColumn("marks", marks.cast("int"))
     open_ = so_far(F.col("marks"))
     inside = F.when(indented, open_ % 2 == 1).otherwise(open_ > 0)
     rows = rows.withColumn("inside", inside)

@@ -41,7 +41,7 @@ def test_call_graph_across_files(spark, tmp_path):
     assert {("A", "contains", "run"), ("run", "contains", "inner"), ("Pool", "contains", "run"), ("Box", "contains", "show"), ("T", "contains", "Go"), ("lib.py", "contains", "helper")} <= edges
     assert not any("fake" in i or "commented" in i for i in entities)
     spans = {(short(i), e["line_start"]): e["line_end"] for i, e in entities.items() if "#" in i}
-    assert spans[("run", 8)] == 14 and spans[("inner", 10)] == 11 and spans[("A", 3)] == 17 and spans[("handle", 11)] == 15 and spans[("Pool", 2)] == 2
+    assert spans[("run", 8)] == 14 and spans[("inner", 10)] == 11 and spans[("A", 3)] == 18 and spans[("handle", 11)] == 15 and spans[("Pool", 2)] == 2
     kinds = {(short(i), e["line_start"]): e["kind"] for i, e in entities.items()}
     assert kinds[("run", 8)] == "method" and kinds[("inner", 10)] == "function" and kinds[("step", 7)] == "method"
     graph = Graph(store.read("entities"), store.read("relations"))

@@ -431,7 +431,7 @@ def test_eleven_languages_bind_across_files(spark, tmp_path):
     assert want <= edges
     assert {("app.py", "imports", "base.py"), ("square.ts", "imports", "shape.ts"), ("run", "uses_type", "Base"), ("square.ts", "serves_route", "{}")} <= edges
     kinds = {(r["name"], r["kind"]) for r in store.read("entities").collect()}
-    assert {("Shape", "interface"), ("Draw", "trait"), ("size", "method"), ("walk", "function"), ("Sharp", "class"), ("N", "namespace"), ("bark", "method"), ("hi", "function"), ("Reader", "interface"), ("point", "struct"), ("add", "function"), ("GET /squares/{}", "route")} <= kinds
+    assert {("Shape", "interface"), ("Draw", "trait"), ("size", "method"), ("walk", "function"), ("Sharp", "class"), ("N", "namespace"), ("bark", "method"), ("hi", "method"), ("Reader", "interface"), ("point", "struct"), ("add", "method"), ("GET /squares/{}", "route")} <= kinds
 
 
 def test_catalog_pages(spark):
