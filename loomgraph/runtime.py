@@ -24,10 +24,10 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back; cuts the lineage of loops."""
     path = f"{_own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loomgraph_path = path
     return out
