@@ -29,7 +29,7 @@ class Settings:
     pilot_docs: int = 2000
     pilot_tokens: int = 500_000
     #: Models averaged by one task.
-    fan_in: int = 32
+    fan_in: int = 8
     seed: int = 42
 
 
@@ -62,7 +62,7 @@ def _blocks(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFra
         return kernel
 
     schema = f"block long, id {id_field.dataType.simpleString()}, train boolean, at int, tokens binary, word string, times long"
-    return materialize(map_blocks(out, make, schema), "lm-blocks")
+    return materialize(map_blocks(out, make, schema), "lm-blocks", "zstd")
 
 
 @dataclass
@@ -100,21 +100,24 @@ def _encoded(blocks: DataFrame, counts: Counts, shape: Shape, id_col: str) -> Da
     id_field = blocks.select("id").schema[0]
     asked = blocks.where("word IS NOT NULL").select(F.col("block").alias("of_block"), F.col("at").alias("place"), "word")
     known = counts.words.select("word", "n", "head")
-    told = asked.join(known, "word", "left").select(
-        "of_block", "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("head", F.lit(shape.head) + tail_of(F.col("word"), shape.tails)).alias("own")
-    )
+    # One number tells it all: a head word's identifier, below zero, or a tail word's count and class.
+    rare = F.coalesce("n", F.lit(0)) * shape.tails + tail_of(F.col("word"), shape.tails)
+    told = asked.join(known, "word", "left").select("of_block", "place", F.coalesce(-1 - F.col("head"), rare).alias("told"))
+    head_n = np.array([n for _, n in counts.head] or [0], np.int64)
     log_base = np.log10(counts.tokens + counts.distinct + 1.0)
     tails = np.zeros(shape.tails)
     for k, (n, v) in counts.tails.items():
         tails[k] = n + v
     log_tails = np.log10(tails + 1)
-    head, wide = shape.head, np.uint16 if shape.start <= 1 << 16 else np.uint32
+    head, tails_n, wide = shape.head, shape.tails, np.uint16 if shape.start <= 1 << 16 else np.uint32
     names = [id_col, "block", "at", "train", "n_tokens", "n_known", "base_score", "rest", "ids"]
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        n, own = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
-        at = right["place"].to_numpy()
-        n[at], own[at] = right["n"].to_numpy(), right["own"].to_numpy()
+        told = np.zeros(len(right), np.int64)
+        told[right["place"].to_numpy()] = right["told"].to_numpy()
+        known = np.maximum(-1 - told, 0)
+        n = np.where(told < 0, head_n[known], told // tails_n)
+        own = np.where(told < 0, known, head + told % tails_n)
         log_n = np.log10(n + 1)
         rest = np.where(own >= head, log_n - log_tails[np.maximum(own - head, 0)], 0)
         texts = list(map(from_planes, left["tokens"].to_pylist()))
@@ -125,7 +128,7 @@ def _encoded(blocks: DataFrame, counts: Counts, shape: Shape, id_col: str) -> Da
 
     schema = f"`{id_col}` {id_field.dataType.simpleString()}, block long, at int, train boolean, n_tokens long, n_known long, base_score double, rest double, ids binary"
     texts = blocks.where("tokens IS NOT NULL").select("block", "id", "at", "train", "tokens")
-    return materialize(texts.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(finish, schema), "lm-texts")
+    return materialize(texts.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(finish, schema), "lm-texts", "zstd")
 
 
 def _ids(column: pa.Array, shape: Shape) -> list[np.ndarray]:
