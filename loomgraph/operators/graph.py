@@ -238,19 +238,27 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def container_of(entities: DataFrame, kinds: tuple[str, ...], max_depth: int = 64) -> DataFrame:
-    """(id, container): the nearest entity of ``kinds`` at or above each entity; null if there is none."""
-    parents = entities.select("id", "kind", "container_id")
-    top = parents.select("id", F.when(F.col("kind").isin(*kinds), F.col("id")).alias("container"), F.col("container_id").alias("up"))
-    for k in range(max_depth):
-        climbed = top.where("container IS NULL AND up IS NOT NULL")
-        if climbed.isEmpty():
-            break
-        above = parents.select(F.col("id").alias("up"), F.col("kind").alias("k"), F.col("container_id").alias("next"))
-        top = top.join(above, "up", "left").select(
-            "id",
-            F.coalesce("container", F.when(F.col("k").isin(*kinds), F.col("up"))).alias("container"),
-            F.when(F.col("container").isNull(), F.col("next")).alias("up"),
-        )
-        top = materialize(top, f"containers-{k}")
-    return top.select("id", "container")
+def refuse_rings(entities: DataFrame) -> None:
+    """Raise if containers hold each other."""
+    container_of(entities.select("id", F.lit("").alias("kind"), "container_id"), ("no kind",))
+
+
+def container_of(entities: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(id, container): the nearest entity of ``kinds`` at or above each entity; null if there is none.
+
+    Pointers up are doubled, so there are as many rounds as the longest chain has digits in base two.
+    Chains of more rounds than there are entities to climb are rings, and refused.
+    """
+    own = F.when(F.col("kind").isin(*kinds), F.col("id"))
+    now = materialize(entities.select("id", own.alias("container"), F.when(own.isNull(), F.col("container_id")).alias("up")), "containers")
+    rounds = now.count().bit_length() + 1
+    while not now.where("up IS NOT NULL").isEmpty():
+        if not rounds:
+            raise ValueError("containers hold each other: " + ", ".join(sorted(r["id"] for r in now.where("up IS NOT NULL").limit(3).collect())))
+        rounds -= 1
+        above = now.select(F.col("id").alias("up"), F.col("container").alias("found"), F.col("up").alias("next"))
+        after = now.join(above, "up", "left").select("id", F.coalesce("container", "found").alias("container"), F.when(F.coalesce("container", "found").isNull(), F.col("next")).alias("up"))
+        after = materialize(after, "containers")
+        release(now)
+        now = after
+    return now.select("id", "container")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import EXACT_CONFIDENCE, FOREIGN_NAMESPACES, NOT_REFERABLE, ROLE_KINDS, ROLE_PREDICATES, ceiling, mapping
-from ..runtime import materialize
+from ..runtime import materialize, read_all
+from .graph import refuse_rings
 
 # What a candidate's score is made of.
 BASE, IMPORTABLE, ENCLOSING, SAME_FILE, SCOPED_CALL = 600, 300, 350, 300, 400
 ANCESTOR, ANCESTOR_STEP, CROSS_FILE, REPOSITORY_SCOPE, DYNAMIC_CALL_TOP = 340, 20, 100, 50, 899
-MAX_SCOPES = 64
 
 
 def compatible(kind, role):
@@ -24,33 +26,82 @@ def compatible(kind, role):
 
 
 def scopes(occurrences: DataFrame, entities: DataFrame) -> DataFrame:
-    """(occurrence, scope, depth): the enclosing entity at 0 and the containers above it."""
+    """(occurrence, scope, depth): the enclosing entity at 0 and all containers above it; containers that hold each other are refused."""
     up = entities.select(F.col("id").alias("scope"), F.col("container_id").alias("next"))
-    level = occurrences.where("enclosing IS NOT NULL").select(F.col("id").alias("occurrence"), F.col("enclosing").alias("scope"), F.lit(0).alias("depth"))
-    out = level = materialize(level, "scopes-0")
-    for k in range(1, MAX_SCOPES):
-        level = level.join(up, "scope").where("next IS NOT NULL").select("occurrence", F.col("next").alias("scope"), F.lit(k).alias("depth"))
-        level = materialize(level, f"scopes-{k}")
-        if level.isEmpty():
+    own = occurrences.where("enclosing IS NOT NULL").select(F.col("id").alias("occurrence"), F.col("enclosing").alias("start"))
+    # Chains are climbed once for each different start.
+    levels = [materialize(own.select("start", F.col("start").alias("scope")).distinct().withColumn("depth", F.lit(0)), "scopes")]
+    while True:
+        if len(levels) == 64:
+            refuse_rings(entities)
+        above = levels[-1].join(up, "scope").where("next IS NOT NULL").select("start", F.col("next").alias("scope"), F.lit(len(levels)).alias("depth"))
+        above = materialize(above, "scopes")
+        if above.isEmpty():
             break
-        out = out.union(level)
-    return out
+        levels.append(above)
+    return own.join(read_all(levels), "start").select("occurrence", "scope", "depth")
+
+
+class Found(NamedTuple):
+    """``rows``: occurrence, role, symbol, name_match, score, r; ``counts``: occurrence, total, languages, kinds."""
+
+    rows: DataFrame
+    counts: DataFrame
 
 
-def candidates(occurrences: DataFrame, entities: DataFrame, exact_call_languages: tuple[str, ...] = ()) -> DataFrame:
-    """(occurrence, symbol, name_match, rejection, score) of every entity that spells like an occurrence.
+def candidates(occurrences: DataFrame, entities: DataFrame, exact_call_languages: tuple[str, ...] = (), limit: int = 8) -> Found:
+    """Of each occurrence the first ``limit`` entities that spell like it, by score and symbol, and how many there are.
 
-    ``occurrences``: id, role, text, language, tier, file, enclosing, syntax_kind. Entities of the
-    same spelling meet by an equi-join on the text; each keeps its first matching name.
+    ``occurrences``: id, role, text, language, tier, file, enclosing, syntax_kind. ``counts``: entities
+    that fit, that are of another language, and that are of a kind that the role rejects.
+
+    A score depends on an entity's class alone: its kind, tier and language, and whether it is, or lies
+    in, a scope of the occurrence, or lies in its file, or in nothing. So an occurrence meets the first
+    ``limit`` entities of each class, not all that share its text; whatever comes first of all comes
+    first in its class. Of those in its file some lie in scopes so far out that they count less, so
+    there each container gives its own first ones, of so many containers as there are scopes beyond.
     """
+    limit = max(limit, 2)  # a decision has to know whether the best is alone
     e = entities.select("id", "kind", F.col("language").alias("el"), F.col("tier").alias("et"), "container_id", F.col("path").alias("ef"), "name", "qualified_name")
-    names = e.withColumn("x", F.explode(F.array(F.struct(F.lit(0).alias("m"), F.col("name").alias("s")), F.struct(F.lit(1).alias("m"), F.col("qualified_name").alias("s")))))
-    names = names.groupBy(F.col("x.s").alias("text"), "id", "kind", "el", "et", "container_id", "ef").agg(F.min("x.m").alias("name_match"))
-    o = occurrences.where(F.col("role").isin(*ROLE_KINDS)).select(F.col("id").alias("occurrence"), "role", "text", "language", "tier", "file", "enclosing", "syntax_kind")
-    met = o.join(names.withColumnRenamed("id", "symbol"), "text")
-    depth = scopes(occurrences, entities).groupBy("occurrence", F.col("scope").alias("container_id")).agg(F.min("depth").alias("depth"))
-    met = met.join(depth, ["occurrence", "container_id"], "left")
-    rejection = F.when(F.col("el") != F.col("language"), "language_mismatch").when(~compatible("kind", "role"), "target_kind_mismatch")
+    spelled = e.withColumn("x", F.explode(F.array(F.struct(F.lit(0).alias("m"), F.col("name").alias("s")), F.struct(F.lit(1).alias("m"), F.col("qualified_name").alias("s")))))
+    names = spelled.groupBy(F.col("x.s").alias("text"), F.col("id").alias("symbol"), "kind", "el", "et", "container_id", "ef").agg(F.min("x.m").alias("name_match"))
+    names = materialize(names.where("text IS NOT NULL"), "resolve-names")
+    o = materialize(
+        occurrences.where(F.col("role").isin(*ROLE_KINDS)).select(F.col("id").alias("occurrence"), "role", "text", "language", "tier", "file", "enclosing", "syntax_kind"), "resolve-uses"
+    )
+    scope = materialize(scopes(occurrences, entities).groupBy("occurrence", F.col("scope").alias("container_id")).agg(F.min("depth").alias("depth")), "resolve-scopes")
+
+    like = [F.col("text"), F.col("el"), F.col("kind")]
+    kinds = o.join(names.groupBy(*like).agg(F.count(F.lit(1)).alias("n")), "text")
+    other, fits = F.col("el") != F.col("language"), compatible("kind", "role")
+    ok = F.coalesce(~other, F.lit(True))
+    counts = materialize(
+        kinds.groupBy("occurrence").agg(
+            F.coalesce(F.sum(F.when(ok & fits, F.col("n"))), F.lit(0)).alias("total"),
+            F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("languages"),
+            F.coalesce(F.sum(F.when(ok & ~fits, F.col("n"))), F.lit(0)).alias("kinds"),
+        ),
+        "resolve-counts",
+    )
+
+    by_class = [*like, F.col("et")]
+    first = lambda df, *keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*by_class, *keys).orderBy("symbol"))).where(F.col("k") <= limit).drop("k")
+    beyond = scope.agg(F.max("depth")).first()[0] or 0
+    own_file = names.withColumn("least", F.min("symbol").over(Window.partitionBy(*by_class, "ef", "container_id")))
+    own_file = own_file.withColumn("c", F.dense_rank().over(Window.partitionBy(*by_class, "ef").orderBy("least"))).where(F.col("c") <= limit + beyond)
+    own_file = first(own_file.drop("least", "c"), "ef", "container_id")
+    same = names.withColumnRenamed("symbol", "enclosing").withColumn("symbol", F.col("enclosing"))
+    met = [
+        o.join(same, ["text", "enclosing"]),
+        o.join(scope.drop("depth"), "occurrence").join(first(names.where("container_id IS NOT NULL"), "container_id"), ["text", "container_id"]),
+        o.join(own_file.withColumn("file", F.col("ef")), ["text", "file"]),
+        o.join(first(names, F.col("container_id").isNull()), "text"),
+    ]
+    cols = ["occurrence", "role", "language", "tier", "file", "enclosing", "syntax_kind", "symbol", "kind", "el", "et", "container_id", "ef", "name_match"]
+    every = met[0].select(*cols)
+    for m in met[1:]:
+        every = every.union(m.select(*cols))
+    every = every.where(ok & fits).distinct().join(scope, ["occurrence", "container_id"], "left").join(counts, "occurrence")
     bonus = (
         F.when(F.col("role") == "import_use", IMPORTABLE)
         .when(F.col("enclosing") == F.col("symbol"), ENCLOSING)
@@ -63,34 +114,31 @@ def candidates(occurrences: DataFrame, entities: DataFrame, exact_call_languages
     score = F.least(F.lit(BASE) + bonus, top)
     dynamic = (F.col("role") == "call_site") & (~F.col("language").isin(*exact_call_languages) if exact_call_languages else F.lit(True))
     score = F.when(dynamic, F.least(score, F.lit(DYNAMIC_CALL_TOP))).otherwise(score)
-    out = met.select("occurrence", "role", "syntax_kind", "symbol", "name_match", rejection.alias("rejection"), score.alias("score"), top.alias("top"))
-    fits = Window.partitionBy("occurrence")
-    n = F.count_if(F.col("rejection").isNull()).over(fits)
-    only = F.col("rejection").isNull() & (n == 1) & F.col("syntax_kind").endswith(".scoped_call")
-    return out.withColumn("score", F.when(only, F.least(F.col("score") + SCOPED_CALL, F.col("top"))).otherwise(F.col("score"))).drop("top", "syntax_kind")
+    only = (F.col("total") == 1) & F.col("syntax_kind").endswith(".scoped_call")
+    score = F.when(only, F.least(score + SCOPED_CALL, top)).otherwise(score)
+    scored = every.select("occurrence", "role", "symbol", "name_match", score.alias("score"))
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("occurrence").orderBy(F.desc("score"), "symbol"))).where(F.col("r") <= limit)
+    return Found(materialize(ranked, "resolve-candidates"), counts)
 
 
-def decide(occurrences: DataFrame, found: DataFrame, limit: int = 8) -> DataFrame:
+def decide(occurrences: DataFrame, found: Found, limit: int = 8) -> DataFrame:
     """(occurrence, role, outcome, symbols, total, completeness, confidence, reason) for every resolvable occurrence.
 
-    A single best candidate of 900 or more resolves; else up to ``limit`` candidates, best first; else the reason.
+    A single best candidate of 900 or more resolves; else up to ``limit`` candidates, best first; else
+    the reason. ``found`` holds two candidates or more where there are as many, so it tells ties.
     """
-    order = Window.partitionBy("occurrence").orderBy(F.desc("score"), "symbol")
-    good = found.where("rejection IS NULL")
-    ranked = good.withColumn("r", F.row_number().over(order)).withColumn("best", F.max("score").over(Window.partitionBy("occurrence")))
-    ranked = ranked.where((F.col("r") <= limit) | (F.col("score") == F.col("best")))
-    kept = ranked.groupBy("occurrence").agg(
-        F.max("best").alias("confidence"),
-        F.count_if(F.col("score") == F.col("best")).alias("ties"),
-        F.array_sort(F.collect_list(F.when(F.col("r") <= limit, F.struct("r", "symbol")))).alias("s"),
+    kept = found.rows.groupBy("occurrence").agg(
+        F.max("score").alias("confidence"),
+        F.array_sort(F.collect_list(F.struct("r", "symbol", "score"))).alias("s"),
     )
-    totals = found.groupBy("occurrence").agg(F.count_if(F.col("rejection").isNull()).alias("total"), F.count_if(F.col("rejection") == "target_kind_mismatch").alias("kinds"))
+    ties = F.size(F.filter("s", lambda x: x["score"] == F.col("confidence")))
+    kept = kept.select("occurrence", "confidence", ties.alias("ties"), F.slice(F.col("s.symbol"), 1, limit).alias("s"))
     o = occurrences.where(F.col("role").isin(*ROLE_KINDS)).select(F.col("id").alias("occurrence"), "role")
-    out = o.join(kept, "occurrence", "left").join(totals, "occurrence", "left").fillna(0, ["total", "kinds", "confidence"])
+    out = o.join(kept, "occurrence", "left").join(found.counts, "occurrence", "left").fillna(0, ["total", "kinds", "confidence"])
     resolved = (F.col("ties") == 1) & (F.col("confidence") >= EXACT_CONFIDENCE)
     outcome = F.when(F.col("total") == 0, "unresolved").when(resolved, "resolved").otherwise("candidates")
     out = out.withColumn("outcome", outcome)
-    symbols = F.when(F.col("outcome") == "resolved", F.slice(F.col("s.symbol"), 1, 1)).otherwise(F.col("s.symbol"))
+    symbols = F.when(F.col("outcome") == "resolved", F.slice("s", 1, 1)).otherwise(F.col("s"))
     reason = F.when(F.col("kinds") > 0, "unsupported_target_kind").when(F.col("role") == "import_use", "missing_dependency").otherwise("no_candidate")
     return out.select(
         "occurrence", "role", "outcome", F.coalesce(symbols, F.array().cast("array<string>")).alias("symbols"), "total",
@@ -99,13 +147,13 @@ def decide(occurrences: DataFrame, found: DataFrame, limit: int = 8) -> DataFram
     )
 
 
-def derive_relations(decisions: DataFrame, found: DataFrame) -> DataFrame:
+def derive_relations(decisions: DataFrame, found: Found) -> DataFrame:
     """(subject, predicate, object, confidence): a resolved occurrence's relation; of an ambiguous call, a dispatch candidate each."""
     sure = decisions.where("outcome = 'resolved'").select(
         F.col("occurrence").alias("subject"), mapping(F.col("role"), ROLE_PREDICATES).alias("predicate"), F.col("symbols")[0].alias("object"), "confidence"
     )
     open_ = decisions.where("outcome = 'candidates' AND role = 'call_site'").select("occurrence", F.explode("symbols").alias("symbol"))
-    maybe = open_.join(found.where("rejection IS NULL").select("occurrence", "symbol", "score"), ["occurrence", "symbol"])
+    maybe = open_.join(found.rows.select("occurrence", "symbol", "score"), ["occurrence", "symbol"])
     return sure.union(maybe.select("occurrence", F.lit("dispatch_candidate"), "symbol", "score"))
 
 

@@ -883,9 +883,18 @@ _OCC = (
 )
 
 
-@register("WITH RECURSIVE " + _OCC + "SELECT occurrence, role, symbol, name_match, rejection, CAST(score AS INT) AS score FROM c")
+@register("WITH RECURSIVE " + _OCC + "SELECT occurrence, role, symbol, name_match, CAST(score AS INT) AS score, row_number() OVER (PARTITION BY occurrence ORDER BY score DESC, symbol) AS r FROM c WHERE rejection IS NULL QUALIFY r <= 8")
 def resolve_candidates(t):
-    return resolve.candidates(*_occurrences(t))
+    """The report's first eight of each occurrence."""
+    return resolve.candidates(*_occurrences(t)).rows
+
+
+@register(
+    "WITH RECURSIVE " + _OCC + "SELECT occurrence, count(*) FILTER (rejection IS NULL) AS total, count(*) FILTER (rejection = 'language_mismatch') AS languages, count(*) FILTER (rejection = 'target_kind_mismatch') AS kinds FROM c GROUP BY occurrence"
+)
+def resolve_counts(t):
+    """All that share an occurrence's text: those that fit, and the others by what rejects them."""
+    return resolve.candidates(*_occurrences(t)).counts
 
 
 _DEC = (

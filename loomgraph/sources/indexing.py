@@ -72,7 +72,7 @@ def facts(texts: DataFrame, root: str = "") -> dict[str, DataFrame]:
     called = call_relations(calls, bound).select("subject", "predicate", "object", "confidence")
     occurrences = occurrences.drop("path", "qualifier", "holder")
     rest = materialize(occurrences.join(bound.select("id").distinct(), "id", "left_anti"), "occurrences-left")
-    found = materialize(candidates(rest, entities), "candidates")
+    found = candidates(rest, entities)
     decided = decide(rest, found)
     resolved = derive_relations(decided, found)
     # A base named in another file scores below a resolved one: the only candidate is taken, at its score.

@@ -207,7 +207,7 @@ def test_resolution_cases(spark):
         "id string, role string, text string, language string, tier string, file string, enclosing string, syntax_kind string",
     )
     found = resolve.candidates(o, e)
-    score = {(r["occurrence"], r["symbol"]): r["score"] for r in found.where("rejection IS NULL").collect()}
+    score = {(r["occurrence"], r["symbol"]): r["score"] for r in found.rows.collect()}
     assert score["o1", "x1"] == 940 and score["o1", "x2"] == 500 and score["o1", "x3"] == 550
     assert score["o2", "x2"] == 899 and score["o5", "x2"] == 900
     d = {r["occurrence"]: r for r in resolve.decide(o, found).collect()}
