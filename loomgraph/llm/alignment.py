@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +18,17 @@ from .blocks import Numbered, from_planes, map_blocks, planes, ragged, rows, sum
 from .bpe_words import byte_symbols
 from .common import held, materialize, raw_texts
 
+#: White space beside the space and the line feed; a text that has none, and no two of these side by side, can be split plainly.
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A space between characters that are none: neither vocabulary has a token that goes on beyond its left side.
 _SPACE = re.compile(r" (?<=\S )(?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Bytes of segments that are aligned at once, the links of a group up to which all are listed, and the links looked at together while their documents are counted.
 _BYTES, _LARGE, _LINKS = 1 << 17, 4096, 1 << 19
 #: Bytes of text of a block: a worker holds its segments, their tokens and their links at once.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 5 << 20
+#: Bytes of tokens of segments that a worker keeps for its next blocks.
+RECENT_BYTES = 64 << 20
 
 
 def owners(lengths: np.ndarray) -> np.ndarray:
@@ -46,6 +50,27 @@ def cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(both)
 
 
+class Recent:
+    """Values of keys used lately: two generations of ``limit`` bytes together, the older of which goes as a whole."""
+
+    def __init__(self, limit: int):
+        self._half, self._new, self._old, self._used = limit // 2, {}, {}, 0
+
+    def take(self, keys: list[str], make) -> list:
+        """The value of each key; ``make`` gives those of a list of keys that are not held."""
+        found = [self._new.get(k) or self._old.get(k) for k in keys]
+        missing = [k for k, v in zip(keys, found) if v is None]
+        made = iter(make(missing) if missing else [])
+        found = [v or next(made) for v in found]
+        for k, v in zip(keys, found):
+            if k not in self._new and len(k) < 256:
+                if self._used > self._half:
+                    self._new, self._old, self._used = {}, self._new, 0
+                self._new[k] = v
+                self._used += 320 + len(k) + len(v[0]) + len(v[1])
+        return found
+
+
 @dataclass
 class Aligned:
     """Segments' figures (n_a, n_b, n_groups, n_links, n_overlaps by row), their groups as text (None where bytes are not kept), and their links.
@@ -82,13 +107,15 @@ class Aligner:
         self.b_bytes = [bytes.fromhex(m[1]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in piece]
         if any(re.search("[^▁]▁", p) for p in piece):
             raise ValueError(f"{pieces} has pieces that go on after a space; texts can't be cut there")
+        self.recent = Recent(RECENT_BYTES)
         self.lengths = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
         # Each id as text, with what may stand after it in a list of groups.
         self.said = {sign: np.array([f"{i}{sign}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object) for sign in ",|;\n"}
 
     def segments(self, text: str) -> list[str]:
         """``text`` cut at single spaces; each segment stands for itself with a space before it, which B adds."""
-        return _SPACE.split(text)
+        plain = text[0] != " " and text[-1] != " " and "  " not in text and " \n" not in text and "\n " not in text
+        return text.split(" ") if plain and not _RARE.search(text) else _SPACE.split(text)
 
     def align(self, segments: list[str]) -> Aligned:
         """All ``segments``, so many at once as ``_BYTES`` allow, or one."""
@@ -105,33 +132,40 @@ class Aligner:
         )
 
     def _align(self, segments: list[str]) -> Aligned:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        b = self.b.encode(segments, num_threads=1) if segments else []
+        tokens = self.recent.take(segments, self._encode)
         raw = [b" " + s.encode() for s in segments]
-        if not self._kept(raw, a, b):
-            good = [self._kept([r], [x], [y]) for r, x, y in zip(raw, a, b)]
+        if not self._kept(raw, tokens):
+            good = [self._kept([r], [t]) for r, t in zip(raw, tokens)]
             part = self._align([s for s, ok in zip(segments, good) if ok])
             figures, sizes, at = np.zeros((5, len(segments)), np.int64), np.zeros(len(segments), np.int64), np.flatnonzero(good)
             figures[:, at], sizes[at] = part.figures, part.sizes
             said = iter(part.groups)
             return Aligned(figures, [next(said) if ok else None for ok in good], np.cumsum(sizes) - sizes, sizes, part.pairs, part.times)
-        return self._linked(a, b)
+        return self._linked(tokens)
+
+    def _encode(self, segments: list[str]) -> list[tuple[bytes, bytes]]:
+        a = self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
+        return [(array("I", x.ids).tobytes(), array("I", y).tobytes()) for x, y in zip(a, self.b.encode(segments, num_threads=1))]
+
+    def _ids(self, tokens: list[tuple[bytes, bytes]], side: int) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers of all segments, number of each)."""
+        own = [t[side] for t in tokens]
+        return np.frombuffer(b"".join(own), np.uint32).astype(np.int64), np.array(list(map(len, own)), np.int64) // 4
 
-    def _kept(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> bool:
+    def _kept(self, raw: list[bytes], tokens: list[tuple[bytes, bytes]]) -> bool:
         """Whether the tokens of every segment join to its bytes."""
         sizes, whole = np.array(list(map(len, raw)), np.int64), b"".join(raw)
-        for ids, own, lengths in ((a, self.a_bytes, self.lengths[0]), (b, self.b_bytes, self.lengths[1])):
-            flat = list(chain.from_iterable(ids))
-            n = np.array(list(map(len, ids)), np.int64)
-            if (sums(lengths[flat] if flat else np.zeros(0, np.int64), n) != sizes).any() or b"".join(map(own.__getitem__, flat)) != whole:
+        for side, own in enumerate((self.a_bytes, self.b_bytes)):
+            ids, n = self._ids(tokens, side)
+            if (sums(self.lengths[side][ids], n) != sizes).any() or b"".join(map(own.__getitem__, ids.tolist())) != whole:
                 return False
         return True
 
-    def _linked(self, a: list[list[int]], b: list[list[int]]) -> Aligned:
+    def _linked(self, tokens: list[tuple[bytes, bytes]]) -> Aligned:
         """Owners, overlaps, cuts and links over the bytes of all segments, one after the other; between two both tokens end."""
-        n = len(a)
-        seg_a, seg_b = (np.repeat(np.arange(n), np.array(list(map(len, x)), np.int64)) for x in (a, b))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        n = len(tokens)
+        (a, n_a), (b, n_b) = self._ids(tokens, 0), self._ids(tokens, 1)
+        seg_a, seg_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
         own_a, own_b = owners(self.lengths[0][a]), owners(self.lengths[1][b])
         group, (over, _) = cuts(own_a, own_b), overlaps(own_a, own_b)
         of_a, of_b = (group[np.cumsum(x) - x] if len(x) else x for x in (self.lengths[0][a], self.lengths[1][b]))
@@ -240,7 +274,7 @@ def align_tokenizers(df: DataFrame, byte_level: str, pieces: str, id_col: str =
 
         return kernel
 
-    table = materialize(map_blocks(df.select(id_col, text_col), make, schema, BLOCK_BYTES), "alignment-blocks")
+    table = materialize(map_blocks(df.select(id_col, text_col), make, schema, BLOCK_BYTES), "alignment-blocks", "zstd")
     own = table.where("pair IS NOT NULL").select(F.col("block").alias("of_block"), "pair", "place", "docs")
     counts = own.groupBy("pair").agg(F.sum("docs").alias("n")).withColumn("a", F.shiftright("pair", 32))
     most = counts.groupBy("a").agg(F.max("n").alias("most"))
