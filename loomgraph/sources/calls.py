@@ -42,18 +42,27 @@ def unit_of(path: Column, language: Column) -> Column:
     return F.when(language.isin(*BY_FOLDER), F.regexp_extract(path, "^(.*)/[^/]*$", 1)).otherwise(path)
 
 
-def modules(texts: DataFrame) -> DataFrame:
-    """(family, key, unit): what an import may call a unit, by its whole dotted path below the root, or by an ending of it that no other has."""
+def module_keys(files: DataFrame) -> DataFrame:
+    """(family, unit, whole, key) of file entities (path, language, below): all dotted endings of a unit's path below the root."""
     dotted = F.when(F.col("language").isin(*BY_FOLDER), F.translate(F.regexp_extract("below", "^(.*)/[^/]*$", 1), "/", ".")).otherwise(module_name(F.col("below")))
-    named = texts.select(family(F.col("language")).alias("family"), dotted.alias("whole"), unit_of(F.col("path"), F.col("language")).alias("unit")).distinct()
+    named = files.select(family(F.col("language")).alias("family"), dotted.alias("whole"), unit_of(F.col("path"), F.col("language")).alias("unit")).distinct()
     parts = F.split("whole", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    keys = named.select("family", "unit", "whole", F.explode(ends).alias("key"))
+    return named.select("family", "unit", "whole", F.explode(ends).alias("key"))
+
+
+def modules(files: DataFrame) -> DataFrame:
+    """(family, key, unit): what an import may call a unit, by its whole dotted path below the root, or by an ending of it that no other has."""
     # A whole name goes before an ending; a key of several units names none.
-    best = keys.groupBy("family", "key").agg(F.count_if(F.col("key") == F.col("whole")).alias("wholes"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("key") != F.col("whole"), "unit")).alias("first"))
+    best = module_keys(files).groupBy("family", "key").agg(F.count_if(F.col("key") == F.col("whole")).alias("wholes"), F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("key") != F.col("whole"), "unit")).alias("first"))
     return best.where("wholes = 1 OR (wholes = 0 AND n = 1)").select("family", "key", F.col("first.unit").alias("unit"))
 
 
+def route_of(qualifier: str) -> Column:
+    """The dotted module that a qualifier's path names."""
+    return F.regexp_replace(imported_module(F.concat(F.col(qualifier), F.lit("::")), F.lit("")), r"\.+$", "")
+
+
 def bindings(lines: DataFrame, below: DataFrame) -> DataFrame:
     """(path, family, local, module, imported, form) of import lines: named (local stands for ``imported`` of the module), namespace or wildcard.
 
@@ -105,8 +114,8 @@ def bound_calls(calls: DataFrame, declared: DataFrame, imports: DataFrame, units
     by_all = bare.join(seen.where("form = 'wildcard'").select("path", "to"), "path").select("id", F.col("to").alias("unit"), "text").join(top, ["unit", "text"]).select("id", "symbol")
     through = full.join(seen.where("form = 'namespace'").select("path", F.col("local").alias("qualifier"), "to"), ["path", "qualifier"])
     through = through.select("id", F.col("to").alias("unit"), "text").join(top, ["unit", "text"]).select("id", "symbol")
-    route = full.where("family = 'rust' AND qualifier NOT IN ('self', 'Self')").withColumn("module", imported_module(F.concat("qualifier", F.lit("::")), F.lit("")))
-    route = route.withColumn("module", F.regexp_replace("module", r"\.+$", "")).join(units.select("family", F.col("key").alias("module"), F.col("unit").alias("to")), ["family", "module"])
+    route = full.where("family = 'rust' AND qualifier NOT IN ('self', 'Self')").withColumn("module", route_of("qualifier"))
+    route = route.join(units.select("family", F.col("key").alias("module"), F.col("unit").alias("to")), ["family", "module"])
     route = route.select("id", F.col("to").alias("unit"), "text").join(top, ["unit", "text"]).select("id", "symbol")
     methods = d.where("holder IS NOT NULL AND kind = 'method'").select("unit", F.col("holder").alias("type"), F.col("name").alias("text"), "symbol")
     own = c.where(F.col("qualifier").isin(*OWN) | ((F.col("qualifier") == "") & F.col("language").isin(*IMPLICIT_OWN))).where("holder IS NOT NULL")
@@ -122,9 +131,9 @@ def bound_calls(calls: DataFrame, declared: DataFrame, imports: DataFrame, units
 
 
 def call_relations(calls: DataFrame, bound: DataFrame) -> DataFrame:
-    """(id, subject, predicate, object, confidence): ``calls`` to the one declaration that a call is bound to; of several, a dispatch candidate each."""
+    """(id, subject, predicate, object, confidence, file): ``calls`` to the one declaration that a call is bound to; of several, a dispatch candidate each."""
     one = bound.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id")))
     level = F.create_map(*[F.lit(x) for p in CALL_CONFIDENCE.items() for x in p])[F.col("language")]
     return calls.join(one, "id").select(
-        "id", F.col("enclosing").alias("subject"), F.when(F.col("n") == 1, "calls").otherwise("dispatch_candidate").alias("predicate"), F.col("symbol").alias("object"), F.coalesce(level, F.lit(550)).alias("confidence")
+        "id", F.col("enclosing").alias("subject"), F.when(F.col("n") == 1, "calls").otherwise("dispatch_candidate").alias("predicate"), F.col("symbol").alias("object"), F.coalesce(level, F.lit(550)).alias("confidence"), "file"
     )

@@ -27,9 +27,11 @@ def apply_batch(store: SnapshotStore, batch: DataFrame, generation: str, full: b
     Scans are matched with all files of the active snapshot, so a file that comes back under another
     id is a move, not an addition. A file is deleted by a scan whose ``deleted`` (optional) is true, or,
     with ``full``, by being absent. The other tables are carried; the transitions say whose facts are
-    to be extracted anew. A batch that was committed before (a replay after a failure) changes nothing.
+    to be extracted anew. A batch that was applied before (a replay after a failure) changes nothing; one
+    that was committed by a job that died before it was made active is made active now.
     """
-    if generation in store.generations():
+    committed = generation in store.generations()
+    if committed and store.was_active(generation):
         return batch.sparkSession.createDataFrame([], "file string, previous_file string, change string")
     deleted = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
     scans = materialize(latest(batch.select(*FILE_COLUMNS, deleted.alias("deleted"))), "refresh-scan")
@@ -41,6 +43,9 @@ def apply_batch(store: SnapshotStore, batch: DataFrame, generation: str, full: b
     met = matches.select(F.col("previous_file").alias("file"))
     touched = base if full else base.join(met.union(gone).distinct(), "file", "left_semi")
     changes = materialize(file_transitions(touched, scan, matches), "refresh-changes")
+    if committed:
+        store.activate(generation)
+        return changes
     files = scan if full else scan.unionByName(base.join(met, "file", "left_anti").join(gone, "file", "left_anti"))
     store.stage(generation, {"files": files.withColumnRenamed("file", "id")}, carry_from=active)
     store.commit(generation)
@@ -55,10 +60,15 @@ def refresh(
     available_now: bool = True,
     full: bool = False,
 ) -> StreamingQuery:
-    """Start a query that applies each micro-batch as generation g<batch id>; exactly once, as generations are named by batch."""
+    """Start a query that applies each micro-batch as a generation; exactly once, as generations are named by query and batch.
+
+    The query's name is that of its checkpoint, so a second stream into the same store, or one begun
+    anew, makes generations of its own.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        changes = apply_batch(store, batch, f"g{batch_id:08d}", full)
+        query = store.json(f"{checkpoint.rstrip('/')}/metadata")["id"]
+        changes = apply_batch(store, batch, f"g{query}-{batch_id:08d}", full)
         if on_changes:
             on_changes(changes, batch_id)
 
