@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Numbered, from_planes, map_blocks, planes, ragged, rows, sums
-from .bpe_words import byte_symbols
+from .bpe_words import PLAIN, byte_symbols
 from .common import held, materialize, raw_texts
 
 #: White space beside the space and the line feed; a text that has none, and no two of these side by side, can be split plainly.
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A space between characters that are none: neither vocabulary has a token that goes on beyond its left side.
 _SPACE = re.compile(r" (?<=\S )(?=\S)")
+#: Fixed value: how byte-level files split a text.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Bytes of segments that are aligned at once, the links of a group up to which all are listed, and the links looked at together while their documents are counted.
 _BYTES, _LARGE, _LINKS = 1 << 17, 4096, 1 << 19
@@ -107,6 +109,7 @@ class Aligner:
         self.b_bytes = [bytes.fromhex(m[1]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in piece]
         if any(re.search("[^▁]▁", p) for p in piece):
             raise ValueError(f"{pieces} has pieces that go on after a space; texts can't be cut there")
+        self.quick = self._by_ranks(raw)
         self.recent = Recent(RECENT_BYTES)
         self.lengths = [np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes)]
         # Each id as text, with what may stand after it in a list of groups.
@@ -143,9 +146,28 @@ class Aligner:
             return Aligned(figures, [next(said) if ok else None for ok in good], np.cumsum(sizes) - sizes, sizes, part.pairs, part.times)
         return self._linked(tokens)
 
+    def _by_ranks(self, raw: dict):
+        """An encoder of texts of plain characters by ranks, where the file's merges have them: three times as fast, with the same tokens."""
+        import tiktoken
+
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in raw["model"]["merges"]]
+        split = raw["pre_tokenizer"]
+        plain = split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not raw["normalizer"]
+        if not plain or any(raw["model"]["vocab"].get(m) != 256 + i for i, m in enumerate(merges)):
+            return None
+        ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def _encode(self, segments: list[str]) -> list[tuple[bytes, bytes]]:
-        a = self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
-        return [(array("I", x.ids).tobytes(), array("I", y).tobytes()) for x, y in zip(a, self.b.encode(segments, num_threads=1))]
+        a: list = [None] * len(segments)
+        rest = range(len(segments))
+        if self.quick:
+            rest = [k for k in rest if PLAIN.search(segments[k])]
+            odd = set(rest)
+            a = [None if k in odd else self.quick(" " + s) for k, s in enumerate(segments)]
+        for k, x in zip(rest, self.a.encode_batch_fast([" " + segments[k] for k in rest], add_special_tokens=False)):
+            a[k] = x.ids
+        return [(array("I", x).tobytes(), array("I", y).tobytes()) for x, y in zip(a, self.b.encode(segments, num_threads=1))]
 
     def _ids(self, tokens: list[tuple[bytes, bytes]], side: int) -> tuple[np.ndarray, np.ndarray]:
         """(identifiers of all segments, number of each)."""

@@ -9,7 +9,8 @@ import re
 
 #: The file's own split pattern, over letters of which Unicode versions and composition leave no doubt: ASCII, Latin-1 and Latin Extended-A.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
-_PLAIN = re.compile(rf"[^\x00-\x7f{_LETTERS}‐-‧€¡«°»¿]")
+#: Finds a character beyond those.
+PLAIN = re.compile(rf"[^\x00-\x7f{_LETTERS}‐-‧€¡«°»¿]")
 _SPACES = " \\t\\n\\r\\x0b\\x0c"
 _QUICK = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_SPACES}0-9{_LETTERS}]+")
 
@@ -52,7 +53,7 @@ class WordVocabulary:
         A text of plain characters, composed already, is split here; for any other the library
         normalises and splits, since its tables of characters may be of another Unicode version.
         """
-        if _PLAIN.search(text) is None:
+        if PLAIN.search(text) is None:
             return _QUICK.findall(text.lower())
         library = self.splitter
         return [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
