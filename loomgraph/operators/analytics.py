@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import FAMILIES, Graph, ceiling
 from ..runtime import materialize
-from .graph import container_of, oriented, reach, shortest_cycles, simple_paths, strong_components
+from .graph import communities, container_of, oriented, reach, shortest_cycles, simple_paths, strong_components
 
 
 def effective(graph: Graph, edges: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def explain_symbols(
     provenance: DataFrame | None = None,
     coverage: DataFrame | None = None,
 ) -> DataFrame:
-    """(id, kind, name, section, other, detail, confidence): each entity, what touches it, its container; ordered and cut per section.
+    """(id, kind, name, section, other, detail, confidence): each entity, what touches it, its container; ordered and cut per section. Confidence is effective.
 
     Sections: entity, outbound, inbound; with ``occurrences`` (id, role, enclosing, target, file) those
     that it encloses or that target it; with ``provenance`` (id, producer, version) its producer; with
@@ -46,8 +46,8 @@ def explain_symbols(
     mine = lambda df, column: df.where(F.col(column).isin(*ids))
     full = F.lit(1000)
     parts = [
-        row(mine(graph.relations, "subject"), "subject", "outbound", "object", "predicate", F.col("confidence")),
-        row(mine(graph.relations, "object"), "object", "inbound", "subject", "predicate", F.col("confidence")),
+        row(effective(graph, mine(graph.relations, "subject")), "subject", "outbound", "object", "predicate", F.col("confidence")),
+        row(effective(graph, mine(graph.relations, "object")), "object", "inbound", "subject", "predicate", F.col("confidence")),
     ]
     if occurrences is not None:
         parts.append(row(mine(occurrences, "enclosing"), "enclosing", "encloses", "id", "role", full))
@@ -95,10 +95,10 @@ def relationships(
     return out.where(F.col("r") <= max_results).drop("r")
 
 
-def flow_trace(graph: Graph, start: str, families: list[str], target: str | None = None, direction: str = "outbound", min_confidence: int = 0, max_depth: int = 8, max_paths: int = 100) -> DataFrame:
+def flow_trace(graph: Graph, start: str, families: list[str], target: str | None = None, direction: str = "outbound", min_confidence: int = 0, max_depth: int = 8, max_paths: int = 100, max_open: int | None = 100_000) -> DataFrame:
     """(path, hops, confidence, cyclic, truncated) of ``simple_paths`` over effective confidence, the path joined by '>'."""
     seeds = graph.entities.where(F.col("id") == start).select("id")
-    found = simple_paths(edges_of(graph, families, min_confidence), seeds, target, direction, max_depth, max_paths)
+    found = simple_paths(edges_of(graph, families, min_confidence), seeds, target, direction, max_depth, max_paths, max_open)
     return found.select(F.array_join("path", ">").alias("path"), "hops", "confidence", "cyclic", "truncated")
 
 
@@ -193,7 +193,7 @@ def break_candidates(graph: Graph, families: list[str], per_component: int = 3)
 
 
 def representative_cycles(graph: Graph, families: list[str]) -> DataFrame:
-    """(component, path, confidence): for each component a shortest cycle through its least node, first node repeated last."""
+    """(component, path, confidence): for each component a shortest cycle, its least node first and repeated last; ``shortest_cycles`` says which."""
     _, inner = _inside(project_edges(graph, edges_of(graph, families), None))
     return shortest_cycles(inner).select("component", F.array_join("path", ">").alias("path"), "confidence")
 
@@ -210,15 +210,20 @@ def overview_components(graph: Graph, kinds: tuple[str, ...], max_components: in
 
 
 def overview_connections(graph: Graph, kinds: tuple[str, ...], families: list[str]) -> DataFrame:
-    """(source, target, family, weight, confidence) between distinct components."""
+    """(source, target, family, weight, confidence) between distinct components, by the strongest effective confidence."""
     at = container_of(graph.entities, kinds)
-    edges = graph.of(*families)
+    edges = effective(graph, graph.of(*families))
     edges = edges.join(at.select(F.col("id").alias("subject"), F.col("container").alias("source")), "subject")
     edges = edges.join(at.select(F.col("id").alias("object"), F.col("container").alias("target")), "object")
     edges = edges.where("source IS NOT NULL AND target IS NOT NULL AND source <> target")
     return edges.groupBy("source", "target", "family").agg(F.count(F.lit(1)).alias("weight"), F.max("confidence").alias("confidence"))
 
 
+def community_view(graph: Graph, families: list[str]) -> DataFrame:
+    """(node, community) of ``communities`` over effective confidence."""
+    return communities(edges_of(graph, families))
+
+
 def hotspots(connections: DataFrame) -> DataFrame:
     """(component, fan_in, fan_out, score): distinct neighbours each way; score 0..1000 against the busiest."""
     out = connections.groupBy(F.col("source").alias("component")).agg(F.count_distinct("target").alias("fan_out"))

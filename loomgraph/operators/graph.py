@@ -47,12 +47,8 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int | N
     return read_all(levels)
 
 
-#: Open walks of a seed that one hop of a search for a target may hold; beyond it the answer says that it is cut.
-OPEN_WALKS = 100_000
-
-
 def simple_paths(
-    edges: DataFrame, seeds: DataFrame, target: str | None = None, direction: str = "outbound", max_depth: int = 8, max_paths: int = 100
+    edges: DataFrame, seeds: DataFrame, target: str | None = None, direction: str = "outbound", max_depth: int = 8, max_paths: int = 100, max_open: int | None = 100_000
 ) -> DataFrame:
     """(path, hops, confidence, cyclic, truncated): the first ``max_paths`` of each seed by hops, confidence downwards and path.
 
@@ -60,7 +56,8 @@ def simple_paths(
     ``target`` every outward walk of one hop or more counts, so a seed is done once it has enough: no
     longer walk comes before those found. With it only paths that end there count, and walks are kept
     while the target is near enough for the hops left. ``truncated``: there are more of this seed than
-    are returned, or, with ``target``, a hop had over ``OPEN_WALKS`` walks and kept the strongest.
+    are returned, or, with ``target``, a hop had over ``max_open`` walks and kept the strongest; with
+    None it keeps all.
     """
     steps = oriented(edges.select("subject", "object", "confidence"), direction)
     steps = materialize(steps.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")), "paths-steps")
@@ -96,9 +93,9 @@ def simple_paths(
             break
         enough = counts.where(F.col("n") > max_paths).select("seed")
         more = more.withColumn("seed", seed).join(enough, "seed", "left_anti")
-        if target:
-            more = more.withColumn("r", F.row_number().over(rank)).withColumn("cut", F.col("cut") | (F.count(F.lit(1)).over(Window.partitionBy(seed)) > OPEN_WALKS))
-            more = more.where(F.col("r") <= OPEN_WALKS)
+        if target and max_open is not None:
+            more = more.withColumn("r", F.row_number().over(rank)).withColumn("cut", F.col("cut") | (F.count(F.lit(1)).over(Window.partitionBy(seed)) > max_open))
+            more = more.where(F.col("r") <= max_open)
         open_ = materialize(more.select("path", "confidence", "cut"), f"paths-open-{hop}")
         if open_.isEmpty():
             break
@@ -193,34 +190,40 @@ def _coloured(pairs: DataFrame) -> DataFrame:
 
 
 def shortest_cycles(inner: DataFrame) -> DataFrame:
-    """(component, path array, confidence): of each component its shortest cycle through its least node.
+    """(component, path array, confidence): a shortest cycle of each component, from its least node on.
 
-    ``inner``: component, subject, object, confidence, both ends in the component, which is named by
-    its least node. Of equally short cycles the one of strongest weakest link, then the first by path.
-    A first search finds length and strength, a second, over links that strong, the path; both go as
-    far as the cycle is long.
+    ``inner``: component, subject, object, confidence, both ends in the component. Of equally short
+    cycles the one of strongest weakest link, then the first by path. All nodes of a component search
+    at once, in step, each through nodes after itself alone, as a cycle is found from its least node;
+    the first hop that closes any ends the component's search. A second search, from the nodes that
+    have the best, goes over links that strong for the path.
     """
-    start = inner.select("component").distinct()
-    levels = [materialize(start.select("component", F.col("component").alias("node"), F.lit(0).alias("depth"), F.lit(1000).alias("b")), "cycle-0")]
+    key = ["component", "source"]
+    start = inner.select("component", F.col("subject").alias("source")).distinct()
+    levels = [materialize(start.select(*key, F.col("source").alias("node"), F.lit(0).alias("depth"), F.lit(1000).alias("b")), "cycle-0")]
     closed: list[DataFrame] = []
     while True:
         hop = len(levels)
-        front = levels[-1].select("component", F.col("node").alias("subject"), "b")
-        step = materialize(inner.join(front, ["component", "subject"]).groupBy("component", F.col("object").alias("node")).agg(F.max(F.least("confidence", "b")).alias("b")), f"cycle-step-{hop}")
-        closed.append(materialize(step.where("node = component").select("component", F.lit(hop).alias("length"), F.col("b").alias("best")), f"cycle-closed-{hop}"))
-        fresh = step.join(closed[-1].select("component"), "component", "left_anti").join(read_all(levels).select("component", "node"), ["component", "node"], "left_anti")
-        level = materialize(fresh.select("component", "node", F.lit(hop).alias("depth"), "b"), f"cycle-{hop}")
+        front = levels[-1].select(*key, F.col("node").alias("subject"), "b")
+        step = inner.join(front, ["component", "subject"]).where("object >= source").groupBy(*key, F.col("object").alias("node")).agg(F.max(F.least("confidence", "b")).alias("b"))
+        step = materialize(step, f"cycle-step-{hop}")
+        # The least source of the strongest that close at this hop.
+        ends = step.where("node = source").groupBy("component").agg(F.min(F.struct(-F.col("b"), F.col("source").alias("source"))).alias("e"))
+        closed.append(materialize(ends.select("component", "e.source", F.lit(hop).alias("length"), (-F.col("e.col1")).alias("best")), f"cycle-closed-{hop}"))
+        fresh = step.join(closed[-1].select("component"), "component", "left_anti").join(read_all(levels).select(*key, "node"), [*key, "node"], "left_anti")
+        level = materialize(fresh.select(*key, "node", F.lit(hop).alias("depth"), "b"), f"cycle-{hop}")
         if level.isEmpty():
             break
         levels.append(level)
-    ends, depths = read_all(closed), read_all(levels)
-    strong = materialize(inner.join(ends, "component").where("confidence >= best"), "cycle-strong")
-    front = start.select("component", F.col("component").alias("subject"), F.array("component").alias("path"))
+    ends = read_all(closed)
+    depths = materialize(read_all(levels).join(ends.select(*key), key, "left_semi"), "cycle-depths")
+    strong = materialize(inner.join(ends, "component").where("confidence >= best AND object >= source"), "cycle-strong")
+    front = ends.select("component", F.col("source").alias("subject"), F.array("source").alias("path"))
     found = []
     for hop in range(1, len(levels) + 1):
-        grown = strong.join(front, ["component", "subject"]).select("component", "object", "length", "best", F.concat("path", F.array("object")).alias("path"))
+        grown = strong.join(front, ["component", "subject"]).select("component", "source", "object", "length", "best", F.concat("path", F.array("object")).alias("path"))
         grown = materialize(grown, f"cycle-path-{hop}")
-        last = grown.where((F.col("length") == hop) & (F.col("object") == F.col("component")))
+        last = grown.where((F.col("length") == hop) & (F.col("object") == F.col("source")))
         found.append(materialize(last.groupBy("component").agg(F.min("path").alias("path"), F.max("best").alias("confidence")), f"cycle-found-{hop}"))
         at = depths.where(F.col("depth") == hop).select("component", F.col("node").alias("object"))
         front = grown.where(F.col("length") > hop).join(at, ["component", "object"]).groupBy("component", F.col("object").alias("subject")).agg(F.min("path").alias("path"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.text import route_key, token_column
 from .model import Graph
 from .operators import analytics, evidence, incremental, resolve, retrieval, workspace
-from .operators.graph import communities, container_of
+from .operators.graph import container_of
 from .plans import algebra, batch, completeness, paging
 from .runtime import materialize
 from .sources import files, indexing, syntax, tables_as_code, traces
@@ -308,21 +308,6 @@ def vector_join(t):
 # Graph analyses
 
 
-def _trade_routes(t) -> Graph:
-    return _stored(graph(t, ("nation",), ("calls_route",)))
-
-
-@register(
-    with_sql(
-        "e_customer e_part r_contains r_declares r_tests",
-        "I AS (SELECT * FROM E WHERE id IN ('customer:1', 'part:5')), S AS (SELECT subject AS id, 'outbound' AS section, object AS other, predicate AS detail, confidence FROM R UNION ALL SELECT object, 'inbound', subject, predicate, confidence FROM R) "
-        "SELECT id, kind, name, 'entity' AS section, coalesce(container_id, '') AS other, visibility AS detail, 1000 AS confidence FROM I UNION ALL SELECT id, kind, name, section, other, detail, confidence FROM S JOIN I USING (id) QUALIFY row_number() OVER (PARTITION BY id, section ORDER BY detail, other) <= 100",
-    )
-)
-def symbol_explain(t):
-    return analytics.explain_symbols(graph(t, ("customer", "part"), ("contains", "declares", "tests")), ["customer:1", "part:5"])
-
-
 _TOP = "CASE {} WHEN 'A' THEN 1000 WHEN 'B' THEN 999 WHEN 'C' THEN 699 WHEN 'D' THEN 399 ELSE 1000 END"
 
 
@@ -342,6 +327,22 @@ def symbol_relationships(t):
 _EFFECTIVE = f"X AS (SELECT R.* REPLACE (CAST(least(R.confidence, {_TOP.format('a.tier')}, {_TOP.format('b.tier')}) AS INT) AS confidence) FROM R LEFT JOIN E a ON a.id = subject LEFT JOIN E b ON b.id = object)"
 
 
+def _trade_routes(t) -> Graph:
+    return _stored(graph(t, ("nation",), ("calls_route",)))
+
+
+@register(
+    with_sql(
+        "e_customer e_part r_contains r_declares r_tests",
+        _EFFECTIVE
+        + ", I AS (SELECT * FROM E WHERE id IN ('customer:1', 'part:5')), S AS (SELECT subject AS id, 'outbound' AS section, object AS other, predicate AS detail, confidence FROM X UNION ALL SELECT object, 'inbound', subject, predicate, confidence FROM X) "
+        "SELECT id, kind, name, 'entity' AS section, coalesce(container_id, '') AS other, visibility AS detail, 1000 AS confidence FROM I UNION ALL SELECT id, kind, name, section, other, detail, confidence FROM S JOIN I USING (id) QUALIFY row_number() OVER (PARTITION BY id, section ORDER BY detail, other) <= 100",
+    )
+)
+def symbol_explain(t):
+    return analytics.explain_symbols(graph(t, ("customer", "part"), ("contains", "declares", "tests")), ["customer:1", "part:5"])
+
+
 @register(
     with_sql(
         "e_nation r_calls_route",
@@ -399,21 +400,34 @@ def break_candidates(t):
     return analytics.break_candidates(_trade_routes(t), ["calls_route"])
 
 
-@register(
-    with_sql(
-        "e_nation r_calls_route",
-        _SCC.rstrip()
-        + ", D AS (SELECT DISTINCT component, component AS node, 0 AS depth FROM M UNION SELECT D.component, N.object, depth + 1 FROM D JOIN N ON N.component = D.component AND N.subject = D.node WHERE depth < (SELECT count(*) FROM M)), "
-        "L AS (SELECT component, min(depth) AS length FROM D WHERE node = component AND depth > 0 GROUP BY component), "
-        "Q AS (SELECT [component] AS path, 0 AS hops, 1000 AS confidence, false AS closed, component AS comp, length FROM L UNION ALL SELECT list_append(path, object), hops + 1, least(Q.confidence, N.confidence), object = path[1], comp, length FROM Q JOIN N ON N.subject = path[-1] AND N.component = comp WHERE NOT closed AND hops < length AND (object = path[1] OR NOT list_contains(path, object))) "
-        "SELECT comp AS component, array_to_string(path, '>') AS path, confidence FROM Q WHERE closed QUALIFY row_number() OVER (PARTITION BY comp ORDER BY hops, confidence DESC, Q.path) = 1",
-        recursive=True,
-    )
+#: Every cycle of a component from its least node on, as far as the shortest is long; ``N`` has the edges inside components.
+_SHORTEST = (
+    ", D AS (SELECT DISTINCT component, subject AS source, subject AS node, 0 AS depth FROM N UNION SELECT D.component, source, N.object, depth + 1 FROM D JOIN N ON N.component = D.component AND N.subject = D.node AND N.object >= source WHERE depth < (SELECT count(*) FROM M) AND (depth = 0 OR node <> source)), "
+    "L AS (SELECT component, min(depth) AS length FROM D WHERE node = source AND depth > 0 GROUP BY component), "
+    "Q AS (SELECT [source] AS path, 0 AS hops, 1000 AS confidence, false AS closed, component AS comp, length FROM (SELECT DISTINCT component, subject AS source FROM N) JOIN L USING (component) UNION ALL SELECT list_append(path, object), hops + 1, least(Q.confidence, N.confidence), object = path[1], comp, length FROM Q JOIN N ON N.subject = path[-1] AND N.component = comp WHERE NOT closed AND hops < length AND (object = path[1] OR (object > path[1] AND NOT list_contains(path, object)))) "
+    "SELECT comp AS component, array_to_string(path, '>') AS path, confidence FROM Q WHERE closed QUALIFY row_number() OVER (PARTITION BY comp ORDER BY hops, confidence DESC, Q.path) = 1"
 )
+
+
+@register(with_sql("e_nation r_calls_route", _SCC.rstrip() + _SHORTEST, recursive=True))
 def representative_cycles(t):
     return analytics.representative_cycles(_trade_routes(t), ["calls_route"])
 
 
+def _step(end: str) -> str:
+    return f"CAST(split_part({end}, ':', 2) AS INT)"
+
+
+#: A ring of all nations, and steps back among some of the later ones: the shortest cycle lies away from the least node.
+_SPARSE = f"{_step('object')} = ({_step('subject')} + 1) % 25 OR ({_step('subject')} > 11 AND {_step('subject')} % 5 = 3 AND {_step('object')} = {_step('subject')} - 2) OR ({_step('subject')} = 4 AND {_step('object')} = 1)"
+
+
+@register(with_sql("e_nation r_calls_route", _SCC.replace("FROM R ", f"FROM (SELECT * FROM R WHERE {_SPARSE}) R ").replace("JOIN R ON R.subject = C.b", f"JOIN (SELECT * FROM R WHERE {_SPARSE}) R ON R.subject = C.b").rstrip() + _SHORTEST, recursive=True))
+def representative_cycles_sparse(t):
+    g = _trade_routes(t)
+    return analytics.representative_cycles(Graph(g.entities, g.relations.where(_SPARSE)), ["calls_route"])
+
+
 @register("SELECT 'order:' || o_orderkey AS id, 'nation:' || c_nationkey AS container FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'region:' || r_regionkey, NULL FROM region")
 def level_projection(t):
     return container_of(entities(t, "region", "nation", "customer", "orders"), ("module",))
@@ -428,7 +442,7 @@ def overview_components(t):
 
 
 _CONN = (
-    "SELECT 'nation:' || c_nationkey AS source, 'nation:' || s_nationkey AS target, 'calls' AS family, count(*) AS weight, max(confidence) AS confidence FROM (SELECT l_orderkey, l_suppkey, CAST(least(1000, floor(max(l_quantity) * 20)) AS INT) AS confidence FROM lineitem GROUP BY ALL) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL"
+    "SELECT 'nation:' || c_nationkey AS source, 'nation:' || s_nationkey AS target, 'calls' AS family, count(*) AS weight, max(least(confidence, 399)) AS confidence FROM (SELECT l_orderkey, l_suppkey, CAST(least(1000, floor(max(l_quantity) * 20)) AS INT) AS confidence FROM lineitem GROUP BY ALL) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL"
 )
 
 
@@ -467,14 +481,14 @@ _ROUNDS = "".join(
 
 @register(
     with_sql(
-        "r_calls_route",
-        "B AS (SELECT subject AS a, object AS b, confidence AS w FROM R WHERE subject <> object UNION ALL SELECT object, subject, confidence FROM R WHERE subject <> object), L0 AS (SELECT DISTINCT a AS node, a AS community FROM B)"
+        "e_nation r_calls_route",
+        _EFFECTIVE + ", B AS (SELECT subject AS a, object AS b, confidence AS w FROM X WHERE subject <> object UNION ALL SELECT object, subject, confidence FROM X WHERE subject <> object), L0 AS (SELECT DISTINCT a AS node, a AS community FROM B)"
         + _ROUNDS
         + " SELECT node, community FROM L5",
     )
 )
 def overview_communities(t):
-    return communities(_trade_routes(t).relations)
+    return analytics.community_view(_trade_routes(t), ["calls_route"])
 
 
 @register(

@@ -238,3 +238,59 @@ def test_traversal_over_its_edges_is_refused(spark):
     assert algebra.run(g, q, max_edges=9).count() == 9
     with pytest.raises(budget.BudgetExceeded, match="edges"):
         algebra.run(g, q, max_edges=8)
+
+
+def calls(edges):
+    return [(a, "calls", b, c) for a, b, c in edges]
+
+
+def plain_shortest(edges):
+    """{least node of a component: (path, confidence)} by listing all simple cycles."""
+    out, best = {}, {}
+    for a, b, c in edges:
+        out.setdefault(a, {})[b] = max(c, out.get(a, {}).get(b, 0))
+    reach = {}
+    for a in out:
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), {}):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[a] = seen
+    component = {a: min(b for b in reach[a] if a in reach.get(b, ())) for a in out if a in reach[a]}
+
+    def walk(path, conf):
+        for b, c in out.get(path[-1], {}).items():
+            if b == path[0] and len(path) > 1:
+                key = (len(path), -min(conf, c), (*path, b))
+                best[component[b]] = min(best.get(component[b], key), key)
+            elif b > path[0] and b not in path:
+                walk((*path, b), min(conf, c))
+
+    for a in out:
+        walk((a,), 1000)
+    return {c: (">".join(k[2]), -k[1]) for c, k in best.items()}
+
+
+def test_shortest_cycle_away_from_the_least_node(spark):
+    """On a ring with a shortcut among later nodes the answer is the shortcut's cycle."""
+    ring = [("a", "b", 900), ("b", "c", 900), ("c", "d", 900), ("d", "a", 900), ("c", "b", 500)]
+    assert rows(analytics.representative_cycles(make(spark, calls(ring)), ["calls"])) == {("a", "b>c>b", 500)}
+
+
+def test_shortest_cycles_are_those_of_all_cycles(spark):
+    rng = random.Random(11)
+    for n, m in ((9, 14), (12, 20)):
+        edges = list({(a, b): (a, b, c) for a, b, c in ((f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}", rng.choice([300, 600, 900])) for _ in range(m)) if a != b}.values())
+        got = {r["component"]: (r["path"], r["confidence"]) for r in analytics.representative_cycles(make(spark, calls(edges)), ["calls"]).collect()}
+        assert got == plain_shortest(edges)
+
+
+def test_open_walks_are_a_setting(spark):
+    """With None all walks are kept, so the answer is whole; a small limit is told."""
+    wide = [("s", f"m{k}", 900) for k in range(6)] + [(f"m{k}", f"p{k}", 900 - k) for k in range(6)] + [(f"p{k}", "t", 900) for k in range(6)]
+    every = analytics.flow_trace(make(spark, calls(wide)), "s", ["calls"], "t", max_open=None).collect()
+    assert len(every) == 6 and not any(r["truncated"] for r in every)
+    few = analytics.flow_trace(make(spark, calls(wide)), "s", ["calls"], "t", max_open=2).collect()
+    assert len(few) == 2 and all(r["truncated"] for r in few)
