@@ -119,21 +119,38 @@ def simhash_groups(
     """
     fps = materialize(fingerprints(df.select(id_col, text_col), text_col, size, seed), "simhash-fps")
     firsts = _first_of_groups(fps, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")))
-    return fps.join(firsts.hint("merge"), "__sh_fp").select(
+    return _with_firsts(fps, firsts).select(
         id_col, F.lower(F.lpad(F.hex("__sh_fp"), 16, "0")).alias("fingerprint"), F.col("__sh_first.id").alias("component_id")
     )
 
 
+#: A key of more than one in so many rows is hot; there are never more hot keys than that.
+HOT = 1000
+
+
+def _hot(counts: DataFrame, key: list[str]) -> DataFrame:
+    """The keys of ``counts`` (key, n) with more than one in ``HOT`` rows: at most ``HOT``, so they may be broadcast."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(counts.where(F.col("n") * HOT > total).select(*key).limit(HOT))
+
+
+def _with_firsts(fps: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``fps`` with the verdict on their fingerprint: rows of hot ones stay where they lie, the others are shuffled to it."""
+    hot = _hot(firsts, ["__sh_fp", "__sh_first"])
+    rest = fps.join(hot.select("__sh_fp"), "__sh_fp", "left_anti").join(firsts.drop("n").hint("merge"), "__sh_fp")
+    return fps.join(hot, "__sh_fp").select(*fps.columns, "__sh_first").union(rest.select(*fps.columns, "__sh_first"))
+
+
 def _first_of_groups(fps: DataFrame, order: Column) -> DataFrame:
-    """(__sh_fp, __sh_first): the least ``order`` in the component of each fingerprint."""
-    distinct = materialize(fps.groupBy("__sh_fp").agg(F.min(order).alias("first")), "simhash-distinct")
+    """(__sh_fp, __sh_first, n), written: the least ``order`` in the component of each fingerprint, and its rows."""
+    distinct = materialize(fps.groupBy("__sh_fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     edges = links(distinct.select(F.col("__sh_fp").alias("fp")))
     comps = connected_components(edges, "simhash")
     named = distinct.join(comps.hint("merge"), distinct["__sh_fp"] == comps["node"], "left").select(
-        "__sh_fp", "first", F.coalesce("component", "__sh_fp").alias("c")
+        "__sh_fp", "first", "n", F.coalesce("component", "__sh_fp").alias("c")
     )
     firsts = named.groupBy("c").agg(F.min("first").alias("__sh_first"))
-    return named.select("__sh_fp", "c").join(firsts.hint("merge"), "c").select("__sh_fp", "__sh_first")
+    return materialize(named.select("__sh_fp", "n", "c").join(firsts.hint("merge"), "c").select("__sh_fp", "__sh_first", "n"), "simhash-firsts")
 
 
 def drop_near_copies(
@@ -141,15 +158,31 @@ def drop_near_copies(
 ) -> DataFrame:
     """The row of smallest id of each group of ``simhash_groups``, columns unchanged.
 
-    Of rows equal in id, one stays; null ids come last. Only the winners' keys are joined with the
-    rows, which are shuffled once, by a hash of id and text.
+    Of rows equal in id, one stays; null ids come last. Null texts and texts without words are near
+    copies of each other. Very long texts count whole. Empty table: no rows. Columns of any other names
+    are kept as they are.
+
+    Only the winners' keys are joined with the rows, which are shuffled once, by a hash of id and text.
+    Rows that are repeated, in id and text, are taken once by an aggregate, combined where they lie; a
+    key of many of them never meets in one task.
     """
     keys = {"__sh_k": F.xxhash64(id_col, text_col), "__sh_j": F.hash(id_col, text_col)}
+    on = list(keys)
     own = df.withColumns(keys)
-    slim = own.select(F.col(id_col).alias("__sh_id"), "__sh_k", "__sh_j", text_col)
+    slim = own.select(F.col(id_col).alias("__sh_id"), *on, text_col)
     fps = materialize(fingerprints(slim, text_col, size, seed), "simhash-fps")
-    order = F.struct(F.col("__sh_id").isNull().alias("none"), F.col("__sh_id").alias("id"), "__sh_k", "__sh_j")
-    kept = _first_of_groups(fps, order).select("__sh_first.__sh_k", "__sh_first.__sh_j").distinct()
-    rows = own.join(kept, ["__sh_k", "__sh_j"], "left_semi")
-    once = Window.partitionBy("__sh_k", "__sh_j").orderBy("__sh_k")
-    return rows.withColumn("__sh_n", F.row_number().over(once)).where("__sh_n = 1").select(*df.columns)
+    order = F.struct(F.col("__sh_id").isNull().alias("none"), F.col("__sh_id").alias("id"), *on)
+    kept = materialize(_first_of_groups(fps, order).select("__sh_first.__sh_k", "__sh_first.__sh_j").distinct(), "simhash-kept")
+    counts = materialize(fps.groupBy(*on).agg(F.count(F.lit(1)).alias("n")), "simhash-counts")
+    again = counts.where("n > 1").select(*on)
+    if again.isEmpty():
+        return own.join(kept, on, "left_semi").select(*df.columns)
+    once = own.join(kept.join(again.hint("merge"), on, "left_anti"), on, "left_semi").select(*df.columns)
+    # Of repeated rows first those of hot keys, which are few enough to be sent to the rows, then the rest.
+    hot = _hot(counts.where("n > 1"), on)
+    many = own.join(F.broadcast(hot.join(kept, on, "left_semi").limit(HOT)), on, "left_semi")
+    some = own.join(kept.join(again.hint("merge"), on, "left_semi").join(hot, on, "left_anti"), on, "left_semi")
+    for part in (many, some):
+        first = part.groupBy(*on).agg(F.first(F.struct(*df.columns)).alias("__sh_row"))
+        once = once.union(first.select("__sh_row.*"))
+    return once

@@ -65,3 +65,21 @@ def test_simhash_groups_without_a_row_per_document_on_the_driver(spark, tiny_bro
     docs = spark.range(80000).selectExpr("id AS doc_id", "concat('a', id % 40000, ' b', id % 40000) AS text")
     got = simhash_groups(docs).selectExpr("count(*)", "count(DISTINCT fingerprint)", "count_if(component_id = doc_id % 40000)").first()
     assert tuple(got) == (80000, 40000, 80000)
+
+
+def test_a_fingerprint_of_a_third_of_all_rows_stays_spread(spark):
+    """No task of op8's result, nor of its survivors, gets a tenth of the rows, however many are equal."""
+    docs = spark.range(12000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'one same text of many', concat('a', id, ' b', id, ' c', id)) AS text").repartition(16)
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        got = simhash_groups(docs).selectExpr("component_id", "spark_partition_id() AS p").groupBy("p").count().collect()
+        repeated = docs.union(spark.range(4000).selectExpr("0L AS doc_id", "'one same text of many' AS text"))
+        kept = drop_near_copies(repeated)
+        assert kept.count() == 8001 and kept.select("doc_id").distinct().count() == 8001
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+    assert sum(r["count"] for r in got) == 12000 and max(r["count"] for r in got) < 1200
