@@ -50,6 +50,10 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return least(value[:n], at[:n], value[rest : rest + n], at[rest : rest + n])
 
 
+#: Folders of a batch's texts.
+FOLDERS = 64
+
+
 class FingerprintIndex:
     """Sorted immutable runs of (fp, n) in the folder ``path``: one row for each fingerprint of a batch, bucketed and sorted by it.
 
@@ -58,7 +62,10 @@ class FingerprintIndex:
     Runs share their buckets, so neither shuffles what is indexed already, and an entry is one row
     whatever the number of its occurrences: a hot passage weighs like any other.
 
-    Beside its run a batch leaves its blocks and texts, by which later hits are verified. ``commit``
+    Beside its run a batch leaves its blocks and texts, by which later hits are verified: the blocks in
+    the runs' buckets, so a later call's hits find theirs without a shuffle of these, the texts in
+    folders by their key, of which a call reads those that hold a hit. An index is of one length of
+    windows, and refuses another. ``commit``
     makes all that is new visible at once, by a numbered manifest; what a lost job leaves is never
     read. An index of the same path, in any session, goes on from the newest manifest. Without
     ``path`` it lies in the session's shared folder and lasts as long as the call that made it.
@@ -70,6 +77,7 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
         self.batches: list[str] = []
+        self.window: int | None = None
         self.merged = self.compacted = 0  # joins of a batch with an older run, and of two runs into one
         self._stale: list[str] = []
         self._version = 0
@@ -92,25 +100,40 @@ class FingerprintIndex:
         if newest:
             m = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifests/{newest}").collect()))
             self.buckets, self.runs, self.batches, self._version = m["buckets"], m["runs"], m["batches"], int(newest[:9])
+            self.window = m["window"]
+            if m["gram"] != GRAM:
+                raise ValueError(f"{self.path} has runs of {m['gram']} words, not {GRAM}")
+
+    def of(self, window: int) -> None:
+        """Use the index for windows of so many words, as in all calls before."""
+        if self.window not in (None, window):
+            raise ValueError(f"{self.path} is an index of {self.window}-word windows, not of {window}")
+        self.window = window
+
+    #: Columns of the tables that are bucketed by fp.
+    _COLUMNS = {"runs": "fp BIGINT, n BIGINT", "postings": "k BIGINT, j INT, fp BIGINT, d BIGINT, e INT, at BIGINT"}
+
+    def _named(self, name: str) -> str:
+        return "fpindex_" + hashlib.md5(f"{self.path}/{name}".encode()).hexdigest()
 
-    def _run(self, name: str) -> DataFrame:
-        """A run as a bucketed table; only the catalog entry belongs to the session."""
-        table = "fpindex_" + hashlib.md5(f"{self.path}/{name}".encode()).hexdigest()
+    def _run(self, name: str, kind: str = "runs") -> DataFrame:
+        """A run, or a batch's blocks, as a bucketed table; only the catalog entry belongs to the session."""
+        table = self._named(name)
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {table} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) "
-            f"INTO {self.buckets} BUCKETS LOCATION '{self.path}/runs/{name}'"
+            f"CREATE TABLE IF NOT EXISTS {table} ({self._COLUMNS[kind]}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) "
+            f"INTO {self.buckets} BUCKETS LOCATION '{self.path}/{kind}/{name}'"
         )
         return self.spark.table(table)
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, kind: str = "runs") -> str:
         name = uuid.uuid4().hex
-        table = "fpindex_" + hashlib.md5(f"{self.path}/{name}".encode()).hexdigest()
-        writer = rows.select("fp", "n").write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet")
-        writer.option("path", f"{self.path}/runs/{name}").saveAsTable(table)
+        columns = [c.split()[0] for c in self._COLUMNS[kind].split(", ")]
+        writer = rows.select(*columns).write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet")
+        writer.option("path", f"{self.path}/{kind}/{name}").saveAsTable(self._named(name))
         return name
 
     def _forget(self, name: str) -> None:
-        self.spark.sql("DROP TABLE IF EXISTS fpindex_" + hashlib.md5(f"{self.path}/{name}".encode()).hexdigest())
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._named(name)}")
 
     def add(self, fps: DataFrame) -> DataFrame:
         """Index one batch, a frame of ``fp`` with repeats; returns (fp), written, that occur in it and anywhere else so far."""
@@ -138,22 +161,29 @@ class FingerprintIndex:
         if len(self.runs) >= self.fan_in:
             self.compact()
 
-    def history(self, kind: str) -> DataFrame | None:
-        """``postings`` or ``texts`` of all committed batches."""
-        parts = [self.spark.read.parquet(f"{self.path}/{kind}/{b}") for b in self.batches]
-        return reduce(DataFrame.unionByName, parts) if parts else None
+    def blocks_of(self, hits: DataFrame) -> list[DataFrame]:
+        """For each committed batch its blocks of ``hits`` (fp), by merge joins in the runs' buckets."""
+        return [self._run(b, "postings").join(hits.hint("merge"), "fp", "left_semi") for b in self.batches]
+
+    def texts_of(self, keys: DataFrame) -> DataFrame | None:
+        """Texts of all committed batches in the folders that hold one of ``keys`` (k)."""
+        if not self.batches:
+            return None
+        folders = [r[0] for r in keys.select(F.pmod("k", F.lit(FOLDERS)).alias("p")).distinct().collect()]  # at most so many
+        parts = [self.spark.read.parquet(f"{self.path}/texts/{b}").where(F.col("p").isin(folders)).drop("p") for b in self.batches]
+        return reduce(DataFrame.unionByName, parts)
 
     def commit(self, postings: DataFrame, texts: DataFrame) -> None:
         """Keep a batch's blocks and distinct texts for later verification, and publish the new runs."""
-        name = uuid.uuid4().hex
-        postings.write.parquet(f"{self.path}/postings/{name}")
-        texts.write.parquet(f"{self.path}/texts/{name}")
+        name = self._write(postings.repartition(self.buckets, "fp"), "postings")
+        folder = F.pmod("__sd_k", F.lit(FOLDERS)).alias("p")
+        texts.select("*", folder).repartition("p", F.pmod("__sd_j", F.lit(SALT))).write.partitionBy("p").parquet(f"{self.path}/texts/{name}")
         self.batches.append(name)
         self.maintain()
         self._version += 1
         fs, new = self._fs(), self._file(f"manifests/new-{name}")
         out = fs.create(new, False)
-        out.write(bytearray(json.dumps({"buckets": self.buckets, "runs": self.runs, "batches": self.batches}).encode()))
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "window": self.window, "gram": GRAM, "runs": self.runs, "batches": self.batches}).encode()))
         out.close()
         if not fs.rename(new, self._file(f"manifests/{self._version:09d}.json")):
             raise RuntimeError(f"another job has committed version {self._version} of {self.path}")
@@ -164,7 +194,7 @@ class FingerprintIndex:
 
     def drop(self) -> None:
         """Delete the index, files and all."""
-        for t in [*self.runs, *self._stale]:
+        for t in [*self.runs, *self.batches, *self._stale]:
             self._forget(t)
         self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
         self.runs, self.batches = [], []
@@ -290,31 +320,34 @@ def _with_verdicts(df: DataFrame, text_col: str, window: int, batches: int, inde
     keyed = df.withColumns({"__sd_t": text, "__sd_k": F.xxhash64(text), "__sd_j": F.hash(text), "__sd_s": part}).drop(text_col)
 
     postings = materialize(_postings(keyed, window), "substring-postings")
-    index = index or FingerprintIndex(spark)
+    index = index or FingerprintIndex(spark, fan_in=2)
+    index.of(window)
     counted = postings.where("NOT sure").drop("sure")
-    hits = [index.add(counted.where(F.pmod("j", F.lit(batches)) == b).select("fp")) for b in range(batches)]
-    found = _salted(reduce(DataFrame.union, hits).distinct())
-    before, old_texts = index.history("postings"), index.history("texts")
-    entries = counted if before is None else counted.unionByName(before)
-    entries = entries.withColumn("__sd_s", F.pmod("k", F.lit(SALT)).cast("int"))
-    blocks = materialize(entries.join(found, ["fp", "__sd_s"]).drop("__sd_s"), "substring-blocks")
+    hits = []
+    for b in range(batches):
+        index.maintain()  # the next batch meets few runs
+        hits.append(index.add(counted.where(F.pmod("j", F.lit(batches)) == b).select("fp")))
+    every = reduce(DataFrame.union, hits).distinct()
+    entries = counted.withColumn("__sd_s", F.pmod("k", F.lit(SALT)).cast("int"))
+    now = entries.join(_salted(every), ["fp", "__sd_s"]).drop("__sd_s")
+    blocks = materialize(reduce(DataFrame.unionByName, [now, *index.blocks_of(every)]), "substring-blocks")
     for h in hits:
         release(h)
     sure = materialize(postings.where("sure").select("k", "j", "at"), "substring-sure")
-    if index.kept:
-        once = keyed.where("__sd_t IS NOT NULL").groupBy("__sd_k", "__sd_j").agg(F.max("__sd_t").alias("__sd_t"))
-        index.commit(counted, once)
-    else:
-        index.drop()
-    release(postings)
-
     groups = blocks.groupBy("fp", "d", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "j", "at")).alias("rep"))
     groups = materialize(groups, "substring-groups")
     whole = blocks.join(groups.where("n > 1").select("fp", "d", "e"), ["fp", "d", "e"]).select("k", "j", "at")
     loose = _salted(groups.where("n = 1").select("fp").distinct())
     dealt = groups.withColumn("__sd_s", F.pmod("d", F.lit(SALT)).cast("int"))
     todo = dealt.join(loose, ["fp", "__sd_s"]).select("rep.k", "rep.j", F.expr("rep.at * 2 + CAST(n = 1 AS INT)").alias("at"))
+    old_texts = index.texts_of(todo) if index.kept else None
     todo = _of_texts(todo, "__sd_todo")
+    if index.kept:
+        once = keyed.where("__sd_t IS NOT NULL").groupBy("__sd_k", "__sd_j").agg(F.max("__sd_t").alias("__sd_t"))
+        index.commit(counted, once)
+    else:
+        index.drop()
+    release(postings)
 
     on = (F.col("__sd_k") == F.col("__sd_ck")) & (F.col("__sd_j") == F.col("__sd_cj")) & (F.col("__sd_s") == F.col("__sd_cs"))
     joined = keyed.join(todo.hint("shuffle_hash"), on).drop("__sd_ck", "__sd_cj", "__sd_cs")
@@ -370,7 +403,7 @@ def _kept_text(raw: bytes, removed) -> bytes:
 def dedup_substrings(
     df: DataFrame,
     window: int = 35,
-    batches: int = 2,
+    batches: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
     index: FingerprintIndex | None = None,
@@ -413,7 +446,7 @@ def dedup_substrings(
 
 
 def remove_repeats(
-    df: DataFrame, window: int = 35, batches: int = 2, text_col: str = "text", index: FingerprintIndex | None = None
+    df: DataFrame, window: int = 35, batches: int = 3, text_col: str = "text", index: FingerprintIndex | None = None
 ) -> DataFrame:
     """``df`` without the words that ``dedup_substrings`` removes from its texts; kept words keep their line breaks and indentation.
 

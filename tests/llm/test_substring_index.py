@@ -30,7 +30,7 @@ def test_batches_join_history(spark, monkeypatch):
     rows = brute.corpus(n=60)
     got = counted(dedup_substrings(frame(spark, rows), batches=3), *COLS)
     assert got == collections.Counter((r[0], *x) for r, x in zip(rows, brute.substring([r[1] for r in rows])))
-    assert len(added) == 3 and made[0].merged == 1 + 2
+    assert len(added) == 3 and made[0].merged == 2 and made[0].compacted == 1  # the first two are one run when the third comes
     # Without hits only what is found three times in one Arrow batch goes: they are what decides.
     monkeypatch.setattr(FingerprintIndex, "add", lambda self, fps: add(self, fps).limit(0))
     pairs = [(1, " ".join(f"a{i}" for i in range(60))), (2, " ".join(f"a{i}" for i in range(60)))]
@@ -101,3 +101,32 @@ def test_hot_text_is_dealt(spark):
     df = spark.createDataFrame([(i, text) for i in range(64)], "doc_id long, text string").repartition(8)
     assert substring_dedup.SALT > 1
     assert {(r["n_words"], r["n_removed"]) for r in dedup_substrings(df).collect()} == {(60, 60)}
+
+
+def test_an_index_is_of_one_window(spark, tmp_path):
+    """Asked for windows of another length it refuses, rather than miss what they share."""
+    path, text = str(tmp_path / "index"), " ".join(f"a{i}" for i in range(60))
+    dedup_substrings(frame(spark, [(1, text)]), index=FingerprintIndex(spark, path)).count()
+    with pytest.raises(ValueError, match="35-word windows, not of 20"):
+        dedup_substrings(frame(spark, [(2, text)]), window=20, index=FingerprintIndex(spark, path))
+
+
+def test_the_query_compacts_before_its_last_batch(spark, monkeypatch):
+    made, init = [], FingerprintIndex.__init__
+    monkeypatch.setattr(FingerprintIndex, "__init__", lambda self, *a, **k: (init(self, *a, **k), made.append(self))[0])
+    rows = brute.corpus(seed=5, n=40)
+    got = counted(dedup_substrings(frame(spark, rows)), *COLS)
+    assert got == collections.Counter((r[0], *x) for r, x in zip(rows, brute.substring([r[1] for r in rows])))
+    assert made[0].compacted == 1 and made[0].merged == 2
+
+
+def test_history_is_neither_shuffled_nor_read_whole(spark, tmp_path):
+    """Blocks of earlier calls are joined in their buckets; of their texts only folders with a hit are read."""
+    path = str(tmp_path / "index")
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(200)]
+    dedup_substrings(frame(spark, texts), index=FingerprintIndex(spark, path, buckets=3)).count()
+    index = FingerprintIndex(spark, path)
+    plan = index.blocks_of(spark.createDataFrame([(5,)], "fp long"))[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 3 out of 3" in plan
+    keys = spark.createDataFrame([(5,)], "k long")
+    assert 0 < index.texts_of(keys).count() < 30
