@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,10 +13,11 @@ from .model import Graph
 from .operators import analytics, evidence, incremental, resolve, retrieval, workspace
 from .operators.graph import container_of
 from .plans import algebra, batch, completeness, paging
-from .runtime import materialize
+from .runtime import materialize, shared_dir
 from .sources import files, indexing, syntax, tables_as_code, traces
 from .sources.catalog import list_catalog
 from .sources.reads import relation_range
+from .sources.snapshots import SnapshotStore
 from .sources.tables import Tables, entities, entity_parts, graph, relation_parts, relations, with_sql
 from .streaming.refresh import windowed_counts
 
@@ -234,7 +236,7 @@ def locate_prefix(t):
 _BM25 = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))"
 
 
-@register(
+_TEXT_SQL = (
     with_sql(
         "e_part",
         "D AS (SELECT id, name, lower(name) AS n, lower(qualified_name) AS q, lower(path) AS p, name AS f1, qualified_name AS f2, path AS f3 FROM E), "
@@ -252,10 +254,25 @@ _BM25 = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 +
         ),
     )
 )
+
+
+@register(_TEXT_SQL)
 def locate_text(t):
     return retrieval.locate(_parts(t), "text", "ring small")
 
 
+@register(_TEXT_SQL)
+def locate_text_indexed(t):
+    """The same search over a stored index: blocks that can't reach the page are not read."""
+    docs = _parts(t)
+    store = SnapshotStore(t.spark, f"{shared_dir(t.spark)}/loomgraph/{t.spark.sparkContext.applicationId}/lexical-{uuid.uuid4().hex}")
+    files = docs.select("path").distinct().select(F.col("path").alias("id"), "path", F.lit("g").alias("index_at"))
+    store.stage("g", {"files": files}, retrieval.LexicalIndex.PARTITIONS, parts={n: (df, "index_at") for n, df in retrieval.LexicalIndex.tables(docs).items()})
+    store.commit("g")
+    index = retrieval.LexicalIndex(*[store.read(n) for n in ("postings", "maxima", "lengths")], 64)
+    return retrieval.locate(docs, "text", "ring small", index=index)
+
+
 @register(
     with_sql(
         "e_part",

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("files", "entities", "occurrences", "relations", "bindings", "routes", "provenance", "source_mappings", "skipped_regions", "diagnostics", "extensions", "coverage")
+TABLES = ("files", "entities", "occurrences", "relations", "bindings", "routes", "provenance", "source_mappings", "skipped_regions", "diagnostics", "extensions", "coverage", "postings", "maxima", "lengths")
 
 
 class SnapshotError(ValueError):
@@ -123,7 +123,7 @@ class SnapshotStore:
         before = self._parts(carry_from) if carry_from else {}
         held = {t: known for t, known in before.items() if t not in tables or t in parts}
         for name, (df, owner) in parts.items():
-            df.write.mode("overwrite").parquet(self._at("staging", generation, f"{name}.part"))
+            df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, [])).parquet(self._at("staging", generation, f"{name}.part"))
             held[name] = {"owner": owner, "generations": [*before.get(name, {"generations": []})["generations"], generation]}
         if carry_from:
             known = self._carried("generations", carry_from)
