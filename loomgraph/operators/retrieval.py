@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -260,48 +257,3 @@ def nearest(
     q = F.array(*[F.lit(float(x)) for x in query])
     fit = (F.size(vector_col) == len(query)) & F.exists(vector_col, lambda x: x != 0) & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.where(fit).select(id_col, F.round(cosine(F.col(vector_col), q), 6).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
-
-
-#: Queries that one scan of the vectors serves.
-QUERY_BLOCK = 1000
-
-
-def _query_blocks(queries: DataFrame, id_col: str, vector_col: str, size: int) -> Iterator[list[tuple]]:
-    """Rows (id, vector) by id, ``size`` at a time; equal ids stay in one block, as they are ranked together."""
-    block: list[tuple] = []
-    for r in queries.select(F.col(id_col).alias("q"), vector_col).orderBy("q").toLocalIterator():
-        if len(block) >= size and block[-1][0] != r["q"]:
-            yield block
-            block = []
-        block.append((r["q"], [float(x) for x in r[vector_col]]))
-    if block:
-        yield block
-
-
-def nearest_join(
-    vectors: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", binding: tuple[VectorBinding, VectorBinding] | None = None
-) -> DataFrame:
-    """(query_id, id, score, rank): exact top-k of every query against all rows, themselves left out.
-
-    Queries go through in blocks of ``QUERY_BLOCK``, each a scan of the vectors with the block as a
-    literal list; each task keeps k for each query before anything is shuffled. One block is lazy; of
-    several, each result is written before the next block is read, so the driver holds one at a time.
-    ``binding``: as for ``nearest``.
-    """
-    if binding:
-        binding[0].check(binding[1])
-    spark = vectors.sparkSession
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-
-    def ranked(block: list[tuple]) -> DataFrame:
-        small = spark.createDataFrame(block, "q long, qv array<double>")
-        pairs = vectors.join(F.broadcast(small)).where(F.col("q") != F.col(id_col))
-        scored = pairs.select(F.col("q").alias("query_id"), F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), F.col("qv")), 6).alias("score"))
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    blocks = _query_blocks(queries, id_col, vector_col, QUERY_BLOCK)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        return ranked(first)
-    done = [materialize(ranked(b), "nearest-join") for b in chain((first, second), blocks)]
-    return reduce(DataFrame.unionByName, done)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import route_key, token_column
 from .model import Graph
-from .operators import analytics, evidence, incremental, resolve, retrieval, workspace
+from .operators import analytics, evidence, incremental, resolve, retrieval, vectors, workspace
 from .operators.graph import container_of
 from .plans import algebra, batch, completeness, paging
 from .runtime import materialize, shared_dir
@@ -319,7 +319,7 @@ def vector_topk(t):
     "FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.vec_id <> b.vec_id QUALIFY rank <= 3"
 )
 def vector_join(t):
-    return retrieval.nearest_join(t.embeddings, t.embeddings.where("vec_id % 20 = 0"))
+    return vectors.nearest_join(t.embeddings, t.embeddings.where("vec_id % 20 = 0"))
 
 
 # Graph analyses

@@ -1,10 +1,7 @@
-import math
-import random
 from collections import Counter
 from itertools import combinations
 
 from __spark_entry__ import queries
-from loomgraph.operators import retrieval
 from loomgraph.sources import traces
 
 
@@ -18,25 +15,6 @@ def test_co_changes_counts_large_commits(spark):
     assert len(found) == len(expected) == 60 * 59 // 2 and set(found) == expected
 
 
-def test_nearest_join_takes_all_queries_in_blocks(spark, monkeypatch):
-    rng = random.Random(3)
-    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(1100)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    assert retrieval.nearest_join(df.limit(5), df).select("query_id").distinct().count() == 1100
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
-    few = vectors[:60]
-    norm = lambda v: math.sqrt(sum(x * x for x in v))
-    expected = set()
-    for q, a in few[::3]:
-        scores = [(-round(sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)), 6), i) for i, b in few if i != q]
-        expected |= {(q, i, r + 1) for r, (_, i) in enumerate(sorted(scores)[:3])}
-    small = spark.createDataFrame(few, df.schema)
-    found = retrieval.nearest_join(small, small.where("vec_id % 3 = 0"))
-    assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == expected
-    assert found.count() == 60
-    assert retrieval.nearest_join(small, small.where("vec_id < 0")).count() == 0
-
-
 def test_vector_join_takes_every_twentieth_vector(spark):
     got = queries()["vector_join"](spark, "/root/testdata/sf0.001").select("query_id").distinct()
     ids = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import PatternRejected, code_tokens, fold, folded, route_key, safe_pattern, token_column
-from loomgraph.operators import evidence, incremental, resolve, retrieval, workspace
+from loomgraph.operators import evidence, incremental, resolve, retrieval, vectors, workspace
 from loomgraph.plans import batch, budget, completeness, paging
 from loomgraph.sources import files, history, indexing, reads, scip, snapshots, syntax, traces
 from loomgraph.streaming import refresh
@@ -86,7 +86,7 @@ def test_nearest_rejects(spark):
     one = budget.VectorBinding("r", "g", "m", "h", "c")
     assert retrieval.nearest(v, [1.0, 0.0], binding=(one, one)).count() == 2
     other = budget.VectorBinding("r", "g2", "m", "h", "c")
-    for search in (lambda: retrieval.nearest(v, [1.0, 0.0], binding=(one, other)), lambda: retrieval.nearest_join(v, v, binding=(one, other))):
+    for search in (lambda: retrieval.nearest(v, [1.0, 0.0], binding=(one, other)), lambda: vectors.nearest_join(v, v, binding=(one, other))):
         with pytest.raises(ValueError, match="generation"):
             search()
 
