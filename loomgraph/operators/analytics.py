@@ -295,10 +295,38 @@ def dead_code_suppressions(graph: Graph, kinds: tuple[str, ...], include_exporte
     return rows.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
 
 
-def resolve_changes(graph: Graph, paths: DataFrame) -> DataFrame:
-    """(id, path, classification) of changed files (path): symbol_level for each entity that lies there, file_level where none does."""
-    at = paths.select("path").distinct().join(graph.entities.select("id", "path"), "path", "left")
-    return at.select("id", "path", F.when(F.col("id").isNull(), "file_level").otherwise("symbol_level").alias("classification"))
+#: Lines of a bin in which changed lines meet the spans of entities.
+LINE_BIN = 64
+
+
+def resolve_changes(graph: Graph, changes: DataFrame) -> DataFrame:
+    """(id, path, classification, lines) of changed files (path) or hunks (path, start, end; both lines are changed).
+
+    A changed line belongs to the innermost entity whose span (line_start, line_end) holds it:
+    symbol_level, with the number of such lines; lines that none holds are their file's: file_level, id
+    null. Lines meet spans in bins of ``LINE_BIN`` lines of a file, so a long file's entities are not all
+    paired with all its hunks. Of files without lines every entity there is changed. An empty hunk (end
+    before start), which only takes lines away, changes the line it stands at.
+    """
+    if "start" not in changes.columns:
+        at = changes.select("path").distinct().join(graph.entities.select("id", "path"), "path", "left")
+        return at.select("id", "path", F.when(F.col("id").isNull(), "file_level").otherwise("symbol_level").alias("classification"), F.lit(None).cast("long").alias("lines"))
+    bin_of = lambda c: F.floor(c / LINE_BIN)
+    lines = changes.select("path", F.explode(F.sequence("start", F.greatest("start", "end"))).alias("line")).distinct().withColumn("bin", bin_of(F.col("line")))
+    spans = graph.entities.where("kind <> 'file' AND line_start <= line_end")
+    spans = spans.select("id", "path", "line_start", "line_end", F.explode(F.sequence(bin_of(F.col("line_start")), bin_of(F.col("line_end")))).alias("bin"))
+    met = lines.join(spans, ["path", "bin"]).where("line BETWEEN line_start AND line_end")
+    inner = met.groupBy("path", "line").agg(F.max(F.struct("line_start", -F.col("line_end"), "id")).alias("in"))
+    own = lines.join(inner, ["path", "line"], "left").groupBy("path", F.col("in.id").alias("id")).agg(F.count(F.lit(1)).alias("lines"))
+    return own.select("id", "path", F.when(F.col("id").isNull(), "file_level").otherwise("symbol_level").alias("classification"), "lines")
+
+
+def impact_of_changes(graph: Graph, changes: DataFrame, families: list[str], max_depth: int = 3, policy: str = "standard") -> DataFrame:
+    """``change_impact`` of what ``resolve_changes`` finds in changed files or hunks; file-level changes count as their file's entity, if there is one."""
+    found = materialize(resolve_changes(graph, changes), "changes-resolved")
+    files = graph.entities.where("kind = 'file'").select("path", F.col("id").alias("file_id"))
+    ids = found.join(files, "path", "left").select(F.coalesce("id", "file_id").alias("id")).where("id IS NOT NULL").distinct()
+    return change_impact(graph, ids, families, max_depth, policy)
 
 
 def change_impact(graph: Graph, changed: DataFrame, families: list[str], max_depth: int = 3, policy: str = "standard") -> DataFrame:

@@ -1069,3 +1069,22 @@ def source_scopes(t):
     own = F.concat("path", F.lit("#"), "name")
     container = F.concat_ws("#", F.col("path"), F.when(F.col("holder_line").isNotNull(), F.col("holder")))
     return d.select(own.alias("entity"), "kind", container.alias("container"), (F.col("end") - F.col("line") + 1).alias("lines"))
+
+
+@register(
+    "WITH n AS (SELECT 'd' || doc_id AS path, len(string_split(text, chr(10))) AS n, doc_id FROM documents), "
+    "s AS (SELECT path || '#all' AS id, path, 1 AS a, n AS b FROM n WHERE n > 2 UNION ALL SELECT path || '#' || k, path, 4 * k + 1, least(n, 4 * k + 3) FROM (SELECT *, unnest(range(0, (n - 1) // 4 + 1)) AS k FROM n) WHERE k % 2 = 0), "
+    "h AS (SELECT path, doc_id % n + 1 AS a, least(n, doc_id % n + 1 + doc_id % 9) AS b FROM n UNION ALL SELECT path, 1, 1 FROM n WHERE doc_id % 3 = 0), "
+    "l AS (SELECT DISTINCT path, unnest(range(a, b + 1)) AS line FROM h), "
+    "m AS (SELECT l.path, line, (SELECT s.id FROM s WHERE s.path = l.path AND line BETWEEN a AND b ORDER BY a DESC, b, s.id DESC LIMIT 1) AS id FROM l) "
+    "SELECT id, path, CASE WHEN id IS NULL THEN 'file_level' ELSE 'symbol_level' END AS classification, count(*) AS lines FROM m GROUP BY id, path"
+)
+def resolve_hunks(t):
+    """Changed lines of documents and the innermost spans that hold them: a document's own and, within it, every other group of four lines."""
+    n = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("path"), F.size(F.split("text", "\n")).alias("n"), "doc_id")
+    whole = n.where("n > 2").selectExpr("concat(path, '#all') AS id", "path", "'class' AS kind", "1 AS line_start", "n AS line_end")
+    parts = n.withColumn("k", F.explode(F.expr("sequence(0, (n - 1) div 4)"))).where("k % 2 = 0")
+    parts = parts.selectExpr("concat(path, '#', k) AS id", "path", "'method' AS kind", "CAST(4 * k + 1 AS INT) AS line_start", "CAST(least(n, 4 * k + 3) AS INT) AS line_end")
+    hunks = n.selectExpr("path", "CAST(doc_id % n + 1 AS INT) AS start", "CAST(least(n, doc_id % n + 1 + doc_id % 9) AS INT) AS end")
+    hunks = hunks.union(n.where("doc_id % 3 = 0").selectExpr("path", "1", "1"))
+    return analytics.resolve_changes(Graph(whole.union(parts), t.documents.limit(0)), hunks)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: git log --name-status -M --format=%x1e%H%x1f%at%x1f%an
@@ -32,3 +32,15 @@ def lineage(changes: DataFrame) -> DataFrame:
     changed = changes.select(F.concat(F.lit("file:"), "path").alias("subject"), F.lit("changed_in").alias("predicate"), F.concat(F.lit("commit:"), "commit").alias("object"), F.lit(1000).alias("confidence"))
     renamed = changes.where("status = 'renamed'").select(F.concat(F.lit("file:"), "path"), F.lit("lineage_renamed_from"), F.concat(F.lit("file:"), "old_path"), "similarity")
     return changed.union(renamed)
+
+
+def read_hunks(diffs: DataFrame) -> DataFrame:
+    """(diff, path, start, end) of the hunks in unified diffs (diff, text): lines of the new file, end before start where none are left."""
+    lines = diffs.select("diff", F.posexplode(F.split("text", "\r?\n")).alias("k", "line"))
+    so_far = Window.partitionBy("diff").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t]+)", 1)
+    head = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+    rows = lines.withColumn("path", F.last(F.when(found != "", found), True).over(so_far)).where(F.col("line").rlike(head))
+    size = F.regexp_extract("line", head, 2)
+    start = F.greatest(F.regexp_extract("line", head, 1).cast("int"), F.lit(1))
+    return rows.select("diff", "path", start.alias("start"), (start + F.when(size == "", 1).otherwise(size.cast("int")) - 1).cast("int").alias("end")).where("path <> '/dev/null'")
