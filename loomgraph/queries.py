@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import route_key, token_column
 from .model import Graph
-from .operators import analytics, evidence, incremental, resolve, retrieval, vectors, workspace
+from .operators import analytics, content, evidence, incremental, resolve, retrieval, vectors, workspace
 from .operators.graph import container_of
 from .plans import algebra, batch, completeness, paging
 from .runtime import materialize, shared_dir
@@ -1088,3 +1088,20 @@ def resolve_hunks(t):
     hunks = n.selectExpr("path", "CAST(doc_id % n + 1 AS INT) AS start", "CAST(least(n, doc_id % n + 1 + doc_id % 9) AS INT) AS end")
     hunks = hunks.union(n.where("doc_id % 3 = 0").selectExpr("path", "1", "1"))
     return analytics.resolve_changes(Graph(whole.union(parts), t.documents.limit(0)), hunks)
+
+
+@register(
+    r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL), "
+    "u AS (SELECT doc_id AS id, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS r FROM w WHERE len(w) > 0), "
+    "e AS (SELECT id, len(r) AS n, unnest(r) AS run FROM u), "
+    "p AS (SELECT a.id AS base, b.id AS head, count(*) AS shared, any_value(a.n) AS bn, any_value(b.n) AS hn FROM e a JOIN e b ON a.run = b.run WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY 1, 2), "
+    "q AS (SELECT *, shared * 1000 // (bn + hn - shared) AS similarity FROM p WHERE shared * 1000 >= 500 * least(bn, hn)), "
+    "g AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY similarity DESC, head) AS x, row_number() OVER (PARTITION BY head ORDER BY similarity DESC, base) AS y FROM q WHERE similarity >= 500), "
+    "m AS (SELECT * FROM g WHERE x = 1 AND y = 1), z AS (SELECT * FROM q WHERE base NOT IN (SELECT base FROM m) AND head NOT IN (SELECT head FROM m)) "
+    "SELECT 'renamed' AS change, base, head, similarity FROM m UNION ALL SELECT 'split', base, head, similarity FROM z WHERE shared * 1000 >= 500 * hn QUALIFY count(*) OVER (PARTITION BY base) > 1 "
+    "UNION ALL SELECT 'merged', base, head, similarity FROM z WHERE shared * 1000 >= 500 * bn QUALIFY count(*) OVER (PARTITION BY head) > 1"
+)
+def content_lineage(t):
+    """Documents of even ids as what went, those of odd ids as what came."""
+    d = t.documents.select(F.col("doc_id").alias("id"), "text")
+    return content.content_lineage(d.where("id % 2 = 0"), d.where("id % 2 = 1"))
