@@ -16,7 +16,7 @@ from .plans import algebra, batch, completeness, paging
 from .runtime import materialize, shared_dir
 from .sources import files, indexing, syntax, tables_as_code, traces
 from .sources.catalog import list_catalog
-from .sources.reads import relation_range
+from .sources.reads import occurrence_range, relation_range
 from .sources.snapshots import SnapshotStore
 from .sources.tables import Tables, entities, entity_parts, graph, relation_parts, relations, with_sql
 from .streaming.refresh import windowed_counts
@@ -996,12 +996,12 @@ def source_read_lines(t):
     return files.read_lines(t.documents, "doc_id", F.col("text"), F.lit(2), F.lit(2), 1, 1).where("line <= 3")
 
 
-@register("SELECT 'd' || doc_id AS file, CAST(10 AS BIGINT) AS start_byte, CAST(10 + doc_id % 20 AS BIGINT) AS end_byte, CASE WHEN doc_id % 7 = 0 THEN 'stale_hash' WHEN octet_length(encode(left(text, 200))) < 0 THEN 'invalid_span' ELSE 'ok' END AS status FROM documents WHERE strlen(text) >= 40")
+@register("SELECT 'd' || doc_id AS file, CAST(10 AS BIGINT) AS start_byte, CAST(10 + doc_id % 200 AS BIGINT) AS end_byte, CASE WHEN text IS NULL THEN 'missing_file' WHEN doc_id % 7 = 0 THEN 'stale_hash' WHEN 10 + doc_id % 200 > octet_length(encode(text)) THEN 'invalid_span' ELSE 'ok' END AS status FROM documents")
 def source_read_spans(t):
-    d = t.documents.where("octet_length(text) >= 40")
-    f = d.select(F.concat(F.lit("d"), "doc_id").alias("file"), "text")
+    """Spans of all documents: some taken from another text, some that end after theirs."""
+    f = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("file"), "text")
     good = F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.sha2("text", 256))
-    spans = d.select(F.concat(F.lit("d"), "doc_id").alias("file"), F.lit(10).cast("long").alias("start_byte"), (F.lit(10) + F.col("doc_id") % 20).cast("long").alias("end_byte"), good.alias("content_hash"))
+    spans = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("file"), F.lit(10).cast("long").alias("start_byte"), (F.lit(10) + F.col("doc_id") % 200).cast("long").alias("end_byte"), good.alias("content_hash"))
     return files.read_spans(f, spans).select("file", "start_byte", "end_byte", "status")
 
 
@@ -1105,3 +1105,40 @@ def content_lineage(t):
     """Documents of even ids as what went, those of odd ids as what came."""
     d = t.documents.select(F.col("doc_id").alias("id"), "text")
     return content.content_lineage(d.where("id % 2 = 0"), d.where("id % 2 = 1"))
+
+
+@register("SELECT 'occ:' || p_partkey AS id, 'file' || (p_size % 10) AS file FROM part WHERE p_size % 10 = 3 AND 'occ:' || p_partkey > 'occ:1' ORDER BY id LIMIT 41")
+def occurrence_range_read(t):
+    """A page of a file's occurrences, in id order, and one more that says whether it ends there."""
+    o, _ = _occurrences(t)
+    return occurrence_range(o, "file3", "occ:1", 40).select("id", "file")
+
+
+#: Customers of a nation, each linked with the one whose order came next there.
+_NEXT = (
+    "NX AS (SELECT DISTINCT 'customer:' || o_custkey AS subject, 'customer:' || n AS object FROM (SELECT o_custkey, lead(o_custkey) OVER (PARTITION BY c_nationkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey) WHERE n IS NOT NULL AND n <> o_custkey), "
+    "CL AS (SELECT subject AS a, object AS b FROM NX UNION SELECT CL.a, NX.object FROM CL JOIN NX ON NX.subject = CL.b) "
+)
+
+
+@register("WITH RECURSIVE " + _NEXT + "SELECT min(x.b) AS component, x.a AS node FROM CL x JOIN CL y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+def cycle_members_of_customers(t):
+    """Strong components of a graph with as many edges as orders, beyond what the closure is taken for."""
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    following = F.lead("o_custkey").over(Window.partitionBy("c_nationkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = o.select("o_custkey", following.alias("n")).where("n IS NOT NULL AND n <> o_custkey").distinct()
+    named = lambda c: F.concat(F.lit("customer:"), F.col(c).cast("string"))
+    edges = edges.select(named("o_custkey").alias("subject"), F.lit("calls").alias("predicate"), named("n").alias("object"), F.lit(900).alias("confidence"))
+    return analytics.cycle_members(_stored(Graph(entities(t, "customer"), edges.withColumn("id", F.concat_ws("|", "subject", "object")))), ["calls"])
+
+
+@register(
+    "WITH b AS (" + _CONN + "), h AS (" + _CONN.replace("FROM lineitem GROUP BY ALL)", "FROM lineitem GROUP BY ALL HAVING max(l_quantity) >= 45)") + ") "
+    "SELECT source, target, family, CASE WHEN b.weight IS NULL THEN 'added' WHEN h.weight IS NULL THEN 'removed' ELSE 'architecture_changed' END AS change, coalesce(b.weight, 0) AS weight_before, coalesce(h.weight, 0) AS weight_after "
+    "FROM b FULL JOIN h USING (source, target, family) WHERE b.weight IS DISTINCT FROM h.weight"
+)
+def architecture_compare(t):
+    """Connections between nations before and after the lines of small quantities are gone."""
+    base = _trade_graph(t)
+    head = Graph(base.entities, base.relations.where("confidence >= 900"))
+    return analytics.compare_architecture(base, head, ("module",), ["calls"])
