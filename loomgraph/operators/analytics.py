@@ -132,6 +132,13 @@ def project_edges(graph: Graph, edges: DataFrame, kinds: tuple[str, ...] | None)
     return edges.groupBy("subject", "object").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("weight"))
 
 
+def omitted_nodes(graph: Graph, families: list[str], kinds: tuple[str, ...]) -> DataFrame:
+    """(omitted_nodes): ends of the families' edges that ``project_edges`` leaves out, as no entity of ``kinds`` holds them."""
+    ends = graph.of(*families).select(F.explode(F.array("subject", "object")).alias("id")).distinct()
+    held = container_of(graph.entities, kinds).where("container IS NOT NULL").select("id")
+    return ends.join(held, "id", "left_anti").agg(F.count(F.lit(1)).alias("omitted_nodes"))
+
+
 def _inside(edges: DataFrame, include_self: bool = False) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the strong components, and the edges (component, subject, object, ..) inside them."""
     edges = materialize(edges, "cycle-edges")

@@ -1142,3 +1142,9 @@ def architecture_compare(t):
     base = _trade_graph(t)
     head = Graph(base.entities, base.relations.where("confidence >= 900"))
     return analytics.compare_architecture(base, head, ("module",), ["calls"])
+
+
+@register("SELECT count(DISTINCT l_partkey) AS omitted_nodes FROM lineitem")
+def projection_omitted_nodes(t):
+    """Orders lie in nations, the parts that they call in none."""
+    return analytics.omitted_nodes(graph(t, ("region", "nation", "customer", "orders", "part"), ("calls",)), ["calls"], ("module",))
