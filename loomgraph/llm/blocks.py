@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import BATCH_BYTES, bounded_batches
+from .common import BATCH_BYTES, bounded_batches, own_kernel
 
 BlockKernel = Callable[[pa.RecordBatch, int], Iterator[pa.RecordBatch]]
 
@@ -33,7 +33,7 @@ def map_blocks(df: DataFrame, make_kernel: Callable[[], BlockKernel], schema: st
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, task = make_kernel(), TaskContext.get().partitionId()
+        kernel, task = own_kernel(make_kernel), TaskContext.get().partitionId()
         for k, block in enumerate(part for batch in batches for part in cut(batch, 1, most)):
             yield from kernel(block, task << 32 | k)
 

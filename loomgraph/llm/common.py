@@ -47,16 +47,27 @@ class BoundedCache(dict):
 #: Batches sent to Python workers hold no more than this, or one row; a worker holds a few copies of one.
 BATCH_BYTES = 8 << 20
 _held: dict = {}
+_asked = [0]
 
 
 def held(key: tuple, make: Callable):
-    """``make()``, kept as long as the Python worker or until another operator keeps its own."""
+    """``make()``, kept by the Python worker until it runs another operator."""
+    _asked[0] += 1
     if key not in _held:
         _held.clear()
         _held[key] = make()
     return _held[key]
 
 
+def own_kernel(make_kernel: Callable):
+    """``make_kernel()``; unless it holds something itself, what an earlier operator held goes first."""
+    before = _asked[0]
+    kernel = make_kernel()
+    if _asked[0] == before:
+        _held.clear()
+    return kernel
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the session's batches to Python workers by ``BATCH_BYTES``.
 
@@ -73,7 +84,7 @@ def map_batches(df: DataFrame, make_kernel: Callable[[], Kernel], schema: str) -
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = make_kernel()
+        kernel = own_kernel(make_kernel)
         for batch in batches:
             if batch.num_rows:
                 yield kernel(batch)

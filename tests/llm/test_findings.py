@@ -83,3 +83,16 @@ def test_a_fingerprint_of_a_third_of_all_rows_stays_spread(spark):
         for n, v in old.items():
             spark.conf.set(n, v)
     assert sum(r["count"] for r in got) == 12000 and max(r["count"] for r in got) < 1200
+
+
+def test_what_an_operator_holds_goes_with_the_next():
+    """A worker that runs another operator gives up the caches of the one before."""
+    from loomgraph.llm import common
+
+    made = []
+    one = lambda: common.held(("one",), lambda: made.append(1) or {"cache": 1})
+    common.own_kernel(one)
+    common.own_kernel(one)
+    assert made == [1] and ("one",) in common._held
+    common.own_kernel(lambda: None)
+    assert not common._held
