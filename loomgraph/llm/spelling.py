@@ -70,7 +70,7 @@ def _indels(vocab: DataFrame, shortest: int) -> DataFrame:
     """(word, near, best) of words that are another one with a letter left out, for both of the two, aggregated on either side."""
     longer = vocab.where(F.char_length("word") > shortest).select("word", "n", F.explode(F.expr(_DELETIONS)).alias("gone"))
     short = vocab.select(F.col("word").alias("gone"), F.col("n").alias("gone_n"))
-    met = longer.join(short, "gone")
+    met = longer.join(short.hint("merge"), "gone")
     up = met.groupBy("gone").agg(F.count(F.lit(1)).alias("near"), F.min(F.expr(_RANK)).alias("best")).withColumnRenamed("gone", "word")
     down = met.groupBy("word").agg(F.count(F.lit(1)).alias("near"), F.min(F.expr("struct(-gone_n AS lead, gone AS word)")).alias("best"))
     return up.unionByName(down)
@@ -82,7 +82,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     while True:
         step = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
         after = materialize(
-            now.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")),
+            now.join(step.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")),
             "spelling-roots",
         )
         done = after.where("moved").isEmpty()
@@ -100,7 +100,8 @@ def spelling_variants(df: DataFrame, settings: Settings = Settings(), id_col: st
     replacement share one wildcard group, which gives each of its words the others' number and the
     best of the top two that is not itself. For insertions and deletions, what is left of each word
     without one code point is joined with the vocabulary itself. All of it is counts and minima by
-    key: a word of length k makes 2k rows, whatever its neighbours.
+    key: a word of length k makes 2k rows, whatever its neighbours. Joins are told to shuffle: the planner
+    would broadcast a row for each word or deletion by the few bytes that they are as Parquet.
 
     Null or empty texts have no words. Very long texts count whole. Null ids: runs are not thinned.
     Repeated rows count again. Ties of n: the word of least code points. Empty table: no rows. Other
@@ -110,9 +111,9 @@ def spelling_variants(df: DataFrame, settings: Settings = Settings(), id_col: st
     vocab = materialize(word_counts(df, s, id_col, text_col), "spelling-vocabulary")
     found = _replacements(vocab).unionByName(_indels(vocab, s.min_length))
     best = found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
-    own = vocab.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.word").alias("form"), (-F.col("best.lead")).alias("form_n"))
+    own = vocab.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.word").alias("form"), (-F.col("best.lead")).alias("form_n"))
     fits = F.col("form_n") >= s.ratio * F.col("n")
     own = own.withColumns({"form": F.when(fits, F.col("form")), "form_n": F.when(fits, F.col("form_n"))})
     own = materialize(own, "spelling-forms")
     roots = _roots(own.where("form IS NOT NULL"))
-    return own.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return own.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
