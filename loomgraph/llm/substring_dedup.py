@@ -355,11 +355,14 @@ def _with_verdicts(df: DataFrame, text_col: str, window: int, batches: int, inde
         old = old_texts.withColumn("__sd_s", F.lit(0)).join(todo.hint("shuffle_hash"), on)
         need = ("__sd_k", "__sd_j", "__sd_t", "__sd_todo")
         joined = joined.select(*need).union(old.select(*need))
-    each = _windows(joined, window)
-    twice = each.where("NOT sure").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    place = F.expr(f"s * {PACK} + 1").alias("at")
-    single = each.where("own AND NOT sure").join(twice, ["w1", "w2"]).select("k", "j", place)
-    cuts = whole.union(sure).union(single).union(each.where("own AND sure").select("k", "j", place))
+    # In order, so that a task that runs again calls the same windows sure.
+    each = _windows(joined.sortWithinPartitions("__sd_k", "__sd_j"), window)
+    twice = each.where("NOT sure").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("w1").alias("t1"), F.col("w2").alias("t2"))
+    # Spark may run ``each`` anew, on other batches, for each of its uses. What is counted holds for any batches; each
+    # verdict is taken from one run, in which a window is sure or meets the count. Sure ones meet nothing, spread by place.
+    own = each.where("own").select("k", "j", F.expr(f"s * {PACK} + 1").alias("at"), "sure", F.expr("IF(sure, xxhash64(k, s), w1)").alias("t1"), F.col("w2").alias("t2"))
+    single = own.join(twice.withColumn("met", F.lit(True)), ["t1", "t2"], "left").where("sure OR met").select("k", "j", "at")
+    cuts = whole.union(sure).union(single)
     return keyed.join(_of_texts(cuts, "__sd_cut").hint("shuffle_hash"), on, "left").drop("__sd_ck", "__sd_cj", "__sd_cs")
 
 

@@ -1,6 +1,8 @@
 import collections
 import json
+import random
 
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import substring_dedup
@@ -130,3 +132,24 @@ def test_history_is_neither_shuffled_nor_read_whole(spark, tmp_path):
     assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 3 out of 3" in plan
     keys = spark.createDataFrame([(5,)], "k long")
     assert 0 < index.texts_of(keys).count() < 30
+
+
+def test_verdicts_for_batches_of_any_order(spark, monkeypatch):
+    """A passage of one window in 60 documents, none else of their words alike: each goes, though rows come in another order whenever they are read."""
+    rng, windows = random.Random(5), substring_dedup._windows
+
+    def shuffled(texts, window):
+        def run(batches):
+            table = pa.Table.from_batches(batches)
+            if table.num_rows:
+                yield from table.take(random.SystemRandom().sample(range(table.num_rows), table.num_rows)).combine_chunks().to_batches()
+
+        return windows(texts.mapInArrow(run, texts.schema), window)
+
+    monkeypatch.setattr(substring_dedup, "_windows", shuffled)
+    say = lambda k: " ".join(f"w{rng.randrange(10**9)}" for _ in range(k))
+    passages = [say(35), say(36)]
+    rows = [(i, f"{say(rng.randrange(40))} {passages[i % 2]} {say(rng.randrange(40))}") for i in range(120)] + [(120, say(80))]
+    for _ in range(3):
+        got = counted(dedup_substrings(frame(spark, rows)), *COLS)
+        assert got == collections.Counter((r[0], *x) for r, x in zip(rows, brute.substring([r[1] for r in rows])))
