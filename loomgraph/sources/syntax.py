@@ -1,11 +1,17 @@
-"""Entities and uses from source text, by patterns over lines: a light extractor, built-in functions only."""
+"""Entities and uses from source text, by patterns over lines: a light extractor; built-in functions but for a file's scopes, which a sweep of its lines tells."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import route_key
+from ..runtime import materialize
 
 _NAME = r"([A-Za-z_$][\w$]*)"
 _MODS = r"(?:(?:public|protected|private|internal|abstract|final|static|sealed|partial|override|virtual|async|synchronized|readonly)\s+)*"
@@ -162,28 +168,28 @@ def _collected(rules: dict, element: str, made) -> Column:
     return out
 
 
-def _declared() -> Column:
-    """All that a line declares, in order."""
+def _declared(line: Column) -> Column:
+    """All that ``line`` declares, in order."""
 
     def made(pattern: str, kind: str):
-        name = F.regexp_extract("line", pattern, 1)
+        name = F.regexp_extract(line, pattern, 1)
         return name != "", F.array(F.struct(name.alias("name"), F.lit(kind).alias("kind")))
 
     found = _collected(DECLARATIONS, "struct<name:string,kind:string>", made)
     return F.filter(found, lambda d: ~d["name"].isin(*NOT_CALLED))
 
 
-def _named(rules: dict[str, str]) -> Column:
-    """What the rule of a row's language finds in its line, else null."""
+def _named(rules: dict[str, str], line: Column) -> Column:
+    """What the rule of a row's language finds in ``line``, else null."""
     out = F.lit("")
     for language, pattern in rules.items():
-        out = F.when(F.col("language") == language, F.regexp_extract("line", pattern, 1)).otherwise(out)
+        out = F.when(F.col("language") == language, F.regexp_extract(line, pattern, 1)).otherwise(out)
     return F.when(out != "", out)
 
 
 def declarations(files: DataFrame) -> DataFrame:
     """(path, language, name, kind, line) of files (path, language, text)."""
-    rows = _lines(files).select("path", "language", F.explode(_declared()).alias("d"), "line_no")
+    rows = _lines(files).select("path", "language", F.explode(_declared(F.col("line"))).alias("d"), "line_no")
     return rows.select("path", "language", "d.name", "d.kind", F.col("line_no").alias("line"))
 
 
@@ -191,17 +197,116 @@ def declarations(files: DataFrame) -> DataFrame:
 HOLDERS = ("class", "struct", "interface", "trait", "enum", "union")
 
 
+# Dot and end of text as the JVM reads them: a line may hold breaks other than those that part lines.
+_BREAKS = r"\n\r\x85\u2028\u2029"
+_DOT, _END = f"[^{_BREAKS}]", rf"(?=[{_BREAKS}]?\Z)"
+_STRINGS = {one: re.compile(rf'"(?:\\{_DOT}|[^"\\])*"|`[^`]*`|' + rf"'(?:\\{_DOT}|[^'\\])" + ("'" if one else "*'")) for one in (True, False)}
+_HASH, _SLASHES, _OPENED = re.compile(f"#{_DOT}*{_END}"), re.compile(rf"//{_DOT}*{_END}|/\*{_DOT}*?\*/"), re.compile(rf"/\*{_DOT}*{_END}")
+_FENCE, _MARGIN, _CLOSES = re.compile("\"\"\"|'''"), re.compile(r"[ \t]*"), re.compile(r"[)\]}]|end\b")
+
+
+def _levels(lines: list[str], language: str | None) -> list[int | None]:
+    """The levels that ``leveled`` gives the lines of a file."""
+    indented = language in INDENTED
+    comment, sign = (_HASH, "#") if indented or language == "php" else (_SLASHES, "/")
+    strings = _STRINGS[language in ("rust", "go", "java", "c", "cpp", "csharp")]
+    out: list[int | None] = []
+    opened = depth = brackets = held = 0
+    for line in lines:
+        quoted = '"' in line or "'" in line or "`" in line
+        code = strings.sub("", line) if quoted else line
+        if sign in code:
+            code = comment.sub("", code)
+        if indented:
+            marks, inside = len(_FENCE.findall(line)) if quoted else 0, opened % 2 == 1
+        else:
+            marks, inside = code.count("/*") - code.count("*/"), opened > 0
+            code = _OPENED.sub("", code) if "/*" in code else code
+        code = code.strip(" ")
+        opened += marks
+        if inside or code == "" or brackets > (0 if indented else held):
+            out.append(None)
+        elif indented:
+            margin = _MARGIN.match(line).group()
+            out.append(None if _CLOSES.match(code) else len(margin) + 7 * margin.count("\t"))
+        else:
+            out.append(depth + code.startswith("{"))
+        if not inside and marks <= 0:
+            braces = code.count("{") - code.count("}")
+            brackets += code.count("(") + code.count("[") - code.count(")") - code.count("]")
+            depth += braces
+            held = brackets if braces else held
+    return out
+
+
+def _scopes(lines: list[str], levels: list[int | None], opens: list[bool]) -> tuple[list, list, list]:
+    """(ends, aboves, insides) of the lines of a file, as ``scopes_of_lines`` has them."""
+    ends, aboves, insides = [None] * len(lines), [], []
+    open_: list[int] = []
+    told = None
+    for k, (line, level) in enumerate(zip(lines, levels)):
+        if level is not None:
+            while open_ and levels[open_[-1] - 1] >= level:
+                ends[open_[-1] - 1] = told
+                open_ = open_[:-1]
+        aboves.append(open_)
+        if level is not None and opens[k]:
+            open_ = [*open_, k + 1]
+        insides.append(open_[-1] if open_ else None)
+        told = k + 1 if line.strip(" ") else told
+    for at in open_:
+        ends[at - 1] = told
+    return ends, aboves, insides
+
+
+#: Lines that a batch of ``scoped_lines`` holds, about.
+LINE_BATCH = 50_000
+
+
+def _scoped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files (path, language, line, declared; the last two an element a line) as rows of their lines, with levels and scopes."""
+    for batch in batches:
+        texts, first, found, held = batch["line"], 0, [], 0
+        for i in range(batch.num_rows):
+            lines = texts[i].as_py() or []
+            levels = _levels(lines, batch["language"][i].as_py())
+            opens = pc.greater(pc.list_value_length(batch["declared"][i].values), 0).to_pylist() if lines else []
+            found.append((range(1, len(lines) + 1), levels, *_scopes(lines, levels, opens)))
+            held += len(lines)
+            if i + 1 < batch.num_rows and held < LINE_BATCH:
+                continue
+            files = batch.slice(first, i + 1 - first)
+            at = pc.list_parent_indices(files["line"])
+            number, level, end, above, inside = ([x for f in found for x in f[c]] for c in range(5))
+            short = [pa.array(c, pa.int32()) for c in (number, level, end, inside)]
+            columns = [files["path"].take(at), files["language"].take(at), files["line"].flatten(), short[0], short[1], files["declared"].flatten(), short[2], pa.array(above, pa.list_(pa.int32())), short[3]]
+            out = pa.RecordBatch.from_arrays(columns, ["path", "language", "line", "line_no", "level", "declared", "end", "above", "inside"])
+            for k in range(0, out.num_rows, LINE_BATCH):
+                yield out.slice(k, LINE_BATCH)
+            first, found, held = i + 1, [], 0
+
+
+_DECLARED = "array<struct<name:string,kind:string>>"
+
+
 def scoped_lines(files: DataFrame) -> DataFrame:
     """(path, language, line, line_no, level, declared, owner, end, above, inside) of every line, with ``scopes_of_lines`` of its declarations.
 
     ``declared``: what it declares (name, kind); a block that implements a type declares it as kind
     impl. ``owner``: the type that a receiver names. Lines in comments and quoted blocks declare nothing.
+    A file is a row, so a task tells the levels and scopes of its files by one sweep of their lines, the
+    open scopes in hand: lines are neither shuffled nor sorted. ``leveled`` and ``scopes_of_lines`` tell the
+    same of lines that come as rows.
     """
-    block = _named(IMPLEMENTS_FOR)
-    declared = F.when(block.isNotNull(), F.array(F.struct(block.alias("name"), F.lit("impl").alias("kind")))).otherwise(_declared())
-    rows = leveled(files)
-    rows = rows.withColumn("declared", F.when(F.col("level").isNotNull(), declared).otherwise(F.array().cast("array<struct<name:string,kind:string>>")))
-    return scopes_of_lines(rows.withColumn("owner", _named(RECEIVER)), F.size("declared") > 0)
+
+    def declared(line: Column) -> Column:
+        block = _named(IMPLEMENTS_FOR, line)
+        return F.when(block.isNotNull(), F.array(F.struct(block.alias("name"), F.lit("impl").alias("kind")))).otherwise(_declared(line))
+
+    rows = files.select("path", "language", F.split("text", "\r?\n").alias("line")).withColumn("declared", F.transform("line", declared))
+    found = rows.mapInArrow(_scoped, f"path string, language string, line string, line_no int, level int, declared {_DECLARED}, end int, above array<int>, inside int")
+    kept = F.when(F.col("level").isNotNull(), F.col("declared")).otherwise(F.array().cast(_DECLARED))
+    return found.withColumn("declared", kept).withColumn("owner", _named(RECEIVER, F.col("line")))
 
 
 def scoped_declarations(lines: DataFrame) -> DataFrame:
@@ -211,7 +316,8 @@ def scoped_declarations(lines: DataFrame) -> DataFrame:
     first. A function in a type is a method. Blocks that implement a type are not declarations, but hold
     them under the type's name.
     """
-    rows = lines.where(F.size("declared") > 0)
+    # Lines that declare are few and read three times; where ``lines`` are a plan, it runs once.
+    rows = materialize(lines.where(F.size("declared") > 0).select("path", "language", "line_no", "declared", "owner", "end", "above"), "source-declaring")
     scopes = rows.select("path", F.col("line_no").alias("above_line"), F.element_at("declared", -1).alias("scope"))
     around = rows.select("path", "line_no", F.explode("above").alias("above_line")).join(scopes, ["path", "above_line"])
     around = around.groupBy("path", "line_no").agg(F.sort_array(F.collect_list(F.struct("above_line", "scope"))).alias("around"))
