@@ -33,11 +33,18 @@ def lexical_documents(entities: DataFrame) -> DataFrame:
 
 
 def lexical_postings(documents: DataFrame) -> DataFrame:
-    """(id, field, term, tf, length): the inverted index of ``lexical_documents``, to be stored beside it."""
+    """(id, field, term, length, tf): the inverted index of ``lexical_documents``, to be stored beside it.
+
+    An entity's id is its own, so a field's terms are counted where they stand: sorted, each run of equal
+    ones is a term. Nothing is grouped over rows.
+    """
     fields = [f for f in TOKEN_BOOST if f in documents.columns]
     each = documents.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), token_column(f).alias("w")) for f in fields])).alias("x")).select("id", "x.*")
-    each = each.where(F.size("w") > 0).select("id", "field", F.size("w").alias("length"), F.explode("w").alias("term"))
-    return each.groupBy("id", "field", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    each = each.where(F.size("w") > 0).select("id", "field", F.size("w").alias("length"), F.array_sort("w").alias("w"))
+    first = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
+    each = each.withColumn("first", first)
+    each = each.select("id", "field", "length", "w", F.inline(F.arrays_zip(F.col("first").alias("at"), F.array_append(F.slice("first", F.lit(2), F.col("length")), F.col("length") + 1).alias("next"))).alias("at", "next"))
+    return each.select("id", "field", F.get("w", F.col("at") - 1).alias("term"), "length", (F.col("next") - F.col("at")).cast("long").alias("tf"))
 
 
 def token_scores(postings: DataFrame, terms: list[str]) -> DataFrame:
