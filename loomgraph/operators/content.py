@@ -22,23 +22,34 @@ def with_runs(df: DataFrame, size: int = 3) -> DataFrame:
 def similar_units(removed: DataFrame, added: DataFrame, threshold: int = 500) -> DataFrame:
     """(base, head, shared, base_size, head_size): pairs of a removed and an added unit (id, text) of which one lies in the other to ``threshold`` in 1000 of its runs.
 
-    A unit's runs are put in the order of how rare they are. One that shares so many with another
-    shares one of its first ``size - needed + 1``: those alone are joined with the other side, so a run
-    that many units hold meets few. Each pair found is then counted in full.
+    Units of the same runs are one class, so copies are compared once and only the pairs found are given
+    for each of them. A run that no base and head of two classes share tells nothing and is dropped; the
+    others are put in the order of how rare they are. A class that shares so many runs with another
+    shares one of all but its last ``needed - 1``: those alone are joined with the other side, so a run
+    that many classes hold meets few. Each pair found is then counted in full.
     """
-    side = lambda df, name: with_runs(df).select(F.lit(name).alias("side"), "id", "runs")
-    units = materialize(side(removed, "base").union(side(added, "head")), "content-units")
-    each = units.select("side", "id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    often = each.groupBy("run").agg(F.count(F.lit(1)).alias("f"))
-    order = Window.partitionBy("side", "id").orderBy("f", "run")
-    lead = each.join(often, "run").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.expr(f"({threshold} * n + 999) div 1000") + 1)
-    lead = materialize(lead.select("side", "id", "run"), "content-lead")
-    of = lambda df, name: df.where(F.col("side") == name).select(F.col("id").alias(name), "run")
-    met = of(lead, "head").join(of(each, "base"), "run").select("base", "head").union(of(each, "head").join(of(lead, "base"), "run").select("base", "head")).distinct()
-    whole = lambda name: units.where(F.col("side") == name).select(F.col("id").alias(name), F.col("runs").alias(f"{name}_runs"))
+    side = lambda df, name: with_runs(df).select(F.lit(name).alias("side"), "id", F.array_sort("runs").alias("runs"))
+    units = side(removed, "base").union(side(added, "head"))
+    units = materialize(units.withColumn("class", F.unhex(F.md5(F.array_join(F.col("runs").cast("array<string>"), ",")))), "content-units")
+    has = lambda name: F.bool_or(F.col("side") == name).alias(name)
+    classes = materialize(units.groupBy("class").agg(F.first("runs").alias("runs"), has("base"), has("head")), "content-classes")
+    each = classes.select("class", "base", "head", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    shared = each.groupBy("run").agg(F.count(F.lit(1)).alias("f"), F.bool_or("base").alias("b"), F.bool_or("head").alias("h")).where("b AND h AND f > 1").select("run", "f")
+    shared = materialize(each.join(shared, "run"), "content-shared")
+    own = Window.partitionBy("class")
+    lead = shared.withColumns({"r": F.row_number().over(own.orderBy("f", "run")), "m": F.count(F.lit(1)).over(own)})
+    lead = materialize(lead.where(F.col("r") <= F.col("m") - F.expr(f"({threshold} * n + 999) div 1000") + 1).select("class", "base", "head", "run"), "content-lead")
+    of = lambda df, name: df.where(name).select(F.col("class").alias(name), "run")
+    met = of(lead, "head").join(of(shared, "base"), "run").select("base", "head").union(of(shared, "head").join(of(lead, "base"), "run").select("base", "head")).where("base <> head").distinct()
+    whole = lambda name: classes.where(name).select(F.col("class").alias(name), F.col("runs").alias(f"{name}_runs"))
     full = met.join(whole("base"), "base").join(whole("head"), "head")
     full = full.select("base", "head", F.size(F.array_intersect("base_runs", "head_runs")).alias("shared"), F.size("base_runs").alias("base_size"), F.size("head_runs").alias("head_size"))
-    return full.where(F.col("shared") * 1000 >= threshold * F.least("base_size", "head_size"))
+    full = full.where(F.col("shared") * 1000 >= threshold * F.least("base_size", "head_size"))
+    size = F.size("runs")
+    full = full.union(classes.where("base AND head").select("class", "class", size, size, size))
+    member = lambda name: units.where(F.col("side") == name).select(F.col("class").alias(name), F.col("id").alias(f"{name}_id"))
+    found = full.join(member("base"), "base").join(member("head"), "head")
+    return found.select(F.col("base_id").alias("base"), F.col("head_id").alias("head"), "shared", "base_size", "head_size")
 
 
 def content_lineage(removed: DataFrame, added: DataFrame, threshold: int = 500) -> DataFrame:
