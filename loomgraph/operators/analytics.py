@@ -147,8 +147,8 @@ def _inside(edges: DataFrame, include_self: bool = False) -> tuple[DataFrame, Da
         own = edges.where("subject = object").select(F.col("subject").alias("node"), F.col("subject").alias("component"))
         member = member.union(own.join(member.select("node"), "node", "left_anti"))
     member = materialize(member, "cycle-members")
-    inner = edges.join(member.select(F.col("node").alias("subject"), "component"), "subject")
-    inner = inner.join(member.select(F.col("node").alias("object"), F.col("component").alias("c2")), "object").where("component = c2").drop("c2")
+    inner = edges.join(member.select(F.col("node").alias("subject"), "component").hint("merge"), "subject")
+    inner = inner.join(member.select(F.col("node").alias("object"), F.col("component").alias("c2")).hint("merge"), "object").where("component = c2").drop("c2")
     return member, materialize(inner, "cycle-inner")
 
 
