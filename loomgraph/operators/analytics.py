@@ -10,14 +10,30 @@ from ..runtime import materialize
 from .graph import communities, container_of, oriented, reach, shortest_cycles, simple_paths, strong_components
 
 
-def effective(graph: Graph, edges: DataFrame) -> DataFrame:
-    """Edges with confidence clamped to what both endpoints' tiers allow; an endpoint without entity clamps nothing."""
+def _top(tier: str) -> Column:
+    """The most confidence that an endpoint allows; one without entity clamps nothing."""
+    return F.when(F.col(tier).isNull(), F.lit(1000)).otherwise(ceiling(tier))
+
+
+def effective(graph: Graph, edges: DataFrame, ends: tuple[str, str] = ("subject", "object"), few: bool = False) -> DataFrame:
+    """Edges with confidence clamped to what both endpoints' tiers allow; an endpoint without entity clamps nothing.
+
+    ``few``: ``edges`` is a stored table of a part of all edges; the entities that it names are told first,
+    so neither join meets all entities.
+    """
+    a, b = ends
     tiers = graph.entities.select("id", "tier")
-    top = F.lit(1000)
-    out = edges.join(tiers.select(F.col("id").alias("subject"), F.col("tier").alias("ts")), "subject", "left")
-    out = out.join(tiers.select(F.col("id").alias("object"), F.col("tier").alias("to")), "object", "left")
-    limit = F.least(F.when(F.col("ts").isNull(), top).otherwise(ceiling("ts")), F.when(F.col("to").isNull(), top).otherwise(ceiling("to")))
-    return out.withColumn("confidence", F.least("confidence", limit)).drop("ts", "to")
+    if few:
+        named = edges.select(F.explode(F.array(a, b)).alias("id")).distinct()
+        tiers = materialize(tiers.join(named, "id", "left_semi"), "tiers")
+    out = edges.join(tiers.select(F.col("id").alias(a), F.col("tier").alias("ts")), a, "left")
+    out = out.join(tiers.select(F.col("id").alias(b), F.col("tier").alias("to")), b, "left")
+    return out.withColumn("confidence", F.least("confidence", _top("ts"), _top("to"))).drop("ts", "to")
+
+
+def _weighing(graph: Graph, min_confidence: int):
+    """What a walk does to the edges of a hop: those of ``min_confidence`` or more, by their effective confidence."""
+    return lambda step: effective(graph, step, ("src", "dst"), few=True).where(F.col("confidence") >= min_confidence)
 
 
 def edges_of(graph: Graph, families: list[str], min_confidence: int = 0) -> DataFrame:
@@ -341,17 +357,22 @@ def change_impact(graph: Graph, changed: DataFrame, families: list[str], max_dep
 
     direct_only takes one step; standard leaves out links of an effective confidence below 300;
     conservative takes all. ``via``: families of the links that lead one step nearer; ``dynamic``: all
-    of these are dispatch candidates, so the dependence itself is not sure.
+    of these are dispatch candidates, so the dependence itself is not sure. Only edges that a hop meets
+    are given their effective confidence, the others are not joined with entities.
     """
-    edges = materialize(edges_of(graph, families, 300 if policy == "standard" else 0), "impact-edges")
-    found = reach(edges, changed, "inbound", 1 if policy == "direct_only" else max_depth)
+    least = 300 if policy == "standard" else 0
+    edges = graph.of(*families)
+    found = reach(edges, changed, "inbound", 1 if policy == "direct_only" else max_depth, _weighing(graph, least))
     near = found.select(F.col("node").alias("object"), (F.col("depth") + 1).alias("depth"))
-    steps = edges.select(F.col("subject").alias("node"), "object", "family", "predicate").join(near, "object")
-    via = steps.join(found.select("node", "depth"), ["node", "depth"]).groupBy("node").agg(
+    steps = edges.select("subject", "object", "family", "predicate", "confidence").join(near, "object")
+    steps = materialize(steps.join(found.select(F.col("node").alias("subject"), "depth"), ["subject", "depth"]), "impact-steps")
+    steps = effective(graph, steps, few=True).where(F.col("confidence") >= least)
+    via = steps.groupBy(F.col("subject").alias("node")).agg(
         F.array_join(F.sort_array(F.collect_set("family")), ",").alias("via"), F.bool_and(F.col("predicate") == "dispatch_candidate").alias("dynamic")
     )
+    out = materialize(found.where("depth > 0").join(via, "node"), "impact-found")
     public = graph.entities.select(F.col("id").alias("node"), (F.col("visibility") == "public").alias("is_public"))
-    out = found.where("depth > 0").join(via, "node").join(public, "node", "left")
+    out = out.join(public.join(out.select("node"), "node", "left_semi"), "node", "left")
     return out.select(F.col("node").alias("symbol"), F.col("depth").alias("distance"), "confidence", "via", "dynamic", F.coalesce("is_public", F.lit(False)).alias("is_public"))
 
 
@@ -396,9 +417,9 @@ def select_tests(
     ``TEST_KINDS`` or unit, by path. With ``budget`` the ranked tests are taken while their running
     cost fits.
     """
-    tests = edges_of(graph, ["tests"]).select(F.col("subject").alias("test"), F.col("object").alias("node"), "confidence")
     near = reach(graph.of("calls", "build_dependency"), subjects, "inbound", max_hops)
-    hit = tests.join(near.select("node", "depth"), "node")
+    hit = graph.of("tests").select("subject", "object", "confidence").join(near.select(F.col("node").alias("object"), "depth"), "object")
+    hit = effective(graph, materialize(hit, "test-hits"), few=True).select(F.col("subject").alias("test"), "depth", "confidence")
     scored = hit.select(
         "test",
         F.when(F.col("depth") == 0, F.least("confidence", F.lit(900))).otherwise(700 - 100 * F.col("depth")).alias("score"),
