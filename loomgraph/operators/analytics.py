@@ -234,12 +234,27 @@ def overview_components(graph: Graph, kinds: tuple[str, ...], max_components: in
 
 def overview_connections(graph: Graph, kinds: tuple[str, ...], families: list[str]) -> DataFrame:
     """(source, target, family, weight, confidence) between distinct components, by the strongest effective confidence."""
-    at = container_of(graph.entities, kinds)
-    edges = effective(graph, graph.of(*families))
-    edges = edges.join(at.select(F.col("id").alias("subject"), F.col("container").alias("source")), "subject")
-    edges = edges.join(at.select(F.col("id").alias("object"), F.col("container").alias("target")), "object")
-    edges = edges.where("source IS NOT NULL AND target IS NOT NULL AND source <> target")
-    return edges.groupBy("source", "target", "family").agg(F.count(F.lit(1)).alias("weight"), F.max("confidence").alias("confidence"))
+    edges = graph.of(*families).select("subject", "object", "family", "confidence", F.lit(1).alias("n"))
+    return _connections(edges, _held(graph.entities, kinds), ["n"]).withColumnRenamed("n", "weight").select("source", "target", "family", "weight", "confidence")
+
+
+def _held(entities: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(id, container, tier) of the entities that lie in one of ``kinds``."""
+    at = container_of(entities, kinds).where("container IS NOT NULL")
+    return materialize(at.join(entities.select("id", "tier"), "id"), "held")
+
+
+def _connections(edges: DataFrame, held: DataFrame, weights: list[str]) -> DataFrame:
+    """(source, target, family, confidence, ..) between distinct components, with the sums of ``weights``.
+
+    An edge meets its subject's component and tier in one join; edges of one component to one object are
+    then one row, so the join of objects does not grow with the edges.
+    """
+    sums = [F.sum(w).alias(w) for w in weights]
+    out = edges.join(held.select(F.col("id").alias("subject"), F.col("container").alias("source"), F.col("tier").alias("ts")), "subject")
+    out = out.groupBy("source", "object", "family").agg(F.max(F.least("confidence", _top("ts"))).alias("confidence"), *sums)
+    out = out.join(held.select(F.col("id").alias("object"), F.col("container").alias("target"), F.col("tier").alias("to")), "object").where("source <> target")
+    return out.groupBy("source", "target", "family").agg(F.max(F.least("confidence", _top("to"))).alias("confidence"), *sums)
 
 
 def community_view(graph: Graph, families: list[str]) -> DataFrame:
@@ -508,8 +523,13 @@ def compare_lineage(head: Graph) -> DataFrame:
 
 def compare_architecture(base: Graph, head: Graph, kinds: tuple[str, ...], families: list[str]) -> DataFrame:
     """(source, target, family, change, weight_before, weight_after): connections between components that came, went or changed in weight."""
-    side = lambda g, n: overview_connections(g, kinds, families).select("source", "target", "family", F.col("weight").alias(n))
-    j = side(base, "b").join(side(head, "h"), ["source", "target", "family"], "full_outer").where(~F.col("b").eqNullSafe(F.col("h")))
+    if base.entities is head.entities:  # both sides' edges lie in the same components: one pass has both weights
+        tell = lambda g, b, h: g.of(*families).select("subject", "object", "family", F.lit(0).alias("confidence"), F.lit(b).cast("int").alias("b"), F.lit(h).cast("int").alias("h"))
+        j = _connections(tell(base, 1, None).unionByName(tell(head, None, 1)), _held(base.entities, kinds), ["b", "h"])
+    else:
+        side = lambda g, n: overview_connections(g, kinds, families).select("source", "target", "family", F.col("weight").alias(n))
+        j = side(base, "b").join(side(head, "h"), ["source", "target", "family"], "full_outer")
+    j = j.where(~F.col("b").eqNullSafe(F.col("h")))
     change = F.when(F.col("b").isNull(), "added").when(F.col("h").isNull(), "removed").otherwise("architecture_changed")
     return j.select("source", "target", "family", change.alias("change"), F.coalesce("b", F.lit(0)).alias("weight_before"), F.coalesce("h", F.lit(0)).alias("weight_after"))
 
