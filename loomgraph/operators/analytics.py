@@ -114,7 +114,7 @@ def relationships(
 def flow_trace(graph: Graph, start: str, families: list[str], target: str | None = None, direction: str = "outbound", min_confidence: int = 0, max_depth: int = 8, max_paths: int = 100, max_open: int | None = 100_000) -> DataFrame:
     """(path, hops, confidence, cyclic, truncated) of ``simple_paths`` over effective confidence, the path joined by '>'."""
     seeds = graph.entities.where(F.col("id") == start).select("id")
-    found = simple_paths(edges_of(graph, families, min_confidence), seeds, target, direction, max_depth, max_paths, max_open)
+    found = simple_paths(graph.of(*families), seeds, target, direction, max_depth, max_paths, max_open, _weighing(graph, min_confidence))
     return found.select(F.array_join("path", ">").alias("path"), "hops", "confidence", "cyclic", "truncated")
 
 
