@@ -98,14 +98,17 @@ class LexicalIndex:
     @staticmethod
     def tables(documents: DataFrame, buckets: int = 64) -> dict[str, DataFrame]:
         """The index of ``lexical_documents``, to be staged as parts that the files own, partitioned by ``LexicalIndex.PARTITIONS``."""
+        part = F.pmod(F.xxhash64("file"), F.lit(LexicalIndex.PARTS))
         of = documents.select("id", F.col("path").alias("file"), definition_rank().alias("class"), "language")
         postings = lexical_postings(documents).join(of, "id").withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
-        postings = materialize(postings.repartition("bucket").sortWithinPartitions("bucket", "term", "file"), "lexical-postings")
+        postings = materialize(postings.repartition("bucket", part).sortWithinPartitions("bucket", "term", "file"), "lexical-postings")
         maxima = postings.groupBy(*_BLOCK, "field", "term", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
         lengths = postings.groupBy("file", "id", "field").agg(F.max("length").alias("length")).groupBy("file", "field").agg(F.count(F.lit(1)).alias("docs"), F.sum("length").alias("total"))
-        return {"postings": postings, "maxima": maxima.repartition("bucket").sortWithinPartitions("bucket", "term"), "lengths": lengths}
+        return {"postings": postings, "maxima": maxima.repartition("bucket", part).sortWithinPartitions("bucket", "term"), "lengths": lengths}
 
     PARTITIONS = {"postings": ["bucket"], "maxima": ["bucket"]}
+    #: Parts by file of a folder of terms as it is written, so a term of most documents is not sorted by one task.
+    PARTS = 16
 
     def _of(self, table: DataFrame, terms: list[str], languages: list[str] | None) -> DataFrame:
         """Rows of ``terms`` alone, read from their folders."""
