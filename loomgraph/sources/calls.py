@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ BINDINGS = {
     "java": ((r"^\s*import\s+(?:static\s+)?([\w.]+\.(\w+))\s*;", 1, 2, "named"),),
 }
 BINDINGS["typescript"] = BINDINGS["javascript"]
+# What a line that one of these patterns fits holds at least one of.
+BINDING_SIGNS = ("import", "use", "require", '"')
 # The confidence of a call by what its language leaves open until it runs.
 CALL_CONFIDENCE = {"rust": 850, "go": 850, "java": 850, "c": 850, "cpp": 850, "csharp": 850, "typescript": 800, "javascript": 650, "python": 650, "ruby": 650, "php": 650}
 # Names of the object whose method runs, and languages in which it need not be named.
@@ -63,10 +67,10 @@ def route_of(qualifier: str) -> Column:
     return F.regexp_replace(imported_module(F.concat(F.col(qualifier), F.lit("::")), F.lit("")), r"\.+$", "")
 
 
-def bindings(lines: DataFrame, below: DataFrame) -> DataFrame:
+def bindings(lines: DataFrame) -> DataFrame:
     """(path, family, local, module, imported, form) of import lines: named (local stands for ``imported`` of the module), namespace or wildcard.
 
-    ``lines``: path, language, line; ``below``: path and its part below the root, for relative imports.
+    ``lines``: path, language, line and below, the part of the path below the root, for relative imports.
     """
     kind = "struct<module:string,names:string,form:string>"
     found = F.array().cast(f"array<{kind}>")
@@ -76,7 +80,9 @@ def bindings(lines: DataFrame, below: DataFrame) -> DataFrame:
             m = F.regexp_extract("line", pattern, module)
             hits.append(F.when(m != "", F.array(F.struct(m.alias("module"), F.regexp_extract("line", pattern, names).alias("names"), F.lit(form).alias("form")))).otherwise(F.array().cast(f"array<{kind}>")))
         found = F.when(F.col("language") == language, F.concat(*hits)).otherwise(found)
-    rows = lines.select("path", "language", F.explode(found).alias("b")).select("path", "language", "b.*").join(below, "path")
+    # Outer: for a plain explode the planner asks twice more, by a filter, whether the array is empty.
+    some = lines.where(reduce(lambda a, b: a | b, [F.col("line").contains(s) for s in BINDING_SIGNS]))
+    rows = some.select("path", "language", "below", F.explode_outer(found).alias("b")).where("b IS NOT NULL").select("path", "language", "below", "b.*")
     last = F.regexp_extract("module", r"([\w$]+)$", 1)
     alone = F.when(F.col("names") != "", F.col("names")).when(F.col("language") == "python", F.col("module")).otherwise(last)
     each = rows.withColumn("name", F.explode(F.when(F.col("form") == "named", F.split("names", ",")).otherwise(F.array(alone))))

@@ -23,12 +23,12 @@ def _fid(path) -> Column:
     return F.concat(F.lit(_FID), path)
 
 
-def local_facts(texts: DataFrame, root: str = "") -> dict[str, DataFrame]:
+def local_facts(texts: DataFrame, root: str = "", roles: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """Entities, occurrences, bindings and routes of (path, language, text): what each file says by itself, in rows of its ``file``.
 
     Declarations lie in what is open around them: methods in types, functions in functions, the rest in
     their file; each has the span of its lines. A use stands for the innermost declaration around it,
-    else for its file; a base for its heir.
+    else for its file; a base for its heir. With ``roles`` occurrences are the uses of these alone.
     """
     below = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/'))}/", "") if root else F.col("path")
     texts = materialize(texts.select("path", "language", "text", below.alias("below")), "source-texts")
@@ -52,13 +52,15 @@ def local_facts(texts: DataFrame, root: str = "") -> dict[str, DataFrame]:
         "id", "kind", "name", F.concat_ws(".", F.col("path"), "chain", F.col("name")).alias("qualified_name"), inner.alias("container_id"), F.when(F.col("name").startswith("_"), "private").otherwise("public").alias("visibility"),
         F.lit("B").alias("tier"), "language", "path", F.col("line").alias("line_start"), F.col("end").alias("line_end"), "holder", "holder_line", "holder_end", none.alias("below"),
     )
-    # The innermost declaration of each line: the last one of the line that opened its scope.
+    # The innermost declaration around a use: the last one of the line that opened its scope, which the use's own line tells.
     of_scope = d.groupBy("path", F.col("line").alias("inside")).agg(F.max(F.struct("kind", "id", "holder")).alias("scope"))
-    at = lines.where("inside IS NOT NULL").select("path", F.col("line_no").alias("line"), "inside").join(of_scope, ["path", "inside"]).select("path", "line", "scope")
-    u = uses(texts, lines).join(texts.select("path", "below"), "path")
-    u = u.withColumn("text", F.when(F.col("role") == "import_use", imported_module(F.col("text"), F.col("below"))).otherwise(F.col("text")))
+    u = uses(texts, lines)
+    u = u if roles is None else u.where(F.col("role").isin(*roles))
+    u = u.withColumn("text", F.when(F.col("role") == "import_use", imported_module(F.col("text"), below)).otherwise(F.col("text")))
     heirs = own.where(F.col("kind").isin("class", "struct", "interface", "trait", "enum")).groupBy("path", F.col("name").alias("heir")).agg(F.min("id").alias("heir_id"))
-    u = u.join(heirs, ["path", "heir"], "left").join(at, ["path", "line"], "left").dropDuplicates(["path", "line", "role", "text", "qualifier", "heir"])
+    # Few uses have an heir; the others are not shuffled to look for one.
+    u = u.where("heir IS NOT NULL").join(heirs, ["path", "heir"], "left").unionByName(u.where("heir IS NULL").withColumn("heir_id", none))
+    u = u.join(of_scope, ["path", "inside"], "left")
     tail = [F.coalesce(F.concat(F.lit(":"), F.col(c)), F.lit("")) for c in ("qualifier", "heir")]
     enclosing = F.coalesce("heir_id", F.when(F.col("role") != "import_use", F.col("scope.id")), _fid(F.col("path")))
     occurrences = u.select(
@@ -68,7 +70,7 @@ def local_facts(texts: DataFrame, root: str = "") -> dict[str, DataFrame]:
     return {
         "entities": materialize(module.unionByName(own).withColumn("file", F.col("path")), "source-entities"),
         "occurrences": materialize(occurrences, "occurrences"),
-        "bindings": materialize(bindings(lines, texts.select("path", "below")).withColumnRenamed("path", "file"), "source-bindings"),
+        "bindings": materialize(bindings(lines.withColumn("below", below)).withColumnRenamed("path", "file"), "source-bindings"),
         "routes": materialize(routes(texts).withColumnRenamed("path", "file"), "source-routes"),
     }
 
@@ -89,13 +91,13 @@ def relations_of(found: dict[str, DataFrame], only: DataFrame | None = None) ->
     """
     part = lambda df: df if only is None else df.join(only, "file", "left_semi")
     entities = found["entities"]
-    occurrences = materialize(part(found["occurrences"]), "occurrences-asked")
+    occurrences = found["occurrences"] if only is None else materialize(part(found["occurrences"]), "occurrences-asked")
     calls = occurrences.where("role = 'call_site'").withColumn("qualifier", F.coalesce("qualifier", F.lit(""))).withColumn("path", F.col("file"))
     declared = entities.where("kind NOT IN ('file', 'route')")
     units = modules(entities.where("kind = 'file'"))
     bound = materialize(bound_calls(calls, declared, part(found["bindings"]).withColumnRenamed("file", "path"), units), "calls-bound")
     called = call_relations(calls, bound).select("subject", "predicate", "object", "confidence", "file")
-    rest = materialize(occurrences.join(bound.select("id").distinct(), "id", "left_anti"), "occurrences-left")
+    rest = materialize(occurrences.join(bound.select("id"), "id", "left_anti"), "occurrences-left")
     near = candidates(rest, entities)
     decided = materialize(decide(rest, near), "decisions")
     resolved = derive_relations(decided, near)
@@ -109,9 +111,9 @@ def relations_of(found: dict[str, DataFrame], only: DataFrame | None = None) ->
     return relations.withColumn("id", F.concat_ws("|", "subject", "predicate", "object"))
 
 
-def facts(texts: DataFrame, root: str = "") -> dict[str, DataFrame]:
-    """Entities, occurrences and relations of (path, language, text)."""
-    found = local_facts(texts, root)
+def facts(texts: DataFrame, root: str = "", roles: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """Entities, occurrences and relations of (path, language, text; paths are unique); with ``roles`` the occurrences of these alone, and the relations that they yield."""
+    found = local_facts(texts, root, roles)
     found["entities"] = found["entities"].unionByName(route_entities(found["routes"]), allowMissingColumns=True)
     return {"entities": found["entities"], "occurrences": found["occurrences"], "relations": relations_of(found)}
 

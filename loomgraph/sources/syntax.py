@@ -330,8 +330,8 @@ def scoped_declarations(lines: DataFrame) -> DataFrame:
     )
 
 
-def inheritance(files: DataFrame) -> DataFrame:
-    """(path, language, role, text, line, heir): each base that a declaration names, and the type that has it."""
+def inheritance(lines: DataFrame) -> DataFrame:
+    """(path, language, role, text, line, heir, inside) of ``scoped_lines``: each base that a declaration names, and the type that has it."""
 
     def made(heir: int):
         def of(pattern: str, role: str):
@@ -342,11 +342,11 @@ def inheritance(files: DataFrame) -> DataFrame:
 
     kind = "struct<heir:string,bases:string,role:string>"
     found = F.concat(_collected(BASES, kind, made(1)), _collected(BASES_FIRST, kind, made(2)))
-    rows = _lines(files).select("path", "language", F.explode(found).alias("b"), F.col("line_no").alias("line"))
-    each = rows.select("path", "language", F.col("b.role").alias("role"), F.explode(F.split("b.bases", ",")).alias("text"), "line", F.col("b.heir").alias("heir"))
+    rows = lines.select("path", "language", F.explode(found).alias("b"), F.col("line_no").alias("line"), "inside")
+    each = rows.select("path", "language", F.col("b.role").alias("role"), F.explode(F.split("b.bases", ",")).alias("text"), "line", F.col("b.heir").alias("heir"), "inside")
     # Access words and what qualifies a base are dropped: names are bound by the resolver.
     plain = F.regexp_extract("text", r"([A-Za-z_$][\w$]*)(?:<[^>]*>?)?\s*$", 1)
-    return each.withColumn("text", plain).where("text <> '' AND text <> heir")
+    return each.withColumn("text", plain).where("text <> '' AND text <> heir").distinct()
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -371,30 +371,34 @@ def imported_module(text: Column, path: Column) -> Column:
 
 
 def call_sites(lines: DataFrame) -> DataFrame:
-    """(path, language, text, line, qualifier) of ``scoped_lines``: each call, with what stands before its name."""
+    """(path, language, text, line, qualifier, inside) of ``scoped_lines``: each call, with what stands before its name; those of a line that are alike are one."""
     found = F.transform(
         F.arrays_zip(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)).alias("q"), F.regexp_extract_all("line", F.lit(CALL), F.lit(2)).alias("n")),
         lambda x: F.struct(F.regexp_replace(x["q"], r"(?:\.|::|->)$", "").alias("qualifier"), x["n"].alias("text")),
     )
     own = F.transform("declared", lambda d: d["name"])
     kept = F.filter(found, lambda x: ~x["text"].isin(*NOT_CALLED) & ~F.array_contains(own, x["text"]))
-    rows = lines.select("path", "language", F.col("line_no").alias("line"), F.explode(kept).alias("c"))
-    return rows.select("path", "language", "c.text", "line", "c.qualifier").distinct()
+    # A line is a row, so its calls are told apart there and not shuffled. Outer: for a plain explode the planner
+    # asks twice more, by a filter, whether the array is empty, each time by all the patterns.
+    some = lines.where(F.col("line").contains("("))
+    rows = some.select("path", "language", F.col("line_no").alias("line"), F.explode_outer(F.array_distinct(kept)).alias("c"), "inside")
+    return rows.where("c IS NOT NULL").select("path", "language", "c.text", "line", "c.qualifier", "inside")
 
 
 def uses(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """(path, language, role, text, line, heir, qualifier): calls, imports, types and bases by spelling, for the resolver.
+    """(path, language, role, text, line, heir, qualifier, inside): calls, imports, types and bases by spelling, for the resolver.
 
-    ``lines``: ``scoped_lines`` of the files, where they are at hand.
+    ``inside``: the line whose scope a use lies in; ``lines``: ``scoped_lines`` of the files, where they are at hand.
+    No two rows are alike where paths are unique.
     """
     rows = lines if lines is not None else scoped_lines(files)
     none = F.lit(None).cast("string").alias("heir")
-    calls = call_sites(rows).select("path", "language", F.lit("call_site").alias("role"), "text", "line", none, "qualifier")
+    calls = call_sites(rows).select("path", "language", F.lit("call_site").alias("role"), "text", "line", none, "qualifier", "inside")
     unqualified = F.lit(None).cast("string").alias("qualifier")
     module = F.lit("")
     for language, pattern in IMPORTS.items():
         module = F.when(F.col("language") == language, F.regexp_extract("line", pattern, 1)).otherwise(module)
-    imports = rows.select("path", "language", F.lit("import_use").alias("role"), module.alias("text"), F.col("line_no").alias("line"), none, unqualified).where("text <> ''")
-    types = rows.where(F.col("language").isin(*TYPED)).select("path", "language", F.lit("type_use").alias("role"), F.explode(F.regexp_extract_all("line", F.lit(TYPE))).alias("text"), F.col("line_no").alias("line"), none, unqualified)
-    bases = inheritance(files).select("path", "language", "role", "text", "line", "heir", unqualified)
+    imports = rows.select("path", "language", F.lit("import_use").alias("role"), module.alias("text"), F.col("line_no").alias("line"), none, unqualified, "inside").where("text <> ''")
+    types = rows.where(F.col("language").isin(*TYPED)).select("path", "language", F.lit("type_use").alias("role"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(TYPE)))).alias("text"), F.col("line_no").alias("line"), none, unqualified, "inside")
+    bases = inheritance(rows).select("path", "language", "role", "text", "line", "heir", unqualified, "inside")
     return calls.unionByName(imports).unionByName(types).unionByName(bases)
